@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import bpe, chat_format, decontaminate, html_text, language_id, license_scan, pii, quality_classifier, quality_rules, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,9 +19,90 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    out = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), *document_site())
+    return out.select("doc_id", F.round("p_good", 6).alias("p_good"), F.round("site_share", 6).alias("site_share"), "kept")
+
+
+def document_site():
+    """Host and path of a document: its source, and the source's section for its language (as page addresses have it)."""
+    return F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
+    model = language_id.fit(docs.filter(~F.col("held_out")))
+    return language_id.predict(docs.drop("lang"), *model, carry=("held_out",))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(chat_format.format_chats(chat_format.with_probe(spark, table(spark, sf_dir, "conversations"))))
+
+
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+s AS (
+  SELECT *, CASE WHEN contains(text, '</turn>') OR contains(text, '### ') OR regexp_matches(text, '\\[bhlcn]')
+    THEN length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) ELSE length(text) END AS shown FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(shown + length(role) + length(regexp_replace(role, '[^\\#<:\n]', '', 'g')) + 14)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id"""
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 0)::BIGINT + 2)) AS k FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[k:k + 12], ' ') AS s FROM p),
+sizes AS (SELECT DISTINCT size FROM win),
+q AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, sizes WHERE len(w) >= size),
+m AS (SELECT q.doc_id, q.k, q.size, win.item_id FROM q JOIN win ON win.size = q.size AND win.s = array_to_string(q.w[q.k:q.k + q.size - 1], ' ')),
+h AS (SELECT doc_id, count(DISTINCT pos)::BIGINT AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS pos FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*)::BIGINT AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
+  coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality_rules": op1_quality_rules}
+    found = (
+        op1_quality_rules, op2_bpe, op3_quality_classifier, op4_language_id, op5_pii, op6_html_text, op7_simhash, op8_chat_format, op9_license_scan, op10_decontaminate,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat_format": OP8_SQL, "op9_license_scan": license_scan.oracle(), "op10_decontaminate": OP10_SQL}

@@ -1,10 +1,63 @@
-"""Corpus pipeline (stages are added as their operators are built)."""
+"""Corpus pipeline: quality, near-duplicates, benchmark passages, personal data, tokens.
 
-STAGES = []
+Each stage takes what its predecessor kept (columns of ``documents``) and leaves the work to its operator in
+``braidflow.llm``. No stage knows how the others decide.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from braidflow.llm import bpe, decontaminate, pii, quality_classifier, simhash
+from braidflow.llm.common import table, written
+from braidflow.llm.queries import document_site
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects."""
+    found = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), *document_site())
+    return found.filter("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least ``doc_id`` of each near-duplicate group (one of the rows that repeat it)."""
+    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    extra = groups.filter("component_id <> doc_id").select("doc_id")
+    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold too much of the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data in the texts; every document stays."""
+    return pii.mask(docs, "text", "n_chars")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, token ids, their number and digests."""
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("simhash", near_duplicates),
+    ("decontaminate", decontaminated),
+    ("pii", private),
+    ("bpe", tokens),
+]
+
+#: The classifier, XXH64 and BPE are not expressible in SQL; tests compare the pipeline with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is written as Parquet and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
