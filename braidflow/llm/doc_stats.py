@@ -54,8 +54,9 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     d = c.select(*keep, *stats, F.coalesce(F.when(F.col("_s_o").isNotNull(), F.size(covered)), F.lit(0)).cast("long").alias("n_repeat_words"))
     share = lambda x, of: F.col(x) / F.greatest(F.col(of), F.lit(1))
-    return d.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
+    counts = [F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")]
+    values = F.struct(
+        *counts,
         F.col("n_words").cast("double").alias("f_words"),
         share("word_chars", "n_words").alias("f_word_len"),
         share("n_symbols", "word_chars").alias("f_symbols"),
@@ -63,7 +64,10 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         share("n_repeat_words", "n_words").alias("f_repeats"),
         share("_s_bangs", "n_words").alias("f_bangs"),
         share("n_words", "n_lines").alias("f_line_words"),
-    )
+    )
+    # A generator of one row: filters on the statistics stay above it. Pushed below, they would compute each one anew
+    # wherever the filter names it, and put the arrays' own making inside the functions that walk over them.
+    return d.select(*keep, F.inline(F.array(values)))
 
 
 def thresholds(sample: DataFrame, bins: int = 24) -> dict[str, list[float]]:

@@ -103,7 +103,7 @@ def oracle(templates=TEMPLATES, least: float = LEAST) -> str:
     norm = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
     grams = (
         "CASE WHEN norm = '' THEN CAST([] AS VARCHAR[]) WHEN len(string_split(norm, ' ')) = 1 THEN [norm] "
-        "ELSE list_distinct(list_transform(range(1, len(string_split(norm, ' '))), i -> string_split(norm, ' ')[i] || ' ' || string_split(norm, ' ')[i + 1])) END"
+        "ELSE list_distinct(list_transform(range(1, len(string_split(norm, ' '))), lambda i: string_split(norm, ' ')[i] || ' ' || string_split(norm, ' ')[i + 1])) END"
     )
     return f"""
 WITH t(template, license, text) AS (VALUES {values}),
