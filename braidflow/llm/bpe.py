@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,6 +26,18 @@ from pyspark.sql import functions as F
 #: The pattern that cuts text into pieces, as the vocabulary file states it, and the mark of a word's end.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE = regex.compile(r"\s+")
+#: Code points that the pattern's library takes for letters or numbers, but the vocabulary's library, of an
+#: older Unicode version, for symbols (first and last of each range, hexadecimal).
+UNKNOWN = """558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7dd-a7dd a7e2-a7e2 a7f1-a7f1 ab6c-ab6d 107bb-107bf
+10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1 1246f-1246f 12475-1247f 12550-12686 16ea0-16eb8
+16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6
+1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f
+2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"""
+#: Capitals of newer Unicode versions (first and last, hexadecimal) and how far their small letters are.
+CAPITALS = """1c89-1c89 1, a7cb-a7cb -a567, a7cc-a7cc 1, a7ce-a7ce 1, a7d2-a7d2 1, a7d4-a7d4 1, a7da-a7da 1, a7dc-a7dc -a641, 10d50-10d65 20, 16ea0-16eb8 1b"""
+SMALL = {c: c + int(by, 16) for span, by in (x.split() for x in CAPITALS.split(",")) for c in range(int(span.split("-")[0], 16), int(span.split("-")[1], 16) + 1)}
+SMALL[ord("Σ")] = ord("σ")  # at the end of a word too
+SYMBOLS = regex.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in (x.split("-") for x in UNKNOWN.split())) + "]")
 WORD_END = "</w>"
 MOST_BYTES = 64 << 20
 
@@ -39,7 +52,7 @@ def byte_letters() -> list[str]:
 class Codec:
     """Encoder and decoder for a vocabulary file's text (JSON with ``model.vocab``, ``model.merges``, ``added_tokens``)."""
 
-    def __init__(self, spec: str, cached_words: int = 200_000):
+    def __init__(self, spec: str, cached_words: int = 300_000):
         d = json.loads(spec)
         self.vocab: dict[str, int] = d["model"]["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in d["model"]["merges"])
@@ -50,6 +63,8 @@ class Codec:
         self.letters, self.most = byte_letters(), cached_words
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
+        self.young_pieces: dict[str, tuple[int, ...]] = {}
+        self.old_pieces: dict[str, tuple[int, ...]] = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merges neighbours, lowest rank first and leftmost among equals, until no rank applies."""
@@ -71,18 +86,35 @@ class Codec:
                     heapq.heappush(queue, (r, left, symbols[left], symbols[right]))
         return [s for s in symbols if s]
 
+    def piece_ids(self, piece: str) -> tuple[int, ...]:
+        """Ids of one piece; kept like those of chunks, as most new chunks are known words with new punctuation."""
+        found = self.young_pieces.get(piece)
+        if found is None:
+            found = self.old_pieces.get(piece)
+            if found is None:
+                symbols = [self.letters[b] for b in piece.encode()]
+                symbols[-1] += WORD_END
+                found = tuple([self.vocab[s] for s in self.merge(symbols) if s in self.vocab])
+            if len(self.young_pieces) >= self.most:
+                self.old_pieces, self.young_pieces = self.young_pieces, {}
+            if len(piece) <= 64:
+                self.young_pieces[piece] = found
+        return found
+
     def chunk_ids(self, chunk: str) -> list[int]:
         """Ids of a run of text without white space."""
         ids: list[int] = []
         for k, part in enumerate(self.cut.split(chunk) if self.cut and "<" in chunk else [chunk]):
             if k % 2:
                 ids.append(self.special[part])
-                continue
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for piece in PIECES.findall(part):
-                symbols = [self.letters[b] for b in piece.encode()]
-                symbols[-1] += WORD_END
-                ids += [self.vocab[s] for s in self.merge(symbols) if s in self.vocab]
+            elif part.isascii():
+                for piece in PIECES.findall(part.lower()):
+                    ids += self.piece_ids(piece)
+            else:
+                part = unicodedata.normalize("NFC", part).translate(SMALL).lower()
+                shown = SYMBOLS.sub("§", part)
+                for m in PIECES.finditer(shown):
+                    ids += self.piece_ids(part[m.start() : m.end()])
         return ids
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
@@ -90,7 +122,7 @@ class Codec:
         found = self.old.get(chunk)
         if found is None:
             ids = self.chunk_ids(chunk)
-            found = b"".join(i.to_bytes(4, "little") for i in ids), self.decode(ids)
+            found = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
         if len(chunk) <= 64:

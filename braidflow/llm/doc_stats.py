@@ -14,6 +14,8 @@ from .common import words
 FEATURES = (
     "f_words", "f_word_len", "f_symbols", "f_dup_lines", "f_repeats", "f_bangs", "f_line_words",
 )
+#: The counts that come with them, as longs.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -22,9 +24,9 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     ``n_repeat_words`` counts the words that lie in a 3-word window which occurs twice or more in the text. Windows
     are compared by 64-bit hashes. Windows that occur once in a text (most texts have no other) cost one hash set;
     only texts with a repeat sort their windows, so that a text of any length stays in n log n.
-    Columns of ``docs`` with names beginning with ``_s_`` are not kept.
+    Columns of ``docs`` that bear the name of a statistic, or one that begins with ``_s_``, give way.
     """
-    keep = [c for c in docs.columns if not c.startswith("_s_")]
+    keep = [c for c in docs.columns if not c.startswith("_s_") and c not in (*COUNTS, *FEATURES)]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     a = docs.select(*keep, words(t).alias("_s_w"), lines.alias("_s_l"), t.alias("_s_t"))
@@ -54,9 +56,8 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     d = c.select(*keep, *stats, F.coalesce(F.when(F.col("_s_o").isNotNull(), F.size(covered)), F.lit(0)).cast("long").alias("n_repeat_words"))
     share = lambda x, of: F.col(x) / F.greatest(F.col(of), F.lit(1))
-    counts = [F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")]
     values = F.struct(
-        *counts,
+        *COUNTS,
         F.col("n_words").cast("double").alias("f_words"),
         share("word_chars", "n_words").alias("f_word_len"),
         share("n_symbols", "word_chars").alias("f_symbols"),

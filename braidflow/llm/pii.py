@@ -230,8 +230,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask(docs: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:
     """``docs`` with personal data masked in ``text``; rows and columns stay, ``n_chars`` is renewed if named."""
-    d = detect(docs.withColumn("_text", F.col(text)), text)
-    d = d.withColumn(text, masked(F.col("_text"), F.col("spans"))).drop("_text", "base", "spans")
-    if n_chars:
-        d = d.withColumn(n_chars, F.length(text).cast(dict(docs.dtypes)[n_chars]))
-    return d.select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"))
+    d = detect(packed.select("doc", "text"), "text").select("doc", masked(F.col(f"doc.`{text}`"), F.col("spans")).alias("new"))
+    new = {text: F.col("new")} | ({n_chars: F.length("new").cast(dict(docs.dtypes)[n_chars])} if n_chars else {})
+    return d.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

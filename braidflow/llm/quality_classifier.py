@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, small_enough
+from .common import bounded_sample, small_enough, written
 from .doc_stats import FEATURES, bin_of, thresholds, with_stats
 
 BROADCAST_ROWS = 20_000
@@ -104,13 +104,14 @@ def site_shares(scored: DataFrame, share: float) -> DataFrame:
     return with_host.select("host", "path", ((F.col("s") + k2 * F.col("host_share")) / (F.col("n") + k2)).alias("share"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, least: float = 0.5, sample_rows: int = 20_000) -> DataFrame:
-    """``docs`` with ``evidence, site_share, p_good`` and ``kept``; columns that these names hide are replaced."""
-    from .common import written
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, least: float = 0.1, sample_rows: int = 20_000) -> DataFrame:
+    """``docs`` (one struct column ``doc``) with ``evidence, site_share, p_good`` and ``kept``.
 
+    ``least`` is low, so that only documents with clear evidence against them go.
+    """
     model = fit(docs, labels, sample_rows)
-    keep = [c for c in docs.columns if c not in ("evidence", "site_share", "p_good", "kept")]
-    scored = with_stats(docs.select(*keep).withColumns({"_host": host, "_path": path})).select(*keep, "_host", "_path", evidence(model).alias("evidence"))
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), host.alias("_host"), path.alias("_path"), "text")
+    scored = with_stats(packed).select("doc", "_host", "_path", evidence(model).alias("evidence"))
     own = F.lit(1.0) / (1 + F.exp(-(F.col("evidence") + _logit(model.share))))
     shares = written(site_shares(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), own.alias("p")), model.share), "sites")
     shares = shares.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("share").alias("site_share"))
@@ -119,7 +120,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, lea
         joined = scored.join(F.broadcast(shares), same)
     else:
         salted = shares.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = scored.withColumn("_s", F.pmod(F.xxhash64(*keep[:1]), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_s") == F.col("_t")))
+        joined = scored.withColumn("_s", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_s") == F.col("_t")))
     site = F.greatest(F.least(F.col("site_share"), F.lit(1 - 1e-6)), F.lit(1e-6))
     p = F.lit(1.0) / (1 + F.exp(-(F.col("evidence") + F.log(site / (1 - site)))))
-    return joined.select(*keep, "evidence", "site_share", p.alias("p_good"), (p >= least).alias("kept"))
+    return joined.select("doc", "evidence", "site_share", p.alias("p_good"), (p >= least).alias("kept"))

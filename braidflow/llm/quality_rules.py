@@ -48,7 +48,7 @@ class Params:
     max_rules: int = 8
     max_tests: int = 3
     least_precision: float = 0.9
-    least_support: int = 10
+    least_support: int = 5
     bins: int = 24
 
 
@@ -116,6 +116,8 @@ def learn(labelled: DataFrame, params: Params = Params()) -> list[list[Test]]:
     The loop runs on the driver, over counts of at most ``features x bins`` rows for each step; the rows stay in Spark.
     """
     cuts = thresholds(labelled, params.bins)
+    if not any(cuts.values()):
+        return []
     binned = labelled.select(
         F.col("y").cast("long").alias("y"), (F.pmod(F.xxhash64(*FEATURES), F.lit(3)) != 0).alias("grows"), *FEATURES, *[bin_of(f, cuts[f]).alias("b_" + f) for f in FEATURES]
     )
@@ -126,7 +128,7 @@ def learn(labelled: DataFrame, params: Params = Params()) -> list[list[Test]]:
         if not tests:
             break
         tests, p, n = _prune(rows, tests)
-        if p < params.least_support / 2 or p / max(p + n, 1) < params.least_precision:
+        if 2 * p < params.least_support or p / max(p + n, 1) < params.least_precision:
             break
         rules.append(_widen(rows, tests))
         rows = rows.filter(~_all(tests))

@@ -18,7 +18,7 @@ from braidflow.llm.queries import document_site
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     found = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), *document_site())
-    return found.filter("kept").select(*docs.columns)
+    return found.filter("kept").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
