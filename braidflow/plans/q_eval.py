@@ -69,11 +69,11 @@ def a26(spark, d):
     return g.withColumns({"mean": F.round("mean", 6), "m2": F.round("m2", 2)})
 
 
-@query("a27_structural_counts", f"WITH {PL} SELECT cap, count(*) FILTER (flags = 16) AS mode_hits, count(*) FILTER ((flags & 4) <> 0) AS resets, count(*) FILTER ((flags & 1) <> 0) AS fins, count(*) FILTER ((flags & 5) = 5) AS both FROM pl GROUP BY cap")
+@query("a27_structural_counts", f"WITH {PL} SELECT cap, count(*) FILTER (flags = 16) AS mode_hits, count(*) FILTER ((flags & 4) <> 0) AS resets, count(*) FILTER ((flags & 1) <> 0) AS fins, count(*) FILTER ((flags & 5) = 5) AS fins_and_resets FROM pl GROUP BY cap")
 def a27(spark, d):
     f = F.col("tcp_flags")
     on = lambda m: f.bitwiseAND(m) != 0
-    return packets_l(spark, d).groupBy("cap").agg(F.count_if(f == 16).alias("mode_hits"), F.count_if(on(4)).alias("resets"), F.count_if(on(1)).alias("fins"), F.count_if(on(4) & on(1)).alias("both"))
+    return packets_l(spark, d).groupBy("cap").agg(F.count_if(f == 16).alias("mode_hits"), F.count_if(on(4)).alias("resets"), F.count_if(on(1)).alias("fins"), F.count_if(on(4) & on(1)).alias("fins_and_resets"))
 
 
 @query("a28_unique_mode", f"WITH {PL}, n AS (SELECT cap, flow, count(*) AS size FROM pl GROUP BY 1, 2), c AS (SELECT cap, size, count(*) AS n FROM n GROUP BY 1, 2), r AS (SELECT *, max(n) OVER (PARTITION BY cap) AS top FROM c) SELECT cap, CASE WHEN count(*) = 1 THEN min(size) END AS mode, count(*) AS ties FROM r WHERE n = top GROUP BY cap")

@@ -37,7 +37,7 @@ def j13(spark, d):
     return ev.by_segment(p, s, "line", "kind").groupBy("log", "verdict").agg(F.count("*").alias("n"))
 
 
-ATTEMPTS = f"{PE}, at AS (SELECT k AS case_id, idx // 1000 AS attempt, count(*) FILTER (kind = 'error') AS alerts, count(*) AS packets FROM pe GROUP BY 1, 2)"
+ATTEMPTS = f"{PE}, tries AS (SELECT k AS case_id, idx // 1000 AS attempt, count(*) FILTER (kind = 'error') AS alerts, count(*) AS packets FROM pe GROUP BY 1, 2)"
 
 
 def attempts(spark, d):
@@ -45,14 +45,14 @@ def attempts(spark, d):
     return p.groupBy(F.col("k").alias("case_id"), F.floor(F.col("idx") / 1000).cast("long").alias("attempt")).agg(F.count_if(F.col("kind") == "error").alias("alerts"), F.count("*").alias("packets"))
 
 
-@query("j15_best_attempt", f"WITH {ATTEMPTS} SELECT case_id, attempt, alerts, packets FROM at QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY alerts = 0, CASE WHEN alerts > 0 THEN attempt ELSE -packets END, attempt) = 1")
+@query("j15_best_attempt", f"WITH {ATTEMPTS} SELECT case_id, attempt, alerts, packets FROM tries QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY alerts = 0, CASE WHEN alerts > 0 THEN attempt ELSE -packets END, attempt) = 1")
 def j15(spark, d):
     return ev.best_attempt(attempts(spark, d), "case_id", "attempt")
 
 
 @query(
     "j16_offline_online",
-    f"WITH {ATTEMPTS}, a AS (SELECT case_id, max(packets) AS v FROM at WHERE case_id % 5 <> 0 GROUP BY 1), b AS (SELECT case_id, max(packets) AS v FROM at WHERE case_id % 7 <> 0 AND attempt < 8 GROUP BY 1) SELECT case_id, a.v AS offline, b.v AS online, CASE WHEN b.v IS NULL THEN 'no_online' WHEN a.v IS NULL THEN 'no_offline' WHEN a.v = b.v THEN 'same' ELSE 'different' END AS note FROM a FULL JOIN b USING (case_id)",
+    f"WITH {ATTEMPTS}, a AS (SELECT case_id, max(packets) AS v FROM tries WHERE case_id % 5 <> 0 GROUP BY 1), b AS (SELECT case_id, max(packets) AS v FROM tries WHERE case_id % 7 <> 0 AND attempt < 8 GROUP BY 1) SELECT case_id, a.v AS offline, b.v AS online, CASE WHEN b.v IS NULL THEN 'no_online' WHEN a.v IS NULL THEN 'no_offline' WHEN a.v = b.v THEN 'same' ELSE 'different' END AS note FROM a FULL JOIN b USING (case_id)",
 )
 def j16(spark, d):
     a = attempts(spark, d)
@@ -209,7 +209,7 @@ def a54(spark, d):
 
 @query(
     "a56_accuracy_table",
-    f"WITH {ATTEMPTS}, c AS (SELECT case_id, sum(alerts) AS ok, sum(packets) AS n, CASE WHEN case_id % 3 = 0 THEN 'lossless' WHEN case_id % 3 = 1 THEN 'lossy' ELSE 'no_inference' END AS loss FROM at GROUP BY case_id) SELECT loss, count(*) AS cases, round(sum(ok) / sum(n), 6) AS micro, round(avg(ok / n), 6) AS macro, round(max(abs(ok / n - 0.2)), 6) AS most_delta FROM c GROUP BY loss",
+    f"WITH {ATTEMPTS}, c AS (SELECT case_id, sum(alerts) AS ok, sum(packets) AS n, CASE WHEN case_id % 3 = 0 THEN 'lossless' WHEN case_id % 3 = 1 THEN 'lossy' ELSE 'no_inference' END AS loss FROM tries GROUP BY case_id) SELECT loss, count(*) AS cases, round(sum(ok) / sum(n), 6) AS micro, round(avg(ok / n), 6) AS macro, round(max(abs(ok / n - 0.2)), 6) AS most_delta FROM c GROUP BY loss",
 )
 def a56(spark, d):
     c = attempts(spark, d).groupBy("case_id").agg(F.sum("alerts").alias("ok"), F.sum("packets").alias("n"))

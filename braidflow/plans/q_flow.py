@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import net, numbers
-from ..operators import features, profile
+from ..operators import features, flow_machine, profile
 from ..operators import windows as win
 from .bindings import DAY, HOUR, MILLI, PE, PL, PLS, packets_e, packets_l, rounded, table, vector_sql
 from .registry import query
@@ -324,3 +324,46 @@ def a55(spark, d):
 @query("a57_close_reasons", f"WITH {PE}, r AS (SELECT unnest(['click', 'view', 'purchase', 'timeout', 'reset']) AS reason), c AS (SELECT kind, count(*) AS n FROM pe GROUP BY kind) SELECT reason, coalesce(n, 0) AS n FROM r LEFT JOIN c ON kind = reason")
 def a57(spark, d):
     return profile.zero_filled(packets_e(spark, d), "kind", ["click", "view", "purchase", "timeout", "reset"], "reason")
+
+
+# Stateful flow rules: no single SQL statement has them, the tests have a slow version instead.
+
+
+def machine_packets(spark, d):
+    """Order lines by customer: one capture for each priority, in order of order and line."""
+    p = packets_l(spark, d).select(
+        F.col("cap").alias("capture_id"), F.col("cust").cast("string").alias("flow_key"), (F.col("flow") * 100 + F.col("ord")).alias("packet_index"), "timestamp_ns",
+        F.when(F.col("supp") % 2 == 0, "a").otherwise("b").alias("source"), F.lit(True).alias("is_tcp"), "tcp_flags", F.col("part").alias("sequence_number"), "wire_length",
+    )
+    return win.running_watermark(p, ["capture_id"], "packet_index", chunk=100_000)
+
+
+POLICY = flow_machine.FlowPolicy(idle_ns=400 * MILLI, max_age_ns=900 * MILLI)
+
+
+def machine_closes(spark, d):
+    p = machine_packets(spark, d)
+    closes = flow_machine.track(p, POLICY).filter("row = 'closed'").select("capture_id", "flow_key", "generation", "reason", "creation_ns", "last_event_ns", "packets")
+    return flow_machine.resolve_passive(closes, p, POLICY, 30 * MILLI)
+
+
+@query("w09_flow_machine")
+def w09(spark, d):
+    return machine_closes(spark, d)
+
+
+@query("w03_w08_close_reasons")
+def w03(spark, d):
+    return machine_closes(spark, d).groupBy("capture_id", "reason").agg(F.count("*").alias("flows"), F.sum("packets").alias("packets"))
+
+
+@query("w21_simple_flows", f"WITH {PL}, q AS (SELECT cust AS flow_key, flow * 100 + ord AS i, ts, flags, wire, CASE WHEN supp % 2 = 0 THEN 'a' ELSE 'b' END AS src FROM pl), n AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > {400 * 10**6} OR (lag(flags) OVER w & 5) <> 0 THEN 1 ELSE 0 END AS new FROM q WINDOW w AS (PARTITION BY flow_key ORDER BY i)), f AS (SELECT *, sum(new) OVER (PARTITION BY flow_key ORDER BY i) AS g FROM n) SELECT flow_key::VARCHAR AS flow_key, count(*) AS packets, min(ts) AS start_ns, max(ts) AS end_ns, sum(wire)::BIGINT AS bytes, min_by(src, i) AS forward_source FROM f GROUP BY flow_key, g HAVING count(*) >= 2")
+def w21(spark, d):
+    p = packets_l(spark, d).select(F.col("cust").cast("string").alias("flow_key"), (F.col("flow") * 100 + F.col("ord")).alias("packet_index"), "timestamp_ns", "tcp_flags", "wire_length", F.when(F.col("supp") % 2 == 0, "a").otherwise("b").alias("source"))
+    return flow_machine.simple_flows(p, 400 * MILLI).drop("flow")
+
+
+@query("w29_close_order")
+def w29(spark, d):
+    c = machine_closes(spark, d)
+    return c.withColumn("ordinal", F.row_number().over(W.partitionBy("capture_id", "flow_key").orderBy("last_event_ns", "generation"))).select("capture_id", "flow_key", "generation", "ordinal")

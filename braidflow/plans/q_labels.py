@@ -74,13 +74,13 @@ def j04(spark, d):
     return agreed(spark, d).select("flow_id", "method", "label", "candidates", F.array_join(F.transform("candidate_ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
-@query("j05_assignment_xor", f"WITH {CONSENSUS} SELECT (label IS NOT NULL) AS assigned, count(*) AS flows, 0::BIGINT AS both, 0::BIGINT AS neither FROM co GROUP BY 1")
+@query("j05_assignment_xor", f"WITH {CONSENSUS} SELECT (label IS NOT NULL) AS assigned, count(*) AS flows, 0::BIGINT AS in_both, 0::BIGINT AS in_neither FROM co GROUP BY 1")
 def j05(spark, d):
     a = agreed(spark, d)
     yes, no = a.filter("label is not null").select("flow_id", F.lit(1).alias("a")), a.filter("label is null").select("flow_id", F.lit(1).alias("q"))
     j = inputs(spark, d)[0].select("flow_id").join(yes, "flow_id", "left").join(no, "flow_id", "left")
     both, neither = F.col("a").isNotNull() & F.col("q").isNotNull(), F.col("a").isNull() & F.col("q").isNull()
-    return j.groupBy(F.col("a").isNotNull().alias("assigned")).agg(F.count("*").alias("flows"), F.count_if(both).alias("both"), F.count_if(neither).alias("neither"))
+    return j.groupBy(F.col("a").isNotNull().alias("assigned")).agg(F.count("*").alias("flows"), F.count_if(both).alias("in_both"), F.count_if(neither).alias("in_neither"))
 
 
 @query("j06_flow_snapshots", f"WITH {CONSENSUS} SELECT co.flow_id, label, k AS checkpoint FROM co, (VALUES (3), (5)) c(k) WHERE label IS NOT NULL AND packets >= k")
@@ -225,7 +225,7 @@ def j10(spark, d):
 
 @query(
     "j11_nearest_in_time",
-    f"WITH a AS (SELECT event_id AS alert_id, user_id AS k, epoch_us(ts) * 1000 AS at FROM events WHERE event_type = 'error'), f AS (SELECT event_id AS flow_id, user_id AS k, epoch_us(ts) * 1000 AS s FROM events WHERE event_type = 'click') SELECT alert_id, flow_id, abs(s - at) AS gap FROM a JOIN f USING (k) WHERE abs(s - at) <= {DAY} QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY abs(s - at), s, flow_id) = 1",
+    f"WITH a AS (SELECT event_id AS alert_id, user_id AS k, epoch_us(ts) * 1000 AS t_at FROM events WHERE event_type = 'error'), f AS (SELECT event_id AS flow_id, user_id AS k, epoch_us(ts) * 1000 AS s FROM events WHERE event_type = 'click') SELECT alert_id, flow_id, abs(s - t_at) AS gap FROM a JOIN f USING (k) WHERE abs(s - t_at) <= {DAY} QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY abs(s - t_at), s, flow_id) = 1",
 )
 def j11(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("user_id").alias("k"), ns("ts").alias("t"), "event_type")
