@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_label_csv(spark: SparkSession, path: str, names: list[str], encoding: str = "windows-1252") -> tuple[DataFrame, DataFrame]:
-    """Rows of a label file by position (repeated header names get their place), and its malformed rows.
+#: Code page 1252 has characters where Latin-1 has control codes.
+CONTROLS = "".join(chr(c) for c in range(0x80, 0xA0))
+CHARACTERS = "".join(bytes([c]).decode("cp1252", "replace") for c in range(0x80, 0xA0))
+
+
+def read_label_csv(spark: SparkSession, path: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of a label file in code page 1252 by position (repeated header names get their place), and its malformed rows.
 
     Rows whose fields are all empty are skipped; rows of another width are malformed. Everything stays text.
     """
     unique = [n if names.index(n) == k else f"{n}.{k}" for k, n in enumerate(names)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in unique] + [T.StructField("_bad", T.StringType())])
-    raw = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
-    raw = raw.withColumn("_bad", F.col("_bad"))
+    raw = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, encoding="ISO-8859-1", mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    raw = raw.select(*[F.translate(F.col(f"`{n}`"), CONTROLS, CHARACTERS).alias(n) for n in [*unique, "_bad"]])
     empty = F.forall(F.array(*[F.col(f"`{n}`") for n in unique]), lambda v: v.isNull() | (F.trim(v) == ""))
     rows = raw.filter(~empty | F.col("_bad").isNotNull())
     return rows.filter("_bad is null").drop("_bad"), rows.filter("_bad is not null").select("_bad")
@@ -64,7 +69,7 @@ def inventory(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """Size, content hash, rows and header of every CSV file; whether it has the required columns; whether its name occurs twice."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"), F.decode(F.col("content"), "ISO-8859-1").alias("text"))
     lines = F.filter(F.split("text", "\r?\n"), lambda x: x != "")
-    header = F.transform(F.split(F.get(lines, F.lit(0)), ","), F.trim)
+    header = F.transform(F.split(F.get(lines, F.lit(0)), ","), lambda x: F.trim(x))
     f = files.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "sha256", (F.size(lines) - 1).alias("rows"), header.alias("header"))
     names = f.groupBy("name").agg((F.count("*") > 1).alias("duplicate_name"))
     return f.join(names, "name").withColumn("complete", F.size(F.array_except(F.array(*map(F.lit, required)), "header")) == 0)
