@@ -23,7 +23,7 @@ def read_label_csv(spark: SparkSession, path: str, names: list[str]) -> tuple[Da
     raw = raw.select(*[F.translate(F.col(f"`{n}`"), CONTROLS, CHARACTERS).alias(n) for n in [*unique, "_bad"]])
     empty = F.forall(F.array(*[F.col(f"`{n}`") for n in unique]), lambda v: v.isNull() | (F.trim(v) == ""))
     rows = raw.filter(~empty | F.col("_bad").isNotNull())
-    return rows.filter("_bad is null").drop("_bad"), rows.filter("_bad is not null").select("_bad")
+    return rows.filter("_bad is null").drop("_bad"), rows.filter("_bad is not null")
 
 
 def read_exact_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
