@@ -33,6 +33,7 @@ BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 SEED = 42
 SHINGLE = 3
 PAIRS_AT_ONCE = 1 << 18
+HOT_SHARE = 1000
 
 
 def fingerprint(text: str) -> int:
@@ -200,8 +201,14 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, fingerprint`` (16 hexadecimal digits) and ``component_id`` (the least key reachable) of every row."""
     fps = written(fingerprints(docs, key, text), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min(key).alias("node"))
+    distinct = fps.groupBy("fp").agg(F.min(key).alias("node"), F.count("*").alias("rows"))
     roots = components(links(distinct.filter(F.col("node").isNotNull())))
-    mapped = distinct.join(roots, F.col("node") == F.col("u"), "left").select(F.col("fp").alias("fp_"), F.coalesce("v", "node").alias("component_id"))
-    found = fps.join(mapped, F.col("fp") == F.col("fp_"))
+    mapped = distinct.join(roots, F.col("node") == F.col("u"), "left").select(F.col("fp").alias("fp_"), "rows", F.coalesce("v", "node").alias("component_id"))
+    mapped = written(mapped, "fingerprint-components")
+    # A fingerprint with over a thousandth of all rows would make a long task of the join; there are under a thousand
+    # such, so they may be broadcast, whatever the corpus.
+    hot = mapped.filter(F.col("rows") > max(fps.count() / HOT_SHARE, 1)).drop("rows")
+    same = F.col("fp") == F.col("fp_")
+    rest = fps.join(F.broadcast(hot), same, "left_anti").join(mapped.drop("rows"), same)
+    found = fps.join(F.broadcast(hot), same).unionByName(rest)
     return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
