@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least ``doc_id`` of each near-duplicate group (one of the rows that repeat it)."""
+    """Keeps the document with the least ``doc_id`` of each near-duplicate group; rows that share a ``doc_id`` are one document."""
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
     extra = groups.filter("component_id <> doc_id").select("doc_id")
     return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
