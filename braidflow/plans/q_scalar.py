@@ -106,7 +106,7 @@ def p10(spark, d):
 
 @query(
     "p11_label_bounds",
-    f"WITH {PE} SELECT idx, ts AS start_min_ns, ts + (CASE WHEN idx % 2 = 0 THEN 1 ELSE 60 END) * 1000000000 AS start_max_ns, ts + wire * 1000 AS end_min_ns, ts + (CASE WHEN idx % 2 = 0 THEN 1 ELSE 60 END) * 1000000000 + wire * 1000 AS end_max_ns FROM pe",
+    f"WITH {PE} SELECT idx, ts AS start_min_ns, ts + (CASE WHEN idx % 2 = 0 THEN 1 ELSE 60 END)::BIGINT * 1000000000 AS start_max_ns, ts + wire * 1000 AS end_min_ns, ts + (CASE WHEN idx % 2 = 0 THEN 1 ELSE 60 END)::BIGINT * 1000000000 + wire * 1000 AS end_max_ns FROM pe",
 )
 def p11(spark, d):
     res = F.when(F.col("idx") % 2 == 0, 1).otherwise(60)
