@@ -94,8 +94,8 @@ def _strength(sites: DataFrame, prior: Column, default: float = 10.0) -> float:
 
 
 def site_shares(scored: DataFrame, share: float) -> DataFrame:
-    """``host, path, share`` from rows of ``host, path, p`` (each document's own posterior)."""
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
+    """``host, path, share`` from rows of ``host, path, p`` (each document's own posterior); the rows are read once."""
+    paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     k = _strength(hosts, F.lit(share))
     hosts = hosts.select(F.col("host").alias("h"), ((F.col("s") + k * share) / (F.col("n") + k)).alias("host_share"))
@@ -104,14 +104,18 @@ def site_shares(scored: DataFrame, share: float) -> DataFrame:
     return with_host.select("host", "path", ((F.col("s") + k2 * F.col("host_share")) / (F.col("n") + k2)).alias("share"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, least: float = 0.1, sample_rows: int = 20_000) -> DataFrame:
-    """``docs`` (one struct column ``doc``) with ``evidence, site_share, p_good`` and ``kept``.
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, carry: list[str] | None = None, least: float = 0.1, sample_rows: int = 20_000) -> DataFrame:
+    """Columns ``carry`` of ``docs`` (all by default) as one struct column ``doc``, with ``evidence, site_share, p_good`` and ``kept``.
 
-    ``least`` is low, so that only documents with clear evidence against them go.
+    ``least`` is low, so that only documents with clear evidence against them go. Texts are read twice, for the sites
+    and for the result; without ``text`` in ``carry`` the scored rows are narrow and written, and texts are read once.
     """
+    carry = docs.columns if carry is None else carry
     model = fit(docs, labels, sample_rows)
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), host.alias("_host"), path.alias("_path"), "text")
+    packed = docs.select(F.struct(*carry).alias("doc"), host.alias("_host"), path.alias("_path"), "text")
     scored = with_stats(packed).select("doc", "_host", "_path", evidence(model).alias("evidence"))
+    if "text" not in carry:
+        scored = written(scored, "scored")
     own = F.lit(1.0) / (1 + F.exp(-(F.col("evidence") + _logit(model.share))))
     shares = written(site_shares(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), own.alias("p")), model.share), "sites")
     shares = shares.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("share").alias("site_share"))

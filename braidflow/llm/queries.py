@@ -25,7 +25,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    out = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), *document_site())
+    out = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), *document_site(), carry=["doc_id"])
     return out.select("doc.doc_id", F.round("p_good", 6).alias("p_good"), F.round("site_share", 6).alias("site_share"), "kept")
 
 
