@@ -52,17 +52,17 @@ def normalised(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def bigrams(norm: Column) -> Column:
-    """Distinct word bigrams of a normalised text; a text of one word is its own bigram."""
-    w = F.split(norm, " ", -1)
-    pairs = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(norm == "", F.array().cast("array<string>")).when(F.size(w) == 1, w).otherwise(F.array_distinct(F.filter(pairs, lambda p: p.isNotNull())))
+def bigrams(w: Column) -> Column:
+    """Distinct bigrams of an array of words; a single word is its own bigram."""
+    pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(w) <= 1, F.filter(w, lambda x: x != "")).otherwise(F.array_distinct(pairs))
 
 
 def template_bigrams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """``template, license, q, gram``: one row for each distinct bigram of each template."""
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, text string")
-    g = rows.select("template", "license", bigrams(normalised(F.col("text"))).alias("g"))
+    words = rows.select("template", "license", F.split(normalised(F.col("text")), " ", -1).alias("w"))
+    g = words.select("template", "license", bigrams(F.col("w")).alias("g"))
     return g.select("template", "license", F.size("g").alias("q"), F.explode("g").alias("gram"))
 
 
@@ -74,9 +74,11 @@ def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, key: str
         raise ValueError("too many templates to broadcast")
     low, high = min(sizes, default=1) * least / (2 - least), max(sizes, default=0) * (2 - least) / least
     lines = docs.select(F.col(key), row_key(F.col(text)).alias("row"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line", "s"))
-    # a line of c characters has at most c / 2 words; longer lines of few distinct bigrams stay in
-    lines = lines.filter(F.length("s") >= low).select(key, "row", "line", normalised(F.col("s")).alias("norm"))
-    sized = lines.select(key, "row", "line", bigrams(F.col("norm")).alias("g")).withColumn("p", F.size("g")).filter((F.col("p") >= low) & (F.col("p") <= high))
+    # generators of one row keep the filters above them: pushed below, they would make each array once more
+    one = lambda **c: F.inline(F.array(F.struct(*[v.alias(k) for k, v in c.items()])))
+    norm = F.split(normalised(F.col("s")), " ", -1)
+    words = lines.filter(F.length("s") >= low).select(key, "row", "line", one(w=norm)).filter(F.size("w") >= low)  # there are no more bigrams than words
+    sized = words.select(key, "row", "line", bigrams(F.col("w")).alias("g")).select(key, "row", "line", one(g=F.col("g"), p=F.size("g"))).filter((F.col("p") >= low) & (F.col("p") <= high))
     pairs = sized.select(key, "row", "line", "p", F.explode("g").alias("gram")).join(F.broadcast(grams), "gram")
     pairs = pairs.filter((F.col("p") * (2 - least) >= F.col("q") * least) & (F.col("p") * least <= F.col("q") * (2 - least)))
     scored = pairs.groupBy(key, "row", "line", "template", "license", "p", "q").agg(F.count("*").alias("both"))
