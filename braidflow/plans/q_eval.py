@@ -61,12 +61,12 @@ def a25(spark, d):
 
 @query(
     "a26_vector_statistics",
-    "SELECT feature, cohort, count(*) AS n, round(avg(v), 6) AS mean, round(var_pop(v) * count(*), 2) AS m2, min(v) AS least, max(v) AS most FROM (SELECT 'l_quantity' AS feature, l_returnflag AS cohort, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_discount', l_returnflag, l_discount FROM lineitem) GROUP BY GROUPING SETS ((feature, cohort), (feature))",
+    "SELECT feature, cohort, count(*) AS n, round(avg(v), 4) AS mean, round(var_pop(v) * count(*), 2) AS m2, min(v) AS least, max(v) AS most FROM (SELECT 'l_quantity' AS feature, l_returnflag AS cohort, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_discount', l_returnflag, l_discount FROM lineitem) GROUP BY GROUPING SETS ((feature, cohort), (feature))",
 )
 def a26(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("cohort"), "l_quantity", "l_discount").unpivot(["cohort"], ["l_quantity", "l_discount"], "feature", "v")
     g = li.rollup("feature", "cohort").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("m2"), F.min("v").alias("least"), F.max("v").alias("most")).filter("feature is not null")
-    return g.withColumns({"mean": F.round("mean", 6), "m2": F.round("m2", 2)})
+    return g.withColumns({"mean": F.round("mean", 4), "m2": F.round("m2", 2)})
 
 
 @query("a27_structural_counts", f"WITH {PL} SELECT cap, count(*) FILTER (flags = 16) AS mode_hits, count(*) FILTER ((flags & 4) <> 0) AS resets, count(*) FILTER ((flags & 1) <> 0) AS fins, count(*) FILTER ((flags & 5) = 5) AS fins_and_resets FROM pl GROUP BY cap")
