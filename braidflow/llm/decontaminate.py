@@ -51,7 +51,7 @@ def anchors(docs: DataFrame, wins: DataFrame, text: str = "text") -> DataFrame:
     few = small_enough(vocabulary, BROADCAST_ROWS)
     tokens = docs.select(F.explode(raw_words(F.col(text))).alias("raw")).select(lower_ascii(F.col("raw")).alias("word"))
     counts = tokens.join(F.broadcast(vocabulary) if few else vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
-    ranked = places.join(counts, "word", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    ranked = places.join(F.broadcast(counts) if few else counts, "word", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
     first = W.partitionBy("item_id", "words").orderBy("seen", "word", "place")
     return ranked.withColumn("r", F.row_number().over(first)).filter("r = 1").select("word", "place", "item_id", "words")
 
