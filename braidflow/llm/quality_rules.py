@@ -61,15 +61,18 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def _grow(rows: DataFrame, cuts: dict[str, list[float]], params: Params) -> list[Test]:
+def _grow(rows: DataFrame, cuts: dict[str, list[float]], params: Params, tried: frozenset[str] = frozenset()) -> list[Test]:
+    """A conjunction that does not begin with a feature of ``tried``."""
     tests: list[Test] = []
-    names = [f for f in FEATURES if cuts[f]]
     while len(tests) < params.max_tests:
+        names = [f for f in FEATURES if cuts[f] and (tests or f not in tried)]
+        if not names:
+            break
         long = rows.filter(_all(tests) & F.col("grows")).unpivot(["y"], ["b_" + f for f in names], "feature", "bin")
         counts: dict[str, dict[int, tuple[int, int]]] = {f: {} for f in names}
         for r in long.groupBy("feature", "bin").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).collect():  # features x bins rows
             counts[r["feature"][2:]][r["bin"]] = (r["p"], r["n"])
-        p0, n0 = (sum(v[k] for v in counts[names[0]].values()) for k in (0, 1)) if names else (0, 0)
+        p0, n0 = (sum(v[k] for v in counts[names[0]].values()) for k in (0, 1))
         if not p0 or not n0:
             break
         best, found = 1e-9, None
@@ -123,13 +126,17 @@ def learn(labelled: DataFrame, params: Params = Params()) -> list[list[Test]]:
     )
     rows = written(binned.coalesce(8), "rules-binned")
     rules: list[list[Test]] = []
+    tried: frozenset[str] = frozenset()
     while len(rules) < params.max_rules:
-        tests = _grow(rows, cuts, params)
+        tests = _grow(rows, cuts, params, tried)
         if not tests:
             break
+        first = tests[0].feature
         tests, p, n = _prune(rows, tests)
         if 2 * p < params.least_support or p / max(p + n, 1) < params.least_precision:
-            break
+            tried |= {first}  # begin with another feature
+            continue
+        tried = frozenset()
         rules.append(_widen(rows, tests))
         rows = rows.filter(~_all(tests))
     return rules
