@@ -3,6 +3,7 @@
 import hashlib
 import re
 import sys
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -335,6 +336,54 @@ def test_license_scan(spark):
     assert license_scan.scan(nothing(spark)).count() == 0
 
 
+def wrapped(text, width=70, start=""):
+    return "\n".join(start + x for x in textwrap.wrap(text, width))
+
+
+def test_license_scan_wrapped_and_inline(spark):
+    longer = {}
+    for name, text in license_scan.PASSAGES:
+        longer.setdefault(name, text)
+    story = "The river rose in spring and the mill stood still for weeks. " * 8
+    texts = [
+        (1, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrapped(longer["MIT"]), "MIT"),
+        (2, wrapped(longer["GPL-3.0"], 70, " * ") + "\n\nint main() {}", "GPL-3.0"),
+        (3, wrapped(longer["GPL-2.0"], 60, "# "), "GPL-2.0"),
+        (4, wrapped(longer["AGPL-3.0"], 75), "AGPL-3.0"),
+        (5, story + "Licensed under CC BY-NC 4.0. " + story, "CC-BY-NC-4.0"),
+        (6, story + "\n" + wrapped(longer["BSD-2-Clause"], 66) + "\n" + story, "BSD-2-Clause"),
+        (7, wrapped(longer["BSD-3-Clause"], 66), "BSD-3-Clause"),
+        (8, longer["ISC"] + "\nReleased under the MIT License.", "ISC,MIT"),
+        (9, story + "\n" + story, ""),
+        (None, story + "Released under the MIT License. " + story, "MIT"),
+    ]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    for k, _, names in texts:
+        assert got[k]["licenses"] == names, k
+        assert got[k]["n_matches"] == (names.count(",") + 1 if names else 0), k
+
+
+def test_license_passages_equal_brute_force():
+    notices = [(n, license_scan.WORD.findall(t.lower())) for n, t in license_scan.TEMPLATES + license_scan.PASSAGES]
+    rng = np.random.default_rng(3)
+    finder = license_scan.Passages()
+    for _ in range(40):
+        words = list(notices[rng.integers(len(notices))][1])
+        for _ in range(int(rng.integers(0, 1 + len(words) // 6))):
+            words[rng.integers(len(words))] = f"w{rng.integers(9)}"
+        words = ["x", "of", "the"] * int(rng.integers(0, 3)) + words + ["and", "the", "software", "is"] * int(rng.integers(0, 3))
+        grams = list(zip(words, words[1:]))
+        for t, (_, own, n, _) in enumerate(finder.templates):
+            size, want = min(n - 1, len(grams)), set()
+            for k in range(len(grams) - size + 1):
+                g = set(grams[k : k + size])
+                if 2 * len(g & own) / (len(g) + len(own)) >= 0.8:
+                    want.add((k, k + size + 1))
+            anchors = [k for k, g in enumerate(grams) if t in finder.rare.get(g, ())]
+            assert {(a, b) for _, _, a, b in finder.windows(grams, t, anchors)} == want
+
+
 # op10
 
 
