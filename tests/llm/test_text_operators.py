@@ -422,6 +422,15 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, limit):
     assert decontaminate.contamination(docs.filter("false"), bench).count() == 0
 
 
+def test_decontamination_keeps_hits_of_null_ids_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 3)
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(None, f"so {passage} ends"), (None, "other words"), (1, passage)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, f"{passage} fourteen fifteen sixteen seventeen")], "item_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_hit"]) for r in decontaminate.contamination(docs, bench).collect()) == [(0, 0), (0, 13), (1, 13)]
+    assert [r["text"] for r in decontaminate.clean(docs, bench).collect()] == ["other words"]
+
+
 # pipeline
 
 
