@@ -2,8 +2,9 @@
 
 Every block node of a page's DOM gets a link-adjusted density of characters per tag. The node whose children have the
 greatest density sum holds the article; the least density on its way up to the body is the threshold that other parts
-of the page must reach to count as text. Menus, forms and the like are recognised by tag, role or class and never
-enter the DOM.
+of the page must reach to count as text. Menus, forms and the like are recognised by tag, role, class or id and do not
+count; what only its name (a class or id of nothing but such words) or a ``form`` tag speaks against is left to the densities where it
+holds an ``article`` or ``main`` or, on a page with neither, most of the text outside links.
 
 Pages are independent rows: no shuffle, and memory is that of one page.
 Defined results: null or empty html, or a page with nothing but boilerplate, gives an empty text; unclosed and cut-off
@@ -37,39 +38,59 @@ DROPPED_WORDS = frozenset(
 )
 #: These name boilerplate only outside an article.
 OUTER_WORDS = frozenset("header head top topbar".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("html head base link meta script style title noscript template".split())
+#: Their ids are slugs of titles inside an article.
+TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"body", "html"}
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
+
 NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("chars", "dropped", "link_chars", "link_tags", "parent", "tag", "tags", "until")
+    __slots__ = ("chars", "dropped", "link_chars", "link_tags", "named", "parent", "tag", "tags", "until")
 
-    def __init__(self, tag: str, parent: int, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: int, dropped: bool, named: bool = False):
+        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
         self.chars = self.tags = self.link_chars = self.link_tags = self.until = 0
 
 
-def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is a menu, advert, form or the like, judged by its tag and attributes alone."""
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
+def is_boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is a menu, advert, form or the like, judged by its tag and attributes alone; whether no more than its name says so."""
+    if tag in DROPPED and tag != "form" or tag == "header" and not in_article:
+        return True, False
+    named = tag == "form"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return named, named
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in DROPPED_ROLES:
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id"):
-            found = set(NAME.findall(value))
-            if found & DROPPED_WORDS or not in_article and found & OUTER_WORDS:
-                return True
-    return False
+            return True, False
+        if name == "class" or name == "id" and not (in_article and tag in TITLED):
+            words = DROPPED_WORDS if in_article else DROPPED_WORDS | OUTER_WORDS
+            named = named or any(parts and words.issuperset(parts) for parts in map(NAME.findall, value.split()))
+    return named, named
+
+
+def settle(nodes: list[Node], articles: set[int]) -> None:
+    """Drops what is boilerplate by name, except what holds an article or, on a page without one, most of the text outside links."""
+    text = [0 if x.dropped else x.chars - x.link_chars for x in nodes]
+    for k in range(len(nodes) - 1, 0, -1):
+        text[nodes[k].parent] += text[k]
+    articles = {k for k in articles if not nodes[k].dropped}
+    for k in articles:
+        while k and not nodes[k].dropped:
+            nodes[k].named = False
+            k = nodes[k].parent
+    for k, x in enumerate(nodes):
+        if k:
+            x.dropped = x.dropped or nodes[x.parent].dropped or x.named and (bool(articles) or 2 * text[k] <= text[0])
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
@@ -77,6 +98,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     nodes = [Node("body", -1, False)]
     items: list[tuple[int, str | None]] = []
     open_: list[tuple[str, int]] = [("body", 0)]  # every open element, with the block node it belongs to
+    holders: set[int] = set()
     at, end, links, articles, low = 0, len(html), 0, 0, html.lower()
 
     def close(to: int) -> None:
@@ -89,6 +111,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                 items.append((open_[-1][1] if open_ else 0, None))
 
     def add(text: str) -> None:
+        if open_[-1][0] == "head" and text.strip():
+            close(len(open_) - 1)
         node = open_[-1][1]
         if nodes[node].dropped or not text:
             return
@@ -120,6 +144,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                     close(k)
                     break
             continue
+        if tag not in IN_HEAD and open_[-1][0] == "head":
+            close(len(open_) - 1)
         if tag in ("html", "body"):
             continue
         if tag in RAW:
@@ -153,15 +179,18 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             if tag == "hr":
                 items.append((node, None))
             continue
-        bad = dropped or is_boilerplate(tag, m.group(3), articles > 0)
+        bad, named = (True, False) if dropped else is_boilerplate(tag, m.group(3), articles > 0)
         if tag in BLOCK or bad != dropped:
-            nodes.append(Node(tag, node, bad))
+            nodes.append(Node(tag, node, bad and not named, named))
             node = len(nodes) - 1
             items.append((node, None))
+            if tag in ("article", "main"):
+                holders.add(node)
         links += tag == "a"
         articles += tag in ("article", "main")
         open_.append((tag, node))
     close(1)
+    settle(nodes, holders)
     return nodes, items
 
 

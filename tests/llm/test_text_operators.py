@@ -234,6 +234,23 @@ def test_html_boilerplate_and_broken_markup(spark):
 # op7
 
 
+def test_html_names_do_not_drop_the_article():
+    part = "The river rose in spring, and the old mill at the bend stood still for many weeks until the water fell again. " * 3
+    article = f"<p>{part}one</p><p>{part}two</p>"
+    menu = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul>"
+    pages = [
+        f"<body><div class='content has-sidebar'>{article}</div></body>", f"<body><div id='page-no-sidebar'>{article}</div></body>", f"<body><div class='social-science'>{article}</div></body>",
+        f"<body><div class='sidebar'>{menu}<article>{article}</article></div></body>", f"<body><div class='widget'>{article}</div><div class='menu'>{menu}</div></body>", f"<body><form id='f'>{menu}<div>{article}</div></form></body>",
+        f"<html><head><title>t</title><meta charset=utf-8><body>{article}", f"<head><title>t</title>{article}", f"<html><head><link rel=x><div>{article}</div>",
+    ]
+    for page in pages:
+        text = html_text.main_text(page)
+        assert text.count("river") == 6 and "one" in text and "two" in text, page
+    inside = f"<article>{article}<section id='discussion'><h2 id='related-work'>Related work</h2><p>{part}three</p></section><h2 id='comments'>Kept</h2><p class='side-note'>{part}four</p></article>"
+    text = html_text.main_text(f"<body>{inside}<div class='comments'>{part}drop</div></body>")
+    assert all(x in text for x in ("Related work", "three", "Kept", "four")) and "drop" not in text
+
+
 def slow_fingerprint(text):
     w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()))
     s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
