@@ -51,15 +51,16 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * ones > len(values), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the ``carry`` columns and ``fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py() or "") for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[key, "fp"])
+            fp = np.array([fingerprint(t.as_py() or "") for t in batch.column(len(carry) + 1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(carry) + 1)), pa.array(fp)], names=[key, *carry, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, fp bigint")
+    kinds = dict(docs.dtypes)
+    return docs.select(key, *carry, text).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (key, *carry)) + ", fp bigint")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -198,9 +199,9 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, fingerprint`` (16 hexadecimal digits) and ``component_id`` (the least key reachable) of every row."""
-    fps = written(fingerprints(docs, key, text), "fingerprints")
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the ``carry`` columns, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` (the least key reachable) of every row."""
+    fps = written(fingerprints(docs, key, text, carry), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min(key).alias("node"), F.count("*").alias("rows"))
     roots = components(links(distinct.filter(F.col("node").isNotNull())))
     mapped = distinct.join(roots, F.col("node") == F.col("u"), "left").select(F.col("fp").alias("fp_"), "rows", F.coalesce("v", "node").alias("component_id"))
@@ -211,4 +212,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     same = F.col("fp") == F.col("fp_")
     rest = fps.join(F.broadcast(hot), same, "left_anti").join(mapped.drop("rows"), same)
     found = fps.join(F.broadcast(hot), same).unionByName(rest)
-    return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select(key, *carry, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidflow.llm import bpe, decontaminate, pii, quality_classifier, simhash
-from braidflow.llm.common import table, written
+from braidflow.llm.common import row_key, table, written
 from braidflow.llm.queries import document_site
 
 
@@ -22,10 +22,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least ``doc_id`` of each near-duplicate group; rows that share a ``doc_id`` are one document."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    extra = groups.filter("component_id <> doc_id").select("doc_id")
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each near-duplicate group, that of the least ``doc_id``; rows that share a ``doc_id`` are judged each by its own text.
+
+    Groups are those of ``op7`` (links of at most 3 bits). Fingerprints that no row with a ``doc_id`` has are a group each.
+    """
+    groups = simhash.near_duplicates(docs.select("doc_id", row_key(F.col("text")).alias("row"), "text"), carry=("row",))
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone"))
+    rows = written(groups.groupBy(group.alias("g"), "doc_id", "row").agg(F.count("*").alias("n")), "group-rows")
+    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "n")
+    kept = rows.groupBy("g").agg(F.min(at).alias("m")).select("m.doc_id", "m.row", "m.n")
+    kept = kept.select(F.col("doc_id").alias("_k"), F.col("row").alias("_r"), "n")
+    out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("row") == F.col("_r")), "left_anti").select(F.col("doc_id").alias("_k"), F.col("row").alias("_r"))
+    repeated = kept.filter("n > 1").drop("n")
+    keyed = docs.withColumn("_row", row_key(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r"))
+    single = keyed.join(out.unionByName(repeated), same, "left_anti")
+    return single.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_row"])).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

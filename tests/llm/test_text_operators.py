@@ -451,6 +451,16 @@ def test_decontamination_keeps_hits_of_null_ids_beyond_the_broadcast(spark, monk
 # pipeline
 
 
+def test_pipeline_near_duplicates_judges_rows_that_share_an_id(spark, sf_dir):
+    import corpus_pipeline
+
+    a, b, c = ("".join(f"{w}{k} " for k in range(60)) for w in ("alpha", "beta", "gamma"))
+    docs = spark.createDataFrame([(3, a, 1), (5, a, 2), (5, b, 3), (7, b, 4), (8, c, 5), (8, c, 6), (None, a, 7), (None, "only one here " * 9, 8)], "doc_id long, text string, n int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "only one here " * 9), (3, a), (5, b), (8, c)]
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir):
     import corpus_pipeline
     from braidflow.llm.common import written
