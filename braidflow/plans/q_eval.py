@@ -253,33 +253,33 @@ def m03(spark, d):
 
 
 def labelled(spark, d):
-    li = table(spark, d, "lineitem").filter("l_linenumber <= 2")
+    li = table(spark, d, "lineitem")
     return li.select(*KEYS, *NUM, (F.col("l_quantity") * 0.02 + F.col("l_discount") * 5 > 0.8).cast("double").alias("y"), (F.col("l_quantity") / 13).cast("int").cast("double").alias("k"))
 
 
 @query("m04_forest")
 def m04(spark, d):
     x = labelled(spark, d)
-    return models.with_probabilities(models.fit_forest(x, NUM, "y", trees=10, depth=5), x).select(*KEYS, F.round(F.get("p", F.lit(1)), 6).alias("attack_probability"))
+    return models.with_probabilities(models.fit_forest(x, NUM, "y"), x).select(*KEYS, F.round(F.get("p", F.lit(1)), 6).alias("attack_probability"))
 
 
 @query("m05_family_forest")
 def m05(spark, d):
     x = labelled(spark, d)
-    return models.with_probabilities(models.fit_forest(x, NUM, "k", trees=8, depth=4), x).select(*KEYS, models.top_two(F.col("p")).alias("t")).select(*KEYS, "t.*")
+    return models.with_probabilities(models.fit_forest(x, NUM, "k"), x).select(*KEYS, models.top_two(F.col("p")).alias("t")).select(*KEYS, "t.*")
 
 
 @query("m06_tree_and_boosted")
 def m06(spark, d):
     x = labelled(spark, d)
-    a = models.with_probabilities(models.fit_tree(x, NUM, "y"), x, "p1").select(*KEYS, F.get("p1", F.lit(1)).alias("tree"), *NUM, "y")
-    return models.with_probabilities(models.fit_boosted(x, NUM, "y", 5), a, "p2").select(*KEYS, "tree", F.get("p2", F.lit(1)).alias("boosted"))
+    a = models.with_probabilities(models.fit_tree(x, NUM, "y", 15), x, "p1").select(*KEYS, F.get("p1", F.lit(1)).alias("tree"), *NUM, "y")
+    return models.with_probabilities(models.fit_boosted(x, NUM, "y", 200), a, "p2").select(*KEYS, "tree", F.get("p2", F.lit(1)).alias("boosted"))
 
 
 @query("m07_boosted_classes")
 def m07(spark, d):
     x = labelled(spark, d)
-    return models.fit_boosted_classes(x, NUM, "k", 3).transform(x).groupBy("k", "prediction").agg(F.count("*").alias("n"))
+    return models.fit_boosted_classes(x, NUM, "k", 300).transform(x).groupBy("k", "prediction").agg(F.count("*").alias("n"))
 
 
 HB = [*NUM[:1], NUM[2]]
@@ -307,8 +307,8 @@ def m10(spark, d):
 @query("m11_isolation_forest")
 def m11(spark, d):
     li = table(spark, d, "lineitem")
-    forest = models.isolation_forest(li, NUM, trees=20, sample=256)
-    return models.isolation_score(li.select(*KEYS, *NUM), NUM, forest).select(*KEYS, F.round("score", 6).alias("score"))
+    forest = models.isolation_forest(li, NUM, trees=300, sample=4096)
+    return models.isolation_score(li.select(*KEYS, *NUM), NUM, forest, 4096).select(*KEYS, F.round("score", 6).alias("score"))
 
 
 @query("m12_score_decision", f"WITH {SC}, t AS (SELECT fam, s AS threshold FROM (SELECT fam, s, row_number() OVER (PARTITION BY fam ORDER BY s) AS r, count(*) OVER (PARTITION BY fam) AS n FROM sc) WHERE r = ceil((n - 1) * 0.99::DOUBLE) + 1) SELECT fam, round(threshold, 9) AS threshold FROM t")
@@ -332,15 +332,15 @@ def m14(spark, d):
 @query("m15_stacked_forest")
 def m15(spark, d):
     x = labelled(spark, d).withColumn("meta", F.abs(F.col("l_quantity") - 25) / 25)
-    return models.with_probabilities(models.fit_forest(x, [*NUM, "meta"], "y", trees=6, depth=4), x).select(*KEYS, F.round(F.get("p", F.lit(1)), 6).alias("p"))
+    return models.with_probabilities(models.fit_forest(x, [*NUM, "meta"], "y"), x).select(*KEYS, F.round(F.get("p", F.lit(1)), 6).alias("p"))
 
 
 @query("m16_leave_one_out_training")
 def m16(spark, d):
-    x = labelled(spark, d).filter("l_linenumber = 1")
+    x = labelled(spark, d)
     out = []
     for k in (1.0, 2.0):  # held-out families
-        m = models.fit_forest(x.filter(F.col("k") != k), NUM, "y", trees=4, depth=3)
+        m = models.fit_forest(x.filter(F.col("k") != k), NUM, "y")
         out.append(models.with_probabilities(m, x.filter(F.col("k") == k)).groupBy(F.lit(k).alias("holdout")).agg(F.count("*").alias("n"), F.round(F.avg(F.get("p", F.lit(1))), 6).alias("mean_p")))
     return out[0].unionByName(out[1])
 
@@ -393,12 +393,12 @@ def m22(spark, d):
 
 @query("m24_tree_convergence")
 def m24(spark, d):
-    x = labelled(spark, d).filter("l_linenumber = 1")
-    full = models.fit_forest(x, NUM, "y", trees=12, depth=4)
+    x = labelled(spark, d)
+    full = models.fit_forest(x, NUM, "y")
     out = []
     whole = models.with_probabilities(full, x, "pf").select(*KEYS, "l_extendedprice", F.get("pf", F.lit(1)).alias("pf"))
-    for n in (3, 6):
-        p = models.with_probabilities(models.fit_forest(x, NUM, "y", trees=n, depth=4), x).select(*KEYS, "l_extendedprice", F.get("p", F.lit(1)).alias("p"))
+    for n in (50, 100):
+        p = models.with_probabilities(models.fit_forest(x, NUM, "y", trees=n), x).select(*KEYS, "l_extendedprice", F.get("p", F.lit(1)).alias("p"))
         out.append(p.join(whole, [*KEYS, "l_extendedprice"]).groupBy(F.lit(n).alias("trees")).agg(F.round(F.avg(F.abs(F.col("p") - F.col("pf"))), 6).alias("mean_delta")))
     return out[0].unionByName(out[1])
 
@@ -422,10 +422,10 @@ def m26(spark, d):
 
 @query("m28_paired_delta")
 def m28(spark, d):
-    x = labelled(spark, d).filter("l_linenumber = 1")
-    p = {n: models.with_probabilities(models.fit_forest(x, NUM, "y", trees=n, depth=4), x).select(*KEYS, "k", "l_extendedprice", F.get("p", F.lit(1)).alias(f"p{n}")) for n in (3, 9)}
-    j = p[3].join(p[9], [*KEYS, "k", "l_extendedprice"])
-    return j.groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg(F.col("p9") - F.col("p3")), 6).alias("delta"))
+    x = labelled(spark, d)
+    p = {n: models.with_probabilities(models.fit_forest(x, NUM, "y", trees=n), x).select(*KEYS, "k", "l_extendedprice", F.get("p", F.lit(1)).alias(f"p{n}")) for n in (50, 300)}
+    j = p[50].join(p[300], [*KEYS, "k", "l_extendedprice"])
+    return j.groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg(F.col("p300") - F.col("p50")), 6).alias("delta"))
 
 
 @query("m29_error_overlap", "WITH h AS (SELECT event_type = 'error' AS side, least(greatest(floor(value / 100 * 30), 0), 29) AS b, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT *, n / sum(n) OVER (PARTITION BY side) AS share FROM h), m AS (SELECT b, min(share) AS least, count(*) AS k FROM s GROUP BY b) SELECT round(coalesce(sum(least) FILTER (k = 2), 0), 6) AS overlap FROM m")
@@ -447,7 +447,7 @@ def m31(spark, d):
 @query("a53_importances")
 def a53(spark, d):
     x = labelled(spark, d)
-    return rounded(models.importances(models.fit_forest(x, NUM, "y", trees=6, depth=4), NUM, x), 6)
+    return rounded(models.importances(models.fit_forest(x, NUM, "y"), NUM, x), 6)
 
 
 @query("st12_drift", f"WITH {PE}, w AS (SELECT ts // {DAY} AS day, count(*) AS n, avg(wire) AS m FROM pe GROUP BY 1), l AS (SELECT day, n, m, lag(n) OVER (ORDER BY day) AS n0, lag(m) OVER (ORDER BY day) AS m0 FROM w) SELECT day, round(abs(m - m0), 4) AS delta, round(20000 * sqrt(ln(2 / 0.002::DOUBLE) / 2 * (1 / n + 1 / n0)), 4) AS bound, abs(m - m0) > 20000 * sqrt(ln(2 / 0.002::DOUBLE) / 2 * (1 / n + 1 / n0)) AS drift FROM l WHERE m0 IS NOT NULL")
