@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import between, blocks, let, running
+
 #: The template and the escapes, in the order in which they are written.
 OPEN, MIDDLE, END = "### ", ": ", "</turn>\n"
 ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"), (":", "\\c"), ("\n", "\\n"))
@@ -77,22 +79,18 @@ def format_chats(rows: DataFrame, trained_role: str = "assistant") -> DataFrame:
     b = a.select("conv_id", "turns", "shown", whole("shown").alias("once"))
     all_escaped = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("text")))
     c = b.select("conv_id", F.when(parse(F.col("once")) == F.col("turns"), F.col("shown")).otherwise(all_escaped).alias("shown"))
-    step = lambda acc, t: F.struct(
-        (acc["at"] + F.length(render_turn(t["role"], t["text"]))).alias("at"),
-        F.when(
-            t["role"] == trained_role,
-            F.array_append(acc["spans"], F.struct((acc["at"] + F.length(render_turn(t["role"], F.lit(""))) - len(END)).alias("start"), (acc["at"] + F.length(render_turn(t["role"], t["text"])) - len(END)).alias("end"))),
-        ).otherwise(acc["spans"]).alias("spans"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    d = c.select("conv_id", whole("shown").alias("formatted"), F.aggregate("shown", zero, step)["spans"].alias("loss_spans"))
+    size = lambda t, text: F.length(render_turn(t["role"], text))
+    step = lambda at, t: at + size(t, t["text"])
+    show = lambda at, t: F.struct((at + size(t, F.lit("")) - len(END)).alias("start"), (at + size(t, t["text"]) - len(END)).alias("end"), t["role"].alias("role"))
+    spans = F.filter(running(F.col("shown"), F.lit(0), step, show, "struct<start:int,end:int,role:string>"), lambda s: s["role"] == trained_role)
+    d = c.select("conv_id", whole("shown").alias("formatted"), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss_spans"))
     return d.select("conv_id", "formatted", "loss_spans", parse(F.col("formatted")).alias("turns"))
 
 
 def digest(chats: DataFrame) -> DataFrame:
     """The contract's digests, read back from the formatted text and its loss spans."""
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
+    loss = let(blocks(F.col("formatted")), lambda cut: F.array_join(F.transform("loss_spans", lambda s: unescape(between(cut, s["start"], s["end"]))), ""))
     c = chats.select("conv_id", "turns", "formatted", turns.alias("all"), loss.alias("loss"))
     return c.select(
         "conv_id",

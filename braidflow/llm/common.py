@@ -63,3 +63,53 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     if n <= bound:
         return df
     return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, even where ``use`` names it inside other lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(items: Column, zero: Column, step, show, kind: str) -> Column:
+    """``show(state before, item)`` (of type ``kind``) for every item of an array, with ``state = step(state, item)`` carried from item to item.
+
+    Appending to one array copies it each time, so the result is built in blocks of about the root of the array's
+    length: n items cost n * sqrt(n) copied references, with no other growth.
+    """
+    block = f"array<{kind}>"
+
+    def one(acc: Column, x: Column) -> Column:
+        return F.struct(step(acc["state"], x).alias("state"), F.array_append(acc["out"], show(acc["state"], x)).alias("out"))
+
+    def over(bound: Column) -> Column:
+        all_, size = bound["items"], bound["size"]
+
+        def chunk(acc: Column, k: Column) -> Column:
+            empty = F.array().cast(block)
+            done = F.aggregate(F.slice(all_, k * size + 1, size), F.struct(acc["state"].alias("state"), empty.alias("out")), one)
+            return let(done, lambda d: F.struct(d["state"].alias("state"), F.array_append(acc["out"], d["out"]).alias("out")))
+
+        chunks = F.sequence(F.lit(0), F.ceil(F.size(all_) / size).cast("int") - 1)
+        whole = F.aggregate(chunks, F.struct(zero.alias("state"), F.array().cast(f"array<{block}>").alias("out")), chunk)
+        return F.when(F.size(all_) > 0, F.flatten(whole["out"])).otherwise(F.array().cast(block))
+
+    size = lambda items: F.greatest(F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int"), F.lit(1))
+    return let(items, lambda i: let(F.struct(i.alias("items"), size(i).alias("size")), over))
+
+
+#: Code points in a block of :func:`blocks`.
+BLOCK = 4096
+
+
+def blocks(text: Column) -> Column:
+    """The text cut after every :data:`BLOCK` code points, so that a place in it is found without counting from its begin."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def between(cut: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (exclusive, 0-based) of a text given by its :func:`blocks`."""
+    at = lambda i: F.coalesce(F.get(cut, i), F.lit(""))
+    first, last = (start / BLOCK).cast("int"), (end / BLOCK).cast("int")
+    a, b = start % BLOCK, end % BLOCK
+    inner = F.array_join(F.slice(cut, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(first == last, F.substring(at(first), a + 1, b - a)).otherwise(F.concat(F.substring(at(first), a + 1, F.lit(BLOCK)), inner, F.substring(at(last), F.lit(1), b)))

@@ -10,7 +10,9 @@ Texts are read once, candidates are written as a narrow table, and only the coun
 Defined results: null text counts as empty; no candidates gives empty spans; repeated rows get equal results.
 
 Positions come from the gaps between matches, so they count code points. Patterns use possessive quantifiers and begin
-only where a run begins (or where the last match ended), so that long runs cost linear time.
+only where a run begins (or where the last match ended), so that long runs cost linear time. What is carried from match
+to match is built in blocks, and text is cut in blocks before it is masked, so that texts of many matches take n * sqrt(n)
+light steps at most.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import between, blocks, let, running, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -64,18 +66,21 @@ def _luhn(digits: Column) -> Column:
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """``start, end, s`` of all matches, in order."""
-    gaps = F.split(text, pattern, -1)
-    pieces = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, k: F.struct(m.alias("m"), k.alias("k")))
-    empty = F.array().cast("array<struct<start:int,end:int,s:string>>")
+    """``start, end, s`` of all matches, in order, and ``before``: the :data:`CONTEXT` code points in front of each."""
+    matched = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = lambda gaps: F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), matched, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    tail = lambda *parts: F.right(F.concat(*parts), F.lit(CONTEXT))
+    start = lambda acc, x: acc["at"] + F.length(x["g"])
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(F.get(acc["gaps"], x["k"]))
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), acc["gaps"].alias("gaps"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("s"))).alias("out"))
+        return F.struct((start(acc, x) + F.length(x["m"])).alias("at"), tail(acc["tail"], x["g"], x["m"]).alias("tail"))
 
-    zero = F.struct(F.lit(0).alias("at"), gaps.alias("gaps"), empty.alias("out"))
-    return F.aggregate(pieces, zero, step)["out"]
+    def show(acc: Column, x: Column) -> Column:
+        begin = start(acc, x)
+        return F.struct(begin.alias("start"), (begin + F.length(x["m"])).alias("end"), x["m"].alias("s"), tail(acc["tail"], x["g"]).alias("before"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+    return running(let(F.split(text, pattern, -1), pieces), zero, step, show, "struct<start:int,end:int,s:string,before:string>")
 
 
 def _digits(s: Column) -> Column:
@@ -91,7 +96,7 @@ def _candidates(text: Column, kind: str, pattern: str, gate: Column, valid, know
     """Candidates of one pattern with their votes and shape; ``own``: valid ones belong to the base."""
 
     def judged(x: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT))))
+        before = F.translate(x["before"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
         votes = F.concat(_vote(valid(x["s"])), known(x["s"], before), _vote(F.rlike(before, F.lit(FOR[kind])), F.rlike(before, F.lit(AGAINST[kind]))))
         size = F.floor(F.log2(F.length(x["s"]).cast("double"))).cast("int")
         shape = F.concat(size.cast("string"), F.when(F.rlike(before, F.lit(r"\w$")), "w").otherwise("b"))
@@ -192,8 +197,23 @@ def with_spans(found: DataFrame, weights: dict[str, float], least: float = math.
         return b.withColumn("spans", F.col("base"))
     more = F.transform(F.filter("found", lambda x: ~x["base"] & (_score(x, weights) >= least)), plain)
     b = b.withColumn("more", more)
-    free = F.filter("more", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return b.withColumn("spans", F.when(F.size("more") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", free)))).drop("more")
+    spans = F.when(F.size("more") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", F.when(F.size("base") == 0, F.col("more")).otherwise(_apart(F.col("more"), F.col("base"))))))
+    return b.withColumn("spans", spans).drop("more")
+
+
+def _apart(more: Column, base: Column) -> Column:
+    """The spans of ``more`` that no span of ``base`` overlaps: two runs over all spans in order of their places."""
+    placed = lambda spans, own: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(own).alias("own")))
+    ordered = F.array_sort(F.concat(placed(base, True), placed(more, False)))
+    fields = "start:int,end:int,kind:int,own:boolean"
+    reach = running(
+        ordered, F.lit(0), lambda at, s: F.when(s["own"], F.greatest(at, s["end"])).otherwise(at), lambda at, s: F.struct(s["start"], s["end"], s["kind"], s["own"], at.alias("reach")), f"struct<{fields},reach:int>"
+    )
+    after = running(
+        F.reverse(reach), F.lit(2**31 - 1), lambda at, s: F.when(s["own"], F.least(at, s["start"])).otherwise(at), lambda at, s: F.struct(s["start"], s["end"], s["kind"], s["own"], s["reach"], at.alias("next")), f"struct<{fields},reach:int,next:int>"
+    )
+    free = F.filter(after, lambda s: ~s["own"] & (s["reach"] <= s["start"]) & (s["next"] >= s["end"]))
+    return F.transform(free, lambda s: F.struct(s["kind"], s["start"], s["end"]))
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -217,15 +237,18 @@ def masked(text: Column, spans: Column) -> Column:
     """``text`` with each span (overlapping ones as one) replaced by its kind's name in angle brackets."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, zero, step, end)).otherwise(text)
+    placed = running(
+        ordered, F.lit(0), lambda at, s: F.greatest(at, s["end"]), lambda at, s: F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind")), "struct<at:int,start:int,kind:int>"
+    )
+    end = F.aggregate(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+
+    def parts(b: Column) -> Column:
+        cut = b["cut"]
+        new = F.transform(F.filter(placed, lambda s: s["start"] >= s["at"]), lambda s: F.concat(between(cut, s["at"], s["start"]), F.get(names, s["kind"])))
+        return F.concat(F.array_join(new, ""), between(cut, b["end"], b["size"]))
+
+    bound = F.struct(blocks(text).alias("cut"), end.alias("end"), F.length(text).alias("size"))
+    return F.when(F.size(spans) > 0, let(bound, parts)).otherwise(text)
 
 
 def mask(docs: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import re
 import sys
 import textwrap
+import time
 
 import numpy as np
 import public_tokenizers
@@ -485,3 +486,27 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     labels = {r["doc_id"]: r["quality"] for r in table(spark, sf_dir, "labels").collect()}
     assert sum(labels.get(k) == 1 for k in kept["quality_classifier"]) >= 0.98 * sum(v == 1 for v in labels.values())
     assert sys.getsizeof(kept) > 0
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    n = 80_000
+    text = " ".join(f"user{k}@ex.com" for k in range(n)) + " call (743) 555-3824 now"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = pii.digest(pii.detect(docs)).first()
+    want = base_spans(text)
+    assert r["n_email"] == n and r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+    masked = pii.mask(docs).first()["text"]
+    assert masked.startswith("<EMAIL> <EMAIL> ") and masked.count("<EMAIL>") == n and masked.endswith(" now")
+    chat = spark.range(20_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('### hello ', id) as text")
+    r = chat_format.digest(chat_format.format_chats(chat)).first()
+    said = "".join(f"### hello {k}" for k in range(1, 20_000, 2))
+    assert r["n_turns"] == 20_000 and r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert time.time() - began < 120
+
+
+def test_pii_spans_added_apart_from_base(spark):
+    base, more = [(2, 5), (10, 20), (30, 31)], [(0, 2), (4, 6), (5, 10), (12, 13), (8, 40), (31, 33), (20, 30), (10, 20)]
+    rows = spark.createDataFrame([([(0, *b) for b in base], [(4, *m) for m in more])], "base array<struct<kind:int,start:int,end:int>>, more array<struct<kind:int,start:int,end:int>>")
+    got = rows.select(pii._apart(F.col("more"), F.col("base")).alias("a")).first()["a"]
+    assert sorted((s["start"], s["end"]) for s in got) == sorted(m for m in more if not any(b[0] < m[1] and m[0] < b[1] for b in base))
