@@ -1,12 +1,15 @@
 """Main text of web pages by composite text density.
 
-Every block node of a page's DOM gets a link-adjusted density of characters per tag. The node whose children have the
-greatest density sum holds the article; the least density on its way up to the body is the threshold that other parts
-of the page must reach to count as text. Menus, forms and the like are recognised by tag, role, class or id and do not
-count; what only its name (a class or id of nothing but such words) or a ``form`` tag speaks against is left to the densities where it
-holds an ``article`` or ``main`` or, on a page with neither, most of the text outside links.
+Every node of a page's DOM gets a link-adjusted density of characters per tag. A block's density sum is that of its child
+blocks and of the text between them; the block with the greatest sum holds the article. The least density on the path
+from it up to the body is the threshold that other parts of the page, beside that path, must reach to count as text too.
+What the contract names (menus, headers, footers, sidebars, notices, adverts, forms, comments) is recognised by tag,
+role, class or id and taken out before densities are made; what only its name (a class or id of nothing but such words)
+or a ``form`` tag speaks against is left to the densities where it holds an ``article`` or ``main`` or, on a page with
+neither, most of the text outside links. No tag or name puts anything into the text: that is the densities' choice.
 
-Pages are independent rows: no shuffle, and memory is that of one page.
+Pages are independent rows: no shuffle, and memory is that of one page. Elements nested deeper than :data:`MOST_DEPTH`
+count as part of the element around them (as browsers treat them), so that broken markup costs linear time.
 Defined results: null or empty html, or a page with nothing but boilerplate, gives an empty text; unclosed and cut-off
 markup is closed at the end; repeated rows give repeated results.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -42,6 +46,7 @@ OUTER_WORDS = frozenset("header head top topbar".split())
 IN_HEAD = frozenset("html head base link meta script style title noscript template".split())
 #: Their ids are slugs of titles inside an article.
 TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl table tbody thead tfoot".split())
 CLOSES_P = BLOCK - {"body", "html"}
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -49,13 +54,17 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?
 ATTRIBUTE = re.compile(r"""([^\s=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
 
 NAME = re.compile(r"[a-z]+")
+RAW_END = {tag: re.compile(f"</{tag}(?![a-z0-9-])[^>]*>?", re.I) for tag in RAW}
+MOST_DEPTH = 512
 
 
 class Node:
-    __slots__ = ("chars", "dropped", "link_chars", "link_tags", "named", "parent", "tag", "tags", "until")
+    """An element; the counts are its own at first, and those of its whole subtree after :func:`densities`."""
+
+    __slots__ = ("block", "chars", "dropped", "link_chars", "link_tags", "named", "parent", "tag", "tags", "until")
 
     def __init__(self, tag: str, parent: int, dropped: bool, named: bool = False):
-        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
+        self.tag, self.parent, self.dropped, self.named, self.block = tag, parent, dropped, named, tag in BLOCK
         self.chars = self.tags = self.link_chars = self.link_tags = self.until = 0
 
 
@@ -94,21 +103,31 @@ def settle(nodes: list[Node], articles: set[int]) -> None:
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
-    """Block nodes in document order, and the texts with the number of their node; None stands for a block's edge."""
+    """Nodes in document order, and the texts with the number of their node; None stands for a block's edge."""
     nodes = [Node("body", -1, False)]
     items: list[tuple[int, str | None]] = []
-    open_: list[tuple[str, int]] = [("body", 0)]  # every open element, with the block node it belongs to
+    open_: list[tuple[str, int]] = [("body", 0)]  # every open element with its node
+    count: Counter = Counter()  # how many of a tag are open
+    deeper: Counter = Counter()  # and how many were too deep to be opened
     holders: set[int] = set()
-    at, end, links, articles, low = 0, len(html), 0, 0, html.lower()
+    at, end = 0, len(html)
 
     def close(to: int) -> None:
-        nonlocal links, articles
         while len(open_) > to:
             tag, _ = open_.pop()
-            links -= tag == "a"
-            articles -= tag in ("article", "main")
+            count[tag] -= 1
             if tag in BLOCK:
-                items.append((open_[-1][1] if open_ else 0, None))
+                items.append((open_[-1][1], None))
+
+    def close_last(tags: set[str], stops: frozenset[str]) -> None:
+        """Closes the innermost open element of ``tags``, unless one of ``stops`` lies within it."""
+        if any(count[t] for t in tags):
+            for k in range(len(open_) - 1, 0, -1):
+                if open_[k][0] in tags:
+                    close(k)
+                    return
+                if open_[k][0] in stops:
+                    return
 
     def add(text: str) -> None:
         if open_[-1][0] == "head" and text.strip():
@@ -120,7 +139,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         items.append((node, text))
         n = len(" ".join(text.split()))
         nodes[node].chars += n
-        if links:
+        if count["a"]:
             nodes[node].link_chars += n
 
     while at < end:
@@ -139,63 +158,65 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         if not tag:
             continue
         if closing:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == tag:
-                    close(k)
-                    break
+            if deeper[tag]:
+                deeper[tag] -= 1
+            else:
+                close_last({tag}, frozenset())
             continue
         if tag not in IN_HEAD and open_[-1][0] == "head":
             close(len(open_) - 1)
         if tag in ("html", "body"):
             continue
         if tag in RAW:
-            stop = low.find("</" + tag, at)
-            at = end if stop < 0 else stop
-            if stop >= 0:
-                at = html.find(">", stop) + 1 or end
+            stop = RAW_END[tag].search(html, at)
+            at = stop.end() if stop else end
             continue
-        node = open_[-1][1]
         if tag in CLOSES_P:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == "p":
-                    close(k)
-                    break
-                if open_[k][0] in BLOCK:
-                    break
-        for k in range(len(open_) - 1, 0, -1) if tag in SAME_LEVEL else ():
-            if open_[k][0] in SAME_LEVEL[tag]:
-                close(k)
-                break
-            if open_[k][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot"):
-                break
-        node = open_[-1][1]
-        dropped = nodes[node].dropped
+            close_last({"p"}, BLOCK)
+        if tag in SAME_LEVEL:
+            close_last(SAME_LEVEL[tag], LISTS)
+        parent = open_[-1][1]
+        dropped = nodes[parent].dropped
         if not dropped:
-            nodes[node].tags += 1
-            nodes[node].link_tags += tag == "a"
+            nodes[parent].tags += 1
+            nodes[parent].link_tags += tag == "a"
         if tag == "br":
-            items.append((node, " "))
+            items.append((parent, " "))
         if tag in VOID:
             if tag == "hr":
-                items.append((node, None))
+                items.append((parent, None))
             continue
-        bad, named = (True, False) if dropped else is_boilerplate(tag, m.group(3), articles > 0)
-        if tag in BLOCK or bad != dropped:
-            nodes.append(Node(tag, node, bad and not named, named))
-            node = len(nodes) - 1
+        if len(open_) > MOST_DEPTH:
+            deeper[tag] += 1
+            if tag in BLOCK:
+                items.append((parent, None))
+            continue
+        bad, named = (True, False) if dropped else is_boilerplate(tag, m.group(3), count["article"] + count["main"] > 0)
+        nodes.append(Node(tag, parent, bad and not named, named))
+        node = len(nodes) - 1
+        if tag in BLOCK:
             items.append((node, None))
-            if tag in ("article", "main"):
-                holders.add(node)
-        links += tag == "a"
-        articles += tag in ("article", "main")
+        if tag in ("article", "main"):
+            holders.add(node)
+        count[tag] += 1
         open_.append((tag, node))
     close(1)
     settle(nodes, holders)
     return nodes, items
 
 
+def _composite(chars: int, tags: int, link_chars: int, link_tags: int, page_share: float) -> float:
+    """Characters per tag, less for link text; ``page_share`` is the share of link text in the body."""
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + page_share * chars + math.e)
+    ratio = chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1)
+    return chars / max(tags, 1) * math.log(max(ratio, 1.0)) / math.log(1 + base)
+
+
 def densities(nodes: list[Node]) -> tuple[list[float], list[float]]:
-    """Composite density of every node, and the sum of its children's."""
+    """Composite density of every node, and every block's sum of those of its child blocks and of its text between them."""
+    inline = [[x.chars, x.tags, x.link_chars, x.link_tags] for x in nodes]  # of the text outside child blocks
     for k in range(len(nodes) - 1, -1, -1):
         x = nodes[k]
         x.until = max(x.until, k + 1)
@@ -204,16 +225,17 @@ def densities(nodes: list[Node]) -> tuple[list[float], list[float]]:
             p.until = max(p.until, x.until)
             if not x.dropped:
                 p.chars, p.tags, p.link_chars, p.link_tags = p.chars + x.chars, p.tags + x.tags, p.link_chars + x.link_chars, p.link_tags + x.link_tags
-    body, own, total = nodes[0], [0.0] * len(nodes), [0.0] * len(nodes)
-    share = body.link_chars / max(body.chars, 1)
-    for k, x in enumerate(nodes):
-        if x.dropped or not x.chars:
-            continue
-        base = math.log(x.chars / max(x.chars - x.link_chars, 1) * x.link_chars + share * x.chars + math.e)
-        ratio = x.chars / max(x.link_chars, 1) * max(x.tags, 1) / max(x.link_tags, 1)
-        own[k] = x.chars / max(x.tags, 1) * math.log(max(ratio, 1.0)) / math.log(1 + base)
-        if k:
-            total[x.parent] += own[k]
+                if not x.block:
+                    inline[x.parent] = [a + b for a, b in zip(inline[x.parent], inline[k], strict=True)]
+    share = nodes[0].link_chars / max(nodes[0].chars, 1)
+    own = [0.0 if x.dropped else _composite(x.chars, x.tags, x.link_chars, x.link_tags, share) for x in nodes]
+    total = [0.0 if x.dropped or not x.block else _composite(*i, share) for x, i in zip(nodes, inline, strict=True)]
+    holder = [0] * len(nodes)  # the nearest block around a node
+    for k in range(1, len(nodes)):
+        parent = nodes[k].parent
+        holder[k] = parent if nodes[parent].block else holder[parent]
+        if nodes[k].block:
+            total[holder[k]] += own[k]
     return own, total
 
 
@@ -225,26 +247,22 @@ def main_text(html: str | None) -> str:
     own, total = densities(nodes)
     if not nodes[0].chars:
         return ""
-    best = max(range(len(nodes)), key=lambda k: (total[k], -k))
-    least, k, top = own[best], best, best
+    best = max(range(len(nodes)), key=lambda k: (total[k], k))
+    least, k = own[best], best
     while k:
         k = nodes[k].parent
         least = min(least, own[k])
-        if nodes[k].tag in ("article", "main"):
-            top = k  # the heading beside the paragraphs belongs to the article
     children: dict[int, list[int]] = {}
     for k in range(1, len(nodes)):
         children.setdefault(nodes[k].parent, []).append(k)
-    chosen, stack = [], [0]
+    inside = [False] * len(nodes)
+    stack = [0]
     while stack:
         k = stack.pop()
-        if k != top and k < top < nodes[k].until:  # on the way to the article: look at each child
+        if k < best < nodes[k].until:  # on the path to the article: look at each child
             stack += children[k]
-        elif k == top or own[k] >= least > 0 and not nodes[k].dropped:
-            chosen.append((k, nodes[k].until))
-    inside = [False] * len(nodes)
-    for a, b in chosen:
-        inside[a:b] = [True] * (b - a)
+        elif k == best or own[k] >= least > 0 and not nodes[k].dropped:
+            inside[k : nodes[k].until] = [True] * (nodes[k].until - k)
     blocks, part = [], []
     for k, text in [*items, (0, None)]:
         if text is None:
