@@ -34,11 +34,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, with a lineage that ends at the files."""
+    """``df`` as a Parquet table in the shared folder: computed once, with a lineage that ends at the files.
+
+    All tables of an application lie in one folder, which :func:`sweep` deletes.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/braidflow/{label}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/braidflow/{spark.sparkContext.applicationId}"
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a table that :func:`written` made and that nothing reads any more."""
+    _delete(table.sparkSession, table.written_to)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what this application's operators have written; call it when their results have been saved."""
+    _delete(spark, _run_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def words(text: Column) -> Column:
@@ -57,6 +81,11 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
+def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``rows`` rows (counted); else as it is, for a shuffle."""
+    return F.broadcast(df) if small_enough(df, rows) else df
+
+
 def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     """A deterministic sample of about ``bound`` rows (all rows where there are fewer), chosen by a hash of ``key``."""
     n = df.count()
