@@ -20,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 BITS = 15
 BUCKETS = 1 << BITS
 MOST_CELLS = 64 << 20
 BLOCK_CHARS = 500_000
+CELLS_AT_ONCE = 8 << 20
+STILL = 1e-3
 
 
 @cache
@@ -38,27 +42,27 @@ def _codes(texts: list[str]) -> np.ndarray:
     return np.where(_letters()[c], c, 0)
 
 
-def _grams(c: np.ndarray) -> np.ndarray:
-    """Bucket of the 3-gram around each inner position."""
+def _grams(c: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Bucket (of ``bits`` bits) of the 3-gram around each inner position."""
     h = c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA77) ^ c[2:] * np.uint32(0xC2B2AE3D)
     h ^= h >> np.uint32(15)
-    return (h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)
+    return (h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - bits)
 
 
-def _blocks(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
-    """(row, piece) lists of about BLOCK_CHARS characters; long texts are cut between words."""
+def _blocks(texts: list[str], chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """(row, piece) lists of about ``chars`` characters; long texts are cut between words."""
     out: list[tuple[int, str]] = []
     size = 0
     for row, t in enumerate(texts):
         at = 0
         while at < len(t) or at == 0:
-            end = at + BLOCK_CHARS
+            end = at + chars
             if end < len(t) and (space := t.rfind(" ", at + 1, end)) > 0:
                 end = space
             out.append((row, t[at:end]))
             size += min(end, len(t)) - at + 1
             at = max(end, 1)
-            if size >= BLOCK_CHARS:
+            if size >= chars:
                 yield out
                 out, size = [], 0
     if out:
@@ -89,12 +93,16 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Language names and log probabilities (buckets x languages)."""
-    counts = count_grams(docs, text, lang).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c"))  # at most BUCKETS entries for a language
-    rows = sorted(counts.limit(MOST_CELLS // BUCKETS + 1).collect(), key=lambda r: r["lang"])
-    if len(rows) > MOST_CELLS // BUCKETS:
-        raise ValueError("too many languages for a broadcast model")
-    table = np.zeros((BUCKETS, len(rows)))
+    """Language names and log probabilities (buckets x languages).
+
+    With over 2048 languages, neighbouring buckets share a row, so that the table stays within :data:`MOST_CELLS`.
+    """
+    counts = written(count_grams(docs, text, lang), "grams")
+    shared = max((counts.select("lang").distinct().count() * BUCKETS - 1) // MOST_CELLS, 0).bit_length()
+    counts = counts.groupBy("lang", F.shiftright("bucket", shared).alias("bucket")).agg(F.sum("n").alias("n"))
+    counts = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c"))  # at most MOST_CELLS entries in all
+    rows = sorted(counts.collect(), key=lambda r: r["lang"])
+    table = np.zeros((max(BUCKETS >> shared, 1), len(rows)))
     for k, r in enumerate(rows):
         c = np.array(r["c"], dtype=np.int64).reshape(-1, 2)
         table[c[:, 0], k] = c[:, 1]
@@ -102,23 +110,45 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
     return [r["lang"] for r in rows], logp.astype(np.float32)
 
 
+def _chars(languages: int) -> int:
+    """Characters that are scored at once: the fewer, the more languages there are."""
+    return min(BLOCK_CHARS, max(CELLS_AT_ONCE // max(languages, 1), 4096))
+
+
 def _word_scores(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log likelihoods of all words (words x languages), and the number of words of each text."""
     scores, counts = [np.zeros((0, logp.shape[1]), np.float32)], np.zeros(len(texts), np.int64)
-    for block in _blocks(texts):
+    bits = int(logp.shape[0]).bit_length() - 1
+    for block in _blocks(texts, _chars(logp.shape[1])):
         c = _codes([t for _, t in block])
         inner = c[1:-1] > 0
         if not inner.any():
             continue
         starts = np.flatnonzero(inner & (c[:-2] == 0))
-        part = np.where(inner[:, None], logp[_grams(c)], np.float32(0))
+        part = np.where(inner[:, None], logp[_grams(c, bits)], np.float32(0))
         scores.append(np.add.reduceat(part, starts, axis=0))
         bounds = np.cumsum([len(t.lower()) + 1 for _, t in block])
         np.add.at(counts, np.array([r for r, _ in block])[np.searchsorted(bounds, starts, side="right")], 1)
     return np.concatenate(scores), counts
 
 
-def mixtures(scores: np.ndarray, counts: np.ndarray, rounds: int = 12, penalty: float = 1.0) -> np.ndarray:
+def _settle(like: np.ndarray, share: np.ndarray, of: np.ndarray, starts: np.ndarray, size: np.ndarray, rounds: int) -> None:
+    """Expectation-maximisation in place, until no share of a text moves by :data:`STILL`; settled texts leave the rounds."""
+    left = np.arange(len(size))
+    for k in range(rounds):
+        r = like * share[left][of]
+        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
+        new = np.add.reduceat(r, starts, axis=0) / size[:, None]
+        moving = np.abs(new - share[left]).max(axis=1) > STILL
+        share[left] = new
+        if not moving.any():
+            return
+        if k % 4 == 3 and 2 * moving.sum() < len(left):
+            like, left, size = like[moving[of]], left[moving], size[moving]
+            of, starts = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+
+
+def mixtures(scores: np.ndarray, counts: np.ndarray, rounds: int = 200, penalty: float = 1.0) -> np.ndarray:
     """Proportions (texts x languages) of the language set that penalised likelihood selects for each text."""
     n, k = len(counts), scores.shape[1]
     used = counts > 0
@@ -133,10 +163,7 @@ def mixtures(scores: np.ndarray, counts: np.ndarray, rounds: int = 12, penalty:
     chosen = np.zeros((len(size), k))
     for left in range(k, 0, -1):
         share = allowed / allowed.sum(axis=1, keepdims=True)
-        for _ in range(rounds if left > 1 else 1):
-            r = like * share[of]
-            r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
-            share = np.add.reduceat(r, starts, axis=0) / size[:, None]
+        _settle(like, share, of, starts, size, rounds if left > 1 else 1)
         fit_ = np.add.reduceat(np.log(np.maximum((like * share[of]).sum(axis=1), 1e-300)), starts)
         worth = fit_ - penalty * (left - 1) * np.log(size + 1)
         better = worth > best
@@ -172,7 +199,7 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray, key: str = "doc
                 for t in texts:
                     group.append(t)
                     size += len(t)
-                    if size > BLOCK_CHARS:
+                    if size > _chars(len(shared.value[0])):
                         found += rows(group)
                         group, size = [], 0
                 found += rows(group) if group else []
