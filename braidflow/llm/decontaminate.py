@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import row_key, small_enough, written
+from .common import broadcast_if, row_key, small_enough, written
 
 WINDOW = 13
 #: All but letters and digits of ASCII separates words; other characters belong to words.
@@ -69,8 +69,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
         hits = tokens.join(F.broadcast(by_word), F.col("word") == F.col("anchor")).select(key, "row", "w", "pos", F.explode("wins").alias("c"))
     else:  # the words' arrays stay out of this shuffle
         near = tokens.select(key, "row", "pos", "word").join(side, F.col("word") == F.col("anchor")).select(key, "row", "pos", F.struct("place", "item_id", "words").alias("c"))
-        whole = rows.dropDuplicates([key, "row"]).select(F.col(key).alias("_k"), F.col("row").alias("_r"), "w")
-        hits = near.join(whole, F.col(key).eqNullSafe(F.col("_k")) & (F.col("row") == F.col("_r")))
+        near = written(near.distinct(), "near").select(F.col(key).alias("_k"), F.col("row").alias("_r"), "pos", "c")
+        hits = rows.join(broadcast_if(near, BROADCAST_ROWS), F.col(key).eqNullSafe(F.col("_k")) & (F.col("row") == F.col("_r"))).drop("_k", "_r")
     at, size = F.col("pos") - F.col("c.place"), F.size("c.words")
     roomy = hits.filter((at >= 0) & (at + size <= F.size("w")))
     same = F.transform(F.slice("w", at + 1, size), lower_ascii) == F.col("c.words")

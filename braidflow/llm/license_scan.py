@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import row_key, small_enough
+from .common import broadcast_if, row_key
 
 LEAST = 0.8
 
@@ -110,17 +110,15 @@ def template_bigrams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
 def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, row, line, license, dice``: every line with its best template of at least ``least``."""
     grams = template_bigrams(docs.sparkSession, templates)
-    sizes = [r["q"] for r in grams.select("template", "q").distinct().limit(MOST_BIGRAMS).collect()]
-    if not small_enough(grams, MOST_BIGRAMS):
-        raise ValueError("too many templates to broadcast")
-    low, high = min(sizes, default=1) * least / (2 - least), max(sizes, default=0) * (2 - least) / least
+    bounds = grams.agg(F.min("q"), F.max("q")).first()
+    low, high = (bounds[0] or 1) * least / (2 - least), (bounds[1] or 0) * (2 - least) / least
     lines = docs.select(F.col(key), row_key(F.col(text)).alias("row"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line", "s"))
     # generators of one row keep the filters above them: pushed below, they would make each array once more
     one = lambda **c: F.inline(F.array(F.struct(*[v.alias(k) for k, v in c.items()])))
     norm = F.split(normalised(F.col("s")), " ", -1)
     words = lines.filter(F.length("s") >= low).select(key, "row", "line", one(w=norm)).filter(F.size("w") >= low)  # there are no more bigrams than words
     sized = words.select(key, "row", "line", bigrams(F.col("w")).alias("g")).select(key, "row", "line", one(g=F.col("g"), p=F.size("g"))).filter((F.col("p") >= low) & (F.col("p") <= high))
-    pairs = sized.select(key, "row", "line", "p", F.explode("g").alias("gram")).join(F.broadcast(grams), "gram")
+    pairs = sized.select(key, "row", "line", "p", F.explode("g").alias("gram")).join(broadcast_if(grams, MOST_BIGRAMS), "gram")
     pairs = pairs.filter((F.col("p") * (2 - least) >= F.col("q") * least) & (F.col("p") * least <= F.col("q") * (2 - least)))
     scored = pairs.groupBy(key, "row", "line", "template", "license", "p", "q").agg(F.count("*").alias("both"))
     scored = scored.withColumn("dice", 2 * F.col("both") / (F.col("p") + F.col("q"))).filter(F.col("dice") >= least)
