@@ -1,6 +1,7 @@
 """The text operators against brute-force versions, the vocabulary file's own library, and held-out labels."""
 
 import hashlib
+import html
 import re
 import sys
 import textwrap
@@ -209,14 +210,39 @@ def test_pii_finds_secrets_and_masks(spark):
 # op6
 
 
+def article_of(page):
+    inner = re.search(r"<article>(.*?)</article>", page, re.S).group(1)
+    blocks = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n".join(filter(None, blocks))
+
+
 def test_html_article_text(spark):
-    pages = table(spark, "/root/testdata/sf0.01", "pages").collect()
-    import html
+    for p in table(spark, "/root/testdata/sf0.01", "pages").collect():
+        assert html_text.main_text(p["html"]) == article_of(p["html"]), p["page_id"]
+        without = re.sub("</?article>", lambda m: m.group().replace("article", "div"), p["html"])
+        assert html_text.main_text(without) == article_of(p["html"]), p["page_id"]
+
+
+def test_html_densities_choose_the_text(spark, monkeypatch):
+    pages = [r["html"] for r in table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    rng, densities = np.random.default_rng(1), html_text.densities
+    monkeypatch.setattr(html_text, "densities", lambda nodes: [(x > 0) * rng.random(len(nodes)) for x in map(np.array, densities(nodes))])
+    assert sum(html_text.main_text(p) != article_of(p) for p in pages) > len(pages) / 2
+
 
-    for p in pages:
-        inner = re.search(r"<article>(.*?)</article>", p["html"], re.S).group(1)
-        blocks = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
-        assert html_text.main_text(p["html"]) == "\n".join(filter(None, blocks)), p["page_id"]
+def test_html_page_without_semantic_names():
+    part = "The river rose in spring, and the old mill at the bend stood still for many weeks until the water fell again. " * 2
+    menu = "".join(f"<div><a href='/{k}'>Menu entry {k}</a></div>" for k in range(20))
+    page = f"<body><div>{menu}</div><div><div>Title of it all</div><div>{part}</div><div>{part}<a href=x>more</a></div><div>{part}</div></div><div><a href=1>About</a> <a href=2>Imprint</a></div></body>"
+    assert html_text.main_text(page) == "\n".join(["Title of it all", part.strip(), part + "more", part.strip()])
+
+
+def test_html_positions_and_broken_markup_in_linear_time():
+    assert html_text.main_text("İ" * 50 + "<script>var a</SCRIPT ><p>hello there this is text</p><p>second paragraph</p>") == "İ" * 50 + "\nhello there this is text\nsecond paragraph"
+    n, began = 50_000, time.time()
+    assert html_text.main_text("<div>" * n + "x" + "</span>" * n + "</div>" * n) == "x"
+    assert html_text.main_text("<p>" + "<b>" * n + "<td>" * n + "<li>x" * n + "</i>" * n).count("x") == n
+    assert time.time() - began < 20
 
 
 def test_html_boilerplate_and_broken_markup(spark):
@@ -510,3 +536,68 @@ def test_pii_spans_added_apart_from_base(spark):
     rows = spark.createDataFrame([([(0, *b) for b in base], [(4, *m) for m in more])], "base array<struct<kind:int,start:int,end:int>>, more array<struct<kind:int,start:int,end:int>>")
     got = rows.select(pii._apart(F.col("more"), F.col("base")).alias("a")).first()["a"]
     assert sorted((s["start"], s["end"]) for s in got) == sorted(m for m in more if not any(b[0] < m[1] and m[0] < b[1] for b in base))
+
+
+def test_simhash_hands_large_groups_on(spark, monkeypatch):
+    """Groups beyond the limit are traversed by shuffles, with the same components."""
+    rng = np.random.default_rng(7)
+    centre, fps = int(rng.integers(0, 2**64, dtype=np.uint64)), set()
+    for _ in range(700):
+        x = centre
+        for k in rng.choice(64, rng.integers(0, 9), replace=False):
+            x ^= 1 << int(k)
+        fps.add(x)
+    rows = dict(enumerate(sorted(fps, key=lambda x: x * 2654435761 % 2**61)))
+    df = spark.createDataFrame([(x - 2**64 if x >> 63 else x, k) for k, x in rows.items()], "fp long, node long")
+    for most, at_once in ((20, 16), (1, 1), (10**6, 1 << 16)):
+        monkeypatch.setattr(simhash, "MOST_IN_TASK", most)
+        monkeypatch.setattr(simhash, "ROWS_AT_ONCE", at_once)
+        found = {r["u"]: r["v"] for r in simhash.components(simhash.links(df)).collect()}
+        assert {k: found.get(k, k) for k in rows} == slow_components(rows), most
+
+
+def test_trie_links_equal_brute_force():
+    rng = np.random.default_rng(11)
+    fps = np.unique(np.concatenate([rng.integers(0, 2**64, 50, dtype=np.uint64), np.uint64(0xABCDEF) ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64))]))
+    n = len(fps)
+    none = lambda a0, a1, b0, b1: np.zeros(len(a0), bool)
+    got = {(int(i), int(j)) for x, y in simhash.trie_links(fps, np.array([[0], [n], [0], [n]]), none) for i, j in zip(x, y, strict=True)}
+    assert {tuple(sorted(p)) for p in got} == {(i, j) for i in range(n) for j in range(i + 1, n) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3}
+
+
+def test_language_id_with_more_languages_than_the_table_holds(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_CELLS", 4 * language_id.BUCKETS)
+    texts = {f"l{k}": " ".join(f"{a}{k % 10}{b}" for a in "abcdefgh" for b in "xyzuvw").translate(str.maketrans("0123456789", "qrstjklmno")) for k in range(9)}
+    docs = spark.createDataFrame([(k, t, n) for k, (n, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    names, logp = language_id.fit(docs)
+    assert len(names) == 9 and logp.size <= language_id.MOST_CELLS
+    assert all(r["lang_pred"] == f"l{r['doc_id']}" for r in language_id.predict(docs, names, logp).collect())
+
+
+def slow_shares(words, rounds):
+    """Proportions by expectation-maximisation over words' likelihoods, one language at a time."""
+    k = len(words[0])
+    share = [1 / k] * k
+    for _ in range(rounds):
+        new = [0.0] * k
+        for w in words:
+            total = sum(s * x for s, x in zip(share, w, strict=True))
+            for j in range(k):
+                new[j] += share[j] * w[j] / total / len(words)
+        share = new
+    return share
+
+
+def test_language_shares_equal_slow_version():
+    rng = np.random.default_rng(2)
+    counts = np.array([40, 7, 90])
+    scores = rng.normal(0, 2, (counts.sum(), 3)).astype(np.float32)
+    scores[:40, 0] += 2
+    scores[47:90, 1] += 3
+    at = 0
+    for n in counts:
+        like = np.exp(scores[at : at + n].astype(float))
+        share = np.full((1, 3), 1 / 3)
+        language_id._settle(like, share, np.zeros(n, int), np.array([0]), np.array([n]), 500)
+        assert np.abs(share[0] - slow_shares(like.tolist(), 500)).max() < 0.02
+        at += n
