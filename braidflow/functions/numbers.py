@@ -33,8 +33,15 @@ def signed_bucket(ns: Column) -> Column:
     )
 
 
+#: Upper bounds (exclusive) and names of payload lengths.
+PAYLOADS = (
+    (1, "0"), (16, "1-15"), (32, "16-31"), (64, "32-63"), (128, "64-127"), (256, "128-255"), (512, "256-511"), (1024, "512-1023"), (1500, "1024-1499"), (65536, "1500-65535"),
+)
+LONGEST = ">65535"
+
+
 def payload_bucket(n: Column) -> Column:
-    return ladder(n, ((1, "0"), (64, "1-63"), (256, "64-255"), (512, "256-511"), (1024, "512-1023"), (1500, "1024-1499")), ">=1500")
+    return ladder(n, PAYLOADS, LONGEST)
 
 
 def candidate_bucket(n: Column) -> Column:

@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NS = 1_000_000_000
-#: Decisions that are no alert, and classes by family.
+#: Decisions that are no alert.
 BENIGN_NAMES = ("benign", "none", "normal")
+#: Family of every class that a flow may be assigned.
 FAMILIES = {
-    "BENIGN": "benign", "DoS Hulk": "dos", "DoS GoldenEye": "dos", "DoS slowloris": "dos", "DoS Slowhttptest": "dos", "Heartbleed": "dos", "DDoS": "ddos", "PortScan": "portscan",
-    "FTP-Patator": "bruteforce", "SSH-Patator": "bruteforce", "Bot": "bot", "Web Attack – Brute Force": "web", "Web Attack – XSS": "web", "Web Attack – Sql Injection": "web", "Infiltration": "infiltration",
+    "BENIGN": "Benign", "FTP-Patator": "FTP-Bruteforce", "SSH-Patator": "SSH-Bruteforce", "PortScan": "PortScan", "DDoS": "DoS", "DoS GoldenEye": "DoS", "DoS Hulk": "DoS",
+    "DoS Slowhttptest": "DoS", "DoS slowloris": "DoS", "Bot": "Other", "Infiltration": "Other", "Web Attack – Brute Force": "Other", "Web Attack – Sql Injection": "Other", "Web Attack – XSS": "Other",
 }
 
 
@@ -42,8 +43,9 @@ def binary_label(value: Column, benign: str) -> Column:
 
 
 def family_of(label: Column, families: dict[str, str] = FAMILIES) -> Column:
-    """Family of a class; null for a class that no family names."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for item in families.items() for x in item]), label)
+    """Family of a class; a class that no family names fails the job."""
+    found = F.try_element_at(F.create_map(*[F.lit(x) for item in families.items() for x in item]), label)
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("class without a family: "), F.coalesce(label, F.lit("null")))).cast("string"))
 
 
 def is_alert(decision: Column, attack_flag: Column | None = None) -> Column:

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Signs of injection, scripting, traversal and command use in a request.
-SUSPICIOUS = r"(?i)union\s+select|or\s+1=1|<script|javascript:|onerror=|\.\./|etc/passwd|cmd\.exe|;\s*cat|%27|--"
-#: Codes.
-METHODS = {"GET": 0, "POST": 1, "PUT": 2, "DELETE": 3, "HEAD": 4, "OPTIONS": 5, "PATCH": 6}
-QUERY_TYPES = {"A": 1, "NS": 2, "CNAME": 5, "SOA": 6, "PTR": 12, "MX": 15, "TXT": 16, "AAAA": 28, "SRV": 33, "ANY": 255}
-RESPONSE_CODES = {"NOERROR": 0, "FORMERR": 1, "SERVFAIL": 2, "NXDOMAIN": 3, "NOTIMP": 4, "REFUSED": 5}
-CONN_STATES = {"S0": 0, "S1": 1, "SF": 2, "REJ": 3, "S2": 4, "S3": 5, "RSTO": 6, "RSTR": 7, "RSTOS0": 8, "RSTRH": 9, "SH": 10, "SHR": 11, "OTH": 12}
+#: Signs of injection, scripting, traversal and command use in a request; any letter case counts.
+SUSPICIOUS = (
+    r"(?i)(union\s+select|select\s+.+from|or\s+1=1|--\s|/\*|<script|onerror\s*=|onload\s*=|alert\(|javascript:|\.\./|/etc/passwd|/etc/shadow|"
+    r";\s*(rm|wget|curl|nc|bash|sh)\s|exec\(|system\(|\|\|\s*\w+|`[^`]+`)"
+)
+#: The characters that count as special in a request.
+SPECIAL = "'\";<>()%\\|&="
+#: Codes by name, and the code of any other name.
+METHODS, OTHER_METHOD = {"GET": 0, "POST": 1, "PUT": 2, "DELETE": 3, "HEAD": 4}, 5
+QUERY_TYPES, OTHER_QUERY_TYPE = {"A": 0, "AAAA": 1, "TXT": 2, "CNAME": 3, "MX": 4, "NS": 5, "SOA": 6, "PTR": 7, "SRV": 8}, 9
+RESPONSE_CODES, OTHER_RESPONSE_CODE = {"NOERROR": 0, "NXDOMAIN": 1, "SERVFAIL": 2, "REFUSED": 3}, 4
+CONN_STATES, OTHER_CONN_STATE = {"SF": 0, "S0": 1, "REJ": 2, "S1": 3, "S2": 4, "S3": 5, "RSTO": 6, "RSTR": 7, "RSTOS0": 8, "RSTRH": 9, "SH": 10, "SHR": 11, "OTH": 12}, 12
+#: How a log writes an absent field.
+ABSENT = ("-", "(empty)")
 
 
 def entropy(s: Column) -> Column:
@@ -29,7 +36,9 @@ def ratio_of(s: Column, pattern: str) -> Column:
 
 
 def special_ratio(s: Column) -> Column:
-    return ratio_of(s, "[^A-Za-z0-9/._?=&:-]")
+    """Share of the characters of :data:`SPECIAL`."""
+    kept = F.translate(s, SPECIAL, "")
+    return F.coalesce(F.when(F.length(s) > 0, (F.length(s) - F.length(kept)) / F.length(s)), F.lit(0.0))
 
 
 def non_alnum_ratio(s: Column) -> Column:
@@ -45,46 +54,76 @@ def code_of(value: Column, codes: dict[str, int], default: int = -1) -> Column:
     return F.coalesce(F.try_element_at(table, value), F.lit(default))
 
 
+def method_code(name: Column) -> Column:
+    return code_of(F.upper(name), METHODS, OTHER_METHOD)
+
+
+def query_type_code(name: Column) -> Column:
+    return code_of(F.upper(name), QUERY_TYPES, OTHER_QUERY_TYPE)
+
+
+def response_code(name: Column) -> Column:
+    return code_of(F.upper(name), RESPONSE_CODES, OTHER_RESPONSE_CODE)
+
+
+def conn_state_code(name: Column) -> Column:
+    """States are told by exact name."""
+    return code_of(name, CONN_STATES, OTHER_CONN_STATE)
+
+
+def field(value: Column, default: str = "") -> Column:
+    """A log's text field; ``default`` where it is absent."""
+    return F.when(value.isNull() | value.isin(*ABSENT), default).otherwise(value)
+
+
+def number(value: Column, default: float = 0.0) -> Column:
+    """A log's numeric field; ``default`` where it is absent or no number."""
+    return F.coalesce(F.when(~value.cast("string").isin(*ABSENT), value.try_cast("double")), F.lit(default))
+
+
 def dns_features(query: Column, qtype: Column, rcode: Column, answers: Column) -> dict[str, Column]:
-    """Eight features of a name query; ``answers`` is a comma-joined list."""
-    q = F.coalesce(query, F.lit(""))
+    """Eight features of a name query, in their order; ``answers`` is a comma-joined list."""
+    q, a = field(query), field(answers)
     return {
-        "query_length": F.length(q),
-        "label_count": F.when(F.length(q) > 0, F.regexp_count(q, F.lit(r"\.")) + 1).otherwise(0),
+        "query_len": F.length(q),
         "query_entropy": entropy(q),
-        "digit_ratio": ratio_of(q, "[0-9]"),
-        "non_alnum_ratio": non_alnum_ratio(q),
-        "qtype_code": code_of(F.upper(qtype), QUERY_TYPES),
-        "rcode_code": code_of(F.upper(rcode), RESPONSE_CODES),
-        "answer_count": F.when(F.length(F.coalesce(answers, F.lit(""))) > 0, F.size(F.split(answers, ","))).otherwise(0),
+        "subdomain_count": F.when(q != "", F.regexp_count(q, F.lit(r"\.")) + 1).otherwise(0),
+        "qtype_enc": query_type_code(field(qtype, "A")),
+        "rcode_enc": response_code(field(rcode, "NOERROR")),
+        "answer_count": F.when(a != "", F.regexp_count(a, F.lit(",")) + 1).otherwise(0),
+        "resp_size": F.length(a),
+        "query_special_ratio": non_alnum_ratio(q),
     }
 
 
 def http_features(method: Column, uri: Column, host: Column, agent: Column, referrer: Column, status: Column, request_bytes: Column, response_bytes: Column) -> dict[str, Column]:
-    """Eleven features of a request."""
-    u = F.coalesce(uri, F.lit(""))
+    """Eleven features of a request, in their order."""
+    u, ua = field(uri, "/"), field(agent)
+    present = lambda c: F.when(field(c) != "", 1.0).otherwise(0.0)
     return {
-        "method_code": code_of(F.upper(method), METHODS),
-        "uri_length": F.length(u),
-        "uri_entropy": entropy(u),
+        "uri_len": F.length(u),
         "uri_special_ratio": special_ratio(u),
-        "query_parameters": F.regexp_count(u, F.lit("[?&]")),
-        "suspicious_tokens": suspicious_count(u),
-        "host_length": F.length(F.coalesce(host, F.lit(""))),
-        "agent_length": F.length(F.coalesce(agent, F.lit(""))),
-        "has_referrer": F.when(F.length(F.coalesce(referrer, F.lit(""))) > 0, 1).otherwise(0),
-        "status_class": F.floor(F.coalesce(status, F.lit(0)) / 100).cast("int"),
-        "body_ratio": F.coalesce(F.when(response_bytes > 0, request_bytes / response_bytes), F.lit(0.0)),
+        "uri_token_hits": suspicious_count(u),
+        "method_enc": method_code(field(method, "GET")),
+        "status_code": number(status),
+        "req_body_len": number(request_bytes),
+        "resp_body_len": number(response_bytes),
+        "ua_len": F.length(ua),
+        "ua_entropy": entropy(ua),
+        "host_present": present(host),
+        "referrer_present": present(referrer),
     }
 
 
-def conn_features(duration: Column, orig_bytes: Column, resp_bytes: Column, orig_pkts: Column, resp_pkts: Column, state: Column) -> dict[str, Column]:
-    """Loads, sizes and state code of a connection record; nulls count as 0."""
-    z = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    per = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    d, ob, rb, op, rp = map(z, (duration, orig_bytes, resp_bytes, orig_pkts, resp_pkts))
+def conn_features(duration: Column, orig_bytes: Column, resp_bytes: Column, orig_pkts: Column, resp_pkts: Column, state: Column, same_port: Column, same_service: Column) -> dict[str, Column]:
+    """Twelve session features of a connection record and its origin code, in their order.
+
+    ``same_port`` and ``same_service`` are the destination's recent connections (see ``windows.sliding_count``). The log
+    has no times to live; its origin counts as 1.
+    """
+    d, ob, rb = number(duration), number(orig_bytes), number(resp_bytes)
+    seconds = F.greatest(d, F.lit(1e-9))
     return {
-        "duration": d, "orig_bytes": ob, "resp_bytes": rb, "orig_pkts": op, "resp_pkts": rp,
-        "orig_load": per(8 * ob, d), "resp_load": per(8 * rb, d), "packet_rate": per(op + rp, d),
-        "orig_mean_size": per(ob, op), "resp_mean_size": per(rb, rp), "byte_ratio": per(ob, rb), "state_code": code_of(state, CONN_STATES, 12),
+        "flow_dur_us": d * 1e6, "fwd_bytes": ob, "bwd_bytes": rb, "fwd_pkts": number(orig_pkts), "bwd_pkts": number(resp_pkts), "src_ttl": F.lit(0.0), "dst_ttl": F.lit(0.0),
+        "sload": ob * 8 / seconds, "dload": rb * 8 / seconds, "state_enc": conn_state_code(F.coalesce(state, F.lit("OTH"))), "ct_dst_sport_ltm": same_port, "ct_srv_dst": same_service, "src": F.lit(1),
     }

@@ -172,7 +172,7 @@ OUT = "CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN 'cl
 
 @query(
     "a49_replay_confusion",
-    f"""WITH r AS (SELECT event_type AS truth, {OUT} AS output, event_id AS at FROM events), c AS (SELECT truth, output, count(*) AS n, min(at) AS t0, max(at) AS t1 FROM r GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY n DESC, output) AS rk FROM c),
+    f"""WITH r AS (SELECT event_type AS truth, {OUT} AS output, event_id AS pos FROM events), c AS (SELECT truth, output, count(*) AS n, min(pos) AS t0, max(pos) AS t1 FROM r GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY n DESC, output) AS rk FROM c),
 g AS (SELECT truth, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (truth = output), 0)::BIGINT AS correct, string_agg(output || ':' || n, ',' ORDER BY rk) FILTER (rk <= 2) AS top, min(t0) AS first_at, max(t1) AS last_at FROM k GROUP BY truth), f AS (SELECT unnest(['click', 'view', 'error', 'ghost']) AS family)
 SELECT family, coalesce(total, 0) AS total, coalesce(correct, 0) AS correct, round(coalesce(correct / total, 0), 6) AS accuracy, coalesce(top, '') AS top, first_at, last_at FROM f LEFT JOIN g ON truth = family""",
 )

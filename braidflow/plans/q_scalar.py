@@ -160,11 +160,14 @@ def p16(spark, d):
 
 @query(
     "p17_buckets",
-    f"WITH {PE} SELECT CASE WHEN wire < 1 THEN '0' WHEN wire < 64 THEN '1-63' WHEN wire < 256 THEN '64-255' WHEN wire < 512 THEN '256-511' WHEN wire < 1024 THEN '512-1023' WHEN wire < 1500 THEN '1024-1499' ELSE '>=1500' END AS payload, "
-    "CASE WHEN k < 2 THEN '1' WHEN k < 3 THEN '2' WHEN k < 6 THEN '3-5' WHEN k < 11 THEN '6-10' WHEN k < 101 THEN '11-100' ELSE '>100' END AS candidates, count(*) AS n FROM pe GROUP BY 1, 2",
+    f"WITH {PE} SELECT CASE WHEN v BETWEEN 0 AND 0 THEN '0' WHEN v BETWEEN 1 AND 15 THEN '1-15' WHEN v BETWEEN 16 AND 31 THEN '16-31' WHEN v BETWEEN 32 AND 63 THEN '32-63' WHEN v BETWEEN 64 AND 127 THEN '64-127' WHEN v BETWEEN 128 AND 255 THEN '128-255' "
+    "WHEN v BETWEEN 256 AND 511 THEN '256-511' WHEN v BETWEEN 512 AND 1023 THEN '512-1023' WHEN v BETWEEN 1024 AND 1499 THEN '1024-1499' WHEN v BETWEEN 1500 AND 65535 THEN '1500-65535' ELSE '>65535' END AS payload, "
+    "CASE WHEN k < 2 THEN '1' WHEN k < 3 THEN '2' WHEN k < 6 THEN '3-5' WHEN k < 11 THEN '6-10' WHEN k < 101 THEN '11-100' ELSE '>100' END AS candidates, count(*) AS n FROM (SELECT k, CASE WHEN idx % 7 = 0 THEN wire * 100 WHEN idx % 7 < 3 THEN wire % 40 ELSE wire END AS v FROM pe) GROUP BY 1, 2",
 )
 def p17(spark, d):
-    return packets_e(spark, d).groupBy(numbers.payload_bucket(F.col("wire_length")).alias("payload"), numbers.candidate_bucket(F.col("k")).alias("candidates")).agg(F.count("*").alias("n"))
+    i, wire = F.col("idx"), F.col("wire_length")
+    p = packets_e(spark, d).withColumn("v", F.when(i % 7 == 0, wire * 100).when(i % 7 < 3, wire % 40).otherwise(wire))
+    return p.groupBy(numbers.payload_bucket(F.col("v")).alias("payload"), numbers.candidate_bucket(F.col("k")).alias("candidates")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -175,74 +178,115 @@ def p18(spark, d):
     return table(spark, d, "pages").select("page_id", F.round(text.entropy(F.col("url")), 6).alias("entropy"))
 
 
-@query("p19_ratios", "SELECT page_id, round(length(regexp_replace(url, '[A-Za-z0-9/._?=&:-]', '', 'g')) / length(url), 6) AS special_ratio, round(length(regexp_replace(url, '[A-Za-z0-9]', '', 'g')) / length(url), 6) AS non_alnum_ratio FROM pages")
+@query(
+    "p19_ratios",
+    """SELECT page_id, round((length(u) - length(translate(u, chr(39) || '";<>()%\\|&=', ''))) / length(u), 6) AS special_ratio, round(length(regexp_replace(u, '[A-Za-z0-9]', '', 'g')) / length(u), 6) AS non_alnum_ratio FROM (SELECT page_id, url || left(html, 200) AS u FROM pages)""",
+)
 def p19(spark, d):
-    return table(spark, d, "pages").select("page_id", F.round(text.special_ratio(F.col("url")), 6).alias("special_ratio"), F.round(text.non_alnum_ratio(F.col("url")), 6).alias("non_alnum_ratio"))
+    u = F.concat("url", F.left("html", F.lit(200)))
+    return table(spark, d, "pages").select("page_id", F.round(text.special_ratio(u), 6).alias("special_ratio"), F.round(text.non_alnum_ratio(u), 6).alias("non_alnum_ratio"))
+
+
+#: Requests with one sign of an attack each, chosen by page.
+SIGNS = (
+    "", "?q=1 UNION  select x", "?a=select b from c", "?x=1 or 1=1", "?c=1-- x", "/*a*/", "<ScRipt>", "?onerror =1", "?onload=1", "?alert(1)", "?javascript:x", "/../../x", "/etc/passwd", "/etc/shadow", "?a=1; wget x", "?exec(x)",
+    "?system(x)", "?a|| ls", "?`id`", "?a=1;rm -rf", "?cmd.exe%27",
+)
+SIGNS_SQL = "['" + "', '".join(SIGNS) + "']"
+SUSPECT = r"(?i)(?:union\s+select|select\s+.+from|or\s+1=1|--\s|/\*|<script|onerror\s*=|onload\s*=|alert\(|javascript:|\.\./|/etc/passwd|/etc/shadow|;\s*(?:rm|wget|curl|nc|bash|sh)\s|exec\(|system\(|\|\|\s*\w+|`[^`]+`)"
 
 
-SUSPECT = text.SUSPICIOUS.replace("'", "''")
+def request(i):
+    return F.concat("url", F.get(F.array(*map(F.lit, SIGNS)), (i % len(SIGNS)).cast("int")))
 
 
-@query("p20_suspicious_tokens", f"SELECT page_id, len(regexp_extract_all(html, '{SUSPECT}'))::BIGINT AS n FROM pages")
+REQUEST = f"url || {SIGNS_SQL}[page_id % {len(SIGNS)} + 1]"
+
+
+@query("p20_suspicious_tokens", f"SELECT page_id, len(regexp_extract_all({REQUEST} || left(html, 2000), '{SUSPECT}'))::BIGINT AS n FROM pages")
 def p20(spark, d):
-    return table(spark, d, "pages").select("page_id", text.suspicious_count(F.col("html")).alias("n"))
+    return table(spark, d, "pages").select("page_id", text.suspicious_count(F.concat(request(F.col("page_id")), F.left("html", F.lit(2000)))).alias("n"))
 
 
 HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
-ENTROPY_OF = "(SELECT -sum(n / t * log2(n / t)) FROM (SELECT n, sum(n) OVER () AS t FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split({0}, '')) AS ch) GROUP BY ch)))"
 
 
 @query(
     "p21_dns_features",
-    f"""WITH q AS (SELECT page_id, {HOST} AS q FROM pages),
+    f"""WITH q AS (SELECT page_id, {HOST} AS q, CASE page_id % 12 WHEN 0 THEN 'A' WHEN 1 THEN 'AAAA' WHEN 2 THEN 'TXT' WHEN 3 THEN 'CNAME' WHEN 4 THEN 'MX' WHEN 5 THEN 'NS' WHEN 6 THEN 'SOA' WHEN 7 THEN 'PTR' WHEN 8 THEN 'SRV' WHEN 9 THEN 'ANY' WHEN 10 THEN '-' ELSE 'aaaa' END AS t,
+CASE page_id % 7 WHEN 0 THEN 'NOERROR' WHEN 1 THEN 'NXDOMAIN' WHEN 2 THEN 'SERVFAIL' WHEN 3 THEN 'REFUSED' WHEN 4 THEN 'NOTIMP' WHEN 5 THEN '-' ELSE 'refused' END AS r, repeat('1.2.3.4,', (page_id % 4)::INT) AS a FROM pages),
 c AS (SELECT page_id, unnest(string_split(q, '')) AS ch FROM q), n AS (SELECT page_id, ch, count(*) AS n FROM c GROUP BY 1, 2),
 e AS (SELECT page_id, -sum(n / t * log2(n / t)) AS h FROM (SELECT page_id, n, sum(n) OVER (PARTITION BY page_id) AS t FROM n) GROUP BY 1)
-SELECT page_id, length(q)::INT AS query_length, (length(q) - length(replace(q, '.', '')) + 1)::INT AS label_count, round(h, 4) AS query_entropy, round(length(regexp_replace(q, '[^0-9]', '', 'g')) / length(q), 4) AS digit_ratio,
-round(length(regexp_replace(q, '[A-Za-z0-9]', '', 'g')) / length(q), 4) AS non_alnum_ratio, (CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 28 ELSE -1 END)::INT AS qtype_code, (CASE page_id % 2 WHEN 0 THEN 0 ELSE 3 END)::INT AS rcode_code, (CASE page_id % 4 WHEN 0 THEN 0 ELSE page_id % 4 END)::INT AS answer_count FROM q JOIN e USING (page_id)""",
+SELECT page_id, length(q)::INT AS query_len, round(h, 4) AS query_entropy, (length(q) - length(replace(q, '.', '')) + 1)::INT AS subdomain_count,
+(CASE upper(CASE t WHEN '-' THEN 'A' ELSE t END) WHEN 'A' THEN 0 WHEN 'AAAA' THEN 1 WHEN 'TXT' THEN 2 WHEN 'CNAME' THEN 3 WHEN 'MX' THEN 4 WHEN 'NS' THEN 5 WHEN 'SOA' THEN 6 WHEN 'PTR' THEN 7 WHEN 'SRV' THEN 8 ELSE 9 END)::INT AS qtype_enc,
+(CASE upper(CASE r WHEN '-' THEN 'NOERROR' ELSE r END) WHEN 'NOERROR' THEN 0 WHEN 'NXDOMAIN' THEN 1 WHEN 'SERVFAIL' THEN 2 WHEN 'REFUSED' THEN 3 ELSE 4 END)::INT AS rcode_enc,
+(CASE WHEN a = '' THEN 0 ELSE length(a) - length(replace(a, ',', '')) + 1 END)::INT AS answer_count, length(a)::INT AS resp_size, round(length(regexp_replace(q, '[A-Za-z0-9]', '', 'g')) / length(q), 4) AS query_special_ratio FROM q JOIN e USING (page_id)""",
 )
 def p21(spark, d):
     i = F.col("page_id")
-    q = F.regexp_extract("url", "://([^/?#]*)", 1)
-    qtype = F.when(i % 3 == 0, "A").when(i % 3 == 1, "aaaa").otherwise("WEIRD")
-    f = text.dns_features(q, qtype, F.when(i % 2 == 0, "NOERROR").otherwise("NXDOMAIN"), F.array_join(F.array_repeat(F.lit("a"), (i % 4).cast("int")), ","))
+    of = lambda names: F.get(F.array(*map(F.lit, names)), (i % len(names)).cast("int"))
+    f = text.dns_features(
+        F.regexp_extract("url", "://([^/?#]*)", 1), of(["A", "AAAA", "TXT", "CNAME", "MX", "NS", "SOA", "PTR", "SRV", "ANY", "-", "aaaa"]),
+        of(["NOERROR", "NXDOMAIN", "SERVFAIL", "REFUSED", "NOTIMP", "-", "refused"]), F.repeat(F.lit("1.2.3.4,"), (i % 4).cast("int")),
+    )
     return rounded(table(spark, d, "pages").select("page_id", *[c.alias(n) for n, c in f.items()]))
 
 
 @query(
     "p22_http_features",
-    f"""WITH q AS (SELECT page_id, url AS u, {HOST} AS host, length(html) AS hb FROM pages),
-c AS (SELECT page_id, unnest(string_split(u, '')) AS ch FROM q), n AS (SELECT page_id, ch, count(*) AS n FROM c GROUP BY 1, 2),
+    f"""WITH q AS (SELECT page_id, {REQUEST} AS u, CASE WHEN page_id % 6 = 0 THEN '-' ELSE {HOST} END AS host, left(html, (page_id % 300)::INT) AS ua,
+CASE page_id % 8 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' WHEN 3 THEN 'DELETE' WHEN 4 THEN 'HEAD' WHEN 5 THEN 'OPTIONS' WHEN 6 THEN '-' ELSE 'post' END AS m, length(html) AS hb FROM pages),
+c AS (SELECT page_id, unnest(string_split(ua, '')) AS ch FROM q WHERE ua <> ''), n AS (SELECT page_id, ch, count(*) AS n FROM c GROUP BY 1, 2),
 e AS (SELECT page_id, -sum(n / t * log2(n / t)) AS h FROM (SELECT page_id, n, sum(n) OVER (PARTITION BY page_id) AS t FROM n) GROUP BY 1)
-SELECT page_id, (CASE page_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END)::INT AS method_code, length(u)::INT AS uri_length, round(h, 4) AS uri_entropy, round(length(regexp_replace(u, '[A-Za-z0-9/._?=&:-]', '', 'g')) / length(u), 4) AS uri_special_ratio,
-(length(u) - length(regexp_replace(u, '[?&]', '', 'g')))::INT AS query_parameters, len(regexp_extract_all(u, '{SUSPECT}'))::BIGINT AS suspicious_tokens, length(host)::INT AS host_length, (page_id % 50)::INT AS agent_length, (CASE WHEN page_id % 5 = 0 THEN 0 ELSE 1 END)::INT AS has_referrer,
-(2 + page_id % 4)::INT AS status_class, round(CASE WHEN hb > 0 THEN page_id * 1.0 / hb ELSE 0 END, 4) AS body_ratio FROM q JOIN e USING (page_id)""",
+SELECT page_id, length(u)::INT AS uri_len, round((length(u) - length(translate(u, chr(39) || '";<>()%\\|&=', ''))) / length(u), 4) AS uri_special_ratio, len(regexp_extract_all(u, '{SUSPECT}'))::BIGINT AS uri_token_hits,
+(CASE upper(CASE m WHEN '-' THEN 'GET' ELSE m END) WHEN 'GET' THEN 0 WHEN 'POST' THEN 1 WHEN 'PUT' THEN 2 WHEN 'DELETE' THEN 3 WHEN 'HEAD' THEN 4 ELSE 5 END)::INT AS method_enc,
+(CASE page_id % 5 WHEN 4 THEN 0 ELSE 200 + 100 * (page_id % 5) END)::DOUBLE AS status_code, page_id::DOUBLE AS req_body_len, hb::DOUBLE AS resp_body_len, length(ua)::INT AS ua_len, round(coalesce(h, 0) + 0.0, 4) AS ua_entropy,
+(CASE WHEN host IN ('', '-') THEN 0 ELSE 1 END)::DOUBLE AS host_present, (CASE WHEN page_id % 5 = 0 THEN 0 ELSE 1 END)::DOUBLE AS referrer_present FROM q LEFT JOIN e USING (page_id)""",
 )
 def p22(spark, d):
     i = F.col("page_id")
+    of = lambda names: F.get(F.array(*map(F.lit, names)), (i % len(names)).cast("int"))
     f = text.http_features(
-        F.when(i % 3 == 0, "get").when(i % 3 == 1, "POST").otherwise("BREW"), F.col("url"), F.regexp_extract("url", "://([^/?#]*)", 1), F.repeat(F.lit("a"), (i % 50).cast("int")),
-        F.when(i % 5 != 0, "ref"), (F.lit(200) + 100 * (i % 4)), i.cast("double"), F.length("html"),
+        of(["GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "-", "post"]), request(i), F.when(i % 6 == 0, "-").otherwise(F.regexp_extract("url", "://([^/?#]*)", 1)), F.left("html", (i % 300).cast("int")),
+        F.when(i % 5 != 0, "ref"), F.when(i % 5 == 4, "-").otherwise((F.lit(200) + 100 * (i % 5)).cast("string")), i.cast("string"), F.length("html").cast("string"),
     )
     return rounded(table(spark, d, "pages").select("page_id", *[c.alias(n) for n, c in f.items()]))
 
 
+STATES = ("SF", "S0", "REJ", "S1", "S2", "S3", "RSTO", "RSTR", "RSTOS0", "RSTRH", "SH", "SHR", "OTH", "sf", "??")
+STATE_SQL = "CASE event_id % 15 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(STATES)) + " END"
+STATE_CODE = "CASE {0} WHEN 'SF' THEN 0 WHEN 'S0' THEN 1 WHEN 'REJ' THEN 2 WHEN 'S1' THEN 3 WHEN 'S2' THEN 4 WHEN 'S3' THEN 5 WHEN 'RSTO' THEN 6 WHEN 'RSTR' THEN 7 WHEN 'RSTOS0' THEN 8 WHEN 'RSTRH' THEN 9 WHEN 'SH' THEN 10 WHEN 'SHR' THEN 11 ELSE 12 END"
+
+
 @query(
     "p23_conn_features",
-    """WITH q AS (SELECT event_id, value AS dur, user_id * 10.0 AS ob, event_id % 1000 * 1.0 AS rb, user_id % 9 * 1.0 AS op, event_id % 7 * 1.0 AS rp FROM events)
-SELECT event_id, dur AS duration, ob AS orig_bytes, rb AS resp_bytes, op AS orig_pkts, rp AS resp_pkts, round(CASE WHEN dur > 0 THEN 8 * ob / dur ELSE 0 END, 4) AS orig_load, round(CASE WHEN dur > 0 THEN 8 * rb / dur ELSE 0 END, 4) AS resp_load,
-round(CASE WHEN dur > 0 THEN (op + rp) / dur ELSE 0 END, 4) AS packet_rate, round(CASE WHEN op > 0 THEN ob / op ELSE 0 END, 4) AS orig_mean_size, round(CASE WHEN rp > 0 THEN rb / rp ELSE 0 END, 4) AS resp_mean_size,
-round(CASE WHEN rb > 0 THEN ob / rb ELSE 0 END, 4) AS byte_ratio, (CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 12 END)::INT AS state_code FROM q""",
+    f"""WITH q AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 0 ELSE value END AS dur, user_id * 10.0::DOUBLE AS ob, CASE WHEN event_id % 8 = 0 THEN 0 ELSE event_id % 1000 END::DOUBLE AS rb, (user_id % 9)::DOUBLE AS op, (event_id % 7)::DOUBLE AS rp, {STATE_SQL} AS st, event_id % 11 AS cp, event_id % 13 AS cs FROM events)
+SELECT event_id, round(dur * 1e6, 4) AS flow_dur_us, ob AS fwd_bytes, rb AS bwd_bytes, op AS fwd_pkts, rp AS bwd_pkts, 0.0::DOUBLE AS src_ttl, 0.0::DOUBLE AS dst_ttl, round(ob * 8 / greatest(dur, 1e-9), 4) AS sload, round(rb * 8 / greatest(dur, 1e-9), 4) AS dload,
+({STATE_CODE.format("st")})::INT AS state_enc, cp AS ct_dst_sport_ltm, cs AS ct_srv_dst, 1::INT AS src FROM q""",
 )
 def p23(spark, d):
     i, u = F.col("event_id"), F.col("user_id")
-    state = F.when(i % 3 == 0, "SF").when(i % 3 == 1, "S0").otherwise("??")
-    f = text.conn_features(F.col("value"), u * 10, i % 1000, u % 9, i % 7, state)
+    state = F.get(F.array(*map(F.lit, STATES)), (i % 15).cast("int"))
+    s = lambda c: c.cast("string")
+    f = text.conn_features(F.when(i % 9 == 0, "-").otherwise(s(F.col("value"))), s(u * 10), F.when(i % 8 == 0, "(empty)").otherwise(s(i % 1000)), s(u % 9), s(i % 7), state, i % 11, i % 13)
     return rounded(table(spark, d, "events").select("event_id", *[c.alias(n) for n, c in f.items()]))
 
 
-@query("p24_code_maps", "SELECT event_type, (CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE -1 END)::INT AS code, count(*) AS n FROM events GROUP BY event_type")
+CODED = ("get", "POST", "PUT", "DELETE", "HEAD", "PATCH", "A", "aaaa", "TXT", "CNAME", "MX", "NS", "SOA", "PTR", "SRV", "ANY", "NOERROR", "nxdomain", "SERVFAIL", "REFUSED", "FORMERR", *STATES)
+
+
+@query(
+    "p24_code_maps",
+    "WITH q AS (SELECT ['" + "', '".join(CODED) + f"""'][event_id % {len(CODED)} + 1] AS name FROM events) SELECT name,
+(CASE upper(name) WHEN 'GET' THEN 0 WHEN 'POST' THEN 1 WHEN 'PUT' THEN 2 WHEN 'DELETE' THEN 3 WHEN 'HEAD' THEN 4 ELSE 5 END)::INT AS method,
+(CASE upper(name) WHEN 'A' THEN 0 WHEN 'AAAA' THEN 1 WHEN 'TXT' THEN 2 WHEN 'CNAME' THEN 3 WHEN 'MX' THEN 4 WHEN 'NS' THEN 5 WHEN 'SOA' THEN 6 WHEN 'PTR' THEN 7 WHEN 'SRV' THEN 8 ELSE 9 END)::INT AS qtype,
+(CASE upper(name) WHEN 'NOERROR' THEN 0 WHEN 'NXDOMAIN' THEN 1 WHEN 'SERVFAIL' THEN 2 WHEN 'REFUSED' THEN 3 ELSE 4 END)::INT AS rcode, ({STATE_CODE.format("name")})::INT AS state, count(*) AS n FROM q GROUP BY ALL""",
+)
 def p24(spark, d):
-    return table(spark, d, "events").groupBy("event_type", text.code_of(F.col("event_type"), {"click": 0, "view": 1, "purchase": 2}).alias("code")).agg(F.count("*").alias("n"))
+    name = F.get(F.array(*map(F.lit, CODED)), (F.col("event_id") % len(CODED)).cast("int"))
+    n = F.col("name")
+    codes = [text.method_code(n).alias("method"), text.query_type_code(n).alias("qtype"), text.response_code(n).alias("rcode"), text.conn_state_code(n).alias("state")]
+    return table(spark, d, "events").select(name.alias("name")).groupBy("name", *codes).agg(F.count("*").alias("n"))
 
 
 @query("p25_factorize", "WITH f AS (SELECT coalesce(event_type, 'nan') AS v, min(event_id) AS m FROM events GROUP BY 1), r AS (SELECT v, (row_number() OVER (ORDER BY m) - 1)::INT AS code FROM f) SELECT event_id, code FROM events JOIN r ON coalesce(event_type, 'nan') = v")
@@ -262,27 +306,88 @@ def p27(spark, d):
     return table(spark, d, "events").select("event_id", records.binary_label(F.concat(F.lit(" "), F.upper("event_type")), "View").alias("y"))
 
 
-@query("p28_layer2", harmonise.LAYER2_SQL)
+# Raw datasets made of the given tables, under the datasets' own column names.
+
+
+def cic_raw(spark, d):
+    li = table(spark, d, "lineitem")
+    c = {
+        " Destination Port": F.col("l_linenumber"), "Flow Duration": F.col("l_orderkey"), "Total Fwd Packets": F.col("l_quantity"), "Total Length of Fwd Packets": F.col("l_extendedprice"), "Min Packet Length": F.col("l_suppkey"),
+        "Average Packet Size": F.col("l_partkey"), "Flow Bytes/s": F.when(F.col("l_linenumber") == 7, float("inf")).otherwise(F.col("l_extendedprice") * 2), "PSH Flag Count": (F.col("l_linestatus") == "O").cast("int"),
+        "Init_Win_bytes_forward": F.when(F.col("l_returnflag") != "A", F.col("l_partkey")), "Active Mean": F.col("l_tax"), "Idle Max": F.col("l_discount"), "Attack Type": F.when(F.col("l_returnflag") == "N", "Normal Traffic ").otherwise("DoS"),
+    }
+    return li.select(*[x.alias(n) for n, x in c.items()])
+
+
+def unsw_raw(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    c = {
+        "id": k, "dur": k % 97 / 10.0, "spkts": k % 11, "dpkts": k % 13, "sbytes": F.col("o_totalprice"), "dbytes": F.col("o_custkey"), "smean": k % 1400, "sload": F.when(k % 5 != 0, F.col("o_totalprice") * 8), "dload": F.col("o_custkey") * 8,
+        "swin": k % 256, "sttl": k % 255, "dttl": k % 64, "proto": k % 4, "state": k % 3, "ct_dst_sport_ltm": k % 17, "ct_srv_dst": k % 19, "y": (F.col("o_orderstatus") == "F").cast("int"),
+    }
+    return o.select(*[x.alias(n) for n, x in c.items()])
+
+
+def botiot_raw(spark, d):
+    e, i = table(spark, d, "events"), F.col("event_id")
+    c = {
+        "L4_DST_PORT": F.col("user_id"), "flow_dur_us": F.when(i % 6 == 0, 0.0).otherwise(F.col("value") * 1000), "IN_PKTS": i % 5, "OUT_PKTS": i % 3, "IN_BYTES": i % 5 * 60, "OUT_BYTES": i % 3 * 40 + i % 2, "psh_flag": i % 2, "ack_flag": (i % 4 > 0).cast("int"),
+        "fin_flag": (i % 9 == 0).cast("int"), "PROTOCOL": F.when(i % 2 == 0, 6).otherwise(17), "y": (F.col("event_type") == "error").cast("int"),
+    }
+    return e.select(*[x.alias(n) for n, x in c.items()])
+
+
+UNSW_SQL = "unsw AS (SELECT o_orderkey AS k, o_totalprice::DOUBLE AS price, o_custkey AS cust, (o_orderstatus = 'F')::INT AS y FROM orders)"
+BOT_SQL = """bot AS (SELECT user_id AS port, CASE WHEN event_id % 6 = 0 THEN 0.0 ELSE value * 1000 END AS dur, event_id % 5 AS ip, event_id % 3 AS op, event_id % 5 * 60 AS ib, event_id % 3 * 40 + event_id % 2 AS ob, event_id % 2 AS psh, (event_id % 4 > 0)::INT AS ack,
+(event_id % 9 = 0)::INT AS fin, CASE WHEN event_id % 2 = 0 THEN 6 ELSE 17 END AS proto, (event_type = 'error')::INT AS y FROM events)"""
+
+
+@query(
+    "p28_layer2",
+    f"""WITH {UNSW_SQL}, {BOT_SQL}
+SELECT l_linenumber::DOUBLE AS dst_port, l_orderkey::DOUBLE AS flow_dur_us, l_quantity::DOUBLE AS fwd_pkts, round(l_extendedprice::DOUBLE, 4) AS fwd_bytes, 0.0::DOUBLE AS bwd_pkts, 0.0::DOUBLE AS bwd_bytes, l_suppkey::DOUBLE AS pkt_len_min, l_partkey::DOUBLE AS pkt_len_avg,
+  CASE WHEN l_linenumber = 7 THEN 0.0 ELSE round(l_extendedprice::DOUBLE * 2, 4) END AS flow_bytes_s, (l_linestatus = 'O')::INT::DOUBLE AS psh_flag, 0.0::DOUBLE AS ack_flag, 0.0::DOUBLE AS fin_flag, CASE WHEN l_returnflag <> 'A' THEN l_partkey ELSE 0 END::DOUBLE AS init_win_fwd,
+  round(l_tax::DOUBLE, 4) AS active_mean, 0.0::DOUBLE AS protocol_enc, (l_returnflag <> 'N')::INT AS y, 0::INT AS src FROM lineitem
+UNION ALL SELECT 0, round(k % 97 / 10.0::DOUBLE * 1e6, 4), k % 11, round(price, 4), k % 13, cust, k % 1400, k % 1400, CASE WHEN k % 5 <> 0 THEN round(price * 8, 4) ELSE 0 END, 0, 0, 0, k % 256, 0, k % 4, y, 1 FROM unsw
+UNION ALL SELECT port, round(dur, 4), ip, ib, op, ob, round(ib / (CASE ip WHEN 0 THEN 1 ELSE ip END), 4), round((ib + ob) / (CASE ip + op WHEN 0 THEN 1 ELSE ip + op END), 4), CASE WHEN dur = 0 THEN 0 ELSE round((ib + ob) / (dur / 1e6), 4) END, psh, ack, fin, 0, 0, proto, y, 2 FROM bot""",
+)
 def p28(spark, d):
-    return rounded(harmonise.layer2(table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "events")), 8)
+    return rounded(harmonise.layer2(harmonise.clean_cic(cic_raw(spark, d)), unsw_raw(spark, d), botiot_raw(spark, d)))
 
 
-@query("p29_layer3", harmonise.LAYER3_SQL)
+@query(
+    "p29_layer3",
+    f"""WITH {UNSW_SQL}, {BOT_SQL}
+SELECT round(k % 97 / 10.0::DOUBLE * 1e6, 4) AS flow_dur_us, round(price, 4) AS fwd_bytes, cust::DOUBLE AS bwd_bytes, (k % 11)::DOUBLE AS fwd_pkts, (k % 13)::DOUBLE AS bwd_pkts, (k % 255)::DOUBLE AS src_ttl, (k % 64)::DOUBLE AS dst_ttl, CASE WHEN k % 5 <> 0 THEN round(price * 8, 4) ELSE 0 END AS sload,
+  (cust * 8)::DOUBLE AS dload, (k % 3)::DOUBLE AS state_enc, (k % 17)::DOUBLE AS ct_dst_sport_ltm, (k % 19)::DOUBLE AS ct_srv_dst, y, 1::INT AS src FROM unsw
+UNION ALL SELECT round(dur, 4), ib, ob, ip, op, 0, 0, CASE WHEN dur = 0 THEN 0 ELSE round(ib * 8 / (dur / 1e6), 4) END, CASE WHEN dur = 0 THEN 0 ELSE round(ob * 8 / (dur / 1e6), 4) END, 0, 0, 0, y, 2 FROM bot""",
+)
 def p29(spark, d):
-    return rounded(harmonise.layer3(table(spark, d, "lineitem"), table(spark, d, "events")), 8)
+    return rounded(harmonise.layer3(unsw_raw(spark, d), botiot_raw(spark, d)))
 
 
-@query("p30_layer1", "SELECT round(l_quantity, 4) AS packets, round(l_extendedprice, 4) AS bytes, round(l_discount, 4) AS loss, round(l_tax, 4) AS jitter, CAST(l_linenumber AS DOUBLE) AS port, (CASE WHEN l_returnflag <> 'N' THEN 1 ELSE 0 END)::INT AS y, 'firewall' AS src FROM lineitem")
+@query("p30_layer1", "SELECT l_linenumber::DOUBLE AS dst_port, (l_orderkey % 65536)::DOUBLE AS nat_src_port, round(l_extendedprice::DOUBLE, 4) AS total_bytes, l_quantity::DOUBLE AS pkt_count, (l_partkey % 50)::DOUBLE AS pkts_sent, (l_returnflag <> 'N')::INT AS y, 0::INT AS src FROM lineitem")
 def p30(spark, d):
-    return rounded(harmonise.layer1(table(spark, d, "lineitem")))
+    c = {
+        "Source Port": F.col("l_suppkey"), "Destination Port ": F.col("l_linenumber"), "NAT Source Port": F.col("l_orderkey") % 65536, "Action": F.when(F.col("l_returnflag") == "N", " Allow").otherwise("deny"),
+        "Bytes": F.col("l_extendedprice"), "Packets": F.col("l_quantity"), "pkts_sent": F.col("l_partkey") % 50,
+    }
+    raw = table(spark, d, "lineitem").select(*[x.alias(n) for n, x in c.items()])
+    return rounded(harmonise.layer1(harmonise.clean_firewall(raw)))
 
 
-FAM = "CASE event_type WHEN 'view' THEN 'benign' WHEN 'click' THEN 'dos' WHEN 'purchase' THEN 'web' END"
+CLASSES = ("BENIGN", "FTP-Patator", "SSH-Patator", "PortScan", "DDoS", "DoS GoldenEye", "DoS Hulk", "DoS Slowhttptest", "DoS slowloris", "Bot", "Infiltration", "Web Attack – Brute Force", "Web Attack – Sql Injection", "Web Attack – XSS")
+CLASS_SQL = "['" + "', '".join(CLASSES) + "'][event_id % 14 + 1]"
 
 
-@query("p31_family_map", f"SELECT event_id, {FAM} AS family FROM events")
+@query(
+    "p31_family_map",
+    f"SELECT event_id, CASE c WHEN 'BENIGN' THEN 'Benign' WHEN 'FTP-Patator' THEN 'FTP-Bruteforce' WHEN 'SSH-Patator' THEN 'SSH-Bruteforce' WHEN 'PortScan' THEN 'PortScan' WHEN 'DDoS' THEN 'DoS' WHEN 'DoS GoldenEye' THEN 'DoS' WHEN 'DoS Hulk' THEN 'DoS' WHEN 'DoS Slowhttptest' THEN 'DoS' "
+    f"WHEN 'DoS slowloris' THEN 'DoS' WHEN 'Bot' THEN 'Other' WHEN 'Infiltration' THEN 'Other' WHEN 'Web Attack – Brute Force' THEN 'Other' WHEN 'Web Attack – Sql Injection' THEN 'Other' WHEN 'Web Attack – XSS' THEN 'Other' END AS family FROM (SELECT event_id, {CLASS_SQL} AS c FROM events)",
+)
 def p31(spark, d):
-    return table(spark, d, "events").select("event_id", records.family_of(F.col("event_type"), {"view": "benign", "click": "dos", "purchase": "web"}).alias("family"))
+    name = F.get(F.array(*map(F.lit, CLASSES)), (F.col("event_id") % 14).cast("int"))
+    return table(spark, d, "events").select("event_id", records.family_of(name).alias("family"))
 
 
 @query("p32_time_block", f"WITH {PE} SELECT idx, ts // {DAY} AS block, ts // {DAY} * {DAY} AS block_start_ns FROM pe")
