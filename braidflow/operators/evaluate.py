@@ -115,16 +115,19 @@ def threshold_surface(df: DataFrame, a: str, b: str, cuts_a: list[float], cuts_b
 
 
 def bootstrap_mean(df: DataFrame, key: str, v: str, draws: int) -> DataFrame:
-    """Percentile interval of a mean: each replicate draws keys by a hash of replicate and place.
+    """Percentile interval of a mean: each replicate draws rows by a hash of replicate and place in the order of the numeric ``key``.
 
-    ``df`` holds one row per family or block, a few hundred at most, so the replicates are its small multiple.
+    Places come from chunks of the order, drawn rows are found by a join on their place, and a replicate is a grouped
+    average; only the ``draws`` averages meet.
     """
-    w = W.orderBy(key)
-    r = df.select((F.row_number().over(w) - 1).alias("_i"), F.col(v).alias("_v"), F.count("*").over(W.partitionBy(F.lit(0))).alias("_n"))
-    pick = F.conv(F.substring(F.sha2(F.concat_ws(":", "rep", "_i"), 256), 1, 7), 16, 10).cast("long") % F.col("_n")
-    places = r.select("_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("rep")).withColumn("_j", pick)
+    from .windows import running_sum
+
+    n = df.count()
+    r = running_sum(df.select(F.col(key).alias("_k"), F.col(v).alias("_v"), F.lit(1).cast("long").alias("_1")), "_k", "_1", 100_000).select((F.col("_upto") - 1).alias("_i"), "_v")
+    pick = F.conv(F.substring(F.sha2(F.concat_ws(":", "rep", "_i"), 256), 1, 7), 16, 10).cast("long") % F.lit(max(n, 1))
+    places = r.select("_i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("rep")).select("rep", pick.alias("_j"))
     values = r.select(F.col("_i").alias("_j"), "_v")
-    means = places.join(F.broadcast(values), "_j").groupBy("rep").agg(F.avg("_v").alias("m"))
+    means = places.join(values, "_j").groupBy("rep").agg(F.avg("_v").alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.avg("m").alias("mean"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 

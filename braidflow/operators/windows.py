@@ -21,7 +21,9 @@ def _prefix(packets: DataFrame, by: list[str], order: str, agg, combine, start,
     before = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*by, "_chunk", combine(F.col("_total")).over(before).alias("_before"))
     small = totals.limit(BROADCAST_CHUNKS + 1).count() <= BROADCAST_CHUNKS
-    p = p.join(F.broadcast(totals) if small else totals, [*by, "_chunk"])
+    here = totals.select(*[F.col(c).alias(f"_of_{n}") for n, c in enumerate([*by, "_chunk"])], "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{n}")) for n, c in enumerate([*by, "_chunk"])]
+    p = p.join(F.broadcast(here) if small else here, same).drop(*[f"_of_{n}" for n in range(len(same))])
     inside = W.partitionBy(*by, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return p.withColumn(name, start(F.col("_before"), agg, inside)).drop("_chunk", "_before")
 
@@ -37,6 +39,11 @@ def creation_numbers(packets: DataFrame, by: list[str], order: str, starts: Colu
     return _prefix(packets, by, order, n, F.sum, lambda b, agg, w: F.coalesce(b, F.lit(0).cast("long")) + agg.over(w), chunk, name)
 
 
+def running_sum(df: DataFrame, order: str, value: str, chunk: int = CHUNK, name: str = "_upto") -> DataFrame:
+    """Sum of ``value`` up to each row of the whole table, in the order of a numeric column without ties."""
+    return _prefix(df, [], order, F.sum(value), F.sum, lambda b, agg, w: F.coalesce(b, F.lit(0).cast("long")) + agg.over(w), chunk, name)
+
+
 def idle_generations(packets: DataFrame, by: list[str], order: list[str], clock: str, idle_ns: int, name: str = "generation") -> DataFrame:
     """Numbers a key's generations: a packet whose clock is at least ``idle_ns`` after the last packet's begins one."""
     w = W.partitionBy(*by).orderBy(*order)

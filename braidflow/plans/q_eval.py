@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -216,10 +218,16 @@ def d09(spark, d):
     return packets_l(spark, d).groupBy("flow").agg((F.count("*") >= 9).alias("paired"))
 
 
-@query("d10_oversample")
+@query(
+    "d10_oversample",
+    "WITH c AS (SELECT (l_quantity > 48)::INT AS y, count(*) AS n, min(l_extendedprice)::DOUBLE AS lo, max(l_extendedprice)::DOUBLE AS hi FROM lineitem GROUP BY 1), m AS (SELECT max(n) AS most, min(n) AS least, arg_min(y, n) AS small FROM c) SELECT y, FALSE AS made, n, TRUE AS within FROM c UNION ALL SELECT small, TRUE, most - least, TRUE FROM m WHERE most > 5 * least",
+)
 def d10(spark, d):
-    li = table(spark, d, "lineitem").filter("l_linenumber = 7").select("l_quantity", "l_discount", (F.col("l_quantity") > 48).cast("int").alias("y"))
-    return models.oversample(li, ["l_quantity", "l_discount"], "y", 1, 2).groupBy("y", "made").agg(F.count("*").alias("n"))
+    """Rows by class, given or made, and whether made ones lie within the range of their class."""
+    li = table(spark, d, "lineitem").select(*NUM, (F.col("l_quantity") > 48).cast("int").alias("y"))
+    r = li.groupBy("y").agg(*[f(c).cast("double").alias(f"{f.__name__}_{c}") for c in NUM for f in (F.min, F.max)])
+    inside = reduce(lambda a, b: a & b, (F.col(c).between(F.col(f"min_{c}") - 1e-6, F.col(f"max_{c}") + 1e-6) for c in NUM))
+    return models.oversample(li, NUM, "y").join(F.broadcast(r), "y").groupBy("y", "made").agg(F.count("*").alias("n"), F.bool_and(inside).alias("within"))
 
 
 # models
@@ -297,7 +305,12 @@ def m09(spark, d):
     return rounded(models.hbos_score(li, [*KEYS, "l_extendedprice"], models.hbos_fit(li, HB, 8, (0.1, 0.9)), HB, 8), 6)
 
 
-@query("m10_correlation_mask", "SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS kept")
+@query(
+    "m10_correlation_mask",
+    "WITH c AS (SELECT abs(corr(l_quantity, l_quantity * 2 + 1)) AS qt, abs(corr(l_quantity, l_discount)) AS qd, abs(corr(l_quantity, l_tax)) AS qx, abs(corr(l_quantity * 2 + 1, l_discount)) AS td, abs(corr(l_quantity * 2 + 1, l_tax)) AS tx, abs(corr(l_discount, l_tax)) AS dx FROM lineitem), "
+    "t AS (SELECT *, qt < 0.95 AS kt FROM c), k AS (SELECT *, qd < 0.95 AND NOT (kt AND td >= 0.95) AS kd FROM t), x AS (SELECT *, qx < 0.95 AND NOT (kt AND tx >= 0.95) AND NOT (kd AND dx >= 0.95) AS kx FROM k) "
+    "SELECT 'l_quantity' AS kept FROM x UNION ALL SELECT 'twin' FROM x WHERE kt UNION ALL SELECT 'l_discount' FROM x WHERE kd UNION ALL SELECT 'l_tax' FROM x WHERE kx",
+)
 def m10(spark, d):
     li = table(spark, d, "lineitem").withColumn("twin", F.col("l_quantity") * 2 + 1)
     kept = models.correlation_mask(li, ["l_quantity", "twin", "l_discount", "l_tax"], 0.95)
@@ -360,8 +373,6 @@ def m18(spark, d):
 
 @query("m19_candidate_thresholds", f"WITH {SC}, b AS (SELECT s, row_number() OVER (ORDER BY s) AS r, count(*) OVER () AS n FROM sc WHERE fam = 'view'), g AS (SELECT unnest([0.9::DOUBLE, 0.95, 0.99, 0.999]) AS q) SELECT DISTINCT round(s, 9) AS threshold FROM b, g WHERE r = ceil((n - 1) * q) + 1")
 def m19(spark, d):
-    from functools import reduce
-
     v = scored(spark, d).filter("fam = 'view'")
     parts = [ev.higher_quantile(v, [], "s", q) for q in (0.9, 0.95, 0.99, 0.999)]
     return rounded(reduce(lambda a, b: a.unionByName(b), parts), 9).distinct()
@@ -501,7 +512,7 @@ def q06(spark, d):
     return quality.leaking_blocks(packets_e(spark, d).select(b.alias("block"), F.when(b % 10 == 3, F.col("k") % 2).otherwise(0).alias("part")), ["block"], "part")
 
 
-@query("q07_checkpoint_chain", f"WITH {PL} SELECT 9 AS upper, 7 AS lower, 0::BIGINT AS missing UNION ALL SELECT 7, 5, 0 UNION ALL SELECT 5, 3, 0")
+@query("q07_checkpoint_chain", f"WITH {PL}, n AS (SELECT flow, max(ord) AS size FROM pl GROUP BY flow), ck AS (SELECT flow, k AS checkpoint FROM n, (VALUES (3), (5), (7), (9)) c(k) WHERE size >= k) SELECT p.hi::INT AS upper, p.lo::INT AS lower, (SELECT count(*) FROM ck a WHERE a.checkpoint = p.hi AND NOT EXISTS (SELECT 1 FROM ck b WHERE b.flow = a.flow AND b.checkpoint = p.lo)) AS missing FROM (VALUES (9, 7), (7, 5), (5, 3)) p(hi, lo)")
 def q07(spark, d):
     from ..operators.windows import checkpoints, with_flow_steps
 
@@ -522,7 +533,10 @@ def q10(spark, d):
     return quality.content_fingerprint(table(spark, d, "orders"))
 
 
-@query("q12_experiment_proof", "SELECT 0::BIGINT AS violations")
+@query(
+    "q12_experiment_proof",
+    "WITH r AS (SELECT event_type AS fam, CASE WHEN user_id % 10 < 7 THEN 'train' WHEN user_id % 10 < 8 THEN 'val' ELSE 'test' END AS part FROM events), f AS (SELECT DISTINCT fam AS holdout FROM r WHERE fam <> 'view'), e AS (SELECT holdout, CASE WHEN fam = holdout THEN 'test' ELSE part END AS role, count(*) FILTER (fam = holdout) AS held FROM r, f GROUP BY 1, 2) SELECT count(*) FILTER (role <> 'test' AND held > 0) AS violations FROM e",
+)
 def q12(spark, d):
     e = d05(spark, d)
     bad = (F.col("role") != "test") & (F.col("holdout_rows") > 0)
