@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .topk import top_per_group
+from .windows import running_max
 
 ALERT = "decision string, flow struct<source: struct<ip: string, port: int>>, evidence struct<flow_rf: struct<probability: double>>"
 TERMINAL = "decision struct<class: string, score: double>, alert struct<label: string, confidence: double>"
@@ -34,14 +35,13 @@ def clock_offsets(logs: DataFrame, by: str, wall: str, checkpoint: str, order: s
 def by_segment(alerts: DataFrame, segments: DataFrame, line: str, candidate: str) -> DataFrame:
     """Alerts with the replay segment whose line range holds them and a verdict: expected, unexpected or uncovered.
 
-    Segments come by starts and ends in one ordered window per log, so no range join is needed: the last start at or
-    before an alert's line is its segment if its end is not passed.
+    Segments and alerts lie in one order, so no range join is needed: the last start at or before an alert's line is its
+    segment if its end is not passed. The order is walked in chunks of lines, so that no log lands in one task.
     """
-    s = segments.select("log", F.col("from_line").alias("_l"), F.struct("segment", "to_line", "allowed").alias("_s"), F.lit(0).alias("_o"))
-    a = alerts.select("*", F.col(line).alias("_l"), F.lit(1).alias("_o"))
-    u = a.unionByName(s, allowMissingColumns=True)
-    last = F.last("_s", ignorenulls=True).over(W.partitionBy("log").orderBy("_l", "_o").rowsBetween(W.unboundedPreceding, 0))
-    u = u.withColumn("_in", last).filter("_o = 1")
+    place = lambda c, after: (2 * c.cast("long") + after).alias("_l")
+    s = segments.select("log", place(F.col("from_line"), 0), F.struct("from_line", "to_line", "segment", "allowed").alias("_s"), F.lit(0).alias("_o"))
+    a = alerts.select("*", place(F.col(line), 1), F.lit(1).alias("_o"))
+    u = running_max(a.unionByName(s, allowMissingColumns=True), ["log"], "_l", "_s", "_in").filter("_o = 1")
     inside = F.col("_in").isNotNull() & (F.col("_l") <= F.col("_in.to_line"))
     verdict = F.when(~inside | F.col("_in").isNull(), "uncovered").when(F.array_contains(F.col("_in.allowed"), F.col(candidate)), "expected").otherwise("unexpected")
     return u.withColumns({"verdict": verdict, "segment": F.when(inside, F.col("_in.segment"))}).drop("_l", "_s", "_o", "_in")

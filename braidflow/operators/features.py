@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rate, safe_divide
+from .windows import active_idle, causal_contexts
 
 #: The features in their order.
 NAMES = tuple(
@@ -18,6 +19,16 @@ NAMES = tuple(
     forward_payload_packet_count reverse_payload_packet_count payload_byte_count forward_payload_byte_count reverse_payload_byte_count
     payload_length_min payload_length_max payload_length_mean payload_length_std header_length_mean header_length_std""".split()
 )
+#: What a closed flow has besides, in its order.
+TERMINAL_NAMES = (
+    *NAMES,
+    *"""protocol_number forward_ttl_mean reverse_ttl_mean forward_wire_bit_rate_per_second reverse_wire_bit_rate_per_second active_mean_us idle_mean_us
+    context_same_destination_endpoint_flow_count_60s context_same_source_destination_flow_count_60s context_source_destination_distinct_destination_port_count_60s
+    first_observed_source_port first_observed_destination_port lifecycle_tcp_reset lifecycle_tcp_fin_handshake lifecycle_tcp_other lifecycle_udp""".split(),
+)
+TCP, UDP = 6, 17
+IDLE_GAP_NS = 5 * 10**9
+CONTEXT_BLOCK_NS = 60 * 10**9
 FLAG_BITS = {"syn": 2, "ack": 16, "fin": 1, "rst": 4, "psh": 8}
 PROFILES = {"A": 54, "B": 61, "C": 64, "D": 66, "E": 70}
 
@@ -81,6 +92,37 @@ def flow_vector(packets: DataFrame, by: list[str], extra: dict[str, Column] | No
     return g.select(*by, *NAMES, *(extra or {}))
 
 
+def terminal_vector(packets: DataFrame, by: list[str], capture: list[str], order: str, gap_ns: int = IDLE_GAP_NS, block_ns: int = CONTEXT_BLOCK_NS) -> DataFrame:
+    """``by`` and the 70 features of closed flows.
+
+    ``packets`` has what :func:`flow_vector` needs, ``order`` (the packet's place in its capture), ``watermark_ns`` (the
+    capture's clock), ``protocol`` (6 or 17), ``source_ip, source_port, destination_ip, destination_port``; ``capture``
+    names the columns of ``by`` that tell captures apart. Active and idle times follow the flow's own clock; a flow's
+    contexts count the flows that began up to it in its block of the capture's clock.
+    """
+    fw, rv = F.col("direction") == "forward", F.col("direction") == "reverse"
+    has = lambda bit: F.coalesce(F.col("tcp_flags").bitwiseAND(bit) != 0, F.lit(False))
+    first = {c: F.min_by(c, "ordinal") for c in ("protocol", "source_ip", "source_port", "destination_ip", "destination_port", "watermark_ns", order)}
+    extra = {f"_{n}": c for n, c in first.items()} | {
+        "forward_ttl_mean": F.avg(F.when(fw, F.col("ttl"))), "reverse_ttl_mean": F.coalesce(F.avg(F.when(rv, F.col("ttl"))), F.lit(0.0)),
+        "_fin_forward": F.bool_or(fw & has(FLAG_BITS["fin"])), "_fin_reverse": F.bool_or(rv & has(FLAG_BITS["fin"])),
+    }
+    v = flow_vector(packets, by, extra).join(active_idle(packets, by, ["ordinal"], "clock_ns", gap_ns), by)
+    v = v.withColumn("_block", F.floor(F.col("_watermark_ns") / F.lit(block_ns)).cast("long"))
+    v = causal_contexts(v, [*capture, "_block"], f"_{order}", "_source_ip", "_destination_ip", "_destination_port")
+    tcp = F.col("_protocol") == TCP
+    reset = tcp & (F.col("tcp_rst_count") > 0)
+    fin = tcp & ~reset & F.col("_fin_forward") & F.col("_fin_reverse")
+    more = {
+        "protocol_number": F.col("_protocol"), "forward_ttl_mean": F.col("forward_ttl_mean"), "reverse_ttl_mean": F.col("reverse_ttl_mean"),
+        "forward_wire_bit_rate_per_second": rate(F.col("forward_wire_byte_count") * 8, F.col("flow_age_us")), "reverse_wire_bit_rate_per_second": rate(F.col("reverse_wire_byte_count") * 8, F.col("flow_age_us")),
+        "active_mean_us": F.col("active_mean_us"), "idle_mean_us": F.col("idle_mean_us"), "context_same_destination_endpoint_flow_count_60s": F.col("same_endpoint"), "context_same_source_destination_flow_count_60s": F.col("same_pair"),
+        "context_source_destination_distinct_destination_port_count_60s": F.col("distinct_ports"), "first_observed_source_port": F.col("_source_port"), "first_observed_destination_port": F.col("_destination_port"),
+        "lifecycle_tcp_reset": reset, "lifecycle_tcp_fin_handshake": fin, "lifecycle_tcp_other": tcp & ~reset & ~fin, "lifecycle_udp": ~tcp,
+    }
+    return v.select(*by, *NAMES, *[c.cast("double").alias(n) for n, c in more.items()])
+
+
 def profile_columns(profile: str, names: tuple[str, ...]) -> list[str]:
     """The leading features that a profile may see."""
     return list(names[: PROFILES[profile]])

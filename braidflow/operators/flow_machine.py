@@ -147,35 +147,78 @@ def resolve_passive(closes: DataFrame, packets: DataFrame, policy: FlowPolicy =
     """Passive ends as idle_timeout, maximum_age or end_of_input.
 
     The first clock value of the capture at or over the earlier deadline decides: idle if it also passes the idle
-    deadline. Clock values are kept once each and put in bins; a deadline looks in its own bin, else takes the least
-    value of the next bin that has one (a window over the capture's bins, not its packets).
+    deadline. Deadlines and distinct clock values lie in one order, in bins of time: a window runs through each bin from
+    its end, and where a bin has no later clock, the next bin's first one is taken (a window over the capture's bins).
+    Nothing is joined but one row for each bin.
     """
     bin_of = lambda c: F.floor(c / F.lit(bin_ns)).cast("long")
-    clock = packets.select("capture_id", F.col("watermark_ns").alias("_c")).distinct().withColumn("_b", bin_of(F.col("_c")))
     idle, age = F.col("last_event_ns") + policy.idle_ns, F.col("creation_ns") + policy.max_age_ns
-    p = closes.withColumns({"_idle": idle, "_due": F.least(idle, age)}).withColumn("_b", bin_of(F.col("_due")))
-    keys = ["capture_id", "flow_key", "generation"]
-    inside = p.filter(F.col("reason") == PASSIVE).join(clock, ["capture_id", "_b"]).filter(F.col("_c") >= F.col("_due")).groupBy(*keys).agg(F.min("_c").alias("_in"))
-    bins = clock.groupBy("capture_id", "_b").agg(F.min("_c").alias("_first"))
-    asked = p.select("capture_id", "_b").distinct().join(bins, ["capture_id", "_b"], "full_outer")
-    later = F.first("_first", ignorenulls=True).over(W.partitionBy("capture_id").orderBy("_b").rowsBetween(1, W.unboundedFollowing))
-    nxt = asked.select("capture_id", "_b", later.alias("_next"))
-    j = p.join(inside, keys, "left").join(nxt, ["capture_id", "_b"], "left").withColumn("_at", F.coalesce("_in", "_next"))
-    named: Column = F.when(F.col("_at").isNull(), "end_of_input").when(F.col("_at") >= F.col("_idle"), "idle_timeout").otherwise("maximum_age")
-    return j.withColumn("reason", F.when(F.col("reason") == PASSIVE, named).otherwise(F.col("reason"))).drop("_idle", "_due", "_b", "_in", "_next", "_at")
+    due = F.when(F.col("reason") == PASSIVE, F.least(idle, age))
+    asked = closes.withColumns({"_v": due, "_clock": F.lit(None).cast("long")}).withColumn("_b", bin_of(F.col("_v")))
+    clock = packets.select("capture_id", F.col("watermark_ns").alias("_v")).distinct().withColumns({"_clock": F.col("_v"), "_b": bin_of(F.col("_v"))})
+    bins = clock.groupBy("capture_id", "_b").agg(F.min("_v").alias("_first")).unionByName(asked.filter("_v is not null").select("capture_id", "_b").distinct(), allowMissingColumns=True)
+    bins = bins.groupBy("capture_id", "_b").agg(F.min("_first").alias("_first"))
+    later = F.last("_first", ignorenulls=True).over(W.partitionBy("capture_id").orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1))
+    bins = bins.select(F.col("capture_id").alias("_cap"), F.col("_b").alias("_bin"), later.alias("_next"))
+    back = W.partitionBy("capture_id", "_b").orderBy(F.desc("_v"), F.col("_clock").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    placed = asked.filter("_v is not null").unionByName(clock, allowMissingColumns=True).withColumn("_in", F.last("_clock", ignorenulls=True).over(back)).filter("_clock is null")
+    j = placed.join(bins, F.col("capture_id").eqNullSafe(F.col("_cap")) & (F.col("_b") == F.col("_bin")), "left").withColumn("_at", F.coalesce("_in", "_next"))
+    named: Column = F.when(F.col("_at").isNull(), "end_of_input").when(F.col("_at") >= idle, "idle_timeout").otherwise("maximum_age")
+    done = j.withColumn("reason", named).select(*closes.columns)
+    return done.unionByName(closes.filter(F.col("reason") != PASSIVE))
+
+
+#: Destinations and ports of background traffic, which is no flow of the second definition.
+MULTICAST = ("224.", "239.")
+BACKGROUND_PORTS = (53, 67, 68, 123, 1900, 5353)
+
+
+def is_background(destination_ip: Column, protocol: Column, destination_port: Column) -> Column:
+    many = F.startswith(destination_ip, F.lit(MULTICAST[0])) | F.startswith(destination_ip, F.lit(MULTICAST[1]))
+    return F.coalesce(many, F.lit(False)) | ((protocol == 17) & destination_port.isin(*BACKGROUND_PORTS))
 
 
 def simple_flows(packets: DataFrame, idle_ns: int = 120 * 10**9) -> DataFrame:
     """The second flow definition: FIN or RST ends a flow with that packet, 120 s of silence before the next; flows of one packet are dropped.
 
     Only differences to the packet before matter, so it is windows: a packet starts a flow if it is the key's first,
-    comes after the pause, or follows an ending packet.
+    comes after the pause, or follows an ending packet. Keys are those of one capture if there is a ``capture_id``.
     """
-    w = W.partitionBy("flow_key").orderBy("packet_index")
-    ends = F.lag(F.col("tcp_flags").bitwiseAND(FIN | RST) != 0).over(w)
-    late = F.col("timestamp_ns") - F.lag("timestamp_ns").over(w) > idle_ns
-    p = packets.withColumn("_new", F.coalesce(late | ends, F.lit(True)).cast("int")).withColumn("flow", F.sum("_new").over(w))
-    f = p.groupBy("flow_key", "flow").agg(
+    keys = [c for c in ("capture_id", "flow_key") if c in packets.columns]
+    f = _numbered(packets, keys, idle_ns).groupBy(*keys, "flow").agg(
         F.count("*").alias("packets"), F.min("timestamp_ns").alias("start_ns"), F.max("timestamp_ns").alias("end_ns"), F.sum("wire_length").alias("bytes"), F.min_by("source", "packet_index").alias("forward_source")
     )
     return f.filter("packets >= 2")
+
+
+def _numbered(packets: DataFrame, keys: list[str], idle_ns: int) -> DataFrame:
+    w = W.partitionBy(*keys).orderBy("packet_index")
+    ends = F.lag(F.coalesce(F.col("tcp_flags").bitwiseAND(FIN | RST) != 0, F.lit(False))).over(w)
+    late = F.col("timestamp_ns") - F.lag("timestamp_ns").over(w) > idle_ns
+    return packets.withColumn("_new", F.coalesce(late | ends, F.lit(True)).cast("int")).withColumn("flow", F.sum("_new").over(w))
+
+
+def simple_features(packets: DataFrame, idle_ns: int = 120 * 10**9) -> DataFrame:
+    """Keys, ``flow`` and the 15 features (with origin ``src``) of every flow of :func:`simple_flows`, without background traffic.
+
+    ``packets`` has ``destination_ip, destination_port, protocol, tcp_window`` besides. The forward side is that of the
+    flow's first packet; ``active_mean`` is the mean of the positive gaps, in seconds.
+    """
+    keys = [c for c in ("capture_id", "flow_key") if c in packets.columns]
+    quiet = packets.filter(~is_background(F.col("destination_ip"), F.col("protocol"), F.col("destination_port")))
+    p = _numbered(quiet, keys, idle_ns)
+    w = W.partitionBy(*keys, "flow").orderBy("packet_index")
+    gap = F.col("timestamp_ns") - F.lag("timestamp_ns").over(w)
+    p = p.withColumns({"_gap": F.when(gap > 0, gap / 1e9), "_fw": F.col("source") == F.first("source").over(w)})
+    at, size = F.col("packet_index"), F.col("wire_length")
+    side = lambda on, x: F.sum(F.when(on, x).otherwise(0))
+    flag = lambda bit: F.max(F.coalesce(F.col("tcp_flags").bitwiseAND(bit) != 0, F.lit(False)).cast("int"))
+    dur = (F.max_by("timestamp_ns", at) - F.min_by("timestamp_ns", at)) / 1000
+    f = p.groupBy(*keys, "flow").agg(
+        F.count("*").alias("_n"), F.min_by("destination_port", at).alias("dst_port"), dur.alias("flow_dur_us"), side(F.col("_fw"), 1).alias("fwd_pkts"), side(F.col("_fw"), size).alias("fwd_bytes"),
+        side(~F.col("_fw"), 1).alias("bwd_pkts"), side(~F.col("_fw"), size).alias("bwd_bytes"), F.min(size).alias("pkt_len_min"), F.avg(size).alias("pkt_len_avg"), (F.sum(size) / F.greatest(dur / 1e6, F.lit(1e-9))).alias("flow_bytes_s"),
+        flag(8).alias("psh_flag"), flag(ACK).alias("ack_flag"), flag(FIN).alias("fin_flag"), F.coalesce(F.min_by("tcp_window", at), F.lit(0)).alias("init_win_fwd"), F.coalesce(F.avg("_gap"), F.lit(0.0)).alias("active_mean"),
+        F.min_by(F.when(F.col("protocol").isin(6, 17), F.col("protocol")).otherwise(0), at).alias("protocol_enc"),
+    )
+    names = [c for c in f.columns if c not in (*keys, "flow", "_n")]
+    return f.filter("_n >= 2").select(*keys, "flow", *[F.col(c).cast("double").alias(c) for c in names], F.lit(0).alias("src"))

@@ -33,6 +33,11 @@ def running_watermark(packets: DataFrame, by: list[str], order: str, ts: str = "
     return _prefix(packets, by, order, F.max(ts), F.max, lambda b, agg, w: F.greatest(b, agg.over(w)), chunk, name)
 
 
+def running_max(df: DataFrame, by: list[str], order: str, value: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Greatest ``value`` up to each row of a capture; nulls do not count."""
+    return _prefix(df, by, order, F.max(value), F.max, lambda b, agg, w: F.greatest(b, agg.over(w)), chunk, name)
+
+
 def creation_numbers(packets: DataFrame, by: list[str], order: str, starts: Column, chunk: int = CHUNK, name: str = "generation") -> DataFrame:
     """Number of the generation starts so far in a capture."""
     n = F.sum(starts.cast("long"))
@@ -130,15 +135,28 @@ def peak_concurrency(flows: DataFrame, start: str, end: str, by: list[str], buck
     return top.select(*by, F.col("m.open").alias("peak"), (-F.col("m.col2")).alias("peak_at"))
 
 
+def value_before(df: DataFrame, by: list[str], order: str, value: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """The value of the row before in the order of a whole capture (null for its first row), in two phases as in :func:`running_watermark`."""
+    p = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("long"))
+    ends = p.groupBy(*by, "_chunk").agg(F.max_by(F.struct(value), order).alias("_last"))
+    ends = ends.select(*[F.col(c).alias(f"_of_{n}") for n, c in enumerate([*by, "_chunk"])], F.lag("_last").over(W.partitionBy(*by).orderBy("_chunk")).alias("_last"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{n}")) for n, c in enumerate([*by, "_chunk"])]
+    small = ends.limit(BROADCAST_CHUNKS + 1).count() <= BROADCAST_CHUNKS
+    p = p.join(F.broadcast(ends) if small else ends, same).drop(*[f"_of_{n}" for n in range(len(same))])
+    w = W.partitionBy(*by, "_chunk").orderBy(order)
+    first = F.row_number().over(w) == 1
+    return p.withColumn(name, F.when(first, F.col(f"_last.{value}")).otherwise(F.lag(value).over(w))).drop("_chunk", "_last")
+
+
 def time_regressions(packets: DataFrame, by: list[str], order: str, ts: str) -> DataFrame:
     """Equal and decreasing neighbours in capture order."""
-    d = packets.select(*by, (F.col(ts) - F.lag(ts).over(W.partitionBy(*by).orderBy(order))).alias("d"))
+    d = value_before(packets.select(*by, order, ts), by, order, ts, "_before").select(*by, (F.col(ts) - F.col("_before")).alias("d"))
     return d.groupBy(*by).agg(F.count_if(F.col("d") == 0).alias("duplicates"), F.count_if(F.col("d") < 0).alias("regressions"))
 
 
 def epochs(lines: DataFrame, by: list[str], order: str, ready: Column, name: str = "epoch") -> DataFrame:
     """Number of ready events so far: a sensor's runtime."""
-    return lines.withColumn(name, F.sum(ready.cast("long")).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    return creation_numbers(lines, by, order, ready, name=name)
 
 
 def incidents(alerts: DataFrame, by: list[str], order: str, checkpoint: str) -> DataFrame:

@@ -156,8 +156,10 @@ def alerts(spark, d):
 
 @query("w25_alert_order", f"WITH {EPOCHS}, o AS (SELECT sensor, epoch, ts - lag(ts) OVER w AS dt, wire - lag(wire) OVER w AS ds FROM al WINDOW w AS (PARTITION BY sensor, epoch ORDER BY idx)) SELECT sensor, count(DISTINCT epoch) AS epochs, count(*) FILTER (dt < 0) AS time_regressions, count(*) FILTER (ds < 0) AS sequence_regressions FROM o GROUP BY sensor")
 def w25(spark, d):
-    w = W.partitionBy("sensor", "epoch").orderBy("idx")
-    a = alerts(spark, d).select("sensor", "epoch", (F.col("timestamp_ns") - F.lag("timestamp_ns").over(w)).alias("dt"), (F.col("wire_length") - F.lag("wire_length").over(w)).alias("ds"))
+    a = alerts(spark, d).withColumn("here", F.struct("epoch", "timestamp_ns", "wire_length"))
+    a = win.value_before(a, ["sensor"], "idx", "here", "past")
+    same = F.col("past.epoch") == F.col("epoch")
+    a = a.select("sensor", "epoch", F.when(same, F.col("timestamp_ns") - F.col("past.timestamp_ns")).alias("dt"), F.when(same, F.col("wire_length") - F.col("past.wire_length")).alias("ds"))
     return a.groupBy("sensor").agg(F.count_distinct("epoch").alias("epochs"), F.count_if(F.col("dt") < 0).alias("time_regressions"), F.count_if(F.col("ds") < 0).alias("sequence_regressions"))
 
 
@@ -219,6 +221,36 @@ def a03(spark, d):
     )
 
 
+FULL = f"""{PLS}, plu AS (SELECT * REPLACE (CASE WHEN cust % 4 = 0 THEN NULL ELSE flags END AS flags, CASE WHEN cust % 4 = 0 THEN NULL ELSE win END AS win), cust % 4 = 0 AS udp FROM pls), caps AS (SELECT flow, ord, max(ts) OVER (PARTITION BY cap ORDER BY flow * 100 + ord) AS wm FROM plu)"""
+
+
+@query(
+    "a03_terminal_vector",
+    f"""WITH {FULL}, st AS (SELECT *, clock - lag(clock) OVER (PARTITION BY flow ORDER BY ord) AS step FROM plu), il AS (SELECT *, count(*) FILTER (step > {30 * MILLI}) OVER (PARTITION BY flow ORDER BY ord) AS island FROM st),
+seg AS (SELECT flow, island, max(clock) - min(clock) AS active, max(CASE WHEN step > {30 * MILLI} THEN step END) AS idle FROM il GROUP BY flow, island), ai AS (SELECT flow, avg(active) / 1000 AS am, coalesce(avg(idle) / 1000, 0) AS im FROM seg GROUP BY flow),
+x AS (SELECT flow, min(cap) AS cap, bool_or(udp) AS udp, coalesce(avg(ttl) FILTER (dir = 'forward'), 0) AS ft, coalesce(avg(ttl) FILTER (dir = 'reverse'), 0) AS rt, coalesce(bool_or(flags & 1 <> 0) FILTER (dir = 'forward'), FALSE) AS ff, coalesce(bool_or(flags & 1 <> 0) FILTER (dir = 'reverse'), FALSE) AS fr,
+  min_by(supp, ord) % 5 AS src, min_by(part, ord) % 7 AS dst, min_by(supp, ord) % 1000 AS sport, min_by(part, ord) % 3 AS dport FROM plu GROUP BY flow),
+b AS (SELECT x.*, wm // {60 * MILLI} AS block FROM x JOIN caps ON caps.flow = x.flow AND caps.ord = 1), f1 AS (SELECT *, row_number() OVER (PARTITION BY cap, block, src, dst, dport ORDER BY flow) = 1 AS novel FROM b),
+cx AS (SELECT *, count(*) OVER (PARTITION BY cap, block, dst, dport ORDER BY flow) AS c1, count(*) OVER (PARTITION BY cap, block, src, dst ORDER BY flow) AS c2, sum(novel::INT) OVER (PARTITION BY cap, block, src, dst ORDER BY flow) AS c3 FROM f1),
+v AS ({vector_sql('plu', 'flow')})
+SELECT v.*, (CASE WHEN udp THEN 17 ELSE 6 END)::DOUBLE AS protocol_number, round(ft, 4) AS forward_ttl_mean, round(rt, 4) AS reverse_ttl_mean, round(CASE WHEN flow_age_us > 0 THEN forward_wire_byte_count * 8 * 1e6 / flow_age_us ELSE 0 END, 4) AS forward_wire_bit_rate_per_second,
+round(CASE WHEN flow_age_us > 0 THEN reverse_wire_byte_count * 8 * 1e6 / flow_age_us ELSE 0 END, 4) AS reverse_wire_bit_rate_per_second, round(am, 4) AS active_mean_us, round(im, 4) AS idle_mean_us, c1::DOUBLE AS context_same_destination_endpoint_flow_count_60s, c2::DOUBLE AS context_same_source_destination_flow_count_60s,
+c3::DOUBLE AS context_source_destination_distinct_destination_port_count_60s, sport::DOUBLE AS first_observed_source_port, dport::DOUBLE AS first_observed_destination_port, (NOT udp AND tcp_rst_count > 0)::INT::DOUBLE AS lifecycle_tcp_reset,
+(NOT udp AND tcp_rst_count = 0 AND ff AND fr)::INT::DOUBLE AS lifecycle_tcp_fin_handshake, (NOT udp AND tcp_rst_count = 0 AND NOT (ff AND fr))::INT::DOUBLE AS lifecycle_tcp_other, udp::INT::DOUBLE AS lifecycle_udp FROM v JOIN ai USING (flow) JOIN cx USING (flow)""",
+)
+def a03_vector(spark, d):
+    p = packets_l(spark, d).withColumn("place", F.col("flow") * 100 + F.col("ord"))
+    udp = F.col("cust") % 4 == 0
+    p = p.withColumns(
+        {
+            "protocol": F.when(udp, 17).otherwise(6), "tcp_flags": F.when(~udp, F.col("tcp_flags")), "tcp_window": F.when(~udp, F.col("tcp_window")), "source_ip": F.col("supp") % 5, "destination_ip": F.col("part") % 7,
+            "source_port": F.col("supp") % 1000, "destination_port": F.col("part") % 3,
+        }
+    )
+    p = win.with_flow_steps(win.running_watermark(p, ["cap"], "place"), ["cap", "flow"], ["ord"])
+    return rounded(features.terminal_vector(p, ["cap", "flow"], ["cap"], "place", 30 * MILLI, 60 * MILLI).drop("cap"))
+
+
 @query("s02_capture_accounting", f"WITH {PE} SELECT kind AS cap, count(*) AS records, count(*) FILTER (wire % 10 <> 0) AS parsed, count(*) FILTER (wire % 10 = 0) AS errors, sum(wire)::BIGINT AS wire_bytes, sum(least(wire, 96))::BIGINT AS captured_bytes FROM pe GROUP BY kind")
 def s02(spark, d):
     p = packets_e(spark, d).withColumns({"ok": F.col("wire_length") % 10 != 0, "captured": F.least("wire_length", F.lit(96))})
@@ -363,6 +395,26 @@ def w21(spark, d):
     return flow_machine.simple_flows(p, 400 * MILLI).drop("flow")
 
 
+@query(
+    "w21_simple_features",
+    f"""WITH {PL}, q0 AS (SELECT cap, cust, flow * 100 + ord AS i, ts, flags, wire, win, supp % 2 AS src, part % 100 AS dport, CASE WHEN cust % 4 = 0 THEN 17 WHEN cust % 9 = 1 THEN 1 ELSE 6 END AS proto, CASE WHEN part % 31 = 0 THEN '224.0.0.1' ELSE '10.0.0.1' END AS dip FROM pl),
+q AS (SELECT * FROM q0 WHERE dip NOT LIKE '224.%' AND dip NOT LIKE '239.%' AND NOT (proto = 17 AND dport IN (53, 67, 68, 123, 5353, 1900))),
+n AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > {400 * 10**6} OR (lag(flags) OVER w & 5) <> 0 THEN 1 ELSE 0 END AS new FROM q WINDOW w AS (PARTITION BY cap, cust ORDER BY i)), f AS (SELECT *, sum(new) OVER (PARTITION BY cap, cust ORDER BY i)::BIGINT AS flow FROM n),
+g AS (SELECT *, ts - lag(ts) OVER w AS gap, src = first_value(src) OVER w AS fw FROM f WINDOW w AS (PARTITION BY cap, cust, flow ORDER BY i)),
+a AS (SELECT cap, cust, flow, count(*) AS n, min_by(dport, i) AS dst_port, (max_by(ts, i) - min_by(ts, i)) / 1000 AS dur, count(*) FILTER (fw) AS fp, coalesce(sum(wire) FILTER (fw), 0) AS fb, count(*) FILTER (NOT fw) AS bp, coalesce(sum(wire) FILTER (NOT fw), 0) AS bb, min(wire) AS lo, avg(wire) AS av, sum(wire) AS tot,
+  max((flags & 8 <> 0)::INT) AS psh, max((flags & 16 <> 0)::INT) AS ack, max((flags & 1 <> 0)::INT) AS fin, min_by(win, i) AS w0, coalesce(avg(gap) FILTER (gap > 0) / 1e9, 0) AS act, min_by(CASE WHEN proto IN (6, 17) THEN proto ELSE 0 END, i) AS proto FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 2)
+SELECT cap AS capture_id, cust::VARCHAR AS flow_key, flow, dst_port::DOUBLE AS dst_port, round(dur, 4) AS flow_dur_us, fp::DOUBLE AS fwd_pkts, fb::DOUBLE AS fwd_bytes, bp::DOUBLE AS bwd_pkts, bb::DOUBLE AS bwd_bytes, lo::DOUBLE AS pkt_len_min, round(av, 4) AS pkt_len_avg, round(tot / greatest(dur / 1e6, 1e-9), 2) AS flow_bytes_s,
+psh::DOUBLE AS psh_flag, ack::DOUBLE AS ack_flag, fin::DOUBLE AS fin_flag, w0::DOUBLE AS init_win_fwd, round(act, 4) AS active_mean, proto::DOUBLE AS protocol_enc, 0::INT AS src FROM a""",
+)
+def w21_features(spark, d):
+    c = F.col("cust")
+    p = packets_l(spark, d).select(
+        F.col("cap").alias("capture_id"), c.cast("string").alias("flow_key"), (F.col("flow") * 100 + F.col("ord")).alias("packet_index"), "timestamp_ns", "tcp_flags", "wire_length", "tcp_window", (F.col("supp") % 2).alias("source"),
+        (F.col("part") % 100).alias("destination_port"), F.when(c % 4 == 0, 17).when(c % 9 == 1, 1).otherwise(6).alias("protocol"), F.when(F.col("part") % 31 == 0, "224.0.0.1").otherwise("10.0.0.1").alias("destination_ip"),
+    )
+    return rounded(flow_machine.simple_features(p, 400 * MILLI)).withColumn("flow_bytes_s", F.round("flow_bytes_s", 2))
+
+
 @query("w29_close_order")
 def w29(spark, d):
     c = machine_closes(spark, d)
