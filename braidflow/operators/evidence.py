@@ -42,7 +42,7 @@ def by_segment(alerts: DataFrame, segments: DataFrame, line: str, candidate: str
     s = segments.select("log", place(F.col("from_line"), 0), F.struct("from_line", "to_line", "segment", "allowed").alias("_s"), F.lit(0).alias("_o"))
     a = alerts.select("*", place(F.col(line), 1), F.lit(1).alias("_o"))
     u = running_max(a.unionByName(s, allowMissingColumns=True), ["log"], "_l", "_s", "_in").filter("_o = 1")
-    inside = F.col("_in").isNotNull() & (F.col("_l") <= F.col("_in.to_line"))
+    inside = F.col("_in").isNotNull() & (F.col(line) <= F.col("_in.to_line"))
     verdict = F.when(~inside | F.col("_in").isNull(), "uncovered").when(F.array_contains(F.col("_in.allowed"), F.col(candidate)), "expected").otherwise("unexpected")
     return u.withColumns({"verdict": verdict, "segment": F.when(inside, F.col("_in.segment"))}).drop("_l", "_s", "_o", "_in")
 
