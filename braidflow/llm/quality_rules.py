@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, written
+from .common import bounded_sample, broadcast_if, written
 from .doc_stats import FEATURES, bin_of, thresholds, with_stats
 
 
@@ -153,7 +153,7 @@ def verdict(rules: list[list[Test]]) -> Column:
 def labelled_stats(docs: DataFrame, labels: DataFrame, params: Params) -> DataFrame:
     """Statistics of a bounded sample of the labelled documents, with ``y = 1`` for quality 0."""
     known = bounded_sample(labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality"), "doc_id", params.sample_rows)
-    texts = docs.select("doc_id", "text").join(known, "doc_id")
+    texts = docs.select("doc_id", "text").join(broadcast_if(known, 4 * params.sample_rows), "doc_id")  # texts stay where they are
     stats = with_stats(texts).select((1 - F.col("quality")).cast("int").alias("y"), *FEATURES)
     return written(stats, "rules-sample")
 
