@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, small_enough, written
+from .common import bounded_sample, broadcast_if, small_enough, written
 from .doc_stats import FEATURES, bin_of, thresholds, with_stats
 
 BROADCAST_ROWS = 20_000
@@ -41,7 +41,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, bins: int = 16) -> Model:
     """Learns the evidence from at most about ``sample_rows`` labelled documents (a hash sample)."""
     known = bounded_sample(labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality"), "doc_id", sample_rows)
-    stats = with_stats(docs.select("doc_id", "text").join(known, "doc_id")).select(F.col("quality").cast("int").alias("y"), *FEATURES).persist()
+    stats = with_stats(docs.select("doc_id", "text").join(broadcast_if(known, 4 * sample_rows), "doc_id")).select(F.col("quality").cast("int").alias("y"), *FEATURES).persist()
     try:
         cuts = thresholds(stats, bins)
         binned = stats.select("y", *[bin_of(f, cuts[f]).alias(f) for f in FEATURES])
