@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidflow.llm import bpe, decontaminate, pii, quality_classifier, simhash
-from braidflow.llm.common import row_key, table, written
+from braidflow.llm.common import broadcast_if, discard, row_key, table, written
 from braidflow.llm.queries import document_site
 
+#: Keys (of 16 bytes) that may be broadcast.
+FEW_ROWS = 500_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
@@ -34,9 +37,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = kept.select(F.col("doc_id").alias("_k"), F.col("row").alias("_r"), "n")
     out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("row") == F.col("_r")), "left_anti").select(F.col("doc_id").alias("_k"), F.col("row").alias("_r"))
     repeated = kept.filter("n > 1").drop("n")
+    # the keys of what goes are written and counted: if they are few, texts stay where they are
+    gone = broadcast_if(written(out.unionByName(repeated), "group-gone"), FEW_ROWS)
+    repeated = broadcast_if(written(repeated, "group-repeated"), FEW_ROWS)
     keyed = docs.withColumn("_row", row_key(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r"))
-    single = keyed.join(out.unionByName(repeated), same, "left_anti")
+    single = keyed.join(gone, same, "left_anti")
     return single.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_row"])).select(*docs.columns)
 
 
@@ -68,8 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's result is written as Parquet, read again by the next, and deleted after that one's."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
