@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,11 +23,33 @@ def score_stream(flows: DataFrame, model: PipelineModel, threshold: float, votes
     return p.withColumn("line", F.to_json(F.struct("decision", F.struct(F.col("p").alias("probability")).alias("evidence"))))
 
 
+#: A nested alert line, as far as a flat row needs it.
+BRIDGED = (
+    "decision string, packet_count bigint, flow struct<protocol: string, source: struct<ip: string, port: int>, destination: struct<ip: string, port: int>>, "
+    "evidence struct<flow_rf: struct<attack_probability: double>, known_family: struct<top_candidate: string, confidence: double>>"
+)
+
+
 def bridge(lines: DataFrame, column: str = "value") -> DataFrame:
     """Tail of an alert log as flat rows."""
     return flatten_alerts(lines, column).drop(column)
 
 
+def replay_bridge(lines: DataFrame, attempt: Column, run_label: Column, model: str = "F9", column: str = "value") -> DataFrame:
+    """Alert lines as flat dashboard rows with their replay: family and run follow from ``attempt`` (such as ``f9-dos-hulk``).
+
+    Works on streams and batches. Lines that are no JSON, or have no decision, are left out.
+    """
+    a = F.from_json(column, BRIDGED, {"mode": "PERMISSIVE"})
+    end = lambda side: F.concat_ws(":", F.coalesce(F.col(f"_a.flow.{side}.ip"), F.lit("None")), F.coalesce(F.col(f"_a.flow.{side}.port").cast("string"), F.lit("None")))
+    p = lines.withColumn("_a", a).filter("_a.decision is not null")
+    return p.select(
+        F.lit(model).alias("model"), F.col("_a.decision").alias("decision"), F.col("_a.evidence.known_family.top_candidate").alias("candidate"), F.round("_a.evidence.flow_rf.attack_probability", 6).alias("flow_rf_probability"),
+        F.round("_a.evidence.known_family.confidence", 6).alias("confidence"), end("source").alias("source"), end("destination").alias("destination"), F.upper(F.coalesce("_a.flow.protocol", F.lit("?"))).alias("protocol"),
+        run_label.alias("run"), F.regexp_replace(attempt, "^f9-", "").alias("replay_family"), attempt.alias("replay_run"), F.col("_a.packet_count").alias("packet_count"),
+    )
+
+
 def distinct_alerts(alerts: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """First alert of each key within the delay; the state of older keys is dropped."""
     return alerts.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
@@ -46,13 +69,16 @@ def digest(alerts: DataFrame, seen: DataFrame | None, cap: int, total: int) -> D
     return round_robin(a, "candidate", [F.desc("confidence"), F.asc("line")], cap, total)
 
 
-def digest_stream(alerts: DataFrame, seen_path: str, send: Callable[[DataFrame, int], None], checkpoint: str, cap: int = 3, total: int = 20) -> StreamingQuery:
-    """Sends a digest of every micro-batch and remembers the sent identities in a Parquet table, one folder for each batch (written again after a failure)."""
+def digest_stream(alerts: DataFrame, seen_path: str, send: Callable[[DataFrame, int], None], checkpoint: str, cap: int = 3, total: int = 20, window_hours: float = 24.0, now: Callable[[], float] = time.time) -> StreamingQuery:
+    """Sends a digest of every micro-batch and remembers the sent identities in a Parquet table, one folder for each batch (written again after a failure).
+
+    An identity that was sent less than ``window_hours`` ago is not told again; after that it is news. 0 remembers nothing.
+    """
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         try:
-            seen = spark.read.parquet(seen_path).filter(F.col("epoch") < epoch)
+            seen = spark.read.schema("identity string, sent_at double, epoch bigint").parquet(seen_path).filter((F.col("epoch") < epoch) & (F.col("sent_at") > now() - window_hours * 3600))
         except Exception as e:  # noqa: BLE001  no table yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -60,7 +86,7 @@ def digest_stream(alerts: DataFrame, seen_path: str, send: Callable[[DataFrame,
         best = digest(batch, seen, cap, total).persist()
         try:
             send(best, epoch)
-            best.select("identity").write.mode("overwrite").parquet(f"{seen_path}/epoch={epoch}")
+            best.select("identity", F.lit(now()).alias("sent_at")).write.mode("overwrite").parquet(f"{seen_path}/epoch={epoch}")
         finally:
             best.unpersist()
 

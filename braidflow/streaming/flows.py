@@ -15,60 +15,83 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.flow_machine import PASSIVE, Flow, FlowPolicy, closed, step
+from .totals import Totals
 
-FLOW_EVENTS = "flow_key string, event string, generation bigint, ordinal bigint, at_ns bigint, reason string, creation_ns bigint, last_event_ns bigint, packets bigint"
+FLOW_EVENTS = (
+    "capture_id string, flow_key string, event string, generation bigint, ordinal bigint, at_ns bigint, reason string, creation_ns bigint, last_event_ns bigint, packets bigint, features array<double>"
+)
 COLUMNS = [x.split()[0] for x in FLOW_EVENTS.split(", ")]
 CHECKPOINTS = (3, 5, 7, 9)
+#: What a packet brings for the features; without these columns a stream gives events alone.
+MEASURED = ("wire_length", "payload_length", "header_length", "ttl", "tcp_window", "protocol", "source_port", "destination_port")
+
+
+def _int(x, absent: int | None = 0) -> int | None:
+    """A column's integer; pandas has NaN for null."""
+    return absent if pd.isna(x) else int(x)
 
 
 class FlowProcessor(StatefulProcessor):
-    """Checkpoint and close events of one key. Gaps inside a batch are judged while its rows are read; a timer closes what falls silent."""
+    """Checkpoint and close events of one capture's key. Gaps inside a batch are judged while its rows are read; a timer closes what falls silent."""
 
-    def __init__(self, policy: FlowPolicy = FlowPolicy()):
-        self.policy = policy
+    def __init__(self, policy: FlowPolicy = FlowPolicy(), measured: bool = False):
+        self.policy, self.measured = policy, measured
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("flow", "flow string, clock bigint")
+        self.state = handle.getValueState("flow", "flow string, clock bigint, totals string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        flow, clock = None, 0
+        flow, clock, totals = None, 0, None
         if self.state.exists():
-            text, clock = self.state.get()
-            flow = Flow.load(text) if text else None
+            text, clock, kept = self.state.get()
+            flow, totals = Flow.load(text) if text else None, Totals.load(kept) if kept else None
         out = []
         for r in pd.concat(list(rows)).sort_values("packet_index", kind="stable").itertuples(index=False):
-            clock = max(clock, int(r.timestamp_ns))
-            flow, mine, _, ended = step(flow, int(r.packet_index), int(r.timestamp_ns), clock, r.source, bool(r.is_tcp), int(r.tcp_flags), int(r.sequence_number), self.policy)
-            out += [self.end(key, c) for c in ended if c.generation != mine.generation]
+            ts = int(r.timestamp_ns)
+            clock = max(clock, ts)
+            flow, mine, direction, ended = step(flow, int(r.packet_index), ts, clock, r.source, bool(r.is_tcp), _int(r.tcp_flags), _int(r.sequence_number, -1), self.policy)
+            out += [self.end(key, c, totals, clock) for c in ended if c.generation != mine.generation]
+            if self.measured:
+                totals = totals if totals is not None and mine.packets > 1 else Totals()
+                window = _int(r.tcp_window, None) if bool(r.is_tcp) else None
+                totals.add(ts, direction, *(_int(getattr(r, c)) for c in MEASURED[:4]), window, _int(r.tcp_flags, None), *(_int(getattr(r, c)) for c in MEASURED[5:]))
             if mine.packets in CHECKPOINTS:
-                out.append((key[0], "checkpoint", mine.generation, mine.packets, int(r.timestamp_ns), None, None, None, None))
-            out += [self.end(key, c) for c in ended if c.generation == mine.generation]
-        self.keep(flow, clock)
+                out.append((*key, "checkpoint", mine.generation, mine.packets, ts, None, None, None, None, totals.snapshot() if totals else None))
+            out += [self.end(key, c, totals, clock) for c in ended if c.generation == mine.generation]
+        self.keep(flow, clock, totals)
         if out:
             yield pd.DataFrame(out, columns=COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.state.exists():
             return
-        text, clock = self.state.get()
-        flow = Flow.load(text) if text else None
-        if flow is None or min(flow.deadlines(self.policy)) // 1_000_000 > timerValues.getCurrentWatermarkInMs():
-            self.keep(flow, clock)
+        text, clock, kept = self.state.get()
+        flow, totals = Flow.load(text) if text else None, Totals.load(kept) if kept else None
+        now = timerValues.getCurrentWatermarkInMs()
+        if flow is None or min(flow.deadlines(self.policy)) // 1_000_000 > now:
+            self.keep(flow, clock, totals)
             return
-        yield pd.DataFrame([self.end(key, closed(flow, PASSIVE))], columns=COLUMNS)
+        yield pd.DataFrame([self.end(key, closed(flow, PASSIVE), totals, min(flow.deadlines(self.policy)))], columns=COLUMNS)
         self.state.clear()
 
-    def end(self, key, c) -> tuple:
-        return key[0], "close", c.generation, None, None, c.reason, c.creation_ns, c.last_event_ns, c.packets
+    def end(self, key, c, totals: Totals | None, clock: int) -> tuple:
+        """A close; a passive one is idle where the clock that ended it had passed the idle deadline, else it is of age.
+
+        The stream's clock is that of the key and the watermark's; the batch job judges by the whole capture's.
+        """
+        reason = c.reason
+        if reason == PASSIVE:
+            reason = "idle_timeout" if clock >= c.last_event_ns + self.policy.idle_ns else "maximum_age"
+        return *key, "close", c.generation, None, None, reason, c.creation_ns, c.last_event_ns, c.packets, totals.terminal() if totals else None
 
-    def keep(self, flow: Flow | None, clock: int) -> None:
+    def keep(self, flow: Flow | None, clock: int, totals: Totals | None) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
         if flow is None:
             self.state.clear()
             return
-        self.state.update((flow.dump(), clock))
+        self.state.update((flow.dump(), clock, totals.dump() if totals else None))
         self.handle.registerTimer(min(flow.deadlines(self.policy)) // 1_000_000 + 1)
 
     def close(self) -> None:
@@ -78,18 +101,26 @@ class FlowProcessor(StatefulProcessor):
 def track_stream(packets: DataFrame, policy: FlowPolicy = FlowPolicy(), delay: str = "1 hour") -> DataFrame:
     """Events of flows from a stream of packets with the columns of :func:`..operators.flow_machine.track` but the clock.
 
-    ``delay`` bounds the state that waits for late packets; packets later than that are lost to the stream (the batch
-    job has them), so choose more than the worst regression of the source.
+    If the packets have the columns of :data:`MEASURED`, a checkpoint carries its 54 ``features`` and a close those of
+    :data:`.totals.OWN_NAMES`. ``delay`` bounds the state that waits for late packets; packets later than that are lost
+    to the stream (the batch job has them), so choose more than the worst regression of the source.
     """
     p = packets.withColumn("at", F.timestamp_micros(F.floor(F.col("timestamp_ns") / 1000).cast("long"))).withWatermark("at", delay)
-    return p.groupBy("flow_key").transformWithStateInPandas(FlowProcessor(policy), outputStructType=FLOW_EVENTS, outputMode="Append", timeMode="EventTime")
+    processor = FlowProcessor(policy, all(c in packets.columns for c in MEASURED))
+    return p.groupBy("capture_id", "flow_key").transformWithStateInPandas(processor, outputStructType=FLOW_EVENTS, outputMode="Append", timeMode="EventTime")
 
 
 class IncidentProcessor(StatefulProcessor):
-    """First alert of a flow is ``created``, later ones ``updated``; a checkpoint that does not grow is marked."""
+    """First alert of a flow is ``created``, later ones ``updated``; a checkpoint that does not grow is marked.
+
+    An incident without alerts for ``ttl_ms`` (of the cluster's clock) is forgotten, so that state does not grow for ever.
+    """
+
+    def __init__(self, ttl_ms: int = 24 * 3600 * 1000):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("incident", "n bigint, checkpoint bigint")
+        self.state = handle.getValueState("incident", "n bigint, checkpoint bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n, last = self.state.get() if self.state.exists() else (0, -1)
@@ -104,9 +135,9 @@ class IncidentProcessor(StatefulProcessor):
         pass
 
 
-def incident_stream(alerts: DataFrame) -> DataFrame:
+def incident_stream(alerts: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
     return alerts.groupBy("flow_id").transformWithStateInPandas(
-        IncidentProcessor(), outputStructType="flow_id bigint, line bigint, state string, update_index bigint, out_of_order boolean", outputMode="Append", timeMode="None"
+        IncidentProcessor(ttl_ms), outputStructType="flow_id bigint, line bigint, state string, update_index bigint, out_of_order boolean", outputMode="Append", timeMode="ProcessingTime"
     )
 
 

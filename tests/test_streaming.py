@@ -4,10 +4,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from braidflow.operators import windows
+from braidflow.operators import features, windows
 from braidflow.operators.flow_machine import FlowPolicy, track
 from braidflow.streaming import alerts, flows
 from braidflow.streaming.flows import gate
+from braidflow.streaming.totals import OWN_NAMES
 
 S = 10**9
 PACKET = "capture_id string, flow_key string, packet_index long, timestamp_ns long, source string, is_tcp boolean, tcp_flags int, sequence_number long"
@@ -42,7 +43,8 @@ def test_flow_stream_equals_batch(spark, tmp_path):
     policy = FlowPolicy(60 * S, 300 * S)
     own = windows.running_watermark(df, ["capture_id", "flow_key"], "packet_index")
     batch = track(own, policy).filter("row = 'closed' and flow_key <> 'z'")
-    want = sorted((r["flow_key"], r["generation"], r["reason"], r["packets"]) for r in batch.collect())
+    named = F.when(F.col("reason") != "passive", F.col("reason")).when(F.least(F.col("last_event_ns") + policy.idle_ns, F.col("creation_ns") + policy.max_age_ns) >= F.col("last_event_ns") + policy.idle_ns, "idle_timeout")
+    want = sorted((r["flow_key"], r["generation"], r["reason"] or "maximum_age", r["packets"]) for r in batch.withColumn("reason", named).collect())
     out = results(spark, flows.track_stream(stream_of(spark, df, tmp_path / "in", 4, PACKET, "packet_index"), policy, "10 seconds"), "flow_events", tmp_path / "cp")
     got = sorted((r["flow_key"], r["generation"], r["reason"], r["packets"]) for r in out.filter("event = 'close' and flow_key <> 'z'").collect())
     assert got == want
@@ -51,6 +53,51 @@ def test_flow_stream_equals_batch(spark, tmp_path):
     assert marks == {tuple(r) for r in have}
 
 
+def test_stream_features_equal_batch(spark, tmp_path):
+    rng = random.Random(5)
+    t, rows = 0, []
+    schema = PACKET + ", wire_length long, payload_length long, header_length long, ttl long, tcp_window long, protocol int, source_port int, destination_port int, source_ip string, destination_ip string"
+    for i in range(300):
+        t += rng.choice([-1, 0, 1, 2, 7])
+        k, side = rng.choice("klm"), rng.choice("ab")
+        tcp = k != "m"
+        rows.append((rng.choice("cd"), k, i, t * S + i, side, tcp, rng.choice([16, 24, 18]) if tcp else None, 1 if tcp else None, 60 + i % 40, i % 3 * 20, 40 + i % 5, 60 + i % 4, 1000 + i if tcp else None, 6 if tcp else 17, ord(side), ord("a") + ord("b") - ord(side), side, "x"))
+    df = spark.createDataFrame(rows, schema)
+    policy = FlowPolicy(10**6 * S, 10**7 * S)
+    end = spark.createDataFrame([("z", "z", 300 + j, (10**8 + j * 10**4) * S, "a", False, None, None, 60, 0, 40, 64, None, 17, 1, 2, "a", "x") for j in (0, 1)], schema)
+    out = results(spark, flows.track_stream(stream_of(spark, df.unionByName(end), tmp_path / "in", 5, schema, "packet_index"), policy, "100 seconds"), "feature_events", tmp_path / "cp")
+    p = track(windows.running_watermark(df, ["capture_id", "flow_key"], "packet_index"), policy).filter("row = 'packet'").select("capture_id", "flow_key", "packet_index", "generation", "direction")
+    p = windows.running_watermark(df.drop("direction").join(p, ["capture_id", "flow_key", "packet_index"]), ["capture_id"], "packet_index")
+    keys = ["capture_id", "flow_key", "generation"]
+    p = windows.with_flow_steps(p, keys, ["packet_index"])
+    near = lambda a, b: all(abs(x - y) <= 1e-6 * max(1, abs(y)) for x, y in zip(a, b, strict=True))
+    snaps = features.flow_vector(windows.checkpoints(p, keys), [*keys, "checkpoint"])
+    want = {tuple(r[c] for c in (*keys, "checkpoint")): [r[n] for n in features.NAMES] for r in snaps.collect()}
+    got = {tuple(r[c] for c in (*keys, "ordinal")): r["features"] for r in out.filter("event = 'checkpoint' and flow_key <> 'z'").collect()}
+    assert set(got) == set(want) and all(near(got[k], want[k]) for k in want)
+    closed = features.terminal_vector(p, keys, ["capture_id"], "packet_index")
+    want = {tuple(r[c] for c in keys): [r[n] for n in OWN_NAMES] for r in closed.collect()}
+    got = {tuple(r[c] for c in keys): r["features"] for r in out.filter("event = 'close' and flow_key <> 'z'").collect()}
+    assert set(got) == set(want) and all(near(got[k], want[k]) for k in want)
+
+
+def test_replay_bridge(spark):
+    line = '{"decision":"known_attack","packet_count":5,"flow":{"protocol":"tcp","source":{"ip":"1.2.3.4","port":9},"destination":{"ip":"5.6.7.8","port":80}},"evidence":{"flow_rf":{"attack_probability":0.12345678},"known_family":{"top_candidate":"DoS","confidence":0.5}}}'
+    df = spark.createDataFrame([(line,), ("not json",), ('{"event_type":"ready"}',)], "value string")
+    got = [tuple(r) for r in alerts.replay_bridge(df, F.lit("f9-dos-hulk"), F.lit("replay (F9)")).collect()]
+    assert got == [("F9", "known_attack", "DoS", 0.123457, 0.5, "1.2.3.4:9", "5.6.7.8:80", "TCP", "replay (F9)", "dos-hulk", "f9-dos-hulk", 5)]
+
+
+def test_digest_window_ends(spark, tmp_path):
+    schema = "line long, decision string, model string, source string, destination string, candidate string, confidence double"
+    rows = [(k, "attack", "m", "s", "d", "dos", 0.5) for k in range(4)]
+    s = stream_of(spark, spark.createDataFrame(rows, schema), tmp_path / "in", 4, schema, "line")
+    sent, times = [], [0, 0, 3600, 7300, 7400]
+    q = alerts.digest_stream(s, str(tmp_path / "seen"), lambda df, epoch: sent.append((epoch, df.count())), str(tmp_path / "cp"), window_hours=2, now=lambda: times[len(sent)])
+    q.awaitTermination(180)
+    assert q.exception() is None and [n for _, n in sent] == [1, 0, 0, 1]
+
+
 def test_incidents(spark, tmp_path):
     schema = "flow_id long, line long, checkpoint long"
     df = spark.createDataFrame([(1, 0, 3), (1, 1, 5), (2, 2, 3), (1, 3, 5)], schema)
