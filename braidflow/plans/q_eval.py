@@ -11,6 +11,7 @@ from ..functions import numbers, records
 from ..operators import evaluate as ev
 from ..operators import models, quality, splits
 from .bindings import DAY, PE, PL, packets_e, packets_l, rounded, table
+from ..sources.shared import new_path
 from .registry import query
 
 # Scored rows: a made score in thousandths, a truth and a prediction.
@@ -335,27 +336,35 @@ def m13(spark, d):
     return scored(spark, d).select("id", F.round("s", 6).alias("a"), F.round("s2", 6).alias("b"), (vote("s") + vote("s2")).alias("votes"), F.round((F.col("s") + F.col("s2")) / 2, 6).alias("mean"))
 
 
+def meta_scores(spark, d):
+    """Out-of-fold anomaly scores of all rows; folds are dealt by order, so that an order lies in one fold."""
+    x = labelled(spark, d).withColumn("fold", F.pmod(F.xxhash64("l_orderkey"), F.lit(5)).cast("int"))
+    return models.out_of_fold(x, NUM, "fold", F.col("y") == 0)
+
+
 @query("m14_out_of_fold")
 def m14(spark, d):
-    li = table(spark, d, "lineitem").withColumn("fold", F.pmod(F.xxhash64("l_orderkey"), F.lit(3)).cast("int"))
-    parts = [models.hbos_score(li.filter(F.col("fold") == k), [*KEYS, "l_extendedprice", "fold"], models.hbos_fit(li.filter(F.col("fold") != k), HB, 8, (0.01, 0.99)), HB, 8) for k in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("score", F.round("score", 6))
+    return meta_scores(spark, d).select(*KEYS, "fold", F.round("hbos", 6).alias("hbos"), "hbos_vote", F.round("isolation", 6).alias("isolation"), "isolation_vote")
 
 
 @query("m15_stacked_forest")
 def m15(spark, d):
-    x = labelled(spark, d).withColumn("meta", F.abs(F.col("l_quantity") - 25) / 25)
-    return models.with_probabilities(models.fit_forest(x, [*NUM, "meta"], "y"), x).select(*KEYS, F.round(F.get("p", F.lit(1)), 6).alias("p"))
+    """A forest on the features and the out-of-fold scores."""
+    x = meta_scores(spark, d).persist()
+    meta = ["hbos", "hbos_vote", "isolation", "isolation_vote"]
+    return models.with_probabilities(models.fit_forest(x, [*NUM, *meta], "y"), x).select(*KEYS, F.round(F.get("p", F.lit(1)), 6).alias("p"))
 
 
 @query("m16_leave_one_out_training")
 def m16(spark, d):
-    x = labelled(spark, d)
+    """Every family held out in turn: forests of the other rows score it."""
+    x = labelled(spark, d).persist()
+    families = sorted(r["k"] for r in x.select("k").distinct().collect())  # class names
     out = []
-    for k in (1.0, 2.0):  # held-out families
-        m = models.fit_forest(x.filter(F.col("k") != k), NUM, "y")
+    for k in families:
+        m = models.fit_forest(x.filter(F.col("k") != k), NUM, "y", trees=50)
         out.append(models.with_probabilities(m, x.filter(F.col("k") == k)).groupBy(F.lit(k).alias("holdout")).agg(F.count("*").alias("n"), F.round(F.avg(F.get("p", F.lit(1))), 6).alias("mean_p")))
-    return out[0].unionByName(out[1])
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 @query("m17_decision_fusion", f"WITH {SC} SELECT id, CASE WHEN s >= 0.8 THEN 'known_attack' WHEN v >= 2 THEN 'unknown_candidate' WHEN v = 1 THEN 'uncertain' ELSE 'benign' END AS decision FROM (SELECT *, CASE WHEN s >= 0.6 THEN 1 ELSE 0 END + CASE WHEN s2 >= 0.6 THEN 1 ELSE 0 END AS v FROM sc)")
@@ -402,16 +411,15 @@ def m22(spark, d):
     return b.select(F.round("score", 9).alias("score"), *[F.round(c, 6).alias(c) for c in ("recall", "precision", "fpr")])
 
 
+TREES = [50, 100, 150, 200, 300]
+
+
 @query("m24_tree_convergence")
 def m24(spark, d):
+    """Curves over one forest's first trees."""
     x = labelled(spark, d)
-    full = models.fit_forest(x, NUM, "y")
-    out = []
-    whole = models.with_probabilities(full, x, "pf").select(*KEYS, "l_extendedprice", F.get("pf", F.lit(1)).alias("pf"))
-    for n in (50, 100):
-        p = models.with_probabilities(models.fit_forest(x, NUM, "y", trees=n), x).select(*KEYS, "l_extendedprice", F.get("p", F.lit(1)).alias("p"))
-        out.append(p.join(whole, [*KEYS, "l_extendedprice"]).groupBy(F.lit(n).alias("trees")).agg(F.round(F.avg(F.abs(F.col("p") - F.col("pf"))), 6).alias("mean_delta")))
-    return out[0].unionByName(out[1])
+    p = models.cumulative_probabilities(models.fit_forest(x, NUM, "y"), x, TREES, new_path(spark, "forest"))
+    return rounded(models.convergence(p, TREES, F.col("y") == 1), 6)
 
 
 FAMS = f"{SC}, fm AS (SELECT u, avg(s) AS v FROM sc GROUP BY u)"
@@ -433,10 +441,14 @@ def m26(spark, d):
 
 @query("m28_paired_delta")
 def m28(spark, d):
+    """Recall of every family by forests of 50 and of 300 trees, and the interval of the mean difference over families."""
     x = labelled(spark, d)
-    p = {n: models.with_probabilities(models.fit_forest(x, NUM, "y", trees=n), x).select(*KEYS, "k", "l_extendedprice", F.get("p", F.lit(1)).alias(f"p{n}")) for n in (50, 300)}
-    j = p[50].join(p[300], [*KEYS, "k", "l_extendedprice"])
-    return j.groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg(F.col("p300") - F.col("p50")), 6).alias("delta"))
+    both = models.with_probabilities(models.fit_forest(x, NUM, "y", trees=50), x, "p50").drop("prediction")
+    both = models.with_probabilities(models.fit_forest(x, NUM, "y", trees=300), both, "p300")
+    hit = lambda c: F.avg(F.when(F.col("y") == 1, (F.get(c, F.lit(1)) >= 0.5).cast("double")))
+    f = both.groupBy("k").agg(F.count("*").alias("n"), hit("p50").alias("rf50"), hit("p300").alias("rf300")).withColumn("delta", F.col("rf300") - F.col("rf50")).persist()
+    b = ev.bootstrap_mean(f.filter("delta is not null"), "k", "delta", 1000).select(F.col("low").alias("mean_low"), F.col("mean").alias("mean_delta"), F.col("high").alias("mean_high"))
+    return rounded(f.join(F.broadcast(b)), 6)
 
 
 @query("m29_error_overlap", "WITH h AS (SELECT event_type = 'error' AS side, least(greatest(floor(value / 100 * 30), 0), 29) AS b, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT *, n / sum(n) OVER (PARTITION BY side) AS share FROM h), m AS (SELECT b, min(share) AS least, count(*) AS k FROM s GROUP BY b) SELECT round(coalesce(sum(least) FILTER (k = 2), 0), 6) AS overlap FROM m")
