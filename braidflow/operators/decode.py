@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Types that announce a VLAN tag.
+VLAN_TYPES = (0x8100, 0x88A8, 0x9100)
+
+
 def _byte(frame: Column, at: Column) -> Column:
     return F.conv(F.hex(F.substring(frame, at + 1, F.lit(1))), 16, 10).cast("long")
 
@@ -17,12 +21,14 @@ def _number(frame: Column, at: Column, size: int) -> Column:
 def decode(frames: DataFrame) -> DataFrame:
     """``frames`` with header fields and ``error`` (null for a packet); the first rule that fails names the error.
 
-    Fields of frames that fail are null from the failing layer on.
+    Fields of frames that fail are null from the failing layer on. ``wire_length`` (not below what was captured) and
+    ``link_layer`` (``ethernet``) are checked where the frames have them.
     """
+    has = lambda name, value: value if name in frames.columns else F.lit(False)
     fr = F.col("frame")
     lit = F.lit
     n = F.length(fr).cast("long")
-    tagged = _number(fr, lit(12), 2) == 0x8100
+    tagged = _number(fr, lit(12), 2).isin(*VLAN_TYPES)
     f = frames.withColumns({"_n": n, "_tag": (n >= 14) & F.coalesce(tagged, lit(False))})
     f = f.withColumns({"_eth": F.when(F.col("_tag"), 18).otherwise(14)})
     f = f.withColumns(
@@ -62,23 +68,25 @@ def decode(frames: DataFrame) -> DataFrame:
     )
     c = F.col
     error = (
-        F.when(c("_n") < 14, "ethernet_truncated")
-        .when(c("_tag") & (c("_n") < 18), "vlan_truncated")
-        .when(c("_tag") & (c("ether_type") == 0x8100), "nested_vlan")
+        F.when(has("wire_length", c("wire_length") < c("_n")), "inconsistent_lengths")
+        .when(has("link_layer", c("link_layer") != "ethernet"), "unsupported_link_layer")
+        .when(c("_n") < 14, "truncated_ethernet_header")
+        .when(c("_tag") & (c("_n") < 18), "truncated_vlan_header")
+        .when(c("_tag") & c("ether_type").isin(*VLAN_TYPES), "nested_vlan")
         .when(c("ether_type") != 0x0800, "unsupported_ether_type")
-        .when(c("_n") < ip + 20, "ipv4_truncated")
-        .when(F.shiftright(c("_v"), 4) != 4, "bad_ip_version")
-        .when(c("_ihl") < 20, "bad_ip_header_length")
-        .when(c("_n") < at, "ipv4_options_truncated")
-        .when(c("_len") < c("_ihl"), "bad_ip_total_length")
-        .when(c("_n") < end, "ipv4_payload_truncated")
-        .when(c("_frag").bitwiseAND(0x3FFF) != 0, "fragment")
-        .when(~c("protocol").isin(6, 17), "unsupported_protocol")
-        .when(tcp & (end < at + 20), "tcp_truncated")
-        .when(tcp & (c("_off") < 20), "bad_tcp_offset")
-        .when(tcp & (end < at + c("_off")), "tcp_options_truncated")
-        .when(~tcp & (end < at + 8), "udp_truncated")
-        .when(~tcp & ((c("_udp") < 8) | (at + c("_udp") > end)), "bad_udp_length")
+        .when(c("_n") < ip + 20, "truncated_ipv4_header")
+        .when(F.shiftright(c("_v"), 4) != 4, "invalid_ipv4_version")
+        .when(c("_ihl") < 20, "invalid_ipv4_header_length")
+        .when(c("_n") < at, "truncated_ipv4_header")
+        .when(c("_len") < c("_ihl"), "invalid_ipv4_total_length")
+        .when(c("_n") < end, "truncated_ipv4_packet")
+        .when(c("_frag").bitwiseAND(0x3FFF) != 0, "fragmented_ipv4")
+        .when(~c("protocol").isin(6, 17), "unsupported_transport_protocol")
+        .when(tcp & (end < at + 20), "truncated_tcp_header")
+        .when(tcp & (c("_off") < 20), "invalid_tcp_header_length")
+        .when(tcp & (end < at + c("_off")), "invalid_tcp_header_length")
+        .when(~tcp & (end < at + 8), "truncated_udp_header")
+        .when(~tcp & ((c("_udp") < 8) | (at + c("_udp") > end)), "invalid_udp_length")
     )
     start = at + F.when(tcp, c("_off")).otherwise(8)
     f = f.withColumn("error", error)

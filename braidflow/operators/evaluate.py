@@ -131,6 +131,67 @@ def bootstrap_mean(df: DataFrame, key: str, v: str, draws: int) -> DataFrame:
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.avg("m").alias("mean"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
+def fusion_surface(df: DataFrame, flow: Column, a: str, b: str, cuts_a: list[float], cuts_b: list[float], role: str, family: str) -> DataFrame:
+    """For every pair of cuts ``i, j``: ``fpr`` of benign rows, ``known_recall``, and ``unknown_recall``, the mean over held-out families.
+
+    ``role`` is benign, known or unknown; ``flow`` tells whether the classifier fires. Benign and known rows alert by the
+    classifier or either score at or over its cut; an unknown row is a candidate if the classifier is silent and both
+    scores are. Rows are counted by cell once; pairs of cuts look at the cells only.
+    """
+    over = lambda c, cuts: sum((F.when(F.col(c) >= t, 1).otherwise(0) for t in sorted(cuts)), F.lit(0))
+    cells = df.groupBy(F.col(role).alias("role"), F.col(family).alias("family"), flow.alias("fires"), over(a, cuts_a).alias("_a"), over(b, cuts_b).alias("_b")).agg(F.count("*").alias("n"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(len(cuts_a)) for j in range(len(cuts_b))])).alias("c")
+    c = cells.select("role", "family", "fires", "_a", "_b", "n", pairs).select("*", "c.i", "c.j")
+    up_a, up_b = F.col("_a") > F.col("i"), F.col("_b") > F.col("j")
+    share = lambda on: F.sum(F.when(on, F.col("n")).otherwise(0)) / F.sum("n")
+    by_role = c.filter("role <> 'unknown'").groupBy("i", "j").pivot("role", ["benign", "known"]).agg(share(F.col("fires") | up_a | up_b))
+    unknown = c.filter("role = 'unknown'").groupBy("i", "j", "family").agg(share(~F.col("fires") & up_a & up_b).alias("r")).groupBy("i", "j").agg(F.avg("r").alias("unknown_recall"))
+    return by_role.join(unknown, ["i", "j"], "left").select("i", "j", F.col("benign").alias("fpr"), F.col("known").alias("known_recall"), F.coalesce("unknown_recall", F.lit(0.0)).alias("unknown_recall"))
+
+
+def best_pair(surface: DataFrame, fpr_cap: float) -> DataFrame:
+    """The pair within the cap with most unknown recall, then most known recall, then the least false-positive rate."""
+    return surface.filter(F.col("fpr") <= fpr_cap).orderBy(F.desc(F.round("unknown_recall", 12)), F.desc("known_recall"), "fpr", "i", "j").limit(1)
+
+
+def cluster_bootstrap(df: DataFrame, stratum: str, cluster: str, y: Column, candidate: Column, baseline: Column, draws: int, chunk: int = 100_000) -> DataFrame:
+    """F1, recall and false-positive rate of two decisions, their difference, and its interval when clusters are drawn anew within strata.
+
+    Every replicate draws as many clusters of a stratum as there are, by a hash of replicate, stratum and place; both
+    decisions see the same draws. ``cluster`` is numeric; its places are counted in two phases.
+    """
+    from .windows import creation_numbers
+
+    cells = {f"{m}_{n}": F.count_if(t & p) for m, d in (("c", candidate), ("b", baseline)) for n, t, p in (("tn", ~y, ~d), ("fp", ~y, d), ("fn", y, ~d), ("tp", y, d))}
+    g = df.groupBy(F.col(stratum).alias("_s"), F.col(cluster).alias("_c")).agg(*[c.alias(n) for n, c in cells.items()])
+    g = creation_numbers(g, ["_s"], "_c", F.lit(True), chunk, "_i").withColumn("_i", F.col("_i") - 1)
+    sizes = g.groupBy(F.col("_s").alias("_t")).agg(F.count("*").alias("_n"))
+    each = g.select("_s", "_i").join(sizes, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    pick = F.conv(F.substring(F.sha2(F.concat_ws(":", "rep", F.col("_s").cast("string"), "_i"), 256), 1, 7), 16, 10).cast("long") % F.col("_n")
+    drawn = each.select("rep", F.col("_s").alias("_ds"), pick.alias("_di")).join(g, F.col("_ds").eqNullSafe(F.col("_s")) & (F.col("_di") == F.col("_i")))
+    total = [F.sum(n).cast("double").alias(n) for n in cells]
+
+    def metrics(t: DataFrame) -> DataFrame:
+        def of(m: str):
+            tn, fp, fn, tp = (F.col(f"{m}_{n}") for n in ("tn", "fp", "fn", "tp"))
+            return {"f1": safe_divide(2 * tp, 2 * tp + fp + fn), "recall": safe_divide(tp, tp + fn), "fpr": safe_divide(fp, fp + tn)}
+
+        c, b = of("c"), of("b")
+        return t.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), c[n].alias("candidate"), b[n].alias("baseline")) for n in c])).alias("m")).select("m.*")
+
+    point = metrics(g.agg(*total)).withColumn("delta", F.col("candidate") - F.col("baseline"))
+    spread = metrics(drawn.groupBy("rep").agg(*total)).withColumn("_d", F.col("candidate") - F.col("baseline"))
+    spread = spread.groupBy("metric").agg(F.percentile("_d", F.lit(0.025)).alias("low"), F.percentile("_d", F.lit(0.975)).alias("high"))  # ``draws`` values each
+    return point.join(spread, "metric")
+
+
+def accepted(comparison: DataFrame, primary: str = "f1", least_recall_delta: float = -0.01, most_fpr_delta: float = 0.01) -> DataFrame:
+    """Adds ``accepted``: the primary metric's interval lies above 0, and recall and false-positive rate stay within their safeguards."""
+    d = lambda n, c: F.max(F.when(F.col("metric") == n, F.col(c)))
+    ok = comparison.agg(((d(primary, "low") > 0) & (d("recall", "delta") >= least_recall_delta) & (d("fpr", "delta") <= most_fpr_delta)).alias("accepted"))
+    return comparison.join(F.broadcast(ok))
+
+
 def log_loss(df: DataFrame, by: list[str], p_true: Column, eps: float = 1e-15) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(-F.log(F.greatest(p_true, F.lit(eps)))).alias("log_loss"))
 

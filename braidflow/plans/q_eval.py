@@ -396,13 +396,21 @@ def m20(spark, d):
     return ev.threshold_surface(scored(spark, d), "s", "s2", CUTS, CUTS, F.col("y"))
 
 
-@query("m21_pair_selection", f"WITH {SURFACE}, t AS (SELECT count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS q FROM sc) SELECT i, j, round((p - pos_below) / p, 6) AS recall, round((q - neg_below) / q, 6) AS fpr FROM su, t WHERE (q - neg_below) / q <= 0.7 ORDER BY recall DESC, fpr, i, j LIMIT 1")
+ROLE_OF = "CASE WHEN fam IN ('view', 'click') THEN 'benign' WHEN fam = 'purchase' THEN 'known' ELSE 'unknown' END"
+
+
+@query(
+    "m21_pair_selection",
+    f"""WITH {SC}, r AS (SELECT {ROLE_OF} AS role, fam, s >= 0.8 AS fires, s2 AS a, id * 31 % 1000 / 1000.0::DOUBLE AS b FROM sc), gr AS (SELECT i::INT AS i, j::INT AS j, (CASE i WHEN 0 THEN 0.2 WHEN 1 THEN 0.5 ELSE 0.8 END)::DOUBLE AS ca, (CASE j WHEN 0 THEN 0.2 WHEN 1 THEN 0.5 ELSE 0.8 END)::DOUBLE AS cb FROM range(3) x(i), range(3) z(j)),
+e AS (SELECT i, j, avg((fires OR a >= ca OR b >= cb)::INT) FILTER (role = 'benign') AS fpr, avg((fires OR a >= ca OR b >= cb)::INT) FILTER (role = 'known') AS known FROM r, gr GROUP BY i, j),
+f AS (SELECT i, j, fam, avg((NOT fires AND a >= ca AND b >= cb)::INT) AS q FROM r, gr WHERE role = 'unknown' GROUP BY i, j, fam), u AS (SELECT i, j, avg(q) AS unk FROM f GROUP BY i, j)
+SELECT i, j, round(fpr, 6) AS fpr, round(known, 6) AS known_recall, round(unk, 6) AS unknown_recall FROM e JOIN u USING (i, j) WHERE fpr <= 0.7 ORDER BY round(unk, 12) DESC, known DESC, fpr, i, j LIMIT 1""",
+)
 def m21(spark, d):
-    x = scored(spark, d)
-    t = x.agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("q"))
-    s = ev.threshold_surface(x, "s", "s2", CUTS, CUTS, F.col("y")).join(F.broadcast(t))
-    s = s.withColumns({"recall": (F.col("p") - F.col("pos_below")) / F.col("p"), "fpr": (F.col("q") - F.col("neg_below")) / F.col("q")}).filter("fpr <= 0.7")
-    return rounded(s.orderBy(F.desc("recall"), "fpr", "i", "j").limit(1).select("i", "j", "recall", "fpr"), 6)
+    fam = F.col("fam")
+    role = F.when(fam.isin("view", "click"), "benign").when(fam == "purchase", "known").otherwise("unknown")
+    x = scored(spark, d).select(role.alias("role"), "fam", "s", F.col("s2").alias("a"), (F.col("id") * 31 % 1000 / 1000.0).alias("b"))
+    return rounded(ev.best_pair(ev.fusion_surface(x, F.col("s") >= 0.8, "a", "b", CUTS, CUTS, "role", "fam"), 0.7), 6)
 
 
 @query("m22_threshold_scan", f"WITH {GROUPS} SELECT round(s, 9) AS score, round(tp / p, 6) AS recall, round(tp / (tp + fp), 6) AS precision, round(fp / q, 6) AS fpr FROM g WHERE fp / q <= 0.05 ORDER BY tp / p DESC, tp / (tp + fp) DESC, s DESC LIMIT 1")
@@ -432,11 +440,18 @@ def m25(spark, d):
     return rounded(ev.bootstrap_mean(f, "u", "v", 100), 6)
 
 
-@query("m26_cluster_bootstrap", f"WITH {SC}, c AS (SELECT u, count(*) FILTER (y AND s >= 0.5) - count(*) FILTER (y AND s2 >= 0.5) AS v FROM sc GROUP BY u), r AS (SELECT row_number() OVER (ORDER BY u) - 1 AS i, v, count(*) OVER () AS n FROM c), pl AS (SELECT rep, {BOOT} AS j FROM r, range(200) t(rep)), m AS (SELECT rep, avg(r.v) AS m FROM pl JOIN r ON r.i = pl.j GROUP BY rep) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.975), 6) AS high, quantile_cont(m, 0.025) > 0 AS accepted FROM m")
+@query(
+    "m26_cluster_bootstrap",
+    f"""WITH {SC}, c AS (SELECT u % 3 AS st, u, {", ".join(f"count(*) FILTER ({t} AND {p}) AS {m}{n}" for m, v in (("c", "s"), ("b", "s2")) for n, t, p in (("tn", "NOT y", f"NOT {v} >= 0.5"), ("fp", "NOT y", f"{v} >= 0.5"), ("fn", "y", f"NOT {v} >= 0.5"), ("tp", "y", f"{v} >= 0.5")))} FROM sc GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY u) - 1 AS i, count(*) OVER (PARTITION BY st) AS n FROM c), pl AS (SELECT rep, st, ('0x' || substr(sha256(rep || ':' || st || ':' || i), 1, 7))::BIGINT % n AS j FROM r, range(200) t(rep)),
+w AS (SELECT 0 AS kind, 0 AS rep, sum(ctn) AS ctn, sum(cfp) AS cfp, sum(cfn) AS cfn, sum(ctp) AS ctp, sum(btn) AS btn, sum(bfp) AS bfp, sum(bfn) AS bfn, sum(btp) AS btp FROM c UNION ALL SELECT 1, rep, sum(ctn), sum(cfp), sum(cfn), sum(ctp), sum(btn), sum(bfp), sum(bfn), sum(btp) FROM pl JOIN r ON r.st = pl.st AND r.i = pl.j GROUP BY rep),
+m AS (SELECT kind, rep, unnest(['f1', 'recall', 'fpr']) AS metric, unnest([2 * ctp / (2 * ctp + cfp + cfn), ctp / (ctp + cfn), cfp / (cfp + ctn)]) AS cand, unnest([2 * btp / (2 * btp + bfp + bfn), btp / (btp + bfn), bfp / (bfp + btn)]) AS base FROM w),
+o AS (SELECT metric, max(cand) FILTER (kind = 0) AS cand, max(base) FILTER (kind = 0) AS base, quantile_cont(cand - base, 0.025) FILTER (kind = 1) AS low, quantile_cont(cand - base, 0.975) FILTER (kind = 1) AS high FROM m GROUP BY metric)
+SELECT metric, round(cand, 6) AS candidate, round(base, 6) AS baseline, round(cand - base, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, (SELECT low > 0 FROM o WHERE metric = 'f1') AND (SELECT cand - base >= -0.01 FROM o WHERE metric = 'recall') AND (SELECT cand - base <= 0.01 FROM o WHERE metric = 'fpr') AS accepted FROM o""",
+)
 def m26(spark, d):
-    hit = lambda c: F.count_if(F.col("y") & (F.col(c) >= 0.5))
-    b = ev.bootstrap_mean(scored(spark, d).groupBy("u").agg((hit("s") - hit("s2")).alias("v")), "u", "v", 200)
-    return rounded(b, 6).withColumn("accepted", F.col("low") > 0)
+    x = scored(spark, d).withColumn("st", F.col("u") % 3)
+    return rounded(ev.accepted(ev.cluster_bootstrap(x, "st", "u", F.col("y"), F.col("s") >= 0.5, F.col("s2") >= 0.5, 200)), 6)
 
 
 @query("m28_paired_delta")

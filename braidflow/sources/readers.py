@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
+
+from ..operators import harmonise
 
+#: Largest file whose bytes are hashed.
+MOST_HASHED = 2_000_000_000
 
 #: Code page 1252 has characters where Latin-1 has control codes.
 CONTROLS = "".join(chr(c) for c in range(0x80, 0xA0))
@@ -53,11 +60,16 @@ def zeek_fields(spark: SparkSession, path: str) -> list[str]:
 def read_log_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Alert, ready and summary lines with ``file`` and ``line`` numbers; lines that are no JSON keep null fields and ``bad``.
 
-    The whole file is one row of text only where line numbers need it; files are sensor logs of bounded size.
+    Files are read in blocks, as any text; a line's number is the count of the lines in the file's blocks before its own,
+    and its place within the block.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    rows = whole.filter(F.trim("value") != "").withColumn("_r", F.from_json("value", schema))
-    return rows.select("file", (F.col("line") + 1).alias("line"), "_r.*", F.json_object_keys("value").isNull().alias("bad"))
+    block = ["file", "_block"]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    sizes = lines.groupBy(*block).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.join(sizes.select(*block, before.alias("_before")), block).withColumn("line", (F.col("_before") + F.row_number().over(W.partitionBy(*block).orderBy("_id"))).cast("int"))
+    rows = numbered.filter(F.trim("value") != "").withColumn("_r", F.from_json("value", schema))
+    return rows.select("file", "line", "_r.*", F.json_object_keys("value").isNull().alias("bad"))
 
 
 def read_dataset(spark: SparkSession, path: str, schema: str, form: str = "csv") -> DataFrame:
@@ -65,11 +77,39 @@ def read_dataset(spark: SparkSession, path: str, schema: str, form: str = "csv")
     return spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE") if form == "csv" else spark.read.schema(schema).parquet(path)
 
 
+def read_firewall(spark: SparkSession, path: str) -> DataFrame:
+    """A firewall log as the first layer's columns and ``y``."""
+    names = spark.read.csv(path, header=True).columns  # the header alone: every field is read as text
+    raw = spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(path, header=True)
+    out = harmonise.clean_firewall(raw)
+    return out.select(*[F.col(c).cast("double").alias(c) if c != "y" else F.col(c) for c in out.columns])
+
+
+def read_cic(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CIC flow files without redundant columns, with ``y``."""
+    return harmonise.clean_cic(read_dataset(spark, path, schema))
+
+
+def read_unsw(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """UNSW files with ``y``; texts are coded file by file, by first appearance."""
+    parts = [harmonise.clean_unsw(read_dataset(spark, p, schema).withColumn("_order", F.monotonically_increasing_id()), "_order").drop("_order") for p in paths]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def inventory(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """Size, content hash, rows and header of every CSV file; whether it has the required columns; whether its name occurs twice."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"), F.decode(F.col("content"), "ISO-8859-1").alias("text"))
-    lines = F.filter(F.split("text", "\r?\n"), lambda x: x != "")
-    header = F.transform(F.split(F.get(lines, F.lit(0)), ","), lambda x: F.trim(x))
-    f = files.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "sha256", (F.size(lines) - 1).alias("rows"), header.alias("header"))
+    """Size, content hash, rows and header of every CSV file; whether it has the required columns; whether its name occurs twice.
+
+    Rows and headers come from the files' blocks; the hash needs a file's bytes in one row, so it is null beyond
+    :data:`MOST_HASHED` bytes.
+    """
+    at = F.regexp_replace("path", "^file:/+", "file:/")
+    sizes = spark.read.format("binaryFile").load(path).select(at.alias("path"), "length")
+    hashes = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MOST_HASHED).select(at.alias("path"), F.sha2("content", 256).alias("sha256"))
+    lines = spark.read.option("encoding", "ISO-8859-1").text(path).filter(F.rtrim(F.col("value")) != "")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    read = lines.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("path"), "value", place.alias("place")).groupBy("path").agg((F.count("*") - 1).alias("rows"), F.min_by("value", "place").alias("first"))
+    f = sizes.join(hashes, "path", "left").join(read, "path", "left")
+    header = F.transform(F.split(F.coalesce("first", F.lit("")), ","), lambda x: F.trim(x))
+    f = f.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "sha256", F.coalesce("rows", F.lit(-1)).cast("int").alias("rows"), header.alias("header"))
     names = f.groupBy("name").agg((F.count("*") > 1).alias("duplicate_name"))
     return f.join(names, "name").withColumn("complete", F.size(F.array_except(F.array(*map(F.lit, required)), "header")) == 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,10 +11,35 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.quality import content_fingerprint
 
 
+#: Most rows of a row group.
+GROUP_ROWS = 65_536
+#: Columns of out-of-fold scores.
+OUT_OF_FOLD = (
+    "checkpoint", "capture_id", "flow_id", "fold", "assigned_class", "y_true", "hbos_raw_score", "hbos_normalized_score", "hbos_binary", "isolation_forest_raw_score", "isolation_forest_normalized_score", "isolation_forest_binary", "anomaly_count",
+)
+
+
 def write_partitioned(df: DataFrame, path: str, by: list[str], order: list[str], mode: str = "overwrite", compression: str = "zstd", files_per_partition: int = 8) -> None:
     """Parquet in folders by ``by``, sorted within files. Rows of a folder are dealt over several tasks by a hash of their order columns, so that one large folder is not one task."""
     salt = F.pmod(F.xxhash64(*order), F.lit(files_per_partition))
-    df.withColumn("_s", salt).repartition(*by, "_s").sortWithinPartitions(*by, *order).drop("_s").write.mode(mode).option("compression", compression).partitionBy(*by).parquet(path)
+    df.withColumn("_s", salt).repartition(*by, "_s").sortWithinPartitions(*by, *order).drop("_s").write.mode(mode).option("compression", compression).option("parquet.block.row.count.limit", str(GROUP_ROWS)).partitionBy(*by).parquet(path)
+
+
+def write_terminal(flows: DataFrame, path: str) -> None:
+    """Closed flows: ``assigned`` ones in folders by partition and capture, others under ``quarantine`` by capture, each sorted by flow."""
+    write_partitioned(flows.filter("label_status = 'assigned'"), f"{path}/assigned", ["partition", "capture_id"], ["flow_id"])
+    write_partitioned(flows.filter("label_status <> 'assigned'").drop("partition"), f"{path}/quarantine", ["capture_id"], ["flow_id"])
+
+
+def write_out_of_fold(scores: DataFrame, path: str) -> None:
+    """Out-of-fold scores in folders by checkpoint and fold, with the number of votes."""
+    votes = (F.col("hbos_binary") + F.col("isolation_forest_binary")).cast("int")
+    write_partitioned(scores.withColumn("anomaly_count", votes).select(*OUT_OF_FOLD), path, ["checkpoint", "fold"], ["capture_id", "flow_id"])
+
+
+def write_scores(scored: DataFrame, path: str, identity: list[str], probabilities: list[str], decision: str) -> None:
+    """Offline scores as JSON lines: identity, probabilities by name, decision."""
+    write_json(scored.select(*identity, F.struct(*probabilities).alias("probabilities"), decision), path)
 
 
 def write_sorted(df: DataFrame, path: str, order: list[str]) -> None:
@@ -43,3 +70,8 @@ def materialise(spark: SparkSession, df: DataFrame, path: str, marker: str) -> t
     new = spark.read.parquet(path)
     content_fingerprint(new).coalesce(1).write.mode("overwrite").parquet(marker)
     return new, True
+
+
+def materialise_each(spark: SparkSession, parts: list[str], make: Callable[[str], DataFrame], path: str) -> list[str]:
+    """A stage for each part (a capture, a tolerance), one after the other; finished and unchanged ones are skipped. Returns the computed parts."""
+    return [p for p in parts if materialise(spark, make(p), f"{path}/part={p}/data", f"{path}/part={p}/marker")[1]]

@@ -81,11 +81,67 @@ def test_frames(spark):
     got = {r["capture_id"]: r for r in decode.decode(df).collect()}
     errors = {n: r["error"] for n, r in got.items()}
     assert errors == {
-        "tcp": None, "udp": None, "vlan": None, "short": "ethernet_truncated", "arp": "unsupported_ether_type", "cut": "ipv4_truncated", "v6": "bad_ip_version", "ihl": "bad_ip_header_length", "frag": "fragment", "icmp": "unsupported_protocol",
-        "tcp_short": "tcp_truncated", "off": "bad_tcp_offset", "udp_short": "udp_truncated", "udp_len": "bad_udp_length", "total": "bad_ip_total_length", "long": "ipv4_payload_truncated", "nested": "nested_vlan",
+        "tcp": None, "udp": None, "vlan": None, "short": "truncated_ethernet_header", "arp": "unsupported_ether_type", "cut": "truncated_ipv4_header", "v6": "invalid_ipv4_version", "ihl": "invalid_ipv4_header_length", "frag": "fragmented_ipv4", "icmp": "unsupported_transport_protocol",
+        "tcp_short": "truncated_tcp_header", "off": "invalid_tcp_header_length", "udp_short": "truncated_udp_header", "udp_len": "invalid_udp_length", "total": "invalid_ipv4_total_length", "long": "truncated_ipv4_packet", "nested": "nested_vlan",
     }
     t = got["tcp"]
     assert (t["source_port"], t["destination_port"], t["sequence_number"], t["tcp_flags"], t["tcp_window"], t["payload_length"], t["payload_offset"], t["ttl"], t["source_ip"]) == (1234, 80, 7, 0x12, 500, 3, 54, 64, 0x0A000001)
     assert got["udp"]["payload_length"] == 4 and got["vlan"]["vlan_id"] == 5 and got["vlan"]["payload_offset"] == 58
     packets, bad = decode.packets_and_errors(df)
     assert packets.count() == 3 and bad.count() == 14
+    layered = df.filter("capture_id in ('tcp', 'udp')").withColumns({"wire_length": F.when(F.col("capture_id") == "tcp", 10).otherwise(100), "link_layer": F.when(F.col("capture_id") == "udp", "raw").otherwise("ethernet")})
+    assert {r["capture_id"]: r["error"] for r in decode.decode(layered).collect()} == {"tcp": "inconsistent_lengths", "udp": "unsupported_link_layer"}
+
+
+def test_named_sinks(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = [(k, "c", k % 3 and "assigned" or "quarantine", "train" if k % 2 else "test", float(k)) for k in range(40)]
+    flows = spark.createDataFrame(rows, "flow_id long, capture_id string, label_status string, partition string, x double").withColumn("partition", F.when(F.col("label_status") == "assigned", F.col("partition")))
+    writers.write_terminal(flows, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t" / "assigned")).filter("partition = 'train'").count() == sum(k % 3 != 0 and k % 2 for k in range(40))
+    assert spark.read.parquet(str(tmp_path / "t" / "quarantine")).count() == 14 and "partition" not in spark.read.parquet(str(tmp_path / "t" / "quarantine")).columns
+    oof = spark.createDataFrame([("F3", "c", k, k % 5, "BENIGN", 0, 0.1, 0.2, 0, 0.3, 0.4, 1) for k in range(20)], "checkpoint string, capture_id string, flow_id long, fold int, assigned_class string, y_true int, hbos_raw_score double, hbos_normalized_score double, hbos_binary int, isolation_forest_raw_score double, isolation_forest_normalized_score double, isolation_forest_binary int")
+    writers.write_out_of_fold(oof, str(tmp_path / "o"))
+    back = spark.read.parquet(str(tmp_path / "o"))
+    assert set(back.columns) == set(writers.OUT_OF_FOLD) and back.filter("fold = 2 and anomaly_count = 1").count() == 4
+    scored = spark.createDataFrame([(7, "c", 0.25, 0.75, "DoS")], "flow_id long, capture_id string, p0 double, p1 double, decision string")
+    writers.write_scores(scored, str(tmp_path / "s"), ["capture_id", "flow_id"], ["p0", "p1"], "decision")
+    assert (tmp_path / "s").is_dir() and spark.read.json(str(tmp_path / "s")).first().asDict(True) == {"capture_id": "c", "flow_id": 7, "probabilities": {"p0": 0.25, "p1": 0.75}, "decision": "DoS"}
+    many = spark.range(200_000).select(F.lit(3).alias("checkpoint"), F.lit("c").alias("capture_id"), F.col("id").alias("flow_id"))
+    writers.write_partitioned(many, str(tmp_path / "g"), ["checkpoint", "capture_id"], ["flow_id"], files_per_partition=1)
+    sizes = [pq.ParquetFile(f).metadata.row_group(g).num_rows for f in (tmp_path / "g").rglob("*.parquet") for g in range(pq.ParquetFile(f).num_row_groups)]
+    assert max(sizes) <= 65_536 and sum(sizes) == 200_000
+
+
+def test_stages_by_capture(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "capture_id string, x int")
+    make = lambda capture: df.filter(F.col("capture_id") == capture)
+    assert writers.materialise_each(spark, ["a", "b"], make, str(tmp_path / "m")) == ["a", "b"]
+    assert writers.materialise_each(spark, ["a", "b", "c"], make, str(tmp_path / "m")) == ["c"]
+    assert spark.read.parquet(str(tmp_path / "m") + "/part=a/data").count() == 2
+
+
+def test_line_numbers_over_blocks(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    for name in "ab":
+        (tmp_path / "l" / f"{name}.jsonl").write_text("".join(f'{{"n":{k}}}\n' if k % 7 else "\n" for k in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = readers.read_log_lines(spark, str(tmp_path / "l"), "n long").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 2 * sum(1 for k in range(3000) if k % 7) and all(r["line"] == r["n"] + 1 for r in got)
+
+
+def test_raw_datasets(spark, tmp_path):
+    (tmp_path / "fw.csv").write_text("Source Port,Destination Port,NAT Source Port,Action,Bytes,Packets,pkts_sent\n1,53,9,allow,94,2,1\n2,445,0,drop,70,1,1\n")
+    fw = readers.read_firewall(spark, str(tmp_path / "fw.csv"))
+    assert sorted(tuple(r) for r in fw.collect()) == [(53.0, 9.0, 94.0, 2.0, 1.0, 0), (445.0, 0.0, 70.0, 1.0, 1.0, 1)]
+    (tmp_path / "UNSW_NB15_a.csv").write_text("id,dur,proto,service,state,spkts,label\n1,0.5,tcp,-,FIN,3,0\n2,1.5,udp,dns,CON,1,1\n")
+    (tmp_path / "UNSW_NB15_b.csv").write_text("id,dur,proto,service,state,spkts,label\n1,2.5,udp,-,CON,4,1\n")
+    u = readers.read_unsw(spark, [str(tmp_path / f"UNSW_NB15_{x}.csv") for x in "ab"], "id double, dur double, proto string, service string, state string, spkts double, label int")
+    assert sorted((r["dur"], r["proto"], r["state"], r["y"]) for r in u.collect()) == [(0.5, 0, 0, 0), (1.5, 1, 1, 1), (2.5, 0, 0, 1)]
+    (tmp_path / "cic.csv").write_text("Destination Port, Flow Duration,Idle Max,Attack Type\n80,5,1,Normal Traffic\n22,,2,DoS\n")
+    c = readers.read_cic(spark, str(tmp_path / "cic.csv"), "`Destination Port` double, ` Flow Duration` double, `Idle Max` double, `Attack Type` string")
+    assert sorted(tuple(r) for r in c.select("Destination Port", "Flow Duration", "y").collect()) == [(22.0, 0.0, 1), (80.0, 5.0, 0)] and "Idle Max" not in c.columns
