@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import safe_divide
+from .quantiles import group_ranks
 
 
 def binary_metrics(df: DataFrame, by: list[str], y: Column, p: Column) -> DataFrame:
@@ -89,17 +92,15 @@ def mean_histogram(hist: DataFrame, family: str, bins: int) -> DataFrame:
 
 
 def higher_quantile(df: DataFrame, by: list[str], v: str, p: float) -> DataFrame:
-    """The value at place ``ceil((n - 1) p)`` from 0 of the order: the "higher" rule.
-
-    Narrowed first by an approximate quantile, so that only the rows near it are ranked exactly.
-    """
-    n = df.groupBy(*by).agg(F.count(v).alias("_n"), F.percentile_approx(v, F.array(F.lit(max(p - 0.02, 0.0)), F.lit(min(p + 0.02, 1.0))), 1000).alias("_q"))
-    j = df.filter(F.col(v).isNotNull()).join(F.broadcast(n), by) if by else df.filter(F.col(v).isNotNull()).join(F.broadcast(n))
-    counts = j.groupBy(*by).agg(F.count_if(F.col(v) < F.col("_q")[0]).alias("_below"))
-    near = j.filter(F.col(v).between(F.col("_q")[0], F.col("_q")[1]))
-    near = near.join(F.broadcast(counts), by) if by else near.join(F.broadcast(counts))
-    rank = F.col("_below") + F.row_number().over(W.partitionBy(*by).orderBy(v) if by else W.partitionBy(F.lit(0)).orderBy(v))
-    return near.withColumn("_r", rank).filter(F.col("_r") == F.ceil((F.col("_n") - 1) * p) + 1).select(*by, F.col(v).alias("threshold"))
+    """The value at place ``ceil((n - 1) p)`` from 0 of the order: the "higher" rule, of all rows or of every group."""
+    rows = df.filter(F.col(v).isNotNull())
+    rows = rows.select(F.lit(0).alias("_all"), v) if not by else rows.select(*by, v)
+    found = group_ranks(rows, by[0] if by else "_all", v, {"threshold": lambda n: math.ceil((n - 1) * p)}) if len(by) < 2 else None
+    if found is None:  # many groups: each is ranked by itself
+        w = W.partitionBy(*by)
+        ranked = rows.withColumns({"_r": F.row_number().over(w.orderBy(v)) - 1, "_n": F.count("*").over(w)})
+        found = ranked.filter(F.col("_r") == F.ceil((F.col("_n") - 1) * p)).select(*by, F.col(v).alias("threshold"))
+    return found if by else found.drop("_all")
 
 
 def threshold_surface(df: DataFrame, a: str, b: str, cuts_a: list[float], cuts_b: list[float], y: Column) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import group_quantiles, group_ranks
 from .topk import top_per_group
 from .windows import running_max
 
@@ -115,18 +118,24 @@ def window_runs(packets: DataFrame, wanted: DataFrame, keys: list[str], order: s
 
 def percentile_rules(df: DataFrame, by: list[str], v: str, p: float) -> DataFrame:
     """One share by four rules: linear; nearest rank; rounded half to even, clamped; zero-based index, clamped."""
-    w = W.partitionBy(*by)
-    r = df.withColumns({"_i": F.row_number().over(w.orderBy(v)), "_n": F.count("*").over(w)})
-    at = lambda rank: F.max(F.when(F.col("_i") == rank, F.col(v)))
-    n = F.col("_n")
-    even = F.least(F.greatest(F.bround(n * p + 0.5), F.lit(1)), n)
-    return r.groupBy(*by).agg(
-        F.percentile(v, F.lit(p)).alias("linear"), at(F.greatest(F.ceil(n * p), F.lit(1))).alias("nearest_rank"), at(even).alias("half_even"), at(F.least(F.floor(n * p), n - 1) + 1).alias("zero_based")
-    )
+    ranks = {"nearest_rank": lambda n: max(math.ceil(n * p), 1) - 1, "half_even": lambda n: min(max(round(n * p + 0.5), 1), n) - 1, "zero_based": lambda n: min(math.floor(n * p), n - 1)}
+    found = group_ranks(df, by[0], v, ranks) if len(by) == 1 else None
+    if found is None:  # many groups: each is ranked by itself
+        w = W.partitionBy(*by)
+        r = df.withColumns({"_i": F.row_number().over(w.orderBy(v)), "_n": F.count("*").over(w)})
+        at = lambda rank: F.max(F.when(F.col("_i") == rank, F.col(v)))
+        n = F.col("_n")
+        even = F.least(F.greatest(F.bround(n * p + 0.5), F.lit(1)), n)
+        return r.groupBy(*by).agg(F.percentile(v, F.lit(p)).alias("linear"), at(F.greatest(F.ceil(n * p), F.lit(1))).alias("nearest_rank"), at(even).alias("half_even"), at(F.least(F.floor(n * p), n - 1) + 1).alias("zero_based"))
+    linear = group_quantiles(df, by[0], v, {"linear": p}).withColumnRenamed(by[0], "_by")
+    return found.join(F.broadcast(linear), F.col(by[0]).eqNullSafe(F.col("_by"))).select(*by, "linear", *ranks)
 
 
 def latency_summary(df: DataFrame, stage: str, v: str) -> DataFrame:
-    return df.groupBy(stage).agg(F.count("*").alias("n"), *[F.percentile(v, F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)], F.max(v).alias("most"), F.avg(v).alias("mean"))
+    """Count, quantiles, maximum and mean of every stage."""
+    q = group_quantiles(df, stage, v, {f"p{round(s * 100)}": s for s in (0.5, 0.95, 0.99)}).withColumnRenamed(stage, "_stage")
+    g = df.groupBy(stage).agg(F.count("*").alias("n"), F.max(v).alias("most"), F.avg(v).alias("mean"))
+    return g.join(F.broadcast(q), F.col(stage).eqNullSafe(F.col("_stage"))).select(stage, "n", "p50", "p95", "p99", "most", "mean")
 
 
 def pick(column: Column, values: list[str]) -> Column:

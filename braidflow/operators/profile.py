@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def capture_accounting(packets: DataFrame, capture: str, parsed: Column, wire: str, captured: str) -> DataFrame:
     return packets.groupBy(capture).agg(
@@ -73,15 +75,19 @@ def correlations(df: DataFrame, columns: list[str], target: str, least: float) -
 
 def feature_statistics(df: DataFrame, quantiles: dict[str, float]) -> DataFrame:
     """Mean, population deviation, range, exact quantiles and distinct values of every column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in df.columns]).unpivot([], df.columns, "feature", "v")
-    return long.groupBy("feature").agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("most"), *[F.percentile("v", F.lit(q)).alias(n) for n, q in quantiles.items()], F.count_distinct("v").alias("distinct_values")
-    )
+    v = df.select(*[F.col(c).cast("double").alias(c) for c in df.columns])
+    found = exact_quantiles(v, [(c, q) for c in v.columns for q in quantiles.values()])
+    rows = [(c, *found[k * len(quantiles) : (k + 1) * len(quantiles)]) for k, c in enumerate(v.columns)]
+    at = df.sparkSession.createDataFrame(rows, "_feature string, " + ", ".join(f"`{n}` double" for n in quantiles))
+    long = v.unpivot([], v.columns, "feature", "v")
+    g = long.groupBy("feature").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("most"), F.count_distinct("v").alias("distinct_values"))
+    return g.join(F.broadcast(at), F.col("feature") == F.col("_feature")).select("feature", "mean", "std", "least", "most", *quantiles, "distinct_values")
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> DataFrame:
     """One row with the sorted distinct quantile edges."""
-    return df.agg(F.array_sort(F.array_distinct(F.percentile(column, F.array(*[F.lit(k / bins) for k in range(bins + 1)])))).alias("edges"))
+    edges = sorted({e for e in exact_quantiles(df, [(column, k / bins) for k in range(bins + 1)]) if e is not None})
+    return df.sparkSession.createDataFrame([(edges,)], "edges array<double>")
 
 
 def bin_index(value: Column, edges: Column) -> Column:
@@ -97,9 +103,9 @@ def quantile_bins(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def clip_at(df: DataFrame, columns: list[str], q: float) -> DataFrame:
-    """Columns cut at their own exact quantile (one row, broadcast)."""
-    top = df.agg(*[F.percentile(c, F.lit(q)).alias(f"_{c}") for c in columns])
-    return df.join(F.broadcast(top)).withColumns({c: F.least(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+    """Columns cut at their own exact quantile."""
+    top = dict(zip(columns, exact_quantiles(df, [(c, q) for c in columns]), strict=True))
+    return df.withColumns({c: F.least(F.col(c), F.lit(t)) for c, t in top.items() if t is not None})
 
 
 def zero_filled(df: DataFrame, column: str, values: list[str], name: str) -> DataFrame:

@@ -13,10 +13,14 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) ->
 
 
 def round_robin(items: DataFrame, family: str, order: list[Column], cap: int, total: int) -> DataFrame:
-    """The best items of all families in turn: depth first, large families first; at most ``cap`` from a family."""
-    size = F.count("*").over(W.partitionBy(family))
-    ranked = top_per_group(items.withColumn("_size", size), [family], order, cap)
+    """The best items of all families in turn: depth first, large families first; at most ``cap`` from a family.
+
+    Families are counted by a grouped sum; only their best ``cap`` items are ranked.
+    """
+    sizes = items.groupBy(F.col(family).alias("_f")).agg(F.count("*").alias("_size"))
+    ranked = top_per_group(items, [family], order, cap)
     ranked = ranked.withColumn("depth", F.row_number().over(W.partitionBy(family).orderBy(*order)))
+    ranked = ranked.join(sizes, F.col(family).eqNullSafe(F.col("_f"))).drop("_f")
     return ranked.orderBy("depth", F.desc("_size"), family).limit(total).drop("_size")
 
 
@@ -41,7 +45,14 @@ def hash_fraction(key: Column, parts: int = 1000) -> Column:
 
 
 def stratified(df: DataFrame, stratum: str, key: str, share: float) -> DataFrame:
-    """Marks the first ``share`` of every stratum in hash order as ``chosen``."""
-    h = F.sha2(F.col(key).cast("string"), 256)
-    w = W.partitionBy(stratum)
-    return df.withColumn("chosen", F.row_number().over(w.orderBy(h, key)) <= F.floor(F.count("*").over(w) * share))
+    """Marks the first ``share`` of every stratum in hash order as ``chosen``.
+
+    The hash's first digits deal a stratum over many ranges: their totals come first, then the order within each range.
+    """
+    h = df.withColumn("_h", F.sha2(F.col(key).cast("string"), 256)).withColumn("_b", F.substring("_h", 1, 4))
+    sizes = h.groupBy(F.col(stratum).alias("_s"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    w = W.partitionBy("_s").orderBy("_c")
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_total": F.sum("_n").over(W.partitionBy("_s"))})
+    j = h.join(sizes, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
+    place = F.col("_before") + F.row_number().over(W.partitionBy(stratum, "_b").orderBy("_h", key))
+    return j.withColumn("chosen", place <= F.floor(F.col("_total") * share)).select(*df.columns, "chosen")
