@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import safe_divide
 from .quantiles import group_ranks
+from .topk import top_per_group
 
 
 def binary_metrics(df: DataFrame, by: list[str], y: Column, p: Column) -> DataFrame:
@@ -199,8 +200,6 @@ def log_loss(df: DataFrame, by: list[str], p_true: Column, eps: float = 1e-15) -
 
 def deviating_features(reference: DataFrame, errors: DataFrame, group: Column, features: list[str], k: int) -> DataFrame:
     """For every error group, the features whose mean lies most standard deviations from the reference mean."""
-    from .topk import top_per_group
-
     ref = reference.select(*features).unpivot([], features, "feature", "v").groupBy("feature").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     err = errors.select(group.alias("grp"), *features).unpivot(["grp"], features, "feature", "v").groupBy("grp", "feature").agg(F.avg("v").alias("em"))
     j = err.join(F.broadcast(ref), "feature").withColumn("sigmas", safe_divide(F.abs(F.col("em") - F.col("m")), F.col("s")))
@@ -214,3 +213,94 @@ def histogram_overlap(df: DataFrame, side: str, v: str, lo: float, hi: float, bi
     share = F.col("n") / F.sum("n").over(W.partitionBy("_s"))
     g = h.withColumn("share", share).groupBy("_b").agg(F.min("share").alias("least"), F.count("*").alias("sides"))
     return g.agg(F.coalesce(F.sum(F.when(F.col("sides") == 2, F.col("least"))), F.lit(0.0)).alias("overlap"))
+
+
+#: Causes of errors.
+CAUSES = ("threshold", "drift", "overlap", "mixed")
+
+
+def error_groups(df: DataFrame, y: Column, p: Column, probability: Column, group: str, features: list[str], k: int = 3, bins: int = 30, least: int = 1) -> DataFrame:
+    """False positives and negatives by group: size, share, confidence, and how far their most deviating features overlap with the class they were taken for.
+
+    A group's features are ranked by the distance of its mean from that of correct rows of its own class, in their
+    deviations; the overlap is the mean shared area of histograms with correct rows of the other class over the ``k``
+    first. Groups and features are few; rows are only counted. Errors near the threshold speak for the threshold,
+    confident ones without overlap for drift, overlap for itself.
+    """
+    cell = F.when(~y & p, "FP").when(y & ~p, "FN").when(y, "TP").otherwise("TN")
+    rows = df.select(cell.alias("cell"), F.when(cell.isin("FP", "FN"), F.col(group)).alias("grp"), probability.alias("prob"), *[F.col(f).cast("double").alias(f) for f in features])
+    long = rows.unpivot(["cell", "grp"], features, "feature", "v")
+    stats = long.groupBy("cell", "grp", "feature").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    err = stats.filter(F.col("cell").isin("FP", "FN") & (F.col("n") >= least))
+    of = lambda fp, fn: F.when(F.col("cell") == "FP", fp).otherwise(fn)
+    ref = stats.filter(F.col("cell").isin("TP", "TN")).select(F.col("cell").alias("c"), F.col("feature").alias("f"), F.col("m").alias("rm"), F.col("s").alias("rs"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi"))
+    own = ref.select(F.col("c").alias("c1"), F.col("f").alias("f1"), "rm", "rs")
+    other = ref.select(F.col("c").alias("c2"), F.col("f").alias("f2"), "rlo", "rhi")
+    j = err.join(own, (F.col("c1") == of("TN", "TP")) & (F.col("f1") == F.col("feature")), "left").join(other, (F.col("c2") == of("TP", "TN")) & (F.col("f2") == F.col("feature")), "left")
+    sigmas = F.abs(F.col("m") - F.col("rm")) / (F.col("rs") + 1e-9)
+    w = W.partitionBy("cell", "grp").orderBy(F.desc_nulls_last("sigmas"), "feature")
+    top = j.withColumn("sigmas", sigmas).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
+    top = top.select("cell", "grp", "feature", "sigmas", "c2", F.least("lo", "rlo").alias("a"), F.greatest("hi", "rhi").alias("b"))
+    few = F.broadcast(top)  # groups x k rows
+    bin_ = F.least(F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * bins), F.lit(bins - 1))
+    mine = long.join(few, ["cell", "grp", "feature"]).select("cell", "grp", "feature", "v", "a", "b", F.lit(0).alias("side"))
+    theirs = long.drop("grp").withColumnRenamed("cell", "c3").join(F.broadcast(top.withColumnRenamed("feature", "f3")), (F.col("c3") == F.col("c2")) & (F.col("feature") == F.col("f3")))
+    theirs = theirs.select("cell", "grp", "feature", "v", "a", "b", F.lit(1).alias("side"))
+    h = mine.unionByName(theirs).filter("b > a").groupBy("cell", "grp", "feature", "side", bin_.alias("bin")).agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(W.partitionBy("cell", "grp", "feature", "side"))
+    area = h.withColumn("share", share).groupBy("cell", "grp", "feature", "bin").agg(F.min("share").alias("both"), F.count("*").alias("sides")).filter("sides = 2").groupBy("cell", "grp", "feature").agg(F.sum("both").alias("area"))
+    flat = top.select("cell", "grp", "feature", "sigmas", F.when(F.col("c2").isNull(), 0.0).when(F.col("b") <= F.col("a"), 1.0).alias("known"))
+    overlap = flat.join(area, ["cell", "grp", "feature"], "left").groupBy("cell", "grp").agg(F.avg(F.coalesce("known", "area", F.lit(0.0))).alias("overlap"), F.max_by("feature", "sigmas").alias("top_feature"), F.max("sigmas").alias("top_sigmas"))
+    pr = F.col("prob")
+    near = of((pr > 0.5) & (pr <= 0.65), (pr >= 0.35) & (pr < 0.5))
+    sure = of(pr > 0.8, pr < 0.2)
+    conf = rows.filter(F.col("cell").isin("FP", "FN")).groupBy("cell", "grp").agg(F.count("*").alias("n"), F.avg("prob").alias("mean_prob"), F.avg(near.cast("double")).alias("boundary"), F.avg(sure.cast("double")).alias("confident"))
+    out = conf.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("cell"))).filter(F.col("n") >= least).join(overlap, ["cell", "grp"])
+    cause = F.when(F.col("boundary") >= 0.5, CAUSES[0]).when((F.col("confident") >= 0.5) & (F.col("overlap") < 0.5), CAUSES[1]).when(F.col("overlap") >= 0.5, CAUSES[2]).otherwise(CAUSES[3])
+    return out.select(F.col("cell").alias("error"), F.col("grp").alias(group), "n", "share", "mean_prob", "boundary", "confident", "overlap", "top_feature", "top_sigmas", cause.alias("cause"))
+
+
+def threshold_scan(df: DataFrame, profile: str, truth: str, score: str, family: str, classes: list[str], targets: list[str], fpr_cap: float, least_support: int = 1) -> DataFrame:
+    """Per profile, the attack score at which a gated classifier is best within the false-positive cap, and its measures.
+
+    Rows at or over a threshold take their ``family`` (never ``classes[0]``, the benign one), others are benign.
+    Thresholds are the distinct scores; measures come from running counts by score, highest first: totals of coarse
+    score ranges, then a window inside each. Best is the greatest least F1 of ``targets``, then macro F1 (of classes with
+    ``least_support``), attack recall, the least false-positive rate, the highest threshold.
+    """
+    benign, attacks = classes[0], classes[1:]
+    cells = {"all": F.count("*"), "neg": F.count_if(F.col(truth) == benign)}
+    for n, c in enumerate(attacks):
+        cells |= {f"p{n}": F.count_if(F.col(family) == c), f"t{n}": F.count_if((F.col(family) == c) & (F.col(truth) == c))}
+    g = df.groupBy(profile, F.col(score).alias("threshold")).agg(*[c.alias(k) for k, c in cells.items()]).withColumn("_b", F.floor(F.col("threshold") * 1000))
+    ranges = g.groupBy(F.col(profile).alias("_p"), F.col("_b").alias("_c")).agg(*[F.sum(k).alias(f"r_{k}") for k in cells])
+    before = W.partitionBy("_p").orderBy(F.desc("_c")).rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("_p", "_c", *[F.coalesce(F.sum(f"r_{k}").over(before), F.lit(0)).alias(f"r_{k}") for k in cells])
+    inside = W.partitionBy(profile, "_b").orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
+    run = g.join(ranges, F.col(profile).eqNullSafe(F.col("_p")) & (F.col("_b") == F.col("_c"))).select(profile, "threshold", *[(F.col(f"r_{k}") + F.sum(k).over(inside)).cast("double").alias(k) for k in cells])
+    size = df.groupBy(F.col(profile).alias("_p")).agg(F.count("*").cast("double").alias("n"), *[F.count_if(F.col(truth) == c).cast("double").alias(f"s{k}") for k, c in enumerate(classes)])
+    run = run.join(F.broadcast(size), F.col(profile).eqNullSafe(F.col("_p"))).drop("_p")
+    correct = {benign: F.col("s0") - F.col("neg")} | {c: F.col(f"t{n}") for n, c in enumerate(attacks)}
+    said = {benign: F.col("n") - F.col("all")} | {c: F.col(f"p{n}") for n, c in enumerate(attacks)}
+    support = {c: F.col(f"s{k}") for k, c in enumerate(classes)}
+    f1 = {c: safe_divide(2 * correct[c], said[c] + support[c]) for c in classes}
+    enough = {c: support[c] >= least_support for c in classes}
+    count = sum((F.when(enough[c], 1).otherwise(0) for c in classes), F.lit(0))
+    macro = sum((F.when(enough[c], f1[c]).otherwise(0.0) for c in classes), F.lit(0.0)) / F.when(count > 0, count)
+    least = F.least(*[f1[c] for c in targets]) if len(targets) > 1 else f1[targets[0]]
+    measures = {"least_target_f1": least, "macro_f1": macro, "attack_recall": safe_divide(F.col("all") - F.col("neg"), F.col("n") - F.col("s0")), "fpr": safe_divide(F.col("neg"), F.col("s0"))}
+    measures |= {f"precision_{c}": safe_divide(correct[c], said[c]) for c in targets} | {f"recall_{c}": safe_divide(correct[c], support[c]) for c in targets}
+    ok = run.select(profile, "threshold", *[m.alias(k) for k, m in measures.items()]).filter(F.col("fpr") <= fpr_cap + 1e-15)
+    return top_per_group(ok, [profile], [F.desc("least_target_f1"), F.desc("macro_f1"), F.desc("attack_recall"), F.asc("fpr"), F.desc("threshold")], 1)
+
+
+def eligible_profiles(scans: DataFrame, profile: str, sizes: dict[str, int], targets: list[str], precision: float, recall: float, recall_drop: float, macro_drop: float, target_drop: float) -> DataFrame:
+    """Which profiles pass the gates (of targets' precision and recall, and of losses against the best profile), and the smallest that does."""
+    best = scans.agg(*[F.max(c).alias(f"_{c}") for c in ("attack_recall", "macro_f1", "least_target_f1")])
+    gates = [(F.col(f"precision_{c}") < precision, f"{c}:precision") for c in targets] + [(F.col(f"recall_{c}") < recall, f"{c}:recall") for c in targets]
+    gates += [(F.col(c) < F.col(f"_{c}") - drop, n) for c, drop, n in (("attack_recall", recall_drop, "attack_recall_drop"), ("macro_f1", macro_drop, "macro_f1_drop"), ("least_target_f1", target_drop, "target_f1_drop"))]
+    reasons = F.array_compact(F.array(*[F.when(bad, name) for bad, name in gates]))
+    size = F.create_map(*[F.lit(x) for item in sizes.items() for x in item])
+    j = scans.join(F.broadcast(best)).select(*scans.columns, reasons.alias("reasons"), F.try_element_at(size, F.col(profile)).alias("features")).withColumn("eligible", F.size("reasons") == 0)
+    chosen = j.filter("eligible").agg(F.min(F.struct("features", profile)).alias("_c"))
+    return j.join(F.broadcast(chosen)).withColumn("selected", F.coalesce(F.col("_c")[profile] == F.col(profile), F.lit(False))).drop("_c")

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import finite_or_zero
 from ..functions.records import binary_label
+from .windows import hinted
 
 
 def factorize(df: DataFrame, column: str, order: str, name: str = "code") -> DataFrame:
-    """Integer codes by first appearance; null is the text ``nan``. The window runs over distinct values only."""
+    """Integer codes by first appearance; null is the text ``nan``. The window runs over distinct values only, which are broadcast if they are few."""
     from pyspark.sql import Window as W
 
     v = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
     firsts = df.groupBy(v.alias("_v")).agg(F.min(order).alias("_m"))
     codes = firsts.select("_v", (F.row_number().over(W.orderBy("_m")) - 1).cast("int").alias(name))
-    return df.withColumn("_v", v).join(codes, "_v").drop("_v")
+    return df.withColumn("_v", v).join(hinted(codes), "_v").drop("_v")
 
 
 #: The features of each layer, in their order.

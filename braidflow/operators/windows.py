@@ -14,16 +14,20 @@ CHUNK = 1_000_000
 BROADCAST_CHUNKS = 100_000
 
 
+def hinted(df: DataFrame, rows: int = BROADCAST_CHUNKS) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``rows`` rows (counted); else as it is, for a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _prefix(packets: DataFrame, by: list[str], order: str, agg, combine, start, chunk: int, name: str) -> DataFrame:
     """Running value over each ``by`` group in two phases: chunk totals, a window over the few totals, a window inside chunks."""
     p = packets.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("long"))
     totals = p.groupBy(*by, "_chunk").agg(agg.alias("_total"))
     before = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*by, "_chunk", combine(F.col("_total")).over(before).alias("_before"))
-    small = totals.limit(BROADCAST_CHUNKS + 1).count() <= BROADCAST_CHUNKS
     here = totals.select(*[F.col(c).alias(f"_of_{n}") for n, c in enumerate([*by, "_chunk"])], "_before")
     same = [F.col(c).eqNullSafe(F.col(f"_of_{n}")) for n, c in enumerate([*by, "_chunk"])]
-    p = p.join(F.broadcast(here) if small else here, same).drop(*[f"_of_{n}" for n in range(len(same))])
+    p = p.join(hinted(here), same).drop(*[f"_of_{n}" for n in range(len(same))])
     inside = W.partitionBy(*by, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return p.withColumn(name, start(F.col("_before"), agg, inside)).drop("_chunk", "_before")
 
@@ -141,8 +145,7 @@ def value_before(df: DataFrame, by: list[str], order: str, value: str, name: str
     ends = p.groupBy(*by, "_chunk").agg(F.max_by(F.struct(value), order).alias("_last"))
     ends = ends.select(*[F.col(c).alias(f"_of_{n}") for n, c in enumerate([*by, "_chunk"])], F.lag("_last").over(W.partitionBy(*by).orderBy("_chunk")).alias("_last"))
     same = [F.col(c).eqNullSafe(F.col(f"_of_{n}")) for n, c in enumerate([*by, "_chunk"])]
-    small = ends.limit(BROADCAST_CHUNKS + 1).count() <= BROADCAST_CHUNKS
-    p = p.join(F.broadcast(ends) if small else ends, same).drop(*[f"_of_{n}" for n in range(len(same))])
+    p = p.join(hinted(ends), same).drop(*[f"_of_{n}" for n in range(len(same))])
     w = W.partitionBy(*by, "_chunk").orderBy(order)
     first = F.row_number().over(w) == 1
     return p.withColumn(name, F.when(first, F.col(f"_last.{value}")).otherwise(F.lag(value).over(w))).drop("_chunk", "_last")

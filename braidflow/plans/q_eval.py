@@ -419,6 +419,30 @@ def m22(spark, d):
     return b.select(F.round("score", 9).alias("score"), *[F.round(c, 6).alias(c) for c in ("recall", "precision", "fpr")])
 
 
+@query(
+    "m22_profile_scan",
+    f"""WITH {SC}, x AS (SELECT p.profile, CASE fam WHEN 'view' THEN 'benign' WHEN 'click' THEN 'benign' WHEN 'error' THEN 'dos' ELSE 'web' END AS truth, CASE p.profile WHEN 'A' THEN s2 WHEN 'B' THEN (s + s2) / 2 ELSE s END AS score, CASE WHEN id % 5 = 0 THEN CASE WHEN id % 2 = 0 THEN 'dos' ELSE 'web' END WHEN fam = 'error' THEN 'dos' ELSE 'web' END AS family
+  FROM sc, (VALUES ('A'), ('B'), ('C')) p(profile)), t AS (SELECT DISTINCT profile, score AS threshold FROM x),
+c AS (SELECT t.profile, t.threshold, count(*) FILTER (score >= threshold AND truth = 'benign') AS neg, count(*) FILTER (truth = 'benign') AS s0, count(*) FILTER (truth <> 'benign') AS pos, count(*) FILTER (truth <> 'benign' AND score >= threshold) AS hit, count(*) FILTER (score < threshold) AS said0,
+  count(*) FILTER (family = 'dos' AND score >= threshold) AS pd, count(*) FILTER (family = 'dos' AND truth = 'dos' AND score >= threshold) AS td, count(*) FILTER (truth = 'dos') AS sd, count(*) FILTER (family = 'web' AND score >= threshold) AS pw, count(*) FILTER (family = 'web' AND truth = 'web' AND score >= threshold) AS tw, count(*) FILTER (truth = 'web') AS sw
+  FROM t JOIN x ON x.profile = t.profile GROUP BY 1, 2),
+m AS (SELECT profile, threshold, 2 * td / (pd + sd) AS fd, (2 * (s0 - neg) / (said0 + s0) + 2 * td / (pd + sd) + 2 * tw / (pw + sw)) / 3 AS mf, hit / pos AS ar, neg / s0 AS fpr, td / pd AS prd, td / sd AS rcd FROM c WHERE neg / s0 <= 0.3 + 1e-15),
+b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY profile ORDER BY fd DESC, mf DESC, ar DESC, fpr, threshold DESC) = 1), g AS (SELECT *, list_filter([CASE WHEN prd < 0.3 THEN 'dos:precision' END, CASE WHEN rcd < 0.5 THEN 'dos:recall' END, CASE WHEN ar < max(ar) OVER () - 0.2 THEN 'attack_recall_drop' END,
+  CASE WHEN mf < max(mf) OVER () - 0.1 THEN 'macro_f1_drop' END, CASE WHEN fd < max(fd) OVER () - 0.2 THEN 'target_f1_drop' END], lambda v: v IS NOT NULL) AS why FROM b)
+SELECT profile, round(threshold, 6) AS threshold, round(fd, 6) AS least_target_f1, round(mf, 6) AS macro_f1, round(ar, 6) AS attack_recall, round(fpr, 6) AS fpr, array_to_string(why, ',') AS reasons, len(why) = 0 AS eligible, coalesce(profile = (SELECT min(profile) FROM g WHERE len(why) = 0), FALSE) AS selected FROM g""",
+)
+def m22_profiles(spark, d):
+    """Three profiles of 54, 61 and 64 features, by made scores: their best thresholds, gates, and the smallest that passes."""
+    i, fam = F.col("id"), F.col("fam")
+    family = F.when(i % 5 == 0, F.when(i % 2 == 0, "dos").otherwise("web")).when(fam == "error", "dos").otherwise("web")
+    truth = F.when(fam.isin("view", "click"), "benign").when(fam == "error", "dos").otherwise("web")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("profile"), c.alias("score")) for n, c in (("A", F.col("s2")), ("B", (F.col("s") + F.col("s2")) / 2), ("C", F.col("s")))])).alias("x")
+    x = scored(spark, d).select(truth.alias("truth"), family.alias("family"), each).select("truth", "family", "x.*")
+    scans = ev.threshold_scan(x, "profile", "truth", "score", "family", ["benign", "dos", "web"], ["dos"], 0.3)
+    e = ev.eligible_profiles(scans, "profile", {"A": 54, "B": 61, "C": 64}, ["dos"], 0.3, 0.5, 0.2, 0.1, 0.2)
+    return rounded(e.select("profile", "threshold", "least_target_f1", "macro_f1", "attack_recall", "fpr", F.array_join("reasons", ",").alias("reasons"), "eligible", "selected"), 6)
+
+
 TREES = [50, 100, 150, 200, 300]
 
 
@@ -472,6 +496,26 @@ def m29(spark, d):
     return rounded(ev.histogram_overlap(e, "side", "value", 0.0, 100.0, 30), 6)
 
 
+@query(
+    "m29_error_groups",
+    f"""WITH {SC}, r AS (SELECT fam, s AS prob, CASE WHEN NOT y AND s >= 0.5 THEN 'FP' WHEN y AND s < 0.5 THEN 'FN' WHEN y THEN 'TP' ELSE 'TN' END AS cell, u % 4 AS g, u::DOUBLE AS fa, s * s2 AS fb, s2 AS fc FROM sc),
+lg AS (SELECT cell, CASE WHEN cell IN ('FP', 'FN') THEN g END AS g, prob, unnest(['fa', 'fb', 'fc']) AS f, unnest([fa, fb, fc]) AS v FROM r),
+st AS (SELECT cell, g, f, avg(v) AS m, stddev_pop(v) AS sd, min(v) AS lo, max(v) AS hi FROM lg GROUP BY 1, 2, 3),
+t AS (SELECT e.cell, e.g, e.f, abs(e.m - o.m) / (o.sd + 1e-9) AS sg, least(e.lo, x.lo) AS a, greatest(e.hi, x.hi) AS b, x.cell AS xc FROM st e JOIN st o ON o.f = e.f AND o.cell = CASE e.cell WHEN 'FP' THEN 'TN' ELSE 'TP' END JOIN st x ON x.f = e.f AND x.cell = CASE e.cell WHEN 'FP' THEN 'TP' ELSE 'TN' END WHERE e.cell IN ('FP', 'FN')
+  QUALIFY row_number() OVER (PARTITION BY e.cell, e.g ORDER BY abs(e.m - o.m) / (o.sd + 1e-9) DESC, e.f) <= 2),
+hh AS (SELECT t.cell, t.g, t.f, side, least(floor((v - a) / (b - a) * 30), 29) AS bin FROM t JOIN (SELECT *, 0 AS side FROM lg WHERE cell IN ('FP', 'FN') UNION ALL SELECT *, 1 FROM lg WHERE cell IN ('TP', 'TN')) l ON l.f = t.f AND CASE side WHEN 0 THEN l.cell = t.cell AND l.g = t.g ELSE l.cell = t.xc END),
+hn AS (SELECT cell, g, f, side, bin, count(*) / sum(count(*)) OVER (PARTITION BY cell, g, f, side) AS p FROM hh GROUP BY 1, 2, 3, 4, 5), ar AS (SELECT cell, g, f, sum(p) AS area FROM (SELECT cell, g, f, bin, min(p) AS p FROM hn GROUP BY 1, 2, 3, 4 HAVING count(*) = 2) GROUP BY 1, 2, 3),
+ov AS (SELECT t.cell, t.g, avg(coalesce(area, 0)) AS overlap, max_by(t.f, sg) AS tf, max(sg) AS ts FROM t LEFT JOIN ar ON ar.cell = t.cell AND ar.g = t.g AND ar.f = t.f GROUP BY 1, 2),
+cf AS (SELECT cell, g, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY cell) AS share, avg(prob) AS mp, avg((CASE cell WHEN 'FP' THEN prob > 0.5 AND prob <= 0.65 ELSE prob >= 0.35 AND prob < 0.5 END)::INT) AS bo, avg((CASE cell WHEN 'FP' THEN prob > 0.8 ELSE prob < 0.2 END)::INT) AS co FROM r WHERE cell IN ('FP', 'FN') GROUP BY 1, 2)
+SELECT cf.cell AS error, cf.g AS g, n, round(share, 6) AS share, round(mp, 6) AS mean_prob, round(bo, 6) AS boundary, round(co, 6) AS confident, round(overlap, 6) AS overlap, tf AS top_feature, round(ts, 5) AS top_sigmas,
+CASE WHEN bo >= 0.5 THEN 'threshold' WHEN co >= 0.5 AND overlap < 0.5 THEN 'drift' WHEN overlap >= 0.5 THEN 'overlap' ELSE 'mixed' END AS cause FROM cf JOIN ov ON ov.cell = cf.cell AND ov.g = cf.g""",
+)
+def m29_groups(spark, d):
+    x = scored(spark, d).select("y", "s", (F.col("u") % 4).alias("g"), F.col("u").cast("double").alias("fa"), (F.col("s") * F.col("s2")).alias("fb"), F.col("s2").alias("fc"))
+    out = ev.error_groups(x, F.col("y"), F.col("s") >= 0.5, F.col("s"), "g", ["fa", "fb", "fc"], k=2)
+    return rounded(out.withColumn("top_sigmas", F.round("top_sigmas", 5)), 6)
+
+
 @query("m30_log_loss", f"WITH {SC} SELECT fam, round(avg(-ln(greatest(1e-15, CASE WHEN y THEN s ELSE 1 - s END))), 6) AS log_loss FROM sc GROUP BY fam")
 def m30(spark, d):
     return rounded(ev.log_loss(scored(spark, d), ["fam"], F.when(F.col("y"), F.col("s")).otherwise(1 - F.col("s"))), 6)

@@ -162,3 +162,24 @@ def test_labels_appended_and_scored(spark, tmp_path):
     s = stream_of(spark, df, tmp_path / "in", 2, "a double, b double, y double", "a")
     alerts.append_labels(s, str(tmp_path / "train"), str(tmp_path / "cp")).awaitTermination(180)
     assert spark.read.parquet(str(tmp_path / "train")).count() == 100
+
+
+def test_scores_on_a_stream_equal_batch(spark, tmp_path):
+    from braidflow.operators import models
+
+    df = spark.createDataFrame([(float(k), float(k % 7), float(k > 50)) for k in range(100)], "a double, b double, y double")
+    model = models.fit_forest(df, ["a", "b"], "y", trees=3, depth=3)
+    schema = "a double, b double, y double, votes int"
+    rows = df.withColumn("votes", (F.col("a") % 3).cast("int"))
+    out = results(spark, alerts.score_stream(stream_of(spark, rows, tmp_path / "in", 3, schema, "a"), model, 0.5, "votes"), "score_rows", tmp_path / "cp")
+    want = {(r["a"], r["decision"], r["line"]) for r in alerts.score_stream(rows, model, 0.5, "votes").collect()}
+    assert {(r["a"], r["decision"], r["line"]) for r in out.collect()} == want and len({d for _, d, _ in want}) > 1
+
+
+def test_packets_later_than_the_delay_are_lost_to_the_stream(spark, tmp_path):
+    rows = [("c", "k", i, t * S, "a", True, 16, 1) for i, t in enumerate([0, 5, 500, 505, 2, 506])]
+    stream = stream_of(spark, spark.createDataFrame(rows, PACKET), tmp_path / "in", 6, PACKET, "packet_index")
+    out = results(spark, flows.track_stream(stream, FlowPolicy(60 * S, 10**6 * S), "10 seconds"), "late_rows", tmp_path / "cp")
+    ends = out.filter("event = 'close'").collect()
+    assert [(r["generation"], r["reason"], r["packets"]) for r in ends] == [(0, "idle_timeout", 2)]
+    assert [r["ordinal"] for r in out.filter("event = 'checkpoint'").collect()] == [3]  # packets 2, 3 and 5; packet 4 came 503 seconds late
