@@ -1,8 +1,8 @@
 """BPE encoding and decoding with a public vocabulary file.
 
-Each distinct word is merged once per worker: its symbols form a doubly linked list, the possible merges wait in a
-priority queue by rank, and entries whose symbols have changed meanwhile are skipped. Results of words are kept in a
-two-generation cache of bounded size. Decoding concatenates the vocabulary strings.
+A word's symbols form a doubly linked list, the possible merges wait in a priority queue by rank, and entries whose
+symbols have changed meanwhile are skipped. Results of words are kept in two-generation caches of bounded size, one set
+for each worker process. Decoding concatenates the vocabulary strings.
 
 Rows are independent, so there is no shuffle and a lost executor costs only its own partitions.
 Defined results: null text counts as empty (no ids, empty decoded text); repeated rows give repeated results; the
@@ -39,6 +39,9 @@ SMALL = {c: c + int(by, 16) for span, by in (x.split() for x in CAPITALS.split("
 SMALL[ord("Σ")] = ord("σ")  # at the end of a word too
 SYMBOLS = regex.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in (x.split("-") for x in UNKNOWN.split())) + "]")
 WORD_END = "</w>"
+#: Marks that often end a word and are one piece behind it, and the end of the letters that stay as they are when composed and lowered.
+MARKS = ",.;:!?"
+PLAIN_END = "\u0130"
 MOST_BYTES = 64 << 20
 
 
@@ -55,36 +58,54 @@ class Codec:
     def __init__(self, spec: str, cached_words: int = 300_000):
         d = json.loads(spec)
         self.vocab: dict[str, int] = d["model"]["vocab"]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in d["model"]["merges"])
-        self.rank = {(a, b): k for k, (a, b) in enumerate(pairs)}
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in d["model"]["merges"]]
+        self.top = max(self.vocab.values(), default=-1)
+        numbers = dict(self.vocab)  # symbols by number: the vocabulary's own, others beyond them
+        number = lambda x: numbers.setdefault(x, self.top + 1 + len(numbers))
+        self.rank = {number(a) << 32 | number(b): k for k, (a, b) in enumerate(pairs)}
+        self.merged = [number(a + b) for a, b in pairs]
+        self.inner = [number(x) for x in byte_letters()]
+        self.last = [number(x + WORD_END) for x in byte_letters()]
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.letters, self.most = byte_letters(), cached_words
+        self.most = cached_words
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
         self.young_pieces: dict[str, tuple[int, ...]] = {}
         self.old_pieces: dict[str, tuple[int, ...]] = {}
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """Merges neighbours, lowest rank first and leftmost among equals, until no rank applies."""
-        n, rank = len(symbols), self.rank
-        before, after = [k - 1 for k in range(n)], [k + 1 for k in range(n)]
-        queue = [(r, k, symbols[k], symbols[k + 1]) for k in range(n - 1) if (r := rank.get((symbols[k], symbols[k + 1]))) is not None]
+    def merge(self, symbols: list[int]) -> list[int]:
+        """Merges neighbours, lowest rank first and leftmost among equals, until no rank applies.
+
+        An entry of the queue is a rank and a place in one number. It is stale if the pair at its place, after other
+        merges, is not the rank's own.
+        """
+        n, rank, merged = len(symbols), self.rank.get, self.merged
+        queue = [r << 32 | k for k in range(n - 1) if (r := rank(symbols[k] << 32 | symbols[k + 1])) is not None]
+        if not queue:
+            return symbols
         heapq.heapify(queue)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, k, a, b = heapq.heappop(queue)
+            r = pop(queue)
+            k = r & 0xFFFFFFFF
+            r >>= 32
             j = after[k]
-            if symbols[k] != a or j >= n or symbols[j] != b:
-                continue  # stale: one of the two has been merged since
-            symbols[k], symbols[j] = a + b, ""
-            after[k] = after[j]
-            if after[j] < n:
-                before[after[j]] = k
-            for left, right in ((before[k], k), (k, after[k])):
-                if 0 <= left and right < n and (r := rank.get((symbols[left], symbols[right]))) is not None:
-                    heapq.heappush(queue, (r, left, symbols[left], symbols[right]))
-        return [s for s in symbols if s]
+            if j >= n or symbols[k] < 0 or rank(symbols[k] << 32 | symbols[j]) != r:
+                continue
+            new = symbols[k] = merged[r]
+            symbols[j] = -1
+            j = after[k] = after[j]
+            if j < n:
+                before[j] = k
+                if (q := rank(new << 32 | symbols[j])) is not None:
+                    push(queue, q << 32 | k)
+            j = before[k]
+            if j >= 0 and (q := rank(symbols[j] << 32 | new)) is not None:
+                push(queue, q << 32 | j)
+        return [x for x in symbols if x >= 0]
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece; kept like those of chunks, as most new chunks are known words with new punctuation."""
@@ -92,9 +113,10 @@ class Codec:
         if found is None:
             found = self.old_pieces.get(piece)
             if found is None:
-                symbols = [self.letters[b] for b in piece.encode()]
-                symbols[-1] += WORD_END
-                found = tuple([self.vocab[s] for s in self.merge(symbols) if s in self.vocab])
+                packed = piece.encode()
+                symbols = [self.inner[b] for b in packed]
+                symbols[-1] = self.last[packed[-1]]
+                found = tuple([x for x in self.merge(symbols) if x <= self.top])
             if len(self.young_pieces) >= self.most:
                 self.old_pieces, self.young_pieces = self.young_pieces, {}
             if len(piece) <= 64:
@@ -103,7 +125,11 @@ class Codec:
 
     def chunk_ids(self, chunk: str) -> list[int]:
         """Ids of a run of text without white space."""
-        ids: list[int] = []
+        word = chunk.rstrip(MARKS)
+        if word.isalpha() and max(word) < PLAIN_END:  # letters that no normal form changes, and the marks behind them
+            ids = [*self.piece_ids(word.lower())]
+            return ids + [*self.piece_ids(chunk[len(word) :])] if len(word) < len(chunk) else ids
+        ids = []
         for k, part in enumerate(self.cut.split(chunk) if self.cut and "<" in chunk else [chunk]):
             if k % 2:
                 ids.append(self.special[part])
@@ -145,6 +171,18 @@ class Codec:
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(spec: str) -> Codec:
+    """The worker process's codec for a vocabulary: later tasks of the process find its caches filled."""
+    digest = hashlib.sha256(spec.encode()).hexdigest()
+    if digest not in _codecs:
+        _codecs.clear()
+        _codecs[digest] = Codec(spec)
+    return _codecs[digest]
+
+
 def read_vocabulary(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         spec = f.read()
@@ -162,7 +200,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
     ids_field = [pa.field("ids", pa.list_(pa.int32()))] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for batch in batches:
             n, ids, decoded, packed, ends = [], [], [], [], [0]
             for value in batch.column(1):
