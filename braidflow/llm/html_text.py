@@ -4,7 +4,7 @@ Every node of a page's DOM gets a link-adjusted density of characters per tag. A
 blocks and of the text between them; the block with the greatest sum holds the article. The least density on the path
 from it up to the body is the threshold that other parts of the page, beside that path, must reach to count as text too.
 What the contract names (menus, headers, footers, sidebars, notices, adverts, forms, comments) is recognised by tag,
-role, class or id and taken out before densities are made; what only its name (a class or id of nothing but such words)
+role, class or id and taken out before densities are made; what only its name (a class or id of nothing but such words and neutral ones)
 or a ``form`` tag speaks against is left to the densities where it holds an ``article`` or ``main`` or, on a page with
 neither, most of the text outside links. No tag or name puts anything into the text: that is the densities' choice.
 
@@ -40,6 +40,10 @@ DROPPED_WORDS = frozenset(
     "related recommended recommendations newsletter subscribe subscription signup popup modal overlay login toolbar widget masthead copyright pagination pager "
     "skip tags".split()
 )
+#: These may stand beside such words in a name; alone they say nothing.
+NEUTRAL_WORDS = frozenset(
+    "area article bar block bottom box container entry global group inner item left list outer panel post primary reader right secondary section site slot unit user wrap wrapper zone".split()
+)
 #: These name boilerplate only outside an article.
 OUTER_WORDS = frozenset("header head top topbar".split())
 #: What may stand in a head; anything else ends it.
@@ -82,11 +86,17 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, b
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True, False
         if name == "class" or name == "id" and not (in_article and tag in TITLED):
-            words = DROPPED_WORDS if in_article else DROPPED_WORDS | OUTER_WORDS
-            named = named or any(parts and words.issuperset(parts) for parts in map(NAME.findall, value.split()))
+            named = named or any(names_boilerplate(NAME.findall(word), in_article) for word in value.split())
     return named, named
 
 
+def names_boilerplate(parts: list[str], in_article: bool) -> bool:
+    """Whether the parts of one class or id (``comment-list``) say boilerplate and nothing else."""
+    if not in_article and not OUTER_WORDS.isdisjoint(parts):
+        return all(p in OUTER_WORDS or p in DROPPED_WORDS or p in ("site", "global") for p in parts)
+    return not DROPPED_WORDS.isdisjoint(parts) and all(p in DROPPED_WORDS or p in NEUTRAL_WORDS for p in parts)
+
+
 def settle(nodes: list[Node], articles: set[int]) -> None:
     """Drops what is boilerplate by name, except what holds an article or, on a page without one, most of the text outside links."""
     text = [0 if x.dropped else x.chars - x.link_chars for x in nodes]
