@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import re
 import sys
 import textwrap
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 
 from braidflow.llm import bpe, chat_format, decontaminate, html_text, language_id, license_scan, pii, quality_classifier, quality_rules, queries, simhash
 from braidflow.llm.common import table
+from braidflow.llm.doc_stats import FEATURES, thresholds, with_stats
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -601,3 +603,158 @@ def test_language_shares_equal_slow_version():
         language_id._settle(like, share, np.zeros(n, int), np.array([0]), np.array([n]), 500)
         assert np.abs(share[0] - slow_shares(like.tolist(), 500)).max() < 0.02
         at += n
+
+
+def test_bpe_marks_behind_words_equal_the_library():
+    t = Tokenizer.from_file(VOCABULARY)
+    codec = bpe.codec_of(bpe.read_vocabulary(VOCABULARY))
+    assert codec is bpe.codec_of(bpe.read_vocabulary(VOCABULARY))
+    for word in ("word", "Éa", "ÀÿŃ", "ß", "ªº", "İx", "ſ", "é", "don't", "x1", "ǅ", "日本", "µm", ""):
+        for marks in ("", ".", ",.;", "?!:", "...", "'s,", ",a", "</w>", "<|endoftext|>.", "́."):
+            s = f"{word}{marks} {marks}{word}{marks}"
+            packed, decoded = codec.encode(s)
+            ids = t.encode(s, add_special_tokens=False).ids
+            assert packed == np.array(ids, "<u4").tobytes() and decoded == t.decode(ids, skip_special_tokens=False), s
+
+
+def slow_rules(rows, cuts, params):
+    """Sequential covering over a list of (features, y, grows), one test and one row at a time."""
+    holds = lambda r, t: r[0][t[0]] > t[2] if t[3] else r[0][t[0]] <= t[2]
+    rules, tried = [], set()
+    while len(rules) < params.max_rules:
+        tests = []
+        while len(tests) < params.max_tests:
+            inside = [r for r in rows if r[2] and all(holds(r, t) for t in tests)]
+            names = [f for f in FEATURES if cuts[f] and (tests or f not in tried)]
+            p0, n0 = sum(r[1] for r in inside), sum(1 - r[1] for r in inside)
+            best, found = 1e-9, None
+            if not p0 or not n0:
+                break
+            for f in names:
+                for rank, cut in enumerate(cuts[f]):
+                    for above in (False, True):
+                        got = [r for r in inside if holds(r, (f, rank, cut, above))]
+                        p, n = sum(r[1] for r in got), sum(1 - r[1] for r in got)
+                        if p >= params.least_support:
+                            gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
+                            if gain > best:
+                                best, found = gain, (f, rank, cut, above)
+            if found is None:
+                break
+            tests.append(found)
+        if not tests:
+            break
+        first = tests[0][0]
+        held, worth = [r for r in rows if not r[2]], {}
+        for k in range(1, len(tests) + 1):
+            got = [r[1] for r in held if all(holds(r, t) for t in tests[:k])]
+            worth[k] = (round((sum(got) + 1) / (len(got) + 2), 3), -k, sum(got), len(got) - sum(got))
+        k = max(worth, key=lambda k: worth[k][:2])
+        p, n = worth[k][2:]
+        tests = tests[:k]
+        if 2 * p < params.least_support or p / max(p + n, 1) < params.least_precision:
+            tried |= {first}
+            continue
+        tried = set()
+        wide = []
+        for t in tests:
+            inner = [r[0][t[0]] for r in rows if r[1] == 1 and all(holds(r, x) for x in tests)]
+            beyond = [r[0][t[0]] for r in rows if not holds(r, t) and all(holds(r, x) for x in tests if x is not t)]
+            edge = (max if t[3] else min)(beyond, default=None)
+            wide.append((t[0], t[3], t[2] if edge is None or not inner else (edge + (min if t[3] else max)(inner)) / 2))
+        rules.append(wide)
+        rows = [r for r in rows if not all(holds(r, t) for t in tests)]
+    return rules
+
+
+def test_quality_rules_equal_slow_covering(spark):
+    sf = "/root/testdata/sf0.01"
+    params = quality_rules.Params(max_rules=4, bins=8)
+    labelled = quality_rules.labelled_stats(table(spark, sf, "documents"), table(spark, sf, "labels"), params)
+    grows = F.pmod(F.xxhash64(*FEATURES), F.lit(3)) != 0
+    rows = [({f: r[f] for f in FEATURES}, r["y"], r["g"]) for r in labelled.select("*", grows.alias("g")).collect()]
+    want = slow_rules(rows, thresholds(labelled, params.bins), params)
+    got = [[(t.feature, t.above, t.cut) for t in tests] for tests in quality_rules.learn(labelled, params)]
+    assert want and [[x[:2] for x in r] for r in got] == [[x[:2] for x in r] for r in want]
+    assert [x[2] for r in got for x in r] == pytest.approx([x[2] for r in want for x in r], rel=1e-12)
+
+
+def test_quality_classifier_equals_slow_version(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality_classifier.fit(docs, labels)
+    stats = with_stats(docs.select("doc_id", "text", "source", "lang")).collect()
+
+    def evidence(r):
+        return model.scale * sum(model.ratios[f][sum(r[f] > c for c in model.cuts[f])] for f in FEATURES)
+
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    logit = math.log(model.share / (1 - model.share))
+    sites = {}
+    for r in stats:
+        path = "/".join(x for x in (r["source"], r["lang"]) if x is not None)
+        n, s = sites.get((r["source"], path), (0, 0.0))
+        sites[r["source"], path] = (n + 1, s + sigmoid(evidence(r) + logit))
+    hosts = {}
+    for (h, _), (n, s) in sites.items():
+        hosts[h] = (hosts.get(h, (0, 0))[0] + n, hosts.get(h, (0, 0))[1] + s)
+
+    def strength(rows):  # (n, s, prior)
+        total, var = sum(n for n, _, _ in rows), sum(n * q * (1 - q) for n, _, q in rows)
+        if not total or not var or len(rows) < 2:
+            return 10.0
+        spread = sum(n * (s / n - q) ** 2 for n, s, q in rows) / total
+        between = max(spread - len(rows) * (var / total) / total, 1e-6)
+        return min(max(var / total / between - 1, 1.0), 1e4)
+
+    k = strength([(n, s, model.share) for n, s in hosts.values()])
+    host = {h: (s + k * model.share) / (n + k) for h, (n, s) in hosts.items()}
+    k = strength([(n, s, host[h]) for (h, _), (n, s) in sites.items()])
+    share = {key: (s + k * host[key[0]]) / (n + k) for key, (n, s) in sites.items()}
+    want = {}
+    for r in stats:
+        q = share[r["source"], "/".join(x for x in (r["source"], r["lang"]) if x is not None)]
+        want[r["doc_id"]] = sigmoid(evidence(r) + math.log(q / (1 - q)))
+    got = quality_classifier.classify(docs, labels, *queries.document_site(), carry=["doc_id"]).select("doc.doc_id", "p_good", "kept").collect()
+    assert len(got) == len(want) and all(abs(r["p_good"] - want[r["doc_id"]]) < 1e-9 and r["kept"] == (r["p_good"] >= 0.1) for r in got)
+
+
+def test_clashing_columns_and_ties(spark):
+    chats = spark.createDataFrame([(1, 1, "user", "b", 9, "x"), (1, 1, "user", "a", 9, "x"), (1, 0, "assistant", "c", 9, "x")], "conv_id long, turn long, role string, text string, turns int, formatted string")
+    assert [tuple(t) for t in chat_format.format_chats(chats).first()["turns"]] == [("assistant", "c"), ("user", "a"), ("user", "b")]
+    notice = "Released under the MIT License."
+    docs = spark.createDataFrame([(1, notice), (1, notice), (2, f"{notice}\n{notice}"), (3, "Licensed under CC BY 4.0.")], "doc_id long, text string").withColumns({"line": F.lit(1), "row": F.lit(2), "license": F.lit("x"), "q": F.lit(1)})
+    got = sorted(tuple(r)[:3] for r in license_scan.scan(docs).collect())
+    assert got == [(1, 1, "MIT"), (1, 1, "MIT"), (2, 2, "MIT"), (3, 1, "CC-BY-4.0")]
+    texts = spark.createDataFrame([(k, "same words in each of them") for k in (5, 3, 9)], "doc_id long, text string").withColumns({"fp": F.lit(1), "node": F.lit(2), "component_id": F.lit(3), "u": F.lit(4)})
+    assert [r["component_id"] for r in simhash.near_duplicates(texts).collect()] == [3, 3, 3]
+    twice = spark.createDataFrame([(1, "de heute ist ein Tag", "de"), (1, "the day is today", "en"), (2, None, "en")], "doc_id long, text string, lang string").withColumns({"bucket": F.lit(1), "n": F.lit(1), "score": F.lit(1)})
+    names, logp = language_id.fit(twice)
+    assert names == ["de", "en"] and sorted(r["lang_pred"] for r in language_id.predict(twice, names, logp).collect()) == ["de", "en", "und"]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality_rules.quality_rules(twice, labels).count() == 3
+
+
+def test_pipeline_stages_on_nothing_and_nulls(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    for name in ("labels", "benchmark"):
+        table(spark, "/root/testdata/sf0.001", name).limit(0).write.parquet(f"{sf}/{name}.parquet")
+    docs.limit(0).write.parquet(f"{sf}/documents.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
+    odd = docs.limit(3).select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]).unionByName(docs.limit(2))
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf)
+        assert 1 <= out.count() <= 5
+
+
+def test_html_names_of_several_parts():
+    said = lambda name, inside=False: html_text.names_boilerplate(re.findall("[a-z]+", name), inside)
+    assert all(map(said, ("comment-list", "reader-comments", "ad_slot", "sidebar-left", "cookie-banner", "site-header", "nav", "article-comments", "newsletter-box")))
+    assert not any(map(said, ("has-sidebar", "page-no-sidebar", "social-science", "side-note", "related-work", "page-header", "entry-header", "post-content", "article", "list", "ad-free", "")))
+    assert said("top") and not said("top", True) and said("comments", True)
+    part = "The river rose in spring, and the old mill at the bend stood still for many weeks until the water fell again. "
+    page = f"<body><div class=site-header>Site of all</div><div class=story><h1>Title</h1><p>{part}</p><p>{part * 2}</p><div class=comment-list><p>{part}first!</p></div></div><div class='sidebar-right'><p>Read this too, it is good</p></div></body>"
+    assert html_text.main_text(page) == f"Title\n{part.strip()}\n{(part * 2).strip()}"
