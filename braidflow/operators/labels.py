@@ -1,7 +1,8 @@
 """Joining flows to noisy label records: candidate edges, mutual uniqueness, class consensus.
 
 Edges join on the whole endpoint key and a coarse time bin, so that the interval test becomes an equi-join with a small
-residual; a flow or label that spans several bins is repeated once for each, and the pair is kept in one bin only.
+residual; a flow or label that spans several bins is repeated once for each, and the pair is kept in one bin only. Bins
+of a hot endpoint are dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .skew import salted_join
+
 
 def audit_flags(rows: DataFrame, schedule: DataFrame, keys: list[str], case: str, expected_hosts: Column, slack_ns: int = 60 * 10**9) -> DataFrame:
     """``schedule_conflict``: no interval of the case overlaps (its end minute included); ``role_conflict``: no expected host takes part.
@@ -33,7 +36,7 @@ def candidate_edges(flows: DataFrame, labels: DataFrame, keys: list[str], tolera
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / F.lit(bin_width)).cast("long"), F.floor(b / F.lit(bin_width)).cast("long")))
     f = flows.withColumn("_bin", bins(F.col("start") - tolerance, F.col("end") + tolerance))
     la = labels.withColumn("_bin", bins(F.col("lo"), F.col("hi")))
-    j = f.join(la, [*keys, "_bin"]).filter((F.col("end") + tolerance >= F.col("lo")) & (F.col("hi") + tolerance > F.col("start")))
+    j = salted_join(f, la, [*keys, "_bin"], "flow_id").filter((F.col("end") + tolerance >= F.col("lo")) & (F.col("hi") + tolerance > F.col("start")))
     first = F.greatest(F.floor((F.col("start") - tolerance) / F.lit(bin_width)), F.floor(F.col("lo") / F.lit(bin_width)))
     required = F.when(F.col("end") < F.col("lo"), F.col("lo") - F.col("end")).when(F.col("hi") <= F.col("start"), F.col("start") - F.col("hi") + 1).otherwise(0)
     rest = [c for c in labels.columns if c not in (*keys, "label_id", "lo", "hi")]
@@ -124,5 +127,5 @@ def nearest_in_time(alerts: DataFrame, flows: DataFrame, keys: list[str], most:
     f = flows.withColumn("_bin", F.floor(F.col("start") / F.lit(most)).cast("long"))
     a = alerts.withColumn("_at", F.floor(F.col("at") / F.lit(most)).cast("long")).withColumn("_bin", F.explode(F.array(F.col("_at") - 1, F.col("_at"), F.col("_at") + 1))).drop("_at")
     gap = F.abs(F.col("start") - F.col("at"))
-    j = a.join(f, [*keys, "_bin"]).withColumn("gap", gap).filter(F.col("gap") <= most)
+    j = salted_join(a, f, [*keys, "_bin"], "alert_id").withColumn("gap", gap).filter(F.col("gap") <= most)
     return j.groupBy("alert_id").agg(F.min_by(F.struct("flow_id", "gap"), F.struct("gap", "start", "flow_id")).alias("m")).select("alert_id", "m.*")

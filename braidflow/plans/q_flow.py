@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import net, numbers
 from ..operators import features, flow_machine, profile
 from ..operators import windows as win
+from ..sources.shared import written
 from .bindings import DAY, HOUR, MILLI, PE, PL, PLS, packets_e, packets_l, rounded, table, vector_sql
 from .registry import query
 
@@ -374,7 +375,7 @@ POLICY = flow_machine.FlowPolicy(idle_ns=400 * MILLI, max_age_ns=900 * MILLI)
 
 
 def machine_closes(spark, d):
-    p = machine_packets(spark, d)
+    p = written(machine_packets(spark, d), "machine-packets")  # read by the tracker and by the clocks
     closes = flow_machine.track(p, POLICY).filter("row = 'closed'").select("capture_id", "flow_key", "generation", "reason", "creation_ns", "last_event_ns", "packets")
     return flow_machine.resolve_passive(closes, p, POLICY, 30 * MILLI)
 

@@ -55,3 +55,14 @@ def test_segments(spark):
     s = spark.createDataFrame([("l", 1, 2, 6, ["dos"]), ("l", 2, 8, 10, ["bot"])], "log string, segment long, from_line long, to_line long, allowed array<string>")
     got = {r["line"]: r["verdict"] for r in evidence.by_segment(a, s, "line", "candidate").collect()}
     assert got == {1: "uncovered", 5: "expected", 9: "unexpected", 30: "uncovered"}
+
+
+def test_salted_join_equals_plain_join(spark):
+    from braidflow.operators.skew import salted_join
+
+    a = spark.createDataFrame([("hot" if k % 3 else f"k{k}", k % 2, k) for k in range(300)], "k string, b int, i long")
+    b = spark.createDataFrame([("hot", 0, 1), ("hot", 1, 2), ("hot", 1, 2), ("k3", 1, 3), ("none", 0, 4)], "k string, b int, v long")
+    want = sorted(map(tuple, a.join(b, ["k", "b"]).collect()))
+    for least in (10, 10**6):
+        got = salted_join(a, b, ["k", "b"], "i", least=least, salts=4)
+        assert got.columns == ["k", "b", "i", "v"] and sorted(map(tuple, got.collect())) == want
