@@ -97,7 +97,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the contaminated rows; columns as they were."""
-    bad = contaminated_keys(docs, benchmark, key, text)
+    bad = broadcast_if(contaminated_keys(docs, benchmark, key, text), BROADCAST_ROWS)
     return docs.withColumn("_row", row_key(F.col(text))).join(bad, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left_anti").drop("_row")
 
 
