@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..operators import labels as lab
-from .bindings import DAY, ns, rounded, table
+from .bindings import DAY, ns, table
 from .registry import query
 
 TOL = 20 * DAY
