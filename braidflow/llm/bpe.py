@@ -43,6 +43,7 @@ WORD_END = "</w>"
 MARKS = ",.;:!?"
 PLAIN_END = "\u0130"
 MOST_BYTES = 64 << 20
+ROWS_AT_ONCE = 1000
 
 
 def byte_letters() -> list[str]:
@@ -55,7 +56,7 @@ def byte_letters() -> list[str]:
 class Codec:
     """Encoder and decoder for a vocabulary file's text (JSON with ``model.vocab``, ``model.merges``, ``added_tokens``)."""
 
-    def __init__(self, spec: str, cached_words: int = 300_000):
+    def __init__(self, spec: str, cached_words: int = 120_000):
         d = json.loads(spec)
         self.vocab: dict[str, int] = d["model"]["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in d["model"]["merges"]]
@@ -70,10 +71,10 @@ class Codec:
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.most = cached_words
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
-        self.young_pieces: dict[str, tuple[int, ...]] = {}
-        self.old_pieces: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.young_pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merges neighbours, lowest rank first and leftmost among equals, until no rank applies.
@@ -107,56 +108,53 @@ class Codec:
                 push(queue, q << 32 | j)
         return [x for x in symbols if x >= 0]
 
-    def piece_ids(self, piece: str) -> tuple[int, ...]:
-        """Ids of one piece; kept like those of chunks, as most new chunks are known words with new punctuation."""
+    def piece(self, piece: str) -> bytes:
+        """Packed ids of one piece; kept like those of chunks, as most new chunks are known words with new punctuation."""
         found = self.young_pieces.get(piece)
         if found is None:
             found = self.old_pieces.get(piece)
             if found is None:
-                packed = piece.encode()
-                symbols = [self.inner[b] for b in packed]
-                symbols[-1] = self.last[packed[-1]]
-                found = tuple([x for x in self.merge(symbols) if x <= self.top])
+                letters = piece.encode()
+                symbols = [self.inner[b] for b in letters]
+                symbols[-1] = self.last[letters[-1]]
+                ids = [x for x in self.merge(symbols) if x <= self.top]
+                found = struct.pack(f"<{len(ids)}I", *ids)
             if len(self.young_pieces) >= self.most:
                 self.old_pieces, self.young_pieces = self.young_pieces, {}
             if len(piece) <= 64:
                 self.young_pieces[piece] = found
         return found
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        """Ids of a run of text without white space."""
+    def cut_chunk(self, chunk: str) -> bytes:
+        """Packed ids of a run of text without white space."""
         word = chunk.rstrip(MARKS)
         if word.isalpha() and max(word) < PLAIN_END:  # letters that no normal form changes, and the marks behind them
-            ids = [*self.piece_ids(word.lower())]
-            return ids + [*self.piece_ids(chunk[len(word) :])] if len(word) < len(chunk) else ids
-        ids = []
+            return self.piece(word.lower()) + (self.piece(chunk[len(word) :]) if len(word) < len(chunk) else b"")
+        out = []
         for k, part in enumerate(self.cut.split(chunk) if self.cut and "<" in chunk else [chunk]):
             if k % 2:
-                ids.append(self.special[part])
+                out.append(struct.pack("<I", self.special[part]))
             elif part.isascii():
-                for piece in PIECES.findall(part.lower()):
-                    ids += self.piece_ids(piece)
+                out += map(self.piece, PIECES.findall(part.lower()))
             else:
                 part = unicodedata.normalize("NFC", part).translate(SMALL).lower()
                 shown = SYMBOLS.sub("§", part)
-                for m in PIECES.finditer(shown):
-                    ids += self.piece_ids(part[m.start() : m.end()])
-        return ids
+                out += [self.piece(part[m.start() : m.end()]) for m in PIECES.finditer(shown)]
+        return b"".join(out)
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit integers, and the decoded string, of a chunk."""
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk as little-endian 32-bit integers."""
         found = self.old.get(chunk)
         if found is None:
-            ids = self.chunk_ids(chunk)
-            found = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+            found = self.cut_chunk(chunk)
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
         if len(chunk) <= 64:
             self.young[chunk] = found
         return found
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join([self.strings[i] for i in ids])
+    def decode(self, packed: bytes) -> str:
+        return " ".join(map(self.strings.__getitem__, struct.unpack(f"<{len(packed) // 4}I", packed)))
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Packed ids and decoded text of a whole text."""
@@ -168,7 +166,8 @@ class Codec:
                 if young is not self.young:
                     get, young = self.young.get, self.young
             parts.append(p)
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
+        packed = b"".join(parts)
+        return packed, self.decode(packed)
 
 
 _codecs: dict[str, Codec] = {}
@@ -201,23 +200,27 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
-        for batch in batches:
-            n, ids, decoded, packed, ends = [], [], [], [], [0]
-            for value in batch.column(1):
-                b, s = codec.encode(value.as_py() or "")
-                n.append(len(b) // 4)
-                ids.append(hashlib.sha256(b).hexdigest())
-                decoded.append(hashlib.sha256(s.encode()).hexdigest())
-                if with_ids:
-                    packed.append(b)
-                    ends.append(ends[-1] + len(b) // 4)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                yield part(codec, whole.slice(at, ROWS_AT_ONCE))
+
+    def part(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, ids, decoded, packed, ends = [], [], [], [], [0]
+        for value in batch.column(1):
+            b, s = codec.encode(value.as_py() or "")
+            n.append(len(b) // 4)
+            ids.append(hashlib.sha256(b).hexdigest())
+            decoded.append(hashlib.sha256(s.encode()).hexdigest())
             if with_ids:
-                values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                packed.append(b)
+                ends.append(ends[-1] + len(b) // 4)
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+        names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.select(key).dtypes[0][1]
     schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids_field else "")
