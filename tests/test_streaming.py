@@ -177,7 +177,7 @@ def test_scores_on_a_stream_equal_batch(spark, tmp_path):
 
 
 def test_packets_later_than_the_delay_are_lost_to_the_stream(spark, tmp_path):
-    rows = [("c", "k", i, t * S, "a", True, 16, 1) for i, t in enumerate([0, 5, 500, 505, 2, 506])]
+    rows = [("c", "k", i, (1000 + t) * S, "a", True, 16, 1) for i, t in enumerate([0, 5, 500, 505, 2, 506])]
     stream = stream_of(spark, spark.createDataFrame(rows, PACKET), tmp_path / "in", 6, PACKET, "packet_index")
     out = results(spark, flows.track_stream(stream, FlowPolicy(60 * S, 10**6 * S), "10 seconds"), "late_rows", tmp_path / "cp")
     ends = out.filter("event = 'close'").collect()
