@@ -86,6 +86,30 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+#: Rows of a narrow table that may be broadcast, and the share of all rows beyond which a key is hot (one in so many).
+FEW_ROWS = 500_000
+HOT_SHARE = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: str, total: int, how: str, also=None) -> DataFrame:
+    """``left`` joined with ``right`` by the column ``on``; ``right.n`` is how many of ``left``'s ``total`` rows have the key.
+
+    ``how`` is inner, left or left_semi; ``also(left, right)`` is a further condition. A small ``right`` (counted) is
+    broadcast. Otherwise its hot keys are, at most a thousand whatever the corpus, and the rest meets by a shuffle.
+    """
+
+    def joined(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+        same = a[on] == b[on]
+        out = a.join(b, same if also is None else same & also(a, b), how)
+        return out if how == "left_semi" else out.drop(b[on])
+
+    if small_enough(right, FEW_ROWS):
+        return joined(left, F.broadcast(right), how)
+    hot = right.filter(F.col("n") > max(total / HOT_SHARE, 1))
+    cold = left.join(F.broadcast(hot.select(F.col(on).alias("_hot")).distinct()), F.col(on) == F.col("_hot"), "left_anti")
+    return joined(left, F.broadcast(hot), "inner" if how == "left" else how).unionByName(joined(cold, right.filter(F.col("n") <= max(total / HOT_SHARE, 1)), how))
+
+
 def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     """A deterministic sample of about ``bound`` rows (all rows where there are fewer), chosen by a hash of ``key``."""
     n = df.count()

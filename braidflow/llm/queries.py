@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, html_text, language_id, license_scan, pii, quality_classifier, quality_rules, simhash
+from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language_id, license_scan, pii, quality_classifier, quality_rules, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,12 +97,22 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id"""
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256 FROM t"""
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_quality_rules, op2_bpe, op3_quality_classifier, op4_language_id, op5_pii, op6_html_text, op7_simhash, op8_chat_format, op9_license_scan, op10_decontaminate,
+        op11_exact_dedup,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL, "op9_license_scan": license_scan.oracle(), "op10_decontaminate": OP10_SQL}
+    return {"op8_chat_format": OP8_SQL, "op9_license_scan": license_scan.oracle(), "op10_decontaminate": OP10_SQL, "op11_exact_dedup": OP11_SQL}
