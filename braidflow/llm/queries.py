@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language_id, license_scan, pii, quality_classifier, quality_rules, simhash
+from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language_id, license_scan, phrases, pii, quality_classifier, quality_rules, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,13 +106,39 @@ WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256 FROM t"""
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?
+-]+')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS k FROM w),
+u AS (SELECT lang, w[k] AS s, count(*) AS f FROM x GROUP BY 1, 2),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM u GROUP BY 1),
+b AS (SELECT lang, w[k] AS w1, w[k + 1] AS w2, count(*) AS f FROM x WHERE k < len(w) GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+c AS (SELECT lang, w[k] AS w1, w[k + 1] AS w2, w[k + 2] AS w3, count(*) AS f FROM x WHERE k + 1 < len(w) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+cut AS (
+  SELECT b.lang, w1 || ' ' || w2 AS phrase, 2 AS size, b.f AS a, 1 AS k, u1.f AS l, u2.f AS r FROM b JOIN u u1 ON u1.lang = b.lang AND u1.s = w1 JOIN u u2 ON u2.lang = b.lang AND u2.s = w2
+  UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 3, c.f, 1, u1.f, b.f FROM c JOIN u u1 ON u1.lang = c.lang AND u1.s = c.w1 JOIN b ON b.lang = c.lang AND b.w1 = c.w2 AND b.w2 = c.w3
+  UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 3, c.f, 2, b.f, u3.f FROM c JOIN b ON b.lang = c.lang AND b.w1 = c.w1 AND b.w2 = c.w2 JOIN u u3 ON u3.lang = c.lang AND u3.s = c.w3),
+s AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cut),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, w1 || ' ' || w2 AS phrase, f FROM c UNION ALL SELECT lang, w2 || ' ' || w3, f FROM c) GROUP BY 1, 2),
+kept AS (SELECT m.* FROM m LEFT JOIN longer g ON g.lang = m.lang AND g.phrase = m.phrase AND m.size = 2 WHERE g.f IS NULL OR 100 * g.f < 50 * m.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN t ON t.lang = r.lang WHERE rank <= 2000"""
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_quality_rules, op2_bpe, op3_quality_classifier, op4_language_id, op5_pii, op6_html_text, op7_simhash, op8_chat_format, op9_license_scan, op10_decontaminate,
-        op11_exact_dedup,
+        op11_exact_dedup, op13_phrases,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL, "op9_license_scan": license_scan.oracle(), "op10_decontaminate": OP10_SQL, "op11_exact_dedup": OP11_SQL}
+    return {"op8_chat_format": OP8_SQL, "op9_license_scan": license_scan.oracle(), "op10_decontaminate": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op13_phrases": OP13_SQL}
