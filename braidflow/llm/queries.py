@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language_id, license_scan, phrases, pii, quality_classifier, quality_rules, simhash
+from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language_id, license_scan, phrases, pii, quality_classifier, quality_rules, simhash, spelling
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,34 @@ WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256 FROM t"""
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE step AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+r0 AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+r1 AS (SELECT doc_id, run, count(*) AS f FROM r0 WHERE length(run) >= 6 GROUP BY 1, 2),
+r2 AS (SELECT run, f, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r1),
+r3 AS (
+  SELECT run, f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda p: ('0x' || substr(x, (2 * p + 1)::INT, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h
+  FROM r2, crc),
+r4 AS (SELECT f, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM r3),
+v AS (SELECT word, sum(f)::BIGINT AS n FROM r4 WHERE length(word) >= 6 GROUP BY 1 HAVING sum(f) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+d AS (SELECT DISTINCT word, n, a || b AS s FROM cut),
+near AS (
+  SELECT x.word, x.n, y.word AS other, y.n AS m FROM cut x JOIN cut y ON y.i = x.i AND y.a = x.a AND y.b = x.b AND y.word <> x.word
+  UNION ALL SELECT d.word, d.n, v.word, v.n FROM d JOIN v ON v.word = d.s UNION ALL SELECT v.word, v.n, d.word, d.n FROM d JOIN v ON v.word = d.s),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+o AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS ends FROM o UNION ALL SELECT chain.word, form FROM chain JOIN o ON o.word = chain.ends WHERE form IS NOT NULL)
+SELECT o.word, form, ends AS root, n, n_near, form_n FROM o JOIN (SELECT chain.word, ends FROM chain JOIN o e ON e.word = ends WHERE e.form IS NULL) c ON c.word = o.word"""
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrases(table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -113,7 +141,8 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?
--]+')) AS piece FROM documents),
+-
+]+')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
 x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS k FROM w),
 u AS (SELECT lang, w[k] AS s, count(*) AS f FROM x GROUP BY 1, 2),
@@ -135,10 +164,10 @@ SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN t ON t.lang = r.lang
 def queries() -> dict[str, Query]:
     found = (
         op1_quality_rules, op2_bpe, op3_quality_classifier, op4_language_id, op5_pii, op6_html_text, op7_simhash, op8_chat_format, op9_license_scan, op10_decontaminate,
-        op11_exact_dedup, op13_phrases,
+        op11_exact_dedup, op12_spelling, op13_phrases,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL, "op9_license_scan": license_scan.oracle(), "op10_decontaminate": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op13_phrases": OP13_SQL}
+    return {"op8_chat_format": OP8_SQL, "op9_license_scan": license_scan.oracle(), "op10_decontaminate": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op12_spelling": OP12_SQL, "op13_phrases": OP13_SQL}
