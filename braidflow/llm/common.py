@@ -91,23 +91,24 @@ FEW_ROWS = 500_000
 HOT_SHARE = 1000
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: str, total: int, how: str, also=None) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, on: str, total: int, how: str, also: Column | None = None) -> DataFrame:
     """``left`` joined with ``right`` by the column ``on``; ``right.n`` is how many of ``left``'s ``total`` rows have the key.
 
-    ``how`` is inner, left or left_semi; ``also(left, right)`` is a further condition. A small ``right`` (counted) is
+    ``how`` is inner, left or left_semi; ``also`` is a further condition. A small ``right`` (counted) is
     broadcast. Otherwise its hot keys are, at most a thousand whatever the corpus, and the rest meets by a shuffle.
     """
 
     def joined(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-        same = a[on] == b[on]
-        out = a.join(b, same if also is None else same & also(a, b), how)
-        return out if how == "left_semi" else out.drop(b[on])
+        same = F.col(on) == F.col("_key")
+        return a.join(b, same if also is None else same & also, how).drop("_key")
 
+    right = right.withColumnRenamed(on, "_key")
     if small_enough(right, FEW_ROWS):
         return joined(left, F.broadcast(right), how)
-    hot = right.filter(F.col("n") > max(total / HOT_SHARE, 1))
-    cold = left.join(F.broadcast(hot.select(F.col(on).alias("_hot")).distinct()), F.col(on) == F.col("_hot"), "left_anti")
-    return joined(left, F.broadcast(hot), "inner" if how == "left" else how).unionByName(joined(cold, right.filter(F.col("n") <= max(total / HOT_SHARE, 1)), how))
+    keys = F.broadcast(right.filter(F.col("n") > max(total / HOT_SHARE, 1)).select(F.col("_key").alias("_hot")).distinct())
+    ours, theirs = F.col(on) == F.col("_hot"), F.col("_key") == F.col("_hot")
+    hot = joined(left.join(keys, ours, "left_semi"), F.broadcast(right.join(keys, theirs, "left_semi")), how)
+    return hot.unionByName(joined(left.join(keys, ours, "left_anti"), right.join(keys, theirs, "left_anti"), how))
 
 
 def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:

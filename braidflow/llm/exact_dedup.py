@@ -153,8 +153,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", c
     best = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "row")).alias("best")
     groups = member.groupBy("fp", "name").agg(best, F.count("*").alias("n"), F.first("texts").alias("texts")).filter("n > 1")
     groups = written(groups.select("fp", "name", F.col("best.key").alias("keep"), F.col("best.row").alias("keep_row"), "n"), "groups")
-    same = lambda left, right: F.isnull(right["name"]) | (left["digest"] == right["name"])
-    out = join_counted(rows, groups, "fp", total, "left", same)
+    out = join_counted(rows, groups, "fp", total, "left", F.col("name").isNull() | (F.col("digest") == F.col("name")))
     return out.select(
         F.col("key").alias(key), *[F.col(f"carry.`{c}`").alias(c) for c in carry], F.when(F.col("n").isNull(), F.col("key")).otherwise(F.col("keep")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
