@@ -209,15 +209,15 @@ def simple_features(packets: DataFrame, idle_ns: int = 120 * 10**9) -> DataFrame
     p = _numbered(quiet, keys, idle_ns)
     w = W.partitionBy(*keys, "flow").orderBy("packet_index")
     gap = F.col("timestamp_ns") - F.lag("timestamp_ns").over(w)
-    p = p.withColumns({"_gap": F.when(gap > 0, gap / 1e9), "_fw": F.col("source") == F.first("source").over(w)})
+    p = p.withColumns({"_gap": F.when(gap > 0, gap), "_fw": F.col("source") == F.first("source").over(w)})
     at, size = F.col("packet_index"), F.col("wire_length")
     side = lambda on, x: F.sum(F.when(on, x).otherwise(0))
     flag = lambda bit: F.max(F.coalesce(F.col("tcp_flags").bitwiseAND(bit) != 0, F.lit(False)).cast("int"))
-    dur = (F.max_by("timestamp_ns", at) - F.min_by("timestamp_ns", at)) / 1000
+    dur = F.max_by("timestamp_ns", at) - F.min_by("timestamp_ns", at)  # whole numbers, divided once
     f = p.groupBy(*keys, "flow").agg(
-        F.count("*").alias("_n"), F.min_by("destination_port", at).alias("dst_port"), dur.alias("flow_dur_us"), side(F.col("_fw"), 1).alias("fwd_pkts"), side(F.col("_fw"), size).alias("fwd_bytes"),
-        side(~F.col("_fw"), 1).alias("bwd_pkts"), side(~F.col("_fw"), size).alias("bwd_bytes"), F.min(size).alias("pkt_len_min"), F.avg(size).alias("pkt_len_avg"), (F.sum(size) / F.greatest(dur / 1e6, F.lit(1e-9))).alias("flow_bytes_s"),
-        flag(8).alias("psh_flag"), flag(ACK).alias("ack_flag"), flag(FIN).alias("fin_flag"), F.coalesce(F.min_by("tcp_window", at), F.lit(0)).alias("init_win_fwd"), F.coalesce(F.avg("_gap"), F.lit(0.0)).alias("active_mean"),
+        F.count("*").alias("_n"), F.min_by("destination_port", at).alias("dst_port"), (dur / 1000).alias("flow_dur_us"), side(F.col("_fw"), 1).alias("fwd_pkts"), side(F.col("_fw"), size).alias("fwd_bytes"),
+        side(~F.col("_fw"), 1).alias("bwd_pkts"), side(~F.col("_fw"), size).alias("bwd_bytes"), F.min(size).alias("pkt_len_min"), F.avg(size).alias("pkt_len_avg"), (F.sum(size) * 1e9 / F.greatest(dur, F.lit(1))).alias("flow_bytes_s"),
+        flag(8).alias("psh_flag"), flag(ACK).alias("ack_flag"), flag(FIN).alias("fin_flag"), F.coalesce(F.min_by("tcp_window", at), F.lit(0)).alias("init_win_fwd"), F.coalesce(F.avg("_gap") / 1e9, F.lit(0.0)).alias("active_mean"),
         F.min_by(F.when(F.col("protocol").isin(6, 17), F.col("protocol")).otherwise(0), at).alias("protocol_enc"),
     )
     names = [c for c in f.columns if c not in (*keys, "flow", "_n")]

@@ -95,3 +95,11 @@ def vector_sql(source: str, by: str) -> str:
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles rounded, so that the order of summation does not show."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def fixed(name: str, digits: int):
+    """A double to so many digits, by the same arithmetic as ``FIXED`` in SQL: rounding functions differ where a value lies between two results."""
+    return (F.floor(F.col(name) * 10**digits + 0.5) / float(10**digits)).alias(name)
+
+
+FIXED = lambda value, digits: f"floor(({value}) * {10**digits} + 0.5) / {10**digits}.0::DOUBLE"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, records
 from ..operators import evaluate as ev
-from ..operators import models, quality, splits
+from ..operators import anomaly, boosting, models, quality, splits
 from .bindings import DAY, PE, PL, packets_e, packets_l, rounded, table
 from ..sources.shared import new_path
 from .registry import query
@@ -288,7 +288,7 @@ def m06(spark, d):
 @query("m07_boosted_classes")
 def m07(spark, d):
     x = labelled(spark, d)
-    return models.fit_boosted_classes(x, NUM, "k", 300).transform(x).groupBy("k", "prediction").agg(F.count("*").alias("n"))
+    return boosting.predict(x, boosting.fit(x, NUM, "k")).groupBy("k", "prediction").agg(F.count("*").alias("n"))
 
 
 HB = [*NUM[:1], NUM[2]]
@@ -321,8 +321,8 @@ def m10(spark, d):
 @query("m11_isolation_forest")
 def m11(spark, d):
     li = table(spark, d, "lineitem")
-    forest = models.isolation_forest(li, NUM, trees=300, sample=4096)
-    return models.isolation_score(li.select(*KEYS, *NUM), NUM, forest, 4096).select(*KEYS, F.round("score", 6).alias("score"))
+    forest = anomaly.isolation_forest(li, NUM, KEYS, trees=300, sample=4096)
+    return anomaly.isolation_score(li.select(*KEYS, *NUM), NUM, forest).select(*KEYS, F.round("score", 6).alias("score"))
 
 
 @query("m12_score_decision", f"WITH {SC}, t AS (SELECT fam, s AS threshold FROM (SELECT fam, s, row_number() OVER (PARTITION BY fam ORDER BY s) AS r, count(*) OVER (PARTITION BY fam) AS n FROM sc) WHERE r = ceil((n - 1) * 0.99::DOUBLE) + 1) SELECT fam, round(threshold, 9) AS threshold FROM t")
@@ -339,19 +339,19 @@ def m13(spark, d):
 def meta_scores(spark, d):
     """Out-of-fold anomaly scores of all rows; folds are dealt by order, so that an order lies in one fold."""
     x = labelled(spark, d).withColumn("fold", F.pmod(F.xxhash64("l_orderkey"), F.lit(5)).cast("int"))
-    return models.out_of_fold(x, NUM, "fold", F.col("y") == 0)
+    return anomaly.out_of_fold(x, NUM, KEYS, "fold", F.col("y") == 0)
 
 
 @query("m14_out_of_fold")
 def m14(spark, d):
-    return meta_scores(spark, d).select(*KEYS, "fold", F.round("hbos", 6).alias("hbos"), "hbos_vote", F.round("isolation", 6).alias("isolation"), "isolation_vote")
+    return meta_scores(spark, d).select(*KEYS, "fold", *[F.round(c, 6).alias(c) for c in ("hbos", "hbos_z", "isolation", "isolation_z")], "hbos_vote", "isolation_vote")
 
 
 @query("m15_stacked_forest")
 def m15(spark, d):
-    """A forest on the features and the out-of-fold scores."""
-    x = meta_scores(spark, d).persist()
-    meta = ["hbos", "hbos_vote", "isolation", "isolation_vote"]
+    """A forest on the features and the out-of-fold scores: z-scores, votes, their number, and the mean z-score."""
+    x = meta_scores(spark, d).withColumns({"votes": F.col("hbos_vote") + F.col("isolation_vote"), "mean_z": 0.5 * F.col("hbos_z") + 0.5 * F.col("isolation_z")}).persist()
+    meta = ["hbos_z", "isolation_z", "hbos_vote", "isolation_vote", "votes", "mean_z"]
     return models.with_probabilities(models.fit_forest(x, [*NUM, *meta], "y"), x).select(*KEYS, F.round(F.get("p", F.lit(1)), 6).alias("p"))
 
 

@@ -9,7 +9,7 @@ from ..functions import net, numbers
 from ..operators import features, flow_machine, profile
 from ..operators import windows as win
 from ..sources.shared import written
-from .bindings import DAY, HOUR, MILLI, PE, PL, PLS, packets_e, packets_l, rounded, table, vector_sql
+from .bindings import DAY, FIXED, HOUR, MILLI, PE, PL, PLS, fixed, packets_e, packets_l, rounded, table, vector_sql
 from .registry import query
 
 IDLE, GAP = 12 * HOUR, 2 * HOUR
@@ -402,10 +402,10 @@ def w21(spark, d):
 q AS (SELECT * FROM q0 WHERE dip NOT LIKE '224.%' AND dip NOT LIKE '239.%' AND NOT (proto = 17 AND dport IN (53, 67, 68, 123, 5353, 1900))),
 n AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > {400 * 10**6} OR (lag(flags) OVER w & 5) <> 0 THEN 1 ELSE 0 END AS new FROM q WINDOW w AS (PARTITION BY cap, cust ORDER BY i)), f AS (SELECT *, sum(new) OVER (PARTITION BY cap, cust ORDER BY i)::BIGINT AS flow FROM n),
 g AS (SELECT *, ts - lag(ts) OVER w AS gap, src = first_value(src) OVER w AS fw FROM f WINDOW w AS (PARTITION BY cap, cust, flow ORDER BY i)),
-a AS (SELECT cap, cust, flow, count(*) AS n, min_by(dport, i) AS dst_port, (max_by(ts, i) - min_by(ts, i)) / 1000 AS dur, count(*) FILTER (fw) AS fp, coalesce(sum(wire) FILTER (fw), 0) AS fb, count(*) FILTER (NOT fw) AS bp, coalesce(sum(wire) FILTER (NOT fw), 0) AS bb, min(wire) AS lo, avg(wire) AS av, sum(wire) AS tot,
+a AS (SELECT cap, cust, flow, count(*) AS n, min_by(dport, i) AS dst_port, (max_by(ts, i) - min_by(ts, i)) AS dur, count(*) FILTER (fw) AS fp, coalesce(sum(wire) FILTER (fw), 0) AS fb, count(*) FILTER (NOT fw) AS bp, coalesce(sum(wire) FILTER (NOT fw), 0) AS bb, min(wire) AS lo, avg(wire) AS av, sum(wire) AS tot,
   max((flags & 8 <> 0)::INT) AS psh, max((flags & 16 <> 0)::INT) AS ack, max((flags & 1 <> 0)::INT) AS fin, min_by(win, i) AS w0, coalesce(avg(gap) FILTER (gap > 0) / 1e9, 0) AS act, min_by(CASE WHEN proto IN (6, 17) THEN proto ELSE 0 END, i) AS proto FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 2)
-SELECT cap AS capture_id, cust::VARCHAR AS flow_key, flow, dst_port::DOUBLE AS dst_port, round(dur, 4) AS flow_dur_us, fp::DOUBLE AS fwd_pkts, fb::DOUBLE AS fwd_bytes, bp::DOUBLE AS bwd_pkts, bb::DOUBLE AS bwd_bytes, lo::DOUBLE AS pkt_len_min, round(av, 4) AS pkt_len_avg, round(tot / greatest(dur / 1e6, 1e-9), 2) AS flow_bytes_s,
-psh::DOUBLE AS psh_flag, ack::DOUBLE AS ack_flag, fin::DOUBLE AS fin_flag, w0::DOUBLE AS init_win_fwd, round(act, 4) AS active_mean, proto::DOUBLE AS protocol_enc, 0::INT AS src FROM a""",
+SELECT cap AS capture_id, cust::VARCHAR AS flow_key, flow, dst_port::DOUBLE AS dst_port, dur / 1000 AS flow_dur_us, fp::DOUBLE AS fwd_pkts, fb::DOUBLE AS fwd_bytes, bp::DOUBLE AS bwd_pkts, bb::DOUBLE AS bwd_bytes, lo::DOUBLE AS pkt_len_min, {FIXED('av', 4)} AS pkt_len_avg, {FIXED('tot * 1e9::DOUBLE / greatest(dur, 1)', 2)} AS flow_bytes_s,
+psh::DOUBLE AS psh_flag, ack::DOUBLE AS ack_flag, fin::DOUBLE AS fin_flag, w0::DOUBLE AS init_win_fwd, {FIXED('act', 4)} AS active_mean, proto::DOUBLE AS protocol_enc, 0::INT AS src FROM a""",
 )
 def w21_features(spark, d):
     c = F.col("cust")
@@ -413,7 +413,9 @@ def w21_features(spark, d):
         F.col("cap").alias("capture_id"), c.cast("string").alias("flow_key"), (F.col("flow") * 100 + F.col("ord")).alias("packet_index"), "timestamp_ns", "tcp_flags", "wire_length", "tcp_window", (F.col("supp") % 2).alias("source"),
         (F.col("part") % 100).alias("destination_port"), F.when(c % 4 == 0, 17).when(c % 9 == 1, 1).otherwise(6).alias("protocol"), F.when(F.col("part") % 31 == 0, "224.0.0.1").otherwise("10.0.0.1").alias("destination_ip"),
     )
-    return rounded(flow_machine.simple_features(p, 400 * MILLI)).withColumn("flow_bytes_s", F.round("flow_bytes_s", 2))
+    out = flow_machine.simple_features(p, 400 * MILLI)
+    digits = {"pkt_len_avg": 4, "flow_bytes_s": 2, "active_mean": 4}
+    return out.select(*[fixed(c, digits[c]) if c in digits else c for c in out.columns])
 
 
 @query("w29_close_order")

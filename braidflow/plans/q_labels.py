@@ -195,12 +195,12 @@ def a20(spark, d):
     return n.groupBy(risk.alias("risk")).agg(F.count("*").alias("flows"))
 
 
-@query("a21_candidate_agreement", f"WITH {FLOWS}, x AS (SELECT flow_id, min(abs(s - lo)) AS start_delta, min(abs(e - hi)) AS end_delta, bool_or(s = lo) AS any_exact FROM pa JOIN fl USING (flow_id) JOIN la USING (label_id) WHERE eligible IS NOT NULL GROUP BY flow_id) SELECT any_exact, count(*) AS flows, sum(start_delta)::BIGINT AS start_total, sum(end_delta)::BIGINT AS end_total FROM x GROUP BY any_exact")
+@query("a21_candidate_agreement", f"WITH {FLOWS}, x AS (SELECT flow_id, min(abs(s - lo)) AS start_delta, min(abs(e - hi)) AS end_delta, bool_or(s = lo) AS any_exact FROM pa JOIN fl USING (flow_id) JOIN la USING (label_id) WHERE eligible IS NOT NULL GROUP BY flow_id) SELECT any_exact, count(*) AS flows, sum(start_delta // 1000000000)::BIGINT AS start_seconds, sum(end_delta // 1000000000)::BIGINT AS end_seconds FROM x GROUP BY any_exact")
 def a21(spark, d):
     fl, la = inputs(spark, d)
     x = eligible_pairs(spark, d).join(fl.select("flow_id", "start", "end"), "flow_id").join(la.select("label_id", "lo", "hi"), "label_id")
     x = x.groupBy("flow_id").agg(F.min(F.abs(F.col("start") - F.col("lo"))).alias("s"), F.min(F.abs(F.col("end") - F.col("hi"))).alias("e"), F.bool_or(F.col("start") == F.col("lo")).alias("any_exact"))
-    return x.groupBy("any_exact").agg(F.count("*").alias("flows"), F.sum("s").alias("start_total"), F.sum("e").alias("end_total"))
+    return x.groupBy("any_exact").agg(F.count("*").alias("flows"), F.sum(F.expr("s div 1000000000")).alias("start_seconds"), F.sum(F.expr("e div 1000000000")).alias("end_seconds"))
 
 
 @query("j08_strict_join", f"WITH {FLOWS} SELECT (SELECT count(*) FROM fl) AS left_rows, (SELECT count(*) FROM la) AS right_rows, (SELECT count(*) FROM (SELECT flow_id FROM fl GROUP BY 1 HAVING count(*) > 1)) AS left_repeats, (SELECT count(*) FROM (SELECT label_id FROM la GROUP BY 1 HAVING count(*) > 1)) AS right_repeats, (SELECT count(*) FROM fl WHERE flow_id NOT IN (SELECT label_id FROM la)) AS left_only, (SELECT count(*) FROM la WHERE label_id NOT IN (SELECT flow_id FROM fl)) AS right_only")

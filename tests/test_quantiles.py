@@ -50,23 +50,6 @@ def test_cumulative_trees(spark):
     delete(spark, path)
 
 
-def test_out_of_fold_scores(spark):
-    rng = np.random.default_rng(6)
-    rows = [(k, float(x), float(y), 0, k % 3) for k, (x, y) in enumerate(rng.normal(0, 1, (300, 2)))] + [(1000 + k, 9.0 + k, 9.0, 1, k % 3) for k in range(6)]
-    df = spark.createDataFrame(rows, "id long, a double, b double, y int, fold int")
-    out = {r["id"]: r for r in models.out_of_fold(df, ["a", "b"], "fold", F.col("y") == 0, folds=3, inner=4, trees=30, sample=64).collect()}
-    assert len(out) == 306 and all(out[1000 + k]["hbos_vote"] == 1 and out[1000 + k]["isolation_vote"] == 1 for k in range(6))
-    fit = [r for r in rows if r[4] != 0 and r[3] == 0]
-    score = 0.0
-    for c in (1, 2):
-        v = np.array([r[c] for r in fit])
-        lo, hi = np.quantile(v, [0.001, 0.999])
-        bin_of = lambda x: 0 if x < lo else 5 if x > hi else min(int((x - lo) / (hi - lo) * 4) + 1, 4)  # noqa: B023, E731
-        n = sum(bin_of(x) == bin_of(rows[0][c]) for x in v)
-        score -= np.log((n + 1) / (len(v) + 6)) / 2
-    assert abs(out[0]["hbos"] - score) < 1e-9
-
-
 def slow_allocate(counts, ratios, seed, fixed=()):
     """Greedy placement of blocks, one capture and one block at a time."""
     out = {}
