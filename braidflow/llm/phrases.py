@@ -33,12 +33,12 @@ from .common import broadcast_if, small_enough, written
 LEAST = 10
 DEPTH = 3
 #: Bytes of text in one block of a task: a block of so many has less than two to the 21st words.
-BLOCK = 1 << 22
-HELD = 8 * BLOCK
+BLOCK = 1 << 21
+HELD = 16 * BLOCK
 #: A word or pair is hot from one occurrence in so many; frequent words beyond this number are not sent to the tasks.
 HOT_WORDS, HOT_PAIRS = 20_000, 1000
 FREQUENT_MOST = 4_000_000
-ROWS_AT_ONCE, MOST_ROWS = 1 << 19, 1 << 21
+ROWS_AT_ONCE, MOST_ROWS = 1 << 18, 1 << 20
 FEW_ROWS = 500_000
 #: Kinds of bytes: 0 belongs to a word, 1 separates words, 2 separates pieces.
 KIND = np.zeros(256, np.uint8)
@@ -133,8 +133,10 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, hot_words: dict[str, set[str]], hot_pairs: dict[str, set[tuple[str, str]]], frequent: np.ndarray | None) -> DataFrame:
-    """``lang, w1, w2, w3, n, level``: each task's distinct windows of at least two words; ``level`` words of it say where it goes.
+    """Each task's distinct windows of at least two words: those that go the same way are one row.
 
+    ``level`` words of a window (``w1, w2, w3``, the others null) say where it goes. ``rest`` has the second and third
+    word of every window (an absent one is empty), joined by spaces, and ``n`` their counts.
     ``frequent`` has the sorted hashes of all frequent words (two words with one hash do no harm), or is None.
     """
     shared = docs.sparkSession.sparkContext.broadcast((hot_words, hot_pairs, frequent))
@@ -160,12 +162,33 @@ def windows(docs: DataFrame, hot_words: dict[str, set[str]], hot_pairs: dict[str
             number = {x: k + 1 for k, x in enumerate(names)}
             level = np.where(np.isin(a, [number[x] for x in hot.get(lang, ()) if x in number]), 2, 1)
             level[np.isin(key >> 21, [number[x] << 21 | number[y] for x, y in pairs.get(lang, ()) if x in number and y in number])] = 3
+            # windows that go the same way are one row
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (level[1:] != level[:-1]) | (level[1:] == 3) | (level[1:] == 2) & (b[1:] != b[:-1])])[: len(key)]
+            begin = np.flatnonzero(new)
+            offsets = pa.array(np.concatenate([begin, [len(key)]]).astype(np.int32))
             w = lambda x: words.take(pa.array(x - 1, mask=x == 0))
-            for cut in range(0, len(key), 1 << 18):
-                s = slice(cut, cut + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(key[s]), np.int8))), w(a[s]), w(b[s]), w(c[s]), pa.array(n[s]), pa.array(level[s].astype(np.int32))], names=["lang", "w1", "w2", "w3", "n", "level"])
-
-    return docs.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n bigint, level int")
+            rest = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.binary_join_element_wise(w(b), pc.fill_null(w(c), ""), " ")), " ")
+            lv = level[begin]
+            columns = [pa.array([lang]).take(pa.array(np.zeros(len(begin), np.int8))), w(a[begin]), w(np.where(lv > 1, b[begin], 0)), w(np.where(lv > 2, c[begin], 0)), pa.array(lv.astype(np.int32)), rest, pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "w1", "w2", "w3", "level", "rest", "n"])
+
+    return docs.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, level int, rest string, n array<int>")
+
+
+def expanded(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+    """The windows of :func:`windows` one by one, with their ``route``, so many at once."""
+    size = np.diff(batch.column("n").offsets.to_numpy())
+    upto = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + ROWS_AT_ONCE, side="right")))
+        part = batch.slice(at, end - at)
+        own = pa.array(np.repeat(np.arange(end - at), size[at:end]))
+        words = pc.list_flatten(pc.split_pattern(part.column("rest"), " "))
+        third = words.take(pa.array(np.arange(1, len(words), 2)))
+        columns = {c: part.column(c).take(own) for c in ("route", "lang", "w1", "level")}
+        yield pa.table({**columns, "w2": words.take(pa.array(np.arange(0, len(words), 2))), "w3": pc.if_else(pc.equal(third, ""), None, third), "n": pc.list_flatten(part.column("n")).cast(pa.int64())})
+        at = end
 
 
 def prefixes(words: np.ndarray, n: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -209,7 +232,7 @@ def count_phrases(routed: DataFrame, least: int) -> DataFrame:
 
     def sort(rows: pa.Table, parts: bool) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
-        words = pa.concat_arrays([rows.column(c).combine_chunks() if not isinstance(rows.column(c), pa.Array) else rows.column(c) for c in ("w1", "w2", "w3")]).dictionary_encode()
+        words = pa.concat_arrays([chunk for c in ("w1", "w2", "w3") for chunk in rows.column(c).chunks]).dictionary_encode()
         ids = pc.fill_null(pc.add(words.indices, 1), 0).to_numpy().astype(np.int64).reshape(DEPTH, -1)
         lang = rows.column("lang").combine_chunks().dictionary_encode()
         ids[0] += lang.indices.to_numpy().astype(np.int64) * (len(words.dictionary) + 1)
@@ -224,16 +247,14 @@ def count_phrases(routed: DataFrame, least: int) -> DataFrame:
                     yield from pa.table([take.column("lang"), take.column("w1"), take.column("w2"), third, pa.array(count)], names=["lang", "w1", "w2", "w3", "n"]).filter(ok).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.Table] = []
         size, going_on = 0, None  # the route whose first blocks have been given out in parts
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.num_rows
+        for windows_ in (x for batch in batches for x in expanded(batch)):
+            held.append(windows_)
+            size += windows_.num_rows
             if size < ROWS_AT_ONCE:
                 continue
-            rows = pa.Table.from_batches(held)
+            rows = pa.concat_tables(held)
             route = rows.column("route").to_numpy()
             cut = int(np.searchsorted(route, route[-1]))  # the last route may go on
             if going_on is not None and route[0] == going_on:
@@ -248,9 +269,9 @@ def count_phrases(routed: DataFrame, least: int) -> DataFrame:
                 going_on = rows.column("route")[0].as_py()
                 yield from sort(rows, True)
                 rows = rows.slice(0, 0)
-            held, size = rows.to_batches() if rows.num_rows else [], rows.num_rows
+            held, size = [rows] if rows.num_rows else [], rows.num_rows
         if size:
-            rows = pa.Table.from_batches(held)
+            rows = pa.concat_tables(held)
             mine = int(np.searchsorted(rows.column("route").to_numpy(), going_on, side="right")) if going_on is not None and rows.column("route")[0].as_py() == going_on else 0
             if mine:
                 yield from sort(rows.slice(0, mine), True)
@@ -288,9 +309,8 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", most: int =
     if small_enough(frequent, FREQUENT_MOST):
         known = np.sort(frequent.select(F.xxhash64("lang", "w").alias("h")).toArrow().column("h").to_numpy().view(np.uint64))
 
-    each = windows(given, hot_words, hot_pairs, known)
     route = F.when(F.col("level") == 1, F.xxhash64("lang", "w1")).when(F.col("level") == 2, F.xxhash64("lang", "w1", "w2")).otherwise(F.xxhash64("lang", "w1", "w2", "w3"))
-    routed = each.withColumn("route", route).repartition("route").sortWithinPartitions("route")
+    routed = windows(given, hot_words, hot_pairs, known).repartition(route).withColumn("route", route).sortWithinPartitions("route")
     found = count_phrases(routed, least).groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     found = written(found, "phrases")
 
