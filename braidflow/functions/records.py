@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NS = 1_000_000_000
-#: Decisions that are no alert.
-BENIGN_NAMES = ("benign", "none", "normal")
+#: Decisions and labels that are no alert; decisions that are uncertain; decisions that keep their name.
+BENIGN_NAMES = ("benign", "normal", "no_alert", "none")
+UNCERTAIN_NAMES = ("uncertain", "unknown_candidate", "unknown")
+CANONICAL = ("known_attack", "unknown_candidate", "uncertain", "benign")
 #: Family of every class that a flow may be assigned.
 FAMILIES = {
     "BENIGN": "Benign", "FTP-Patator": "FTP-Bruteforce", "SSH-Patator": "SSH-Bruteforce", "PortScan": "PortScan", "DDoS": "DoS", "DoS GoldenEye": "DoS", "DoS Hulk": "DoS",
@@ -48,24 +50,48 @@ def family_of(label: Column, families: dict[str, str] = FAMILIES) -> Column:
     return F.coalesce(found, F.raise_error(F.concat(F.lit("class without a family: "), F.coalesce(label, F.lit("null")))).cast("string"))
 
 
-def is_alert(decision: Column, attack_flag: Column | None = None) -> Column:
-    """A decision that is present and not benign; a false attack flag overrides it."""
-    named = F.coalesce(~F.lower(F.trim(decision)).isin(*BENIGN_NAMES) & (F.trim(decision) != ""), F.lit(False))
-    return named if attack_flag is None else named & F.coalesce(attack_flag, F.lit(True))
+def first_text(*values: Column) -> Column:
+    """The first value that is neither null nor empty."""
+    return F.coalesce(*[F.when(v != "", v) for v in values])
+
+
+def alert_label(candidate: Column, terminal_class: Column, classification: Column, decision: Column) -> Column:
+    """The attack family that an alert names; ``unknown`` without any."""
+    return F.coalesce(first_text(candidate, terminal_class, classification, decision), F.lit("unknown"))
+
+
+def alert_confidence(confidence: Column, attack_score: Column, class_confidence: Column) -> Column:
+    return F.coalesce(confidence, attack_score, class_confidence)
+
+
+def is_alert(decision: Column, label: Column, attack_flag: Column) -> Column:
+    """A decision that is present, with neither it nor the label benign; a false attack flag overrides both."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return (plain(decision) != "") & ~plain(decision).isin(*BENIGN_NAMES) & ~plain(label).isin(*BENIGN_NAMES) & F.coalesce(attack_flag, F.lit(True))
 
 
 def severity(decision: Column) -> Column:
-    return F.when(F.lower(decision).isin("uncertain", "unknown_candidate"), "uncertain").otherwise("attack")
+    return F.when(F.lower(F.trim(F.coalesce(decision, F.lit("")))).isin(*UNCERTAIN_NAMES), "uncertain").otherwise("attack")
 
 
 def normal_decision(decision: Column) -> Column:
-    """Canonical decision of a decision or class name."""
+    """A terminal event's decision: one of the four canonical names, or an attack."""
     d = F.lower(F.trim(F.coalesce(decision, F.lit(""))))
-    return F.when(d.isin(*BENIGN_NAMES, ""), "benign").when(d.isin("known_attack", "unknown_candidate", "uncertain"), d).otherwise("known_attack")
+    return F.when(d.isin(*CANONICAL), d).otherwise("known_attack")
+
+
+def normal_class(decision: Column, candidate: Column, terminal_class: Column) -> Column:
+    """A terminal event's class beside :func:`normal_decision`: where the decision is a class name, that; else the given class, ``Benign`` or the candidate."""
+    raw = F.trim(F.coalesce(decision, F.lit("")))
+    d = F.lower(raw)
+    named = F.coalesce(first_text(terminal_class), F.when(d == "benign", "Benign"), first_text(candidate), raw)
+    return F.when(d.isin(*CANONICAL), named).otherwise(F.coalesce(first_text(raw, candidate), F.lit("?")))
 
 
-def alert_identity(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+def alert_identity(model: Column, source: Column, destination: Column, protocol: Column, label: Column) -> Column:
+    """Tells alerts apart: model, endpoints (``?`` if absent), protocol (empty if absent) and label."""
+    known = lambda c: F.coalesce(first_text(c.cast("string")), F.lit("?"))
+    return F.sha2(F.concat_ws("|", known(model), known(source), known(destination), F.coalesce(protocol.cast("string"), F.lit("")), label), 256)
 
 
 def family_slug(attempt: Column) -> Column:

@@ -12,22 +12,57 @@ from .quantiles import group_quantiles, group_ranks
 from .topk import top_per_group
 from .windows import running_max
 
-ALERT = "decision string, flow struct<source: struct<ip: string, port: int>>, evidence struct<flow_rf: struct<probability: double>>"
-TERMINAL = "decision struct<class: string, score: double>, alert struct<label: string, confidence: double>"
+_FLOW = "flow struct<protocol: string, source: struct<ip: string, port: string>, destination: struct<ip: string, port: string>>"
+#: The fields of alert lines that a flat row needs; fixed values are the names of the events.
+ALERT = f"event_type string, decision string, packet_count bigint, {_FLOW}, evidence struct<flow_rf: struct<attack_probability: double>, known_family: struct<top_candidate: string, confidence: double>>"
+TERMINAL = (
+    f"event_type string, decision string, packet_count bigint, close_reason string, acceptance_eligible boolean, attempt_id string, last_event_timestamp_ns bigint, {_FLOW}, scores struct<attack_score: double, "
+    "class_confidence: double, top_attack_candidate: struct<class_name: string>, attack_gate: struct<attack_score: double>, gated_decision: struct<class_confidence: double>>"
+)
+ALERT_EVENT, TERMINAL_DECISION, TERMINAL_ALERT = "nids_alert", "nids_terminal_flow_decision", "nids_terminal_flow_alert"
 
 
-def flatten_alerts(lines: DataFrame, column: str) -> DataFrame:
-    """Nested alert lines as flat rows; lines that are no JSON give nulls."""
-    a = F.from_json(column, ALERT, {"mode": "PERMISSIVE"})
-    p = lines.withColumn("_a", a)
-    s = F.col("_a.flow.source")
-    return p.withColumns({"decision": F.col("_a.decision"), "source": F.concat_ws(":", s["ip"], s["port"].cast("string")), "confidence": F.round(F.col("_a.evidence.flow_rf.probability"), 6)}).drop("_a")
+def _endpoint(side: str) -> Column:
+    part = lambda c: F.coalesce(F.col(f"_a.flow.{side}.{c}"), F.lit("None"))
+    return F.concat_ws(":", part("ip"), part("port")).alias(side)
+
+
+def _protocol() -> Column:
+    return F.upper(F.coalesce(F.when(F.col("_a.flow.protocol") != "", F.col("_a.flow.protocol")), F.lit("?"))).alias("protocol")
+
+
+def flatten_alerts(lines: DataFrame, column: str, model: str = "F9") -> DataFrame:
+    """A sensor's alert lines as flat rows beside the other columns; works on streams. Other lines, and those that are no JSON, are left out."""
+    p = lines.withColumn("_a", F.from_json(column, ALERT, {"mode": "PERMISSIVE"})).filter(F.col("_a.event_type") == ALERT_EVENT)
+    e = "_a.evidence"
+    return p.select(
+        *[c for c in lines.columns if c != column], F.lit(model).alias("model"), F.col("_a.decision").alias("decision"), F.col(f"{e}.known_family.top_candidate").alias("candidate"), F.round(f"{e}.flow_rf.attack_probability", 6).alias("flow_rf_probability"),
+        F.round(f"{e}.known_family.confidence", 6).alias("confidence"), _endpoint("source"), _endpoint("destination"), _protocol(), F.col("_a.packet_count").alias("packet_count"),
+    )
 
 
 def flatten_terminal(lines: DataFrame, column: str) -> DataFrame:
-    """Decision and alert shapes of terminal events as one."""
-    p = lines.withColumn("_a", F.from_json(column, TERMINAL))
-    return p.withColumns({"decision": F.coalesce("_a.decision.class", "_a.alert.label"), "confidence": F.coalesce("_a.decision.score", "_a.alert.confidence")}).drop("_a")
+    """Decision and alert lines of closed flows as one flat form; other lines are left out.
+
+    A decision has its scores by gate and candidate, an alert flat ones and the candidate as its decision.
+    """
+    p = lines.withColumn("_a", F.from_json(column, TERMINAL, {"mode": "PERMISSIVE"})).filter(F.col("_a.event_type").isin(TERMINAL_DECISION, TERMINAL_ALERT))
+    s, gated = "_a.scores", F.col("_a.event_type") == TERMINAL_DECISION
+    either = lambda a, b: F.when(gated, F.col(a)).otherwise(F.col(b))
+    benign = F.lower(F.trim(F.coalesce("_a.decision", F.lit("")))) == "benign"
+    return p.select(
+        *[c for c in lines.columns if c != column], F.lit("terminal").alias("model"), F.when(benign, "benign").otherwise("known_attack").alias("decision"), either(f"{s}.top_attack_candidate.class_name", "_a.decision").alias("candidate"), F.col("_a.decision").alias("terminal_class"),
+        F.round(either(f"{s}.attack_gate.attack_score", f"{s}.attack_score"), 6).alias("flow_rf_probability"), F.round(either(f"{s}.gated_decision.class_confidence", f"{s}.class_confidence"), 6).alias("confidence"), _endpoint("source"), _endpoint("destination"),
+        _protocol(), F.col("_a.attempt_id").alias("attempt"), F.col("_a.packet_count").alias("packet_count"), F.col("_a.close_reason").alias("close_reason"), F.col("_a.acceptance_eligible").alias("acceptance_eligible"),
+        F.col("_a.event_type").alias("source_event_type"), F.col("_a.last_event_timestamp_ns").alias("timestamp_ns"),
+    )
+
+
+def prefer_decisions(rows: DataFrame, log: str) -> DataFrame:
+    """Rows of :func:`flatten_terminal` without the alerts of logs that have decisions: there every alert repeats one."""
+    full = rows.filter(F.col("source_event_type") == TERMINAL_DECISION).select(F.col(log).alias("_log")).distinct().withColumn("_full", F.lit(True))
+    j = rows.join(full, F.col(log).eqNullSafe(F.col("_log")), "left")
+    return j.filter((F.col("source_event_type") == TERMINAL_DECISION) | F.col("_full").isNull()).drop("_log", "_full")
 
 
 def clock_offsets(logs: DataFrame, by: str, wall: str, checkpoint: str, order: str, idle_ns: int) -> DataFrame:

@@ -13,15 +13,21 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) ->
 
 
 def round_robin(items: DataFrame, family: str, order: list[Column], cap: int, total: int) -> DataFrame:
-    """The best items of all families in turn: depth first, large families first; at most ``cap`` from a family.
+    """``items`` with ``depth, suppressed``: the first items of all families in turn, large families first, with how many of the family are left out.
 
-    Families are counted by a grouped sum; only their best ``cap`` items are ranked.
+    At most ``cap`` come from a family (0: no such limit) and ``total`` in all. A family of which nothing is taken has one
+    row without an item. Families are counted by a grouped sum; only their first items are ranked.
     """
+    cap = cap or total
     sizes = items.groupBy(F.col(family).alias("_f")).agg(F.count("*").alias("_size"))
     ranked = top_per_group(items, [family], order, cap)
     ranked = ranked.withColumn("depth", F.row_number().over(W.partitionBy(family).orderBy(*order)))
     ranked = ranked.join(sizes, F.col(family).eqNullSafe(F.col("_f"))).drop("_f")
-    return ranked.orderBy("depth", F.desc("_size"), family).limit(total).drop("_size")
+    taken = ranked.orderBy("depth", F.desc("_size"), family).limit(total).drop("_size")
+    counts = taken.groupBy(F.col(family).alias("_t")).agg(F.count("*").alias("_taken"))
+    left = sizes.join(counts, F.col("_f").eqNullSafe(F.col("_t")), "left").select("_f", (F.col("_size") - F.coalesce("_taken", F.lit(0))).alias("suppressed"))
+    out = left.join(taken, F.col(family).eqNullSafe(F.col("_f")), "left")
+    return out.select(*[(F.col("_f") if c == family else F.col(c)).alias(c) for c in items.columns], "depth", "suppressed")
 
 
 def even_sample(df: DataFrame, key: str, m: int) -> DataFrame:

@@ -226,9 +226,13 @@ def t02(spark, d):
     return sorted_gaps(p, "t", "idx", DAY).orderBy(F.desc_nulls_last("gap"), "idx").limit(10).select("idx", "gap")
 
 
-@query("t03_round_robin", "WITH s AS (SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type) AS size, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS depth FROM events) SELECT event_id, event_type, depth::INT AS depth FROM s WHERE depth <= 4 ORDER BY depth, size DESC, event_type LIMIT 12")
+@query(
+    "t03_round_robin",
+    "WITH s AS (SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type) AS size, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS depth FROM events), k AS (SELECT * FROM s WHERE depth <= 4 ORDER BY depth, size DESC, event_type LIMIT 12), n AS (SELECT event_type, any_value(size) AS size FROM s GROUP BY 1), t AS (SELECT event_type, count(*) AS taken FROM k GROUP BY 1) "
+    "SELECT k.event_id, n.event_type, k.depth::INT AS depth, n.size - coalesce(t.taken, 0) AS suppressed FROM n LEFT JOIN t USING (event_type) LEFT JOIN k ON k.event_type = n.event_type",
+)
 def t03(spark, d):
-    return topk.round_robin(table(spark, d, "events").select("event_id", "event_type", "value"), "event_type", [F.desc("value"), F.asc("event_id")], 4, 12).select("event_id", "event_type", "depth")
+    return topk.round_robin(table(spark, d, "events").select("event_id", "event_type"), "event_type", [F.asc("event_id")], 4, 12).orderBy("event_id")
 
 
 @query("t04_top_outputs", "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, event_type, n FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) <= 3")

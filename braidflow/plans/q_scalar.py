@@ -417,39 +417,97 @@ def p35(spark, d):
     return table(spark, d, "events").groupBy(lc.alias("lifecycle")).agg(F.count("*").alias("n"))
 
 
-@query("p36_alert_flatten", "SELECT event_id, event_type AS decision, CAST(user_id AS VARCHAR) || ':' || (event_id % 100) AS source, round(value, 6) AS confidence FROM events")
+def made_flow(i, full):
+    """Endpoints and protocol of a made alert line; parts are absent on some lines."""
+    side = lambda ip, port: F.struct(ip.alias("ip"), port.alias("port"))
+    protocol = F.when(i % 3 == 0, "tcp").when(i % 3 == 1, "")
+    return F.when(full, F.struct(protocol.alias("protocol"), side(F.col("user_id").cast("string"), i % 100).alias("source"), side(F.when(i % 4 != 0, F.lit("10.0.0.1")), F.when(i % 8 != 0, F.lit(80))).alias("destination"))).alias("flow")
+
+
+MADE_FLOW = """CASE WHEN event_id % 10 = 9 THEN 'None:None' ELSE user_id || ':' || (event_id % 100) END AS source, CASE WHEN event_id % 10 = 9 THEN 'None:None' ELSE CASE WHEN event_id % 4 <> 0 THEN '10.0.0.1' ELSE 'None' END || ':' || CASE WHEN event_id % 8 <> 0 THEN '80' ELSE 'None' END END AS destination,
+  CASE WHEN event_id % 10 <> 9 AND event_id % 3 = 0 THEN 'TCP' ELSE '?' END AS protocol, event_id % 50 AS packet_count"""
+
+
+@query("p36_alert_flatten", f"SELECT event_id, 'F9' AS model, CASE WHEN event_id % 7 <> 0 THEN event_type END AS decision, CASE WHEN event_id % 6 <> 0 THEN 'dos' END AS candidate, CASE WHEN event_id % 11 <> 0 THEN round(value / 1000, 6) END AS flow_rf_probability, CASE WHEN event_id % 6 <> 0 THEN round(value / 999, 6) END AS confidence, {MADE_FLOW} FROM events WHERE event_id % 5 <> 0")
 def p36(spark, d):
+    """Lines of a sensor, one in five of another event, some without a decision, scores, endpoints or protocol."""
     from ..operators.evidence import flatten_alerts
 
-    lines = table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("decision"), F.struct(F.struct(F.col("user_id").cast("string").alias("ip"), (F.col("event_id") % 100).alias("port")).alias("source")).alias("flow"), F.struct(F.struct(F.col("value").alias("probability")).alias("flow_rf")).alias("evidence"))).alias("line"))
-    return flatten_alerts(lines, "line").select("event_id", "decision", "source", F.round("confidence", 6).alias("confidence"))
+    i, v = F.col("event_id"), F.col("value")
+    rf = F.when(i % 11 != 0, F.struct((v / 1000).alias("attack_probability"))).alias("flow_rf")
+    family = F.when(i % 6 != 0, F.struct(F.lit("dos").alias("top_candidate"), (v / 999).alias("confidence"))).alias("known_family")
+    line = F.struct(F.when(i % 5 == 0, "sensor_ready").otherwise("nids_alert").alias("event_type"), F.when(i % 7 != 0, F.col("event_type")).alias("decision"), (i % 50).alias("packet_count"), made_flow(i, i % 10 != 9), F.struct(rf, family).alias("evidence"))
+    return flatten_alerts(table(spark, d, "events").select("event_id", F.to_json(line).alias("line")), "line")
 
 
-@query("p37_terminal_flatten", "SELECT event_id, event_type AS decision, CASE WHEN event_id % 2 = 0 THEN round(value, 6) ELSE round(value / 2, 6) END AS confidence FROM events")
+@query(
+    "p37_terminal_flatten",
+    f"""SELECT event_id, 'terminal' AS model, CASE WHEN event_type = 'view' AND event_id % 7 <> 0 THEN 'benign' ELSE 'known_attack' END AS decision, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 6 <> 0 THEN 'web' END ELSE name END AS candidate, name AS terminal_class,
+CASE WHEN event_id % 11 <> 0 THEN round(CASE WHEN event_id % 3 = 0 THEN value / 1000 ELSE value / 2000 END, 6) END AS flow_rf_probability, round(CASE WHEN event_id % 3 = 0 THEN value / 999 ELSE value / 1998 END, 6) AS confidence, {MADE_FLOW},
+CASE WHEN event_id % 9 <> 0 THEN 'f9-' || user_id END AS attempt, 'idle_timeout' AS close_reason, event_id % 2 = 0 AS acceptance_eligible, CASE WHEN event_id % 3 = 0 THEN 'nids_terminal_flow_decision' ELSE 'nids_terminal_flow_alert' END AS source_event_type, event_id * 1000 AS timestamp_ns
+FROM (SELECT *, CASE WHEN event_id % 7 <> 0 THEN CASE WHEN event_type = 'view' THEN ' Benign' ELSE event_type END END AS name FROM events) WHERE event_id % 3 < 2""",
+)
 def p37(spark, d):
+    """Decisions, alerts and other lines of closed flows in turn."""
     from ..operators.evidence import flatten_terminal
 
-    nested = F.to_json(F.struct(F.struct(F.col("event_type").alias("class"), F.col("value").alias("score")).alias("decision")))
-    flat = F.to_json(F.struct(F.struct(F.col("event_type").alias("label"), (F.col("value") / 2).alias("confidence")).alias("alert")))
-    lines = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, nested).otherwise(flat).alias("line"))
-    return rounded(flatten_terminal(lines, "line"), 6).select("event_id", "decision", "confidence")
+    i, v = F.col("event_id"), F.col("value")
+    score = F.when(i % 11 != 0, v / 1000)
+    decided = F.struct(F.struct(F.when(i % 6 != 0, "web").alias("class_name")).alias("top_attack_candidate"), F.struct(score.alias("attack_score")).alias("attack_gate"), F.struct((v / 999).alias("class_confidence")).alias("gated_decision"))
+    flat = F.struct((score / 2).alias("attack_score"), (v / 1998).alias("class_confidence"))
+    event = F.when(i % 3 == 0, "nids_terminal_flow_decision").when(i % 3 == 1, "nids_terminal_flow_alert").otherwise("nids_alert")
+    name = F.when(i % 7 != 0, F.when(F.col("event_type") == "view", " Benign").otherwise(F.col("event_type")))
+    common = [event.alias("event_type"), name.alias("decision"), (i % 50).alias("packet_count"), made_flow(i, i % 10 != 9), F.when(i % 9 != 0, F.concat(F.lit("f9-"), "user_id")).alias("attempt_id"), F.lit("idle_timeout").alias("close_reason"), (i % 2 == 0).alias("acceptance_eligible"), (i * 1000).alias("last_event_timestamp_ns")]
+    line = F.when(i % 3 == 0, F.to_json(F.struct(*common, decided.alias("scores")))).otherwise(F.to_json(F.struct(*common, flat.alias("scores"))))
+    return flatten_terminal(table(spark, d, "events").select("event_id", line.alias("line")), "line")
+
+
+RAW = "CASE event_id % 10 WHEN 0 THEN ' BENIGN' WHEN 1 THEN 'Uncertain' WHEN 2 THEN 'normal' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN 'no_alert' WHEN 6 THEN 'unknown' WHEN 7 THEN 'known_attack' WHEN 8 THEN 'none ' ELSE event_type END"
+OTHER = "CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'Normal' ELSE 'dos' END"
+
 
+def made_decision(i):
+    """Decisions as logs have them: canonical names, classes, benign and uncertain words, empty and absent ones."""
+    names = [" BENIGN", "Uncertain", "normal", "", None, "no_alert", "unknown", "known_attack", "none "]
+    return F.coalesce(F.get(F.array(*[F.lit(n).cast("string") for n in names]), (i % 10).cast("int")), F.when(i % 10 == 9, F.col("event_type")))
 
-@query("p38_normal_decision", "SELECT event_id, CASE WHEN event_type IN ('view') THEN 'benign' WHEN event_type = 'click' THEN 'uncertain' ELSE 'known_attack' END AS decision FROM events")
+
+def made_candidate(i):
+    return F.get(F.array(*[F.lit(n).cast("string") for n in (None, "", "Normal", "dos")]), (i % 4).cast("int"))
+
+
+@query(
+    "p38_normal_decision",
+    f"""WITH r AS (SELECT event_id, trim(coalesce({RAW}, '')) AS raw, nullif({OTHER}, '') AS cand, CASE WHEN event_id % 3 = 0 THEN 'PortScan' WHEN event_id % 3 = 1 THEN '' END AS tc FROM events)
+SELECT event_id, CASE WHEN lower(raw) IN ('known_attack', 'unknown_candidate', 'uncertain', 'benign') THEN lower(raw) ELSE 'known_attack' END AS decision,
+CASE WHEN lower(raw) IN ('known_attack', 'unknown_candidate', 'uncertain', 'benign') THEN coalesce(nullif(tc, ''), CASE WHEN lower(raw) = 'benign' THEN 'Benign' END, cand, raw) ELSE coalesce(nullif(raw, ''), cand, '?') END AS terminal_class FROM r""",
+)
 def p38(spark, d):
-    raw = F.when(F.col("event_type") == "view", " BENIGN").when(F.col("event_type") == "click", "Uncertain").otherwise(F.col("event_type"))
-    return table(spark, d, "events").select("event_id", records.normal_decision(raw).alias("decision"))
+    i = F.col("event_id")
+    given = F.when(i % 3 == 0, "PortScan").when(i % 3 == 1, "")
+    return table(spark, d, "events").select("event_id", records.normal_decision(made_decision(i)).alias("decision"), records.normal_class(made_decision(i), made_candidate(i), given).alias("terminal_class"))
 
 
-@query("p39_is_attack", "SELECT event_id, event_type NOT IN ('view') AND event_id % 10 <> 0 AS is_alert, CASE WHEN event_type = 'click' THEN 'uncertain' ELSE 'attack' END AS severity FROM events")
+@query(
+    "p39_is_attack",
+    f"""WITH r AS (SELECT event_id, {RAW} AS raw, {OTHER} AS cand, CASE WHEN event_id % 6 = 0 THEN value END AS confidence, CASE WHEN event_id % 6 < 4 THEN value / 2 END AS score, value / 4 AS class_confidence FROM events),
+l AS (SELECT *, coalesce(nullif(cand, ''), CASE WHEN event_id % 5 = 0 THEN 'web' END, nullif(raw, ''), 'unknown') AS label, lower(trim(coalesce(raw, ''))) AS d FROM r)
+SELECT event_id, label, d <> '' AND d NOT IN ('benign', 'normal', 'no_alert', 'none') AND lower(trim(label)) NOT IN ('benign', 'normal', 'no_alert', 'none') AND event_id % 13 <> 0 AS is_alert,
+CASE WHEN d IN ('uncertain', 'unknown_candidate', 'unknown') THEN 'uncertain' ELSE 'attack' END AS severity, round(coalesce(confidence, score, class_confidence), 6) AS confidence FROM l""",
+)
 def p39(spark, d):
-    raw = F.when(F.col("event_type") == "view", "Normal").when(F.col("event_type") == "click", "uncertain").otherwise(F.col("event_type"))
-    return table(spark, d, "events").select("event_id", records.is_alert(raw, F.when(F.col("event_id") % 10 == 0, False)).alias("is_alert"), records.severity(raw).alias("severity"))
+    i, v, absent = F.col("event_id"), F.col("value"), F.lit(None).cast("string")
+    label = records.alert_label(made_candidate(i), F.when(i % 5 == 0, "web"), absent, made_decision(i))
+    confidence = records.alert_confidence(F.when(i % 6 == 0, v), F.when(i % 6 < 4, v / 2), v / 4)
+    alert = records.is_alert(made_decision(i), label, F.when(i % 13 == 0, False))
+    return table(spark, d, "events").select("event_id", label.alias("label"), alert.alias("is_alert"), records.severity(made_decision(i)).alias("severity"), F.round(confidence, 6).alias("confidence"))
 
 
-@query("p40_alert_identity", "SELECT event_id, sha256(user_id || '|' || event_type || '|') AS identity FROM events")
+@query("p40_alert_identity", "SELECT event_id, sha256(CASE WHEN event_id % 3 = 0 THEN 'F9' ELSE '?' END || '|' || CASE WHEN event_id % 5 <> 0 THEN user_id::VARCHAR ELSE '?' END || '|10.0.0.1|' || CASE WHEN event_id % 2 = 0 THEN 'TCP' ELSE '' END || '|' || event_type) AS identity FROM events")
 def p40(spark, d):
-    return table(spark, d, "events").select("event_id", records.alert_identity(F.col("user_id"), F.col("event_type"), F.lit(None)).alias("identity"))
+    i = F.col("event_id")
+    model = F.when(i % 3 == 0, "F9").when(i % 3 == 1, "")
+    return table(spark, d, "events").select("event_id", records.alert_identity(model, F.when(i % 5 != 0, F.col("user_id")), F.lit("10.0.0.1"), F.when(i % 2 == 0, "TCP"), F.col("event_type")).alias("identity"))
 
 
 @query("p41_family_slug", "SELECT event_type || '-scan' AS slug, count(*) AS n FROM events GROUP BY 1")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.records import alert_identity, fused_decision, is_alert
+from ..functions.records import alert_confidence, alert_identity, alert_label, first_text, fused_decision, is_alert, severity
 from ..operators.evidence import flatten_alerts
 from ..operators.topk import round_robin
 
@@ -23,31 +23,18 @@ def score_stream(flows: DataFrame, model: PipelineModel, threshold: float, votes
     return p.withColumn("line", F.to_json(F.struct("decision", F.struct(F.col("p").alias("probability")).alias("evidence"))))
 
 
-#: A nested alert line, as far as a flat row needs it.
-BRIDGED = (
-    "decision string, packet_count bigint, flow struct<protocol: string, source: struct<ip: string, port: int>, destination: struct<ip: string, port: int>>, "
-    "evidence struct<flow_rf: struct<attack_probability: double>, known_family: struct<top_candidate: string, confidence: double>>"
-)
-
-
 def bridge(lines: DataFrame, column: str = "value") -> DataFrame:
     """Tail of an alert log as flat rows."""
-    return flatten_alerts(lines, column).drop(column)
+    return flatten_alerts(lines, column)
 
 
 def replay_bridge(lines: DataFrame, attempt: Column, run_label: Column, model: str = "F9", column: str = "value") -> DataFrame:
     """Alert lines as flat dashboard rows with their replay: family and run follow from ``attempt`` (such as ``f9-dos-hulk``).
 
-    Works on streams and batches. Lines that are no JSON, or have no decision, are left out.
+    Works on streams and batches. Lines that are no JSON or no alert are left out.
     """
-    a = F.from_json(column, BRIDGED, {"mode": "PERMISSIVE"})
-    end = lambda side: F.concat_ws(":", F.coalesce(F.col(f"_a.flow.{side}.ip"), F.lit("None")), F.coalesce(F.col(f"_a.flow.{side}.port").cast("string"), F.lit("None")))
-    p = lines.withColumn("_a", a).filter("_a.decision is not null")
-    return p.select(
-        F.lit(model).alias("model"), F.col("_a.decision").alias("decision"), F.col("_a.evidence.known_family.top_candidate").alias("candidate"), F.round("_a.evidence.flow_rf.attack_probability", 6).alias("flow_rf_probability"),
-        F.round("_a.evidence.known_family.confidence", 6).alias("confidence"), end("source").alias("source"), end("destination").alias("destination"), F.upper(F.coalesce("_a.flow.protocol", F.lit("?"))).alias("protocol"),
-        run_label.alias("run"), F.regexp_replace(attempt, "^f9-", "").alias("replay_family"), attempt.alias("replay_run"), F.col("_a.packet_count").alias("packet_count"),
-    )
+    flat = flatten_alerts(lines, column, model)
+    return flat.select(*flat.columns[:-1], run_label.alias("run"), F.regexp_replace(attempt, "^f9-", "").alias("replay_family"), attempt.alias("replay_run"), "packet_count")
 
 
 def distinct_alerts(alerts: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
@@ -60,13 +47,37 @@ def block_counts(packets: DataFrame, time: str, keys: list[str], width: str = "6
     return packets.withWatermark(time, delay).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"))
 
 
+def alert_fields(alerts: DataFrame) -> DataFrame:
+    """``alerts`` with ``label, confidence, severity, alert, identity``; fields that it does not have count as absent."""
+    field = lambda c, kind="string": F.col(c).cast(kind) if c in alerts.columns else F.lit(None).cast(kind)
+    label = alert_label(field("candidate"), field("terminal_class"), field("classification"), field("decision"))
+    confidence = alert_confidence(*[field(c, "double") for c in ("confidence", "attack_score", "class_confidence")])
+    ends = [first_text(field(a), field(b)) for a, b in (("source", "src"), ("destination", "dst"))]
+    identity = alert_identity(field("model"), *ends, field("protocol"), label)
+    attack = is_alert(field("decision"), label, field("attack", "boolean"))
+    return alerts.withColumns({"label": label, "confidence": confidence, "severity": severity(field("decision")), "alert": attack, "identity": identity})
+
+
 def digest(alerts: DataFrame, seen: DataFrame | None, cap: int, total: int) -> DataFrame:
-    """New alerts worth telling: no benign ones, one of each identity, none that was sent lately, then the best of all families in turn."""
-    a = alerts.filter(is_alert(F.col("decision"))).withColumn("identity", alert_identity(F.col("model"), F.col("source"), F.col("destination"), F.col("candidate")))
-    a = a.groupBy("identity").agg(F.min_by(F.struct("line", "candidate", "confidence", "source", "destination"), "line").alias("a")).select("identity", "a.*")
+    """New alerts worth telling, in the order of their lines: no benign ones, the first of each identity, none that was sent lately, and of those the families in turn.
+
+    A family's alerts come in the order of their lines. ``suppressed`` says how many of a family are not told; a family of
+    which none is told has one row, without a line.
+    """
+    a = alert_fields(alerts).filter("alert").drop("alert")
+    a = a.groupBy("identity").agg(F.min_by(F.struct(*[c for c in a.columns if c != "identity"]), "line").alias("a")).select("identity", "a.*")
     if seen is not None:
         a = a.join(seen.select("identity").distinct(), "identity", "left_anti")
-    return round_robin(a, "candidate", [F.desc("confidence"), F.asc("line")], cap, total)
+    return round_robin(a, "label", [F.asc("line")], cap, total).orderBy(F.asc_nulls_last("line"), "label")
+
+
+def digest_counts(alerts: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """One row: lines that are benign, that repeat an identity, and whose identity was sent lately."""
+    a = alert_fields(alerts)
+    each = a.filter("alert").groupBy("identity").agg(F.count("*").alias("n"))
+    late = each.filter("false") if seen is None else each.join(seen.select("identity").distinct(), "identity", "left_semi")
+    parts = [a.select(F.count_if(~F.col("alert")).alias("n"), F.lit("skipped_benign").alias("what")), each.select((F.sum("n") - F.count("*")).alias("n"), F.lit("skipped_duplicate").alias("what")), late.select(F.count("*").alias("n"), F.lit("skipped_recent").alias("what"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy().pivot("what", ["skipped_benign", "skipped_duplicate", "skipped_recent"]).agg(F.coalesce(F.first("n"), F.lit(0)))
 
 
 def digest_stream(alerts: DataFrame, seen_path: str, send: Callable[[DataFrame, int], None], checkpoint: str, cap: int = 3, total: int = 20, window_hours: float = 24.0, now: Callable[[], float] = time.time) -> StreamingQuery:
@@ -86,7 +97,7 @@ def digest_stream(alerts: DataFrame, seen_path: str, send: Callable[[DataFrame,
         best = digest(batch, seen, cap, total).persist()
         try:
             send(best, epoch)
-            best.select("identity", F.lit(now()).alias("sent_at")).write.mode("overwrite").parquet(f"{seen_path}/epoch={epoch}")
+            best.filter("identity is not null").select("identity", F.lit(now()).alias("sent_at")).write.mode("overwrite").parquet(f"{seen_path}/epoch={epoch}")
         finally:
             best.unpersist()
 

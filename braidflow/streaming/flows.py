@@ -6,7 +6,6 @@ stream and a batch over the same rows give the same results.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -154,7 +153,7 @@ def gate(events: list[tuple], last: dict[str, int], attackers: dict[str, int]) -
     """
     out = []
     for place, at, layer, identity, source, destination, score, threshold in events:
-        if score < threshold or at - attackers.get(destination, -(10**18)) <= ATTACKER_MEMORY:
+        if score < threshold or at - attackers.get(destination, -(10**18)) < ATTACKER_MEMORY:
             continue
         if at - last.get(identity, -(10**18)) < COOLDOWN[layer]:
             continue
@@ -164,18 +163,30 @@ def gate(events: list[tuple], last: dict[str, int], attackers: dict[str, int]) -
 
 
 class GateProcessor(StatefulProcessor):
+    """A map of last alerts and one of attackers for each site: a batch reads and writes only the entries that it names.
+
+    Times are those of events. Entries that were not touched for ``keep_s`` seconds of processing, far beyond any memory,
+    are dropped by the state store.
+    """
+
+    def __init__(self, keep_s: int = 86_400):
+        self.keep_s = keep_s
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gate", "last string, attackers string")
+        self.last, self.attackers = (handle.getMapState(name, "name string", "at bigint", self.keep_s * 1000) for name in ("last", "attackers"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, attackers = map(json.loads, self.state.get()) if self.state.exists() else ({}, {})
         pdf = pd.concat(list(rows)).sort_values(["at_s", "line"], kind="stable").reset_index(drop=True)
+        held = []
+        for state, names in ((self.last, pdf["identity"]), (self.attackers, pdf["destination"])):
+            held.append({k: int(state.getValue((k,))[0]) for k in names.dropna().unique() if state.containsKey((k,))})
+        last, attackers = ({**h} for h in held)
         items = [(k, int(r.at_s), r.layer, r.identity, r.source, r.destination, float(r.score), float(r.threshold)) for k, r in enumerate(pdf.itertuples(index=False))]
         passed = gate(items, last, attackers)
-        now = int(pdf["at_s"].max())
-        last = {k: t for k, t in last.items() if now - t <= max(COOLDOWN.values())}
-        attackers = {k: t for k, t in attackers.items() if now - t <= ATTACKER_MEMORY}
-        self.state.update((json.dumps(last), json.dumps(attackers)))
+        for state, now, before in ((self.last, last, held[0]), (self.attackers, attackers, held[1])):
+            for k, t in now.items():
+                if k is not None and before.get(k) != t:
+                    state.updateValue((k,), (t,))
         yield pdf.iloc[passed][["site", "line", "layer", "identity"]]
 
     def close(self) -> None:
@@ -184,7 +195,7 @@ class GateProcessor(StatefulProcessor):
 
 def gate_stream(events: DataFrame) -> DataFrame:
     """Alerts of each monitored site that pass thresholds, attacker suppression and cooldown; one ordered state for each site."""
-    return events.groupBy("site").transformWithStateInPandas(GateProcessor(), outputStructType="site string, line bigint, layer string, identity string", outputMode="Append", timeMode="None")
+    return events.groupBy("site").transformWithStateInPandas(GateProcessor(), outputStructType="site string, line bigint, layer string, identity string", outputMode="Append", timeMode="ProcessingTime")
 
 
 class SessionCounter(StatefulProcessor):

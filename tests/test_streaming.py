@@ -1,10 +1,11 @@
 """Streams over files against batch results and slow versions."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
-from braidflow.operators import features, windows
+from braidflow.operators import evidence, features, windows
 from braidflow.operators.flow_machine import FlowPolicy, track
 from braidflow.streaming import alerts, flows
 from braidflow.streaming.flows import gate
@@ -82,8 +83,8 @@ def test_stream_features_equal_batch(spark, tmp_path):
 
 
 def test_replay_bridge(spark):
-    line = '{"decision":"known_attack","packet_count":5,"flow":{"protocol":"tcp","source":{"ip":"1.2.3.4","port":9},"destination":{"ip":"5.6.7.8","port":80}},"evidence":{"flow_rf":{"attack_probability":0.12345678},"known_family":{"top_candidate":"DoS","confidence":0.5}}}'
-    df = spark.createDataFrame([(line,), ("not json",), ('{"event_type":"ready"}',)], "value string")
+    line = '{"event_type":"nids_alert","decision":"known_attack","packet_count":5,"flow":{"protocol":"tcp","source":{"ip":"1.2.3.4","port":9},"destination":{"ip":"5.6.7.8","port":80}},"evidence":{"flow_rf":{"attack_probability":0.12345678},"known_family":{"top_candidate":"DoS","confidence":0.5}}}'
+    df = spark.createDataFrame([(line,), ("not json",), ('{"event_type":"ready"}',), (line.replace("nids_alert", "sensor_ready"),)], "value string")
     got = [tuple(r) for r in alerts.replay_bridge(df, F.lit("f9-dos-hulk"), F.lit("replay (F9)")).collect()]
     assert got == [("F9", "known_attack", "DoS", 0.123457, 0.5, "1.2.3.4:9", "5.6.7.8:80", "TCP", "replay (F9)", "dos-hulk", "f9-dos-hulk", 5)]
 
@@ -98,6 +99,34 @@ def test_digest_window_ends(spark, tmp_path):
     assert q.exception() is None and [n for _, n in sent] == [1, 0, 0, 1]
 
 
+def test_digest_by_hand(spark):
+    """Single lines worked out by hand: absent fields, words that are no alert, labels, protocols, families in turn."""
+    schema = "line long, decision string, candidate string, model string, source string, src string, protocol string, confidence double, attack_score double, attack boolean"
+    rows = [
+        (1, "no_alert", "dos", "F9", "a", None, "TCP", 0.9, None, None), (2, "known_attack", "Normal", "F9", "a", None, "TCP", 0.9, None, None), (3, "", "dos", "F9", "a", None, "TCP", 0.9, None, None), (4, "known_attack", "dos", "F9", "a", None, "TCP", 0.9, None, False),
+        (5, "known_attack", "dos", "F9", "a", None, "TCP", 0.1, None, None), (6, "known_attack", "dos", "F9", "a", None, "UDP", None, 0.7, True), (7, "known_attack", "dos", "F9", "a", None, "TCP", 0.99, None, None), (8, "unknown", None, None, None, "z", None, None, None, None),
+        (9, "known_attack", "dos", "F9", "b", None, "TCP", 0.5, None, None), (10, "known_attack", "web", "F9", "b", None, "TCP", 0.5, None, None), (11, "known_attack", "scan", "F9", "b", None, "TCP", 0.5, None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    told = [(r["line"], r["label"], r["severity"], r["confidence"], r["suppressed"]) for r in alerts.digest(df, None, 1, 3).collect()]
+    assert told == [(5, "dos", "attack", 0.1, 2), (8, "unknown", "uncertain", None, 0), (11, "scan", "attack", 0.5, 0), (None, "web", None, None, 1)]
+    assert [r["line"] for r in alerts.digest(df, None, 0, 99).collect()] == [5, 6, 8, 9, 10, 11]
+    identity = {r["line"]: r["identity"] for r in alerts.alert_fields(df).collect()}
+    assert identity[8] == hashlib.sha256(b"?|z|?||unknown").hexdigest() and identity[6] == hashlib.sha256(b"F9|a|?|UDP|dos").hexdigest()
+    seen = spark.createDataFrame([(identity[5],)], "identity string")
+    assert tuple(alerts.digest_counts(df, seen).first()) == (4, 1, 1)
+    assert [r["line"] for r in alerts.digest(df, seen, 0, 99).collect()] == [6, 8, 9, 10, 11]
+
+
+def test_terminal_lines_by_hand(spark):
+    decision = '{"event_type":"nids_terminal_flow_decision","decision":"Benign ","scores":{"top_attack_candidate":{"class_name":"DoS"},"attack_gate":{"attack_score":0.25},"gated_decision":{"class_confidence":0.75}},"flow":{"protocol":"tcp","source":{"ip":"1.1.1.1","port":5}}}'
+    alert = '{"event_type":"nids_terminal_flow_alert","decision":"PortScan","scores":{"attack_score":0.5,"class_confidence":0.625},"close_reason":"tcp_reset"}'
+    df = spark.createDataFrame([("a", decision), ("a", alert), ("b", alert), ("b", "{"), ("b", '{"event_type":"nids_alert"}')], "log string, value string")
+    rows = evidence.prefer_decisions(evidence.flatten_terminal(df, "value"), "log").orderBy("log").collect()
+    got = [(r["log"], r["decision"], r["candidate"], r["terminal_class"], r["flow_rf_probability"], r["confidence"], r["source"], r["protocol"], r["close_reason"]) for r in rows]
+    assert got == [("a", "benign", "DoS", "Benign ", 0.25, 0.75, "1.1.1.1:5", "TCP", None), ("b", "known_attack", "PortScan", "PortScan", 0.5, 0.625, "None:None", "?", "tcp_reset")]
+
+
 def test_incidents(spark, tmp_path):
     schema = "flow_id long, line long, checkpoint long"
     df = spark.createDataFrame([(1, 0, 3), (1, 1, 5), (2, 2, 3), (1, 3, 5)], schema)
@@ -111,11 +140,12 @@ def test_gate(spark, tmp_path):
     rows = [
         ("s", 0, 0, "flow", "a", "x", "y", 0.9, 0.8), ("s", 1, 10, "flow", "a", "x", "y", 0.9, 0.8), ("s", 2, 20, "flow", "b", "q", "x", 0.9, 0.8), ("s", 3, 31, "flow", "a", "x", "y", 0.9, 0.8),
         ("s", 4, 400, "flow", "b", "q", "x", 0.9, 0.8), ("s", 5, 401, "flow", "c", "r", "t", 0.1, 0.8), ("s", 6, 402, "http", "b2", "w", "q", 0.9, 0.8),
+        ("s", 7, 700, "http", "b3", "v", "q", 0.9, 0.8),  # "q" attacked exactly 300 seconds ago
     ]
     df = spark.createDataFrame(rows, schema)
     out = results(spark, flows.gate_stream(stream_of(spark, df, tmp_path / "in", 3, schema, "line")), "gate_rows", tmp_path / "cp")
-    assert sorted(r["line"] for r in out.collect()) == [0, 3, 4]
-    assert gate([(k, r[2], *r[3:]) for k, r in enumerate(rows)], {}, {}) == [0, 3, 4]
+    assert sorted(r["line"] for r in out.collect()) == [0, 3, 4, 7]
+    assert gate([(k, r[2], *r[3:]) for k, r in enumerate(rows)], {}, {}) == [0, 3, 4, 7]
 
 
 def test_session_counts_equal_window(spark, tmp_path):
@@ -137,9 +167,9 @@ def test_blocks_dedupe_and_bridge(spark, tmp_path):
     assert one.count() == 2
     lines = tmp_path / "log"
     lines.mkdir()
-    (lines / "a.jsonl").write_text('{"decision":"known_attack","flow":{"source":{"ip":"1.2.3.4","port":9}},"evidence":{"flow_rf":{"probability":0.5}}}\nnot json\n')
+    (lines / "a.jsonl").write_text('{"event_type":"nids_alert","decision":"known_attack","flow":{"source":{"ip":"1.2.3.4","port":9}},"evidence":{"flow_rf":{"attack_probability":0.5}}}\nnot json\n')
     flat = results(spark, alerts.bridge(spark.readStream.text(str(lines))), "bridge_rows", tmp_path / "c3").orderBy(F.desc("decision")).collect()
-    assert (flat[0]["decision"], flat[0]["source"], flat[0]["confidence"]) == ("known_attack", "1.2.3.4:9", 0.5) and flat[1]["decision"] is None
+    assert [(r["decision"], r["source"], r["destination"], r["protocol"], r["flow_rf_probability"], r["confidence"]) for r in flat] == [("known_attack", "1.2.3.4:9", "None:None", "?", 0.5, None)]
 
 
 def test_digest_remembers(spark, tmp_path):
