@@ -165,15 +165,24 @@ def gate(events: list[tuple], last: dict[str, int], attackers: dict[str, int]) -
 class GateProcessor(StatefulProcessor):
     """A map of last alerts and one of attackers for each site: a batch reads and writes only the entries that it names.
 
-    Times are those of events. Entries that were not touched for ``keep_s`` seconds of processing, far beyond any memory,
-    are dropped by the state store.
+    Times are those of events. Whenever the site's clock has moved on by the longest memory, what is older is removed, so
+    an entry is walked over once in that time.
     """
 
-    def __init__(self, keep_s: int = 86_400):
-        self.keep_s = keep_s
-
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last, self.attackers = (handle.getMapState(name, "name string", "at bigint", self.keep_s * 1000) for name in ("last", "attackers"))
+        self.last, self.attackers = (handle.getMapState(name, "name string", "at bigint") for name in ("last", "attackers"))
+        self.swept = handle.getValueState("swept", "at bigint")
+
+    def sweep(self, now: int) -> None:
+        """Removes what no rule looks at any more."""
+        memory = max(ATTACKER_MEMORY, *COOLDOWN.values())
+        if not self.swept.exists():
+            self.swept.update((now,))
+        elif now - self.swept.get()[0] >= memory:
+            for state in (self.last, self.attackers):
+                for k in [k for k, (t,) in state.iterator() if now - t >= memory]:
+                    state.removeKey(k)
+            self.swept.update((now,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["at_s", "line"], kind="stable").reset_index(drop=True)
@@ -187,6 +196,7 @@ class GateProcessor(StatefulProcessor):
             for k, t in now.items():
                 if k is not None and before.get(k) != t:
                     state.updateValue((k,), (t,))
+        self.sweep(int(pdf["at_s"].max()))
         yield pdf.iloc[passed][["site", "line", "layer", "identity"]]
 
     def close(self) -> None:
@@ -195,7 +205,7 @@ class GateProcessor(StatefulProcessor):
 
 def gate_stream(events: DataFrame) -> DataFrame:
     """Alerts of each monitored site that pass thresholds, attacker suppression and cooldown; one ordered state for each site."""
-    return events.groupBy("site").transformWithStateInPandas(GateProcessor(), outputStructType="site string, line bigint, layer string, identity string", outputMode="Append", timeMode="ProcessingTime")
+    return events.groupBy("site").transformWithStateInPandas(GateProcessor(), outputStructType="site string, line bigint, layer string, identity string", outputMode="Append", timeMode="None")
 
 
 class SessionCounter(StatefulProcessor):
