@@ -50,12 +50,42 @@ def anchors(docs: DataFrame, wins: DataFrame, text: str = "text") -> DataFrame:
     vocabulary = places.select("word").distinct()
     few = small_enough(vocabulary, BROADCAST_ROWS)
     tokens = docs.select(F.explode(raw_words(F.col(text))).alias("raw")).select(lower_ascii(F.col("raw")).alias("word"))
-    counts = tokens.join(F.broadcast(vocabulary) if few else vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
+    if few:
+        counts = tokens.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
+    else:  # words are counted in each task before any of them moves
+        counts = tokens.groupBy("word").agg(F.count("*").alias("seen")).join(vocabulary, "word", "left_semi")
     ranked = places.join(F.broadcast(counts) if few else counts, "word", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
     first = W.partitionBy("item_id", "words").orderBy("seen", "word", "place")
     return ranked.withColumn("r", F.row_number().over(first)).filter("r = 1").select("word", "place", "item_id", "words")
 
 
+#: Bits of the filter that keeps words without an anchor out of a shuffle, and parts that the tokens of a hot anchor are dealt to.
+FILTER_BITS = 1 << 24
+SALTS = 64
+
+
+def anchored_tokens(tokens: DataFrame, side: DataFrame) -> DataFrame:
+    """``tokens`` joined with the windows of ``side`` by their word, for windows too many to be broadcast.
+
+    A broadcast bitmap of the anchors' hashes, of fixed size, keeps other words out of the shuffle. Anchors with over a
+    thousandth of what is left are dealt over :data:`SALTS` tasks, and their windows repeated for each.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    spans = side.select(bit("anchor").alias("b")).distinct().select((F.col("b") / 32_768).cast("int").alias("part"), (F.col("b") % 32_768).alias("at"))
+    bitmap = spans.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))  # 512 rows of 4 KB at most
+    at = bit("word")
+    byte = F.conv(F.hex(F.substring("bits", (at % 32_768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    some = tokens.join(F.broadcast(bitmap), (at / 32_768).cast("int") == F.col("part")).filter(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("part", "bits")
+    counts = written(some.groupBy("word").agg(F.count("*").alias("n")), "anchor-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.filter(F.col("n") > max(total / 1000, SALTS)).select(F.col("word").alias("hot")))  # a thousand at most
+    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int")).otherwise(0)
+    each = F.explode(F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt")
+    left = some.join(hot, F.col("word") == F.col("hot"), "left").withColumn("salt", salt).drop("hot")
+    right = side.join(hot, F.col("anchor") == F.col("hot"), "left").select(*side.columns, each)
+    return left.join(right, (F.col("word") == F.col("anchor")) & (F.col("salt") == F.col("_salt"))).drop("salt", "_salt")
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, row, at, size, item_id``: every place (0-based word) where a window of an item occurs in a document."""
     wins = windows(benchmark)
@@ -68,7 +98,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
     if small:
         hits = tokens.join(F.broadcast(by_word), F.col("word") == F.col("anchor")).select(key, "row", "w", "pos", F.explode("wins").alias("c"))
     else:  # the words' arrays stay out of this shuffle
-        near = tokens.select(key, "row", "pos", "word").join(side, F.col("word") == F.col("anchor")).select(key, "row", "pos", F.struct("place", "item_id", "words").alias("c"))
+        near = anchored_tokens(tokens.select(key, "row", "pos", "word"), side).select(key, "row", "pos", F.struct("place", "item_id", "words").alias("c"))
         near = written(near.distinct(), "near").select(F.col(key).alias("_k"), F.col("row").alias("_r"), "pos", "c")
         hits = rows.join(broadcast_if(near, BROADCAST_ROWS), F.col(key).eqNullSafe(F.col("_k")) & (F.col("row") == F.col("_r"))).drop("_k", "_r")
     at, size = F.col("pos") - F.col("c.place"), F.size("c.words")
@@ -98,7 +128,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the contaminated rows; columns as they were."""
     bad = broadcast_if(contaminated_keys(docs, benchmark, key, text), BROADCAST_ROWS)
-    return docs.withColumn("_row", row_key(F.col(text))).join(bad, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left_anti").drop("_row")
+    packed = docs.select(F.struct("*").alias("doc"), F.col(key).alias("_key"), row_key(F.col(text)).alias("_row"))  # so that no name can clash
+    return packed.join(bad, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left_anti").select("doc.*")
 
 
 def contaminated_keys(docs: DataFrame, benchmark: DataFrame, key: str, text: str) -> DataFrame:

@@ -11,10 +11,14 @@
 4. A group beyond :data:`MOST_IN_TASK` fingerprints is not held in a task but handed on: the next six levels are
    traversed as a shuffle, each fingerprint going to every pair of child nodes within the budget, until groups fit.
 5. Components of the edges come from alternating large and small stars over written tables; nodes with very many
-   neighbours are joined apart.
+   neighbours are joined apart. A fingerprint is its own node; keys are looked at only when components are known.
+
+A step that hands a group on repeats each member for up to 42 pairs of child nodes, each a part of the group; a group of
+a million fingerprints so costs some 40 million narrow rows in its first step, and less in the next, as parts with errors
+have less budget left.
 
 Nothing that grows with the corpus reaches the driver; exact copies are one fingerprint.
-Defined results: null or wordless text has fingerprint 0 and links like any other; repeated rows get equal results.
+Defined results: null or wordless text has fingerprint 0 and links like any other; rows with a null key link too; repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, join_counted, written
 
 BUDGET = 3
 #: Five bit blocks; any two fingerprints within the budget share two of them.
@@ -293,16 +297,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, the ``carry`` columns, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` (the least key reachable) of every row."""
+    """``key``, the ``carry`` columns, ``fingerprint``, ``component`` (its component's least fingerprint; 16 hexadecimal digits both) and ``component_id`` of every row.
+
+    ``component_id`` is the least key reachable; null where no row of a component has a key. Fingerprints link whether or
+    not their rows have keys.
+    """
     fps = written(fingerprints(docs, key, text, carry), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min(key).alias("node"), F.count("*").alias("rows"))
-    roots = components(links(distinct.filter(F.col("node").isNotNull())))
-    mapped = distinct.join(roots, F.col("node") == F.col("u"), "left").select(F.col("fp").alias("fp_"), "rows", F.coalesce("v", "node").alias("component_id"))
-    mapped = written(mapped, "fingerprint-components")
-    # A fingerprint with over a thousandth of all rows would make a long task of the join; there are under a thousand
-    # such, so they may be broadcast, whatever the corpus.
-    hot = mapped.filter(F.col("rows") > max(fps.count() / HOT_SHARE, 1)).drop("rows")
-    same = F.col("fp") == F.col("fp_")
-    rest = fps.join(F.broadcast(hot), same, "left_anti").join(mapped.drop("rows"), same)
-    found = fps.join(F.broadcast(hot), same).unionByName(rest)
-    return found.select(key, *carry, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = fps.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("rows"))
+    roots = components(links(distinct.select("fp", F.col("fp").alias("node"))))
+    placed = written(distinct.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "rows", "least", F.coalesce("v", "fp").alias("root")), "fingerprint-roots")
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    mapped = join_counted(placed.drop("least"), written(ids, "components"), "root", placed.count(), "inner")
+    mapped = written(mapped.select("fp", F.col("rows").alias("n"), "root", "component_id"), "fingerprint-components")
+    found = join_counted(fps, mapped, "fp", fps.count(), "inner")
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return found.select(key, *carry, digits("fp").alias("fingerprint"), digits("root").alias("component"), "component_id")

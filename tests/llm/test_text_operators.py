@@ -758,3 +758,33 @@ def test_html_names_of_several_parts():
     part = "The river rose in spring, and the old mill at the bend stood still for many weeks until the water fell again. "
     page = f"<body><div class=site-header>Site of all</div><div class=story><h1>Title</h1><p>{part}</p><p>{part * 2}</p><div class=comment-list><p>{part}first!</p></div></div><div class='sidebar-right'><p>Read this too, it is good</p></div></body>"
     assert html_text.main_text(page) == f"Title\n{part.strip()}\n{(part * 2).strip()}"
+
+def test_simhash_links_through_rows_without_a_key(spark, monkeypatch):
+    rows = [(1, 0), (None, 7), (2, 63), (9, 2**40 - 1), (8, 2**40 - 4), (None, -1), (None, -2)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, key, text, carry: docs.select(key, "fp"))
+    df = spark.createDataFrame(rows, "doc_id long, fp long")
+    got = {r["fingerprint"]: (r["component_id"], r["component"]) for r in simhash.near_duplicates(df).collect()}
+    digits = lambda x: f"{x % 2**64:016x}"
+    assert {digits(x): got[digits(x)][0] for _, x in rows} == {digits(x): k for x, k in {0: 1, 7: 1, 63: 1, 2**40 - 1: 8, 2**40 - 4: 8, -1: None, -2: None}.items()}
+    assert len({c for _, c in got.values()}) == 3
+
+
+def test_decontamination_keeps_columns_of_any_name(spark, monkeypatch):
+    words = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, words, "a", 5, 6), (2, "other words", "b", 7, 8), (None, words + " x", "c", 9, 0)], "doc_id long, text string, _row string, _k int, _key int")
+    bench = spark.createDataFrame([("i", words)], "item_id string, text string")
+    for few in (10**6, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", few)
+        got = decontaminate.clean(docs, bench)
+        assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(2, "other words", "b", 7, 8)]
+
+
+def test_decontamination_beyond_the_broadcast_with_a_hot_anchor(spark, monkeypatch):
+    common = "the cat sat on the mat and the dog sat on the cat"
+    texts = [f"{common} number {k} {common}" if k % 3 else f"w{k} the the the" for k in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, common)], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", common), ("b", "the the"), ("c", " ".join(f"rare{k}" for k in range(30))), ("d", "")], "item_id string, text string")
+    want = sorted(map(str, decontaminate.contamination(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "SALTS", 3)
+    assert sorted(map(str, decontaminate.contamination(docs, bench).collect())) == want and sum("contaminated=True" in w for w in want) == 61
