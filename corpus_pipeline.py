@@ -27,11 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate group, that of the least ``doc_id``; rows that share a ``doc_id`` are judged each by its own text.
 
-    Groups are those of ``op7`` (links of at most 3 bits). Fingerprints that no row with a ``doc_id`` has are a group each.
+    Groups are those of ``op7`` (links of at most 3 bits), whether or not their rows have a ``doc_id``.
     """
     groups = simhash.near_duplicates(docs.select("doc_id", row_key(F.col("text")).alias("row"), "text"), carry=("row",))
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone"))
-    rows = written(groups.groupBy(group.alias("g"), "doc_id", "row").agg(F.count("*").alias("n")), "group-rows")
+    rows = written(groups.groupBy(F.col("component").alias("g"), "doc_id", "row").agg(F.count("*").alias("n")), "group-rows")
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "n")
     kept = rows.groupBy("g").agg(F.min(at).alias("m")).select("m.doc_id", "m.row", "m.n")
     kept = kept.select(F.col("doc_id").alias("_k"), F.col("row").alias("_r"), "n")
@@ -40,10 +39,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # the keys of what goes are written and counted: if they are few, texts stay where they are
     gone = broadcast_if(written(out.unionByName(repeated), "group-gone"), FEW_ROWS)
     repeated = broadcast_if(written(repeated, "group-repeated"), FEW_ROWS)
-    keyed = docs.withColumn("_row", row_key(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r"))
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_key"), row_key(F.col("text")).alias("_row"))  # so that no name can clash
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r"))
     single = keyed.join(gone, same, "left_anti")
-    return single.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_row"])).select(*docs.columns)
+    return single.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["_key", "_row"])).select("doc.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
