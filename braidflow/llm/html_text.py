@@ -1,12 +1,15 @@
 """Main text of web pages by composite text density.
 
-Every node of a page's DOM gets a link-adjusted density of characters per tag. A block's density sum is that of its child
-blocks and of the text between them; the block with the greatest sum holds the article. The least density on the path
-from it up to the body is the threshold that other parts of the page, beside that path, must reach to count as text too.
-What the contract names (menus, headers, footers, sidebars, notices, adverts, forms, comments) is recognised by tag,
-role, class or id and taken out before densities are made; what only its name (a class or id of nothing but such words and neutral ones)
-or a ``form`` tag speaks against is left to the densities where it holds an ``article`` or ``main`` or, on a page with
-neither, most of the text outside links. No tag or name puts anything into the text: that is the densities' choice.
+Every node of a page's DOM gets a link-adjusted density of characters per tag. A block's density sum is that of its text
+blocks (those without further blocks) and of the text between them; the block with the greatest sum holds the article. The
+least density on the path from it up to the body is a threshold: another part of the page counts as text too if its
+density reaches that and its density sum a third of the article's. Headings that stand beside the path go with what they head.
+
+So menus, headers, footers and short adverts are told by their densities. Names are asked twice: before, for prose that is
+not the article's and that no density tells from it (reader comments, notices, forms, sidebars, hidden text); and at the
+end, for what the densities have let through (:func:`is_furniture`). Prose that only a name (a class or id of nothing but
+such words and neutral ones) or a ``form`` tag speaks against is left where it holds an ``article`` or ``main`` or, on a
+page with neither, most of the text outside links.
 
 Pages are independent rows: no shuffle, and memory is that of one page. Elements nested deeper than :data:`MOST_DEPTH`
 count as part of the element around them (as browsers treat them), so that broken markup costs linear time.
@@ -32,13 +35,18 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-DROPPED = frozenset("nav footer aside form button select option svg math canvas audio video object menu dialog label fieldset head".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Elements, roles and words of prose that is not the article's.
+DROPPED = frozenset("aside form button select option svg math canvas audio video object dialog label fieldset head".split())
+DROPPED_ROLES = frozenset("complementary search form dialog alertdialog alert".split())
 DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert "
-    "sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot comment comments disqus discussion replies reply respond share sharing social "
-    "related recommended recommendations newsletter subscribe subscription signup popup modal overlay login toolbar widget masthead copyright pagination pager "
-    "skip tags".split()
+    "sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert sidebar side comment comments disqus discussion replies reply respond "
+    "related recommended recommendations newsletter subscribe subscription signup popup modal overlay login widget".split()
+)
+#: And of what stands around an article; densities tell it, names only confirm.
+FURNITURE = frozenset("nav footer menu".split())
+FURNITURE_ROLES = frozenset("navigation banner contentinfo menu menubar toolbar".split())
+FURNITURE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner menu nav navbar navigation breadcrumb breadcrumbs footer foot share sharing social toolbar masthead copyright pagination pager skip tags".split()
 )
 #: These may stand beside such words in a name; alone they say nothing.
 NEUTRAL_WORDS = frozenset(
@@ -50,6 +58,7 @@ OUTER_WORDS = frozenset("header head top topbar".split())
 IN_HEAD = frozenset("html head base link meta script style title noscript template".split())
 #: Their ids are slugs of titles inside an article.
 TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol dl table tbody thead tfoot".split())
 CLOSES_P = BLOCK - {"body", "html"}
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -60,41 +69,68 @@ ATTRIBUTE = re.compile(r"""([^\s=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
 NAME = re.compile(r"[a-z]+")
 RAW_END = {tag: re.compile(f"</{tag}(?![a-z0-9-])[^>]*>?", re.I) for tag in RAW}
 MOST_DEPTH = 512
+#: A part beside the article's path needs this share of the article's density sum.
+SHARE = 1 / 3
 
 
 class Node:
     """An element; the counts are its own at first, and those of its whole subtree after :func:`densities`."""
 
-    __slots__ = ("block", "chars", "dropped", "link_chars", "link_tags", "named", "parent", "tag", "tags", "until")
+    __slots__ = ("block", "chars", "dropped", "furniture", "holds", "link_chars", "link_tags", "named", "parent", "tag", "tags", "until")
 
-    def __init__(self, tag: str, parent: int, dropped: bool, named: bool = False):
-        self.tag, self.parent, self.dropped, self.named, self.block = tag, parent, dropped, named, tag in BLOCK
+    def __init__(self, tag: str, parent: int, dropped: bool, named: bool = False, furniture: bool = False):
+        self.tag, self.parent, self.dropped, self.named, self.furniture, self.block = tag, parent, dropped, named, furniture, tag in BLOCK
         self.chars = self.tags = self.link_chars = self.link_tags = self.until = 0
+        self.holds = False  # further blocks
+
+
+def attribute_words(tag: str, attributes: str, in_article: bool) -> Iterator[tuple[str, str | list[str]]]:
+    """Roles, hidden marks, and the parts of every class and id (ids of titles inside an article say nothing)."""
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "role":
+            yield "role", value
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            yield "hidden", value
+        elif name == "class" or name == "id" and not (in_article and tag in TITLED):
+            for word in value.split():
+                yield "name", NAME.findall(word)
 
 
 def is_boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is a menu, advert, form or the like, judged by its tag and attributes alone; whether no more than its name says so."""
-    if tag in DROPPED and tag != "form" or tag == "header" and not in_article:
+    """Whether an element holds prose that is not the article's, judged by its tag and attributes alone; whether no more than its name says so."""
+    if tag in DROPPED and tag != "form":
         return True, False
     named = tag == "form"
     if not attributes or tag in ("html", "body", "article", "main"):
         return named, named
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in DROPPED_ROLES:
+    for kind, value in attribute_words(tag, attributes, in_article):
+        if kind == "hidden" or kind == "role" and value in DROPPED_ROLES:
             return True, False
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, False
-        if name == "class" or name == "id" and not (in_article and tag in TITLED):
-            named = named or any(names_boilerplate(NAME.findall(word), in_article) for word in value.split())
+        named = named or kind == "name" and names_only(value, DROPPED_WORDS)
     return named, named
 
 
-def names_boilerplate(parts: list[str], in_article: bool) -> bool:
-    """Whether the parts of one class or id (``comment-list``) say boilerplate and nothing else."""
-    if not in_article and not OUTER_WORDS.isdisjoint(parts):
-        return all(p in OUTER_WORDS or p in DROPPED_WORDS or p in ("site", "global") for p in parts)
-    return not DROPPED_WORDS.isdisjoint(parts) and all(p in DROPPED_WORDS or p in NEUTRAL_WORDS for p in parts)
+def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element's tag, role or name says that it is a menu, header, footer or advert."""
+    if tag in FURNITURE or tag == "header" and not in_article:
+        return True
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    for kind, value in attribute_words(tag, attributes, in_article):
+        if kind == "role" and value in FURNITURE_ROLES or kind == "name" and (names_only(value, FURNITURE_WORDS) or not in_article and names_outside(value)):
+            return True
+    return False
+
+
+def names_only(parts: list[str], words: frozenset[str]) -> bool:
+    """Whether the parts of one class or id (``comment-list``) are among ``words``, or neutral, and one is not neutral."""
+    return not words.isdisjoint(parts) and all(p in words or p in NEUTRAL_WORDS or p in DROPPED_WORDS or p in FURNITURE_WORDS for p in parts)
+
+
+def names_outside(parts: list[str]) -> bool:
+    """Whether a class or id names the top of a page (but not of an entry), and nothing else."""
+    return not OUTER_WORDS.isdisjoint(parts) and all(p in OUTER_WORDS or p in DROPPED_WORDS or p in FURNITURE_WORDS or p in ("site", "global") for p in parts)
 
 
 def settle(nodes: list[Node], articles: set[int]) -> None:
@@ -201,8 +237,9 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             if tag in BLOCK:
                 items.append((parent, None))
             continue
-        bad, named = (True, False) if dropped else is_boilerplate(tag, m.group(3), count["article"] + count["main"] > 0)
-        nodes.append(Node(tag, parent, bad and not named, named))
+        inside = count["article"] + count["main"] > 0
+        bad, named = (True, False) if dropped else is_boilerplate(tag, m.group(3), inside)
+        nodes.append(Node(tag, parent, bad and not named, named, is_furniture(tag, m.group(3), inside)))
         node = len(nodes) - 1
         if tag in BLOCK:
             items.append((node, None))
@@ -225,7 +262,7 @@ def _composite(chars: int, tags: int, link_chars: int, link_tags: int, page_shar
 
 
 def densities(nodes: list[Node]) -> tuple[list[float], list[float]]:
-    """Composite density of every node, and every block's sum of those of its child blocks and of its text between them."""
+    """Composite density of every node, and every block's sum of those of its text blocks and of its text between blocks."""
     inline = [[x.chars, x.tags, x.link_chars, x.link_tags] for x in nodes]  # of the text outside child blocks
     for k in range(len(nodes) - 1, -1, -1):
         x = nodes[k]
@@ -235,6 +272,7 @@ def densities(nodes: list[Node]) -> tuple[list[float], list[float]]:
             p.until = max(p.until, x.until)
             if not x.dropped:
                 p.chars, p.tags, p.link_chars, p.link_tags = p.chars + x.chars, p.tags + x.tags, p.link_chars + x.link_chars, p.link_tags + x.link_tags
+                p.holds = p.holds or x.block or x.holds
                 if not x.block:
                     inline[x.parent] = [a + b for a, b in zip(inline[x.parent], inline[k], strict=True)]
     share = nodes[0].link_chars / max(nodes[0].chars, 1)
@@ -244,20 +282,14 @@ def densities(nodes: list[Node]) -> tuple[list[float], list[float]]:
     for k in range(1, len(nodes)):
         parent = nodes[k].parent
         holder[k] = parent if nodes[parent].block else holder[parent]
-        if nodes[k].block:
+        if nodes[k].block and not nodes[k].holds:
             total[holder[k]] += own[k]
     return own, total
 
 
-def main_text(html: str | None) -> str:
-    """Blocks of the page's main text, joined by line feeds."""
-    if not html:
-        return ""
-    nodes, items = parse(html)
-    own, total = densities(nodes)
-    if not nodes[0].chars:
-        return ""
-    best = max(range(len(nodes)), key=lambda k: (total[k], k))
+def select(nodes: list[Node], own: list[float], total: list[float]) -> list[bool]:
+    """Which nodes belong to the article: the block of the greatest sum, headings beside its path, and parts that reach the thresholds."""
+    best = max(range(len(nodes)), key=lambda k: (total[k], k)) if max(total) > 0 else 0  # text too short for any density is the body's
     least, k = own[best], best
     while k:
         k = nodes[k].parent
@@ -271,8 +303,23 @@ def main_text(html: str | None) -> str:
         k = stack.pop()
         if k < best < nodes[k].until:  # on the path to the article: look at each child
             stack += children[k]
-        elif k == best or own[k] >= least > 0 and not nodes[k].dropped:
+        elif k == best or not nodes[k].dropped and not nodes[k].furniture and (nodes[k].tag in HEADINGS or own[k] >= least > 0 and max(total[k : nodes[k].until]) >= SHARE * total[best]):
             inside[k : nodes[k].until] = [True] * (nodes[k].until - k)
+    cut = [False] * len(nodes)
+    for k in range(1, len(nodes)):  # names confirm what is furniture within
+        cut[k] = inside[k] and (cut[nodes[k].parent] or nodes[k].furniture and k != best)
+    return [i and not c for i, c in zip(inside, cut, strict=True)]
+
+
+def main_text(html: str | None) -> str:
+    """Blocks of the page's main text, joined by line feeds."""
+    if not html:
+        return ""
+    nodes, items = parse(html)
+    own, total = densities(nodes)
+    if not nodes[0].chars:
+        return ""
+    inside = select(nodes, own, total)
     blocks, part = [], []
     for k, text in [*items, (0, None)]:
         if text is None:
