@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import finite_or_zero
 from ..functions.records import binary_label
-from .windows import hinted
+from .windows import hinted, running_sum
+
+
+#: Ranges that the order of first appearances is cut into.
+RANGES = 1024
 
 
 def factorize(df: DataFrame, column: str, order: str, name: str = "code") -> DataFrame:
-    """Integer codes by first appearance; null is the text ``nan``. The window runs over distinct values only, which are broadcast if they are few."""
-    from pyspark.sql import Window as W
+    """Integer codes by first appearance; null is the text ``nan``. ``order`` is a whole number without ties between values.
 
+    Distinct values are counted by range of their first appearance, and numbered within each range from there, so no task
+    sees more than a range. Codes are broadcast if they are few.
+    """
     v = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
-    firsts = df.groupBy(v.alias("_v")).agg(F.min(order).alias("_m"))
-    codes = firsts.select("_v", (F.row_number().over(W.orderBy("_m")) - 1).cast("int").alias(name))
+    firsts = df.groupBy(v.alias("_v")).agg(F.min(order).alias("_m")).withColumn("_one", F.lit(1).cast("long"))
+    lo, hi = firsts.agg(F.min("_m"), F.max("_m")).first()
+    codes = running_sum(firsts, "_m", "_one", max(((hi or 0) - (lo or 0)) // RANGES + 1, 1))
+    codes = codes.select("_v", (F.col("_upto") - 1).cast("int").alias(name))
     return df.withColumn("_v", v).join(hinted(codes), "_v").drop("_v")
 
 

@@ -1,8 +1,9 @@
 """Joining flows to noisy label records: candidate edges, mutual uniqueness, class consensus.
 
-Edges join on the whole endpoint key and a coarse time bin, so that the interval test becomes an equi-join with a small
-residual; a flow or label that spans several bins is repeated once for each, and the pair is kept in one bin only. Bins
-of a hot endpoint are dealt over several tasks.
+Edges join on the whole endpoint key and a node of a binary tree over coarse time bins, so that the interval test becomes an
+equi-join with a small residual. A label is the few nodes that cover its bins (at most two of each level); a flow, which is
+short, is each of its bins at the levels that labels use. The pair is kept in one bin only. Nodes of a hot endpoint are
+dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -27,17 +28,40 @@ def audit_flags(rows: DataFrame, schedule: DataFrame, keys: list[str], case: str
     )
 
 
+def cover(first: Column, last: Column, levels: int) -> Column:
+    """Array of ``level, node``: the fewest nodes of a binary tree over bins that hold the bins ``first`` to ``last``, each once.
+
+    Node ``n`` of level ``l`` holds the bins from ``n * 2^l``. A level gives a node at either end where the rest of the
+    interval does not begin or end with a node of the next level.
+    """
+    shift = lambda c, by: F.call_function("shiftright", c, by)
+
+    def at(level: Column) -> Column:
+        a, e = -shift(-first, level), shift(last + 1, level)  # the part from the first whole node up to the last
+        node = lambda c: F.struct(level.alias("level"), c.alias("node"))
+        odd = lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1
+        return F.when(a < e, F.filter(F.array(F.when(odd(a), node(a)), F.when(odd(e), node(e - 1))), lambda x: x.isNotNull()))
+
+    return F.flatten(F.filter(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at), lambda x: x.isNotNull()))
+
+
 def candidate_edges(flows: DataFrame, labels: DataFrame, keys: list[str], tolerance: int, bin_width: int) -> DataFrame:
     """``flow_id, label_id, required``: pairs with equal keys whose intervals meet within ``tolerance``.
 
     Flows have ``start, end``; labels ``lo, hi`` (end exclusive). ``required`` is the least tolerance at which the pair
     would meet: 0 if they overlap, one more on the right side, where the end is exclusive.
     """
-    bins = lambda a, b: F.explode(F.sequence(F.floor(a / F.lit(bin_width)).cast("long"), F.floor(b / F.lit(bin_width)).cast("long")))
-    f = flows.withColumn("_bin", bins(F.col("start") - tolerance, F.col("end") + tolerance))
-    la = labels.withColumn("_bin", bins(F.col("lo"), F.col("hi")))
-    j = salted_join(f, la, [*keys, "_bin"], "flow_id").filter((F.col("end") + tolerance >= F.col("lo")) & (F.col("hi") + tolerance > F.col("start")))
-    first = F.greatest(F.floor((F.col("start") - tolerance) / F.lit(bin_width)), F.floor(F.col("lo") / F.lit(bin_width)))
+    bin_of = lambda c: F.floor(c / F.lit(bin_width)).cast("long")
+    la = labels.withColumns({"_a": bin_of(F.col("lo")), "_z": bin_of(F.col("hi"))})
+    longest = la.agg(F.max(F.col("_z") - F.col("_a"))).first()[0]
+    levels = max(int(longest or 0) + 1, 1).bit_length() + 1
+    la = la.withColumn("_n", F.explode(cover(F.col("_a"), F.col("_z"), levels))).select(*labels.columns, F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
+    used = sorted(r["_level"] for r in la.select("_level").distinct().collect())  # at most 64
+    f = flows.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("start") - tolerance), bin_of(F.col("end") + tolerance))))
+    nodes = F.array(*[F.struct(F.lit(k).alias("_level"), F.shiftright("_bin", k).alias("_node")) for k in used or [0]])
+    f = f.select(*flows.columns, "_bin", F.inline(nodes))
+    j = salted_join(f, la, [*keys, "_level", "_node"], "flow_id").filter((F.col("end") + tolerance >= F.col("lo")) & (F.col("hi") + tolerance > F.col("start")))
+    first = F.greatest(bin_of(F.col("start") - tolerance), bin_of(F.col("lo")))
     required = F.when(F.col("end") < F.col("lo"), F.col("lo") - F.col("end")).when(F.col("hi") <= F.col("start"), F.col("start") - F.col("hi") + 1).otherwise(0)
     rest = [c for c in labels.columns if c not in (*keys, "label_id", "lo", "hi")]
     return j.filter(F.col("_bin") == first).select("flow_id", "label_id", *rest, required.cast("long").alias("required"))

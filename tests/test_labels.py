@@ -1,8 +1,9 @@
 """Label joins and evaluation on small hand-made tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from braidflow.operators import evaluate, evidence, labels, quality
+from braidflow.operators import evaluate, evidence, harmonise, labels, quality
 
 EDGE = "flow_id long, label_id long, required long, schedule_conflict boolean, role_conflict boolean"
 
@@ -33,6 +34,36 @@ def test_edges_at_the_tolerance(spark):
     assert got == {1: 10, 3: 10, 5: 0}
 
 
+def test_covers_are_small_and_whole(spark):
+    rng = np.random.default_rng(3)
+    spans = [(0, 0), (-1, 0), (-7, 9), (5, 4), *[(int(a), int(a + n)) for a, n in zip(rng.integers(-500, 500, 60), rng.integers(0, 700, 60), strict=True)], (-3, 10**6)]
+    df = spark.createDataFrame(spans, "a long, z long").select("a", "z", labels.cover(F.col("a"), F.col("z"), 22).alias("n"))
+    for r in df.collect():
+        held = [b for x in r["n"] for b in (range(x["node"] << x["level"], (x["node"] + 1) << x["level"]) if r["z"] - r["a"] < 2000 else ())]
+        if r["z"] - r["a"] < 2000:
+            assert sorted(held) == list(range(r["a"], r["z"] + 1))
+        assert sum(1 << x["level"] for x in r["n"]) == max(r["z"] - r["a"] + 1, 0)
+        assert len(r["n"]) <= 2 * max((r["z"] - r["a"] + 1), 1).bit_length()
+
+
+def test_edges_equal_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    f = [(k, "kl"[k % 2], int(a), int(a + n)) for k, (a, n) in enumerate(zip(rng.integers(-900, 900, 80), rng.integers(0, 60, 80), strict=True))]
+    la = [(k, "kl"[k % 2], int(a), int(a + n)) for k, (a, n) in enumerate(zip(rng.integers(-900, 900, 60), rng.choice([1, 20, 300, 5000], 60), strict=True))]
+    got = labels.candidate_edges(spark.createDataFrame(f, "flow_id long, k string, start long, end long"), spark.createDataFrame(la, "label_id long, k string, lo long, hi long"), ["k"], 10, 16)
+    want = [(i, j, lo - e if e < lo else s - hi + 1 if hi <= s else 0) for i, a, s, e in f for j, b, lo, hi in la if a == b and e + 10 >= lo and hi + 10 > s]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    none = labels.candidate_edges(spark.createDataFrame(f, "flow_id long, k string, start long, end long"), spark.createDataFrame([], "label_id long, k string, lo long, hi long"), ["k"], 10, 16)
+    assert none.count() == 0
+
+
+def test_codes_by_first_appearance(spark):
+    values = ["b", None, "a", "b", "nan", "c", "a"]
+    df = spark.createDataFrame([(7 * k - 20, v) for k, v in enumerate(values)], "at long, v string")
+    assert [r["code"] for r in harmonise.factorize(df, "v", "at").orderBy("at").collect()] == [0, 1, 2, 0, 1, 3, 2]
+    assert harmonise.factorize(df.filter("false"), "v", "at").count() == 0
+
+
 def test_differences_count_repeats(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "x long")
     r = quality.differences(a, spark.createDataFrame([(1,), (3,)], "x long")).first()
