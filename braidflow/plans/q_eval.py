@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, records
 from ..operators import evaluate as ev
-from ..operators import anomaly, boosting, models, quality, splits
+from ..operators import anomaly, boosting, forest, models, quality, splits
 from .bindings import DAY, PE, PL, packets_e, packets_l, rounded, table
-from ..sources.shared import new_path
 from .registry import query
 
 # Scored rows: a made score in thousandths, a truth and a prediction.
@@ -269,13 +268,16 @@ def labelled(spark, d):
 @query("m04_forest")
 def m04(spark, d):
     x = labelled(spark, d)
-    return models.with_probabilities(models.fit_forest(x, NUM, "y"), x).select(*KEYS, F.round(F.get("p", F.lit(1)), 6).alias("attack_probability"))
+    return forest.with_probabilities(x, forest.fit(x, NUM, "y", KEYS)).select(*KEYS, F.round(F.get("p", F.lit(1)), 6).alias("attack_probability"))
 
 
 @query("m05_family_forest")
 def m05(spark, d):
     x = labelled(spark, d)
-    return models.with_probabilities(models.fit_forest(x, NUM, "k"), x).select(*KEYS, models.top_two(F.col("p")).alias("t")).select(*KEYS, "t.*")
+    f = forest.fit(x, NUM, "k", KEYS)
+    name = lambda c: F.get(F.array(*map(F.lit, f.classes)), F.col(c)).cast("int").alias(c)
+    top = forest.with_probabilities(x, f).select(*KEYS, models.top_two(F.col("p")).alias("t")).select(*KEYS, "t.*")
+    return top.select(*KEYS, name("first"), F.round("p_first", 6).alias("p_first"), name("second"), F.round("p_second", 6).alias("p_second"))
 
 
 @query("m06_tree_and_boosted")
@@ -352,19 +354,15 @@ def m15(spark, d):
     """A forest on the features and the out-of-fold scores: z-scores, votes, their number, and the mean z-score."""
     x = meta_scores(spark, d).withColumns({"votes": F.col("hbos_vote") + F.col("isolation_vote"), "mean_z": 0.5 * F.col("hbos_z") + 0.5 * F.col("isolation_z")}).persist()
     meta = ["hbos_z", "isolation_z", "hbos_vote", "isolation_vote", "votes", "mean_z"]
-    return models.with_probabilities(models.fit_forest(x, [*NUM, *meta], "y"), x).select(*KEYS, F.round(F.get("p", F.lit(1)), 6).alias("p"))
+    return forest.with_probabilities(x, forest.fit(x, [*NUM, *meta], "y", KEYS)).select(*KEYS, F.round(F.get("p", F.lit(1)), 6).alias("p"))
 
 
 @query("m16_leave_one_out_training")
 def m16(spark, d):
-    """Every family held out in turn: forests of the other rows score it."""
-    x = labelled(spark, d).persist()
-    families = sorted(r["k"] for r in x.select("k").distinct().collect())  # class names
-    out = []
-    for k in families:
-        m = models.fit_forest(x.filter(F.col("k") != k), NUM, "y")
-        out.append(models.with_probabilities(m, x.filter(F.col("k") == k)).groupBy(F.lit(k).alias("holdout")).agg(F.count("*").alias("n"), F.round(F.avg(F.get("p", F.lit(1))), 6).alias("mean_p")))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    """Every family held out in turn at every checkpoint: a forest of the checkpoint's other rows scores it. Two lines of an order stand for a checkpoint."""
+    x = labelled(spark, d).withColumn("checkpoint", 3 + 2 * F.expr("(l_linenumber - 1) div 2").cast("int")).persist()
+    scored_rows = forest.leave_one_out(x, NUM, "y", "k", "checkpoint", KEYS)
+    return scored_rows.groupBy("checkpoint", F.col("k").alias("holdout")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.avg((F.col("p") >= 0.5).cast("int")).alias("flagged"))
 
 
 @query("m17_decision_fusion", f"WITH {SC} SELECT id, CASE WHEN s >= 0.8 THEN 'known_attack' WHEN v >= 2 THEN 'unknown_candidate' WHEN v = 1 THEN 'uncertain' ELSE 'benign' END AS decision FROM (SELECT *, CASE WHEN s >= 0.6 THEN 1 ELSE 0 END + CASE WHEN s2 >= 0.6 THEN 1 ELSE 0 END AS v FROM sc)")
@@ -450,7 +448,7 @@ TREES = [50, 100, 150, 200, 300]
 def m24(spark, d):
     """Curves over one forest's first trees."""
     x = labelled(spark, d)
-    p = models.cumulative_probabilities(models.fit_forest(x, NUM, "y"), x, TREES, new_path(spark, "forest"))
+    p = forest.with_probabilities(x, forest.fit(x, NUM, "y", KEYS), "q", TREES).withColumn("p", F.array(*[F.get("q", F.lit(2 * k + 1)) for k in range(len(TREES))]))
     return rounded(models.convergence(p, TREES, F.col("y") == 1), 6)
 
 
@@ -482,8 +480,8 @@ def m26(spark, d):
 def m28(spark, d):
     """Recall of every family by forests of 50 and of 300 trees, and the interval of the mean difference over families."""
     x = labelled(spark, d)
-    both = models.with_probabilities(models.fit_forest(x, NUM, "y", trees=50), x, "p50").drop("prediction")
-    both = models.with_probabilities(models.fit_forest(x, NUM, "y", trees=300), both, "p300")
+    both = forest.with_probabilities(x, forest.fit(x, NUM, "y", KEYS, trees=50), "p50")
+    both = forest.with_probabilities(both, forest.fit(x, NUM, "y", KEYS, trees=300), "p300")
     hit = lambda c: F.avg(F.when(F.col("y") == 1, (F.get(c, F.lit(1)) >= 0.5).cast("double")))
     f = both.groupBy("k").agg(F.count("*").alias("n"), hit("p50").alias("rf50"), hit("p300").alias("rf300")).withColumn("delta", F.col("rf300") - F.col("rf50")).persist()
     b = ev.bootstrap_mean(f.filter("delta is not null"), "k", "delta", 1000).select(F.col("low").alias("mean_low"), F.col("mean").alias("mean_delta"), F.col("high").alias("mean_high"))
@@ -529,7 +527,7 @@ def m31(spark, d):
 @query("a53_importances")
 def a53(spark, d):
     x = labelled(spark, d)
-    return rounded(models.importances(models.fit_forest(x, NUM, "y"), NUM, x), 6)
+    return rounded(spark.createDataFrame(forest.importances(forest.fit(x, NUM, "y", KEYS)), "feature string, importance double"), 6)
 
 
 @query("st12_drift", f"WITH {PE}, w AS (SELECT ts // {DAY} AS day, count(*) AS n, avg(wire) AS m FROM pe GROUP BY 1), l AS (SELECT day, n, m, lag(n) OVER (ORDER BY day) AS n0, lag(m) OVER (ORDER BY day) AS m0 FROM w) SELECT day, round(abs(m - m0), 4) AS delta, round(20000 * sqrt(ln(2 / 0.002::DOUBLE) / 2 * (1 / n + 1 / n0)), 4) AS bound, abs(m - m0) > 20000 * sqrt(ln(2 / 0.002::DOUBLE) / 2 * (1 / n + 1 / n0)) AS drift FROM l WHERE m0 IS NOT NULL")

@@ -1,4 +1,4 @@
-"""Exact quantiles by narrowing, forests tree by tree, out-of-fold scores, and the block allocator, against slow versions."""
+"""Exact quantiles by narrowing, out-of-fold scores, and the block allocator, against slow versions."""
 
 import hashlib
 import uuid
@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from braidflow.operators import models, splits
+from braidflow.operators import splits
 from braidflow.operators.quantiles import exact_quantiles, order_statistics
-from braidflow.sources.shared import delete, new_path
+from braidflow.sources.shared import new_path
 
 SHARES = (0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0)
 
@@ -28,28 +28,6 @@ def test_exact_quantiles(spark, few):
     assert list(order_statistics(df, ranks, {"heavy": 6040}, few).values()) == [float(np.sort(heavy)[k]) for _, k in ranks]
 
 
-def test_cumulative_trees(spark):
-    rng = np.random.default_rng(2)
-    rows = [(float(a), float(b), float(a + b > 1)) for a, b in rng.random((400, 2))]
-    df = spark.createDataFrame(rows, "a double, b double, y double")
-    m = models.fit_forest(df, ["a", "b"], "y", trees=12, depth=4)
-    path = new_path(spark, "forest")
-    out = models.cumulative_probabilities(m, df, [1, 5, 12], path)
-    whole = models.with_probabilities(m, df, "q")
-    both = out.join(whole.select("a", "b", "q"), ["a", "b"]).collect()
-    assert len(both) == 400 and all(abs(r["p"][2] - r["q"][1]) < 1e-9 for r in both)
-    first = m.stages[-1].trees[0]
-    for r in both[:40]:
-        from pyspark.ml.linalg import Vectors
-
-        assert abs(first.predictProbability(Vectors.dense(r["a"], r["b"]))[1] - r["p"][0]) < 1e-9
-    c = {r["trees"]: r for r in models.convergence(out, [1, 5, 12], F.col("y") == 1).collect()}
-    hits = [(r["y"] == 1, r["p"][2] >= 0.5) for r in both]
-    assert abs(c[12]["recall"] - sum(y and p for y, p in hits) / sum(y for y, _ in hits)) < 1e-12 and c[12]["passed"]
-    assert sum(r["selected"] for r in c.values()) == 1
-    delete(spark, path)
-
-
 def slow_allocate(counts, ratios, seed, fixed=()):
     """Greedy placement of blocks, one capture and one block at a time."""
     out = {}
