@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import finite_or_zero
 from ..functions.records import binary_label
+from .profile import clip_at
+from .topk import stratified
 from .windows import hinted, running_sum
 
 
@@ -74,6 +76,22 @@ def clean_unsw(raw: DataFrame, order: str) -> DataFrame:
     return _zeroed(r.withColumn("y", F.col("y").cast("int"))).drop(*[c for c in UNSW_REDUNDANT if c != order])
 
 
+#: Columns of a NetFlow table that say nothing new, and its flags by their bits.
+BOTIOT_REDUNDANT = ("Attack", "L7_PROTO")
+BOTIOT_FLAGS = {"fin_flag": 0, "syn_flag": 1, "psh_flag": 3, "ack_flag": 4}
+
+
+def clean_botiot(raw: DataFrame) -> DataFrame:
+    """A NetFlow table with its label as ``y``, four flags out of the mask, and the duration in microseconds; absent columns stay absent."""
+    r = trimmed_names(raw).withColumnRenamed("Label", "y").drop(*BOTIOT_REDUNDANT)
+    if "TCP_FLAGS" in r.columns:
+        mask = F.coalesce(F.col("TCP_FLAGS").cast("int"), F.lit(0))
+        r = r.withColumns({n: F.shiftright(mask, bit).bitwiseAND(1).cast("tinyint") for n, bit in BOTIOT_FLAGS.items()}).drop("TCP_FLAGS")
+    if "FLOW_DURATION_MILLISECONDS" in r.columns:
+        r = r.withColumn("flow_dur_us", F.col("FLOW_DURATION_MILLISECONDS").cast("double") * 1000).drop("FLOW_DURATION_MILLISECONDS")
+    return _zeroed(r.withColumn("y", F.col("y").cast("int")))
+
+
 def mapped(df: DataFrame, names: list[str], columns: dict[str, Column], source: int) -> DataFrame:
     """``names`` as doubles (0 where ``columns`` has none, or its value is no finite number), label ``y`` and origin ``src``."""
     value = lambda n: finite_or_zero(columns[n].cast("double")) if n in columns else F.lit(0.0)
@@ -126,6 +144,16 @@ def layer2(cic: DataFrame, unsw: DataFrame, botiot: DataFrame) -> DataFrame:
     return cic_layer2(cic).unionByName(unsw_layer2(unsw)).unionByName(botiot_layer2(botiot))
 
 
+def layer2_training(cic: DataFrame, unsw: DataFrame, botiot: DataFrame, key: str, share: float = 0.2, top: float = 0.999) -> DataFrame:
+    """The second layer to train on: of the CIC rows a share of each class, and every feature cut at its own upper quantile.
+
+    Rows are the first of their class in hash order of ``key``, a column of ``cic`` that names a row; quantiles are exact
+    ones of the whole mixture.
+    """
+    some = stratified(cic, "y", key, share).filter("chosen")
+    return clip_at(layer2(some, unsw, botiot), LAYER2, top)
+
+
 def unsw_layer3(df: DataFrame) -> DataFrame:
     """Third layer from UNSW rows, origin 1."""
     names = {"fwd_bytes": "sbytes", "bwd_bytes": "dbytes", "fwd_pkts": "spkts", "bwd_pkts": "dpkts", "src_ttl": "sttl", "dst_ttl": "dttl", "sload": "sload", "dload": "dload", "state_enc": "state", "ct_dst_sport_ltm": "ct_dst_sport_ltm", "ct_srv_dst": "ct_srv_dst"}

@@ -309,14 +309,14 @@ def p27(spark, d):
 # Raw datasets made of the given tables, under the datasets' own column names.
 
 
-def cic_raw(spark, d):
+def cic_raw(spark, d, *more):
     li = table(spark, d, "lineitem")
     c = {
         " Destination Port": F.col("l_linenumber"), "Flow Duration": F.col("l_orderkey"), "Total Fwd Packets": F.col("l_quantity"), "Total Length of Fwd Packets": F.col("l_extendedprice"), "Min Packet Length": F.col("l_suppkey"),
         "Average Packet Size": F.col("l_partkey"), "Flow Bytes/s": F.when(F.col("l_linenumber") == 7, float("inf")).otherwise(F.col("l_extendedprice") * 2), "PSH Flag Count": (F.col("l_linestatus") == "O").cast("int"),
         "Init_Win_bytes_forward": F.when(F.col("l_returnflag") != "A", F.col("l_partkey")), "Active Mean": F.col("l_tax"), "Idle Max": F.col("l_discount"), "Attack Type": F.when(F.col("l_returnflag") == "N", "Normal Traffic ").otherwise("DoS"),
     }
-    return li.select(*[x.alias(n) for n, x in c.items()])
+    return li.select(*[x.alias(n) for n, x in c.items()], *more)
 
 
 def unsw_raw(spark, d):
@@ -342,19 +342,32 @@ BOT_SQL = """bot AS (SELECT user_id AS port, CASE WHEN event_id % 6 = 0 THEN 0.0
 (event_id % 9 = 0)::INT AS fin, CASE WHEN event_id % 2 = 0 THEN 6 ELSE 17 END AS proto, (event_type = 'error')::INT AS y FROM events)"""
 
 
-@query(
-    "p28_layer2",
-    f"""WITH {UNSW_SQL}, {BOT_SQL}
-SELECT l_linenumber::DOUBLE AS dst_port, l_orderkey::DOUBLE AS flow_dur_us, l_quantity::DOUBLE AS fwd_pkts, round(l_extendedprice::DOUBLE, 4) AS fwd_bytes, 0.0::DOUBLE AS bwd_pkts, 0.0::DOUBLE AS bwd_bytes, l_suppkey::DOUBLE AS pkt_len_min, l_partkey::DOUBLE AS pkt_len_avg,
-  CASE WHEN l_linenumber = 7 THEN 0.0 ELSE round(l_extendedprice::DOUBLE * 2, 4) END AS flow_bytes_s, (l_linestatus = 'O')::INT::DOUBLE AS psh_flag, 0.0::DOUBLE AS ack_flag, 0.0::DOUBLE AS fin_flag, CASE WHEN l_returnflag <> 'A' THEN l_partkey ELSE 0 END::DOUBLE AS init_win_fwd,
-  round(l_tax::DOUBLE, 4) AS active_mean, 0.0::DOUBLE AS protocol_enc, (l_returnflag <> 'N')::INT AS y, 0::INT AS src FROM lineitem
-UNION ALL SELECT 0, round(k % 97 / 10.0::DOUBLE * 1e6, 4), k % 11, round(price, 4), k % 13, cust, k % 1400, k % 1400, CASE WHEN k % 5 <> 0 THEN round(price * 8, 4) ELSE 0 END, 0, 0, 0, k % 256, 0, k % 4, y, 1 FROM unsw
-UNION ALL SELECT port, round(dur, 4), ip, ib, op, ob, round(ib / (CASE ip WHEN 0 THEN 1 ELSE ip END), 4), round((ib + ob) / (CASE ip + op WHEN 0 THEN 1 ELSE ip + op END), 4), CASE WHEN dur = 0 THEN 0 ELSE round((ib + ob) / (dur / 1e6), 4) END, psh, ack, fin, 0, 0, proto, y, 2 FROM bot""",
-)
+LAYER2_SQL = """SELECT l_linenumber::DOUBLE AS dst_port, l_orderkey::DOUBLE AS flow_dur_us, l_quantity::DOUBLE AS fwd_pkts, l_extendedprice::DOUBLE AS fwd_bytes, 0.0::DOUBLE AS bwd_pkts, 0.0::DOUBLE AS bwd_bytes, l_suppkey::DOUBLE AS pkt_len_min, l_partkey::DOUBLE AS pkt_len_avg,
+  CASE WHEN l_linenumber = 7 THEN 0.0 ELSE (l_extendedprice::DOUBLE * 2) END AS flow_bytes_s, (l_linestatus = 'O')::INT::DOUBLE AS psh_flag, 0.0::DOUBLE AS ack_flag, 0.0::DOUBLE AS fin_flag, CASE WHEN l_returnflag <> 'A' THEN l_partkey ELSE 0 END::DOUBLE AS init_win_fwd,
+  l_tax::DOUBLE AS active_mean, 0.0::DOUBLE AS protocol_enc, (l_returnflag <> 'N')::INT AS y, 0::INT AS src FROM lineitem
+UNION ALL SELECT 0, (k % 97 / 10.0::DOUBLE * 1e6), k % 11, price, k % 13, cust, k % 1400, k % 1400, CASE WHEN k % 5 <> 0 THEN (price * 8) ELSE 0 END, 0, 0, 0, k % 256, 0, k % 4, y, 1 FROM unsw
+UNION ALL SELECT port, dur, ip, ib, op, ob, (ib / (CASE ip WHEN 0 THEN 1 ELSE ip END)), ((ib + ob) / (CASE ip + op WHEN 0 THEN 1 ELSE ip + op END)), CASE WHEN dur = 0 THEN 0 ELSE ((ib + ob) / (dur / 1e6)) END, psh, ack, fin, 0, 0, proto, y, 2 FROM bot"""
+
+
+@query("p28_layer2", f"WITH {UNSW_SQL}, {BOT_SQL}, m AS ({LAYER2_SQL}) SELECT {', '.join(f'round({c}, 4) AS {c}' for c in harmonise.LAYER2)}, y, src FROM m")
 def p28(spark, d):
     return rounded(harmonise.layer2(harmonise.clean_cic(cic_raw(spark, d)), unsw_raw(spark, d), botiot_raw(spark, d)))
 
 
+LINE_NAME = "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+
+@query(
+    "p28_layer2_training",
+    f"WITH {UNSW_SQL}, {BOT_SQL}, li AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag <> 'N' ORDER BY sha256({LINE_NAME}), {LINE_NAME}) AS i, count(*) OVER (PARTITION BY l_returnflag <> 'N') AS n FROM lineitem) WHERE i <= floor(n * 0.2)), "
+    f"m AS ({LAYER2_SQL.replace('FROM lineitem', 'FROM li')}), q AS (SELECT {', '.join(f'quantile_cont({c}, 0.999) AS {c}' for c in harmonise.LAYER2)} FROM m) SELECT {', '.join(f'round(least(m.{c}, q.{c}), 3) AS {c}' for c in harmonise.LAYER2)}, y, src FROM m, q",
+)
+def p28_training(spark, d):
+    """The layer as it is trained on: a fifth of the CIC rows by class, features cut at their 0.999 quantile."""
+    cic = harmonise.clean_cic(cic_raw(spark, d, F.expr(LINE_NAME).alias("row")))
+    return rounded(harmonise.layer2_training(cic, unsw_raw(spark, d), botiot_raw(spark, d), "row"), 3)
+
+
 @query(
     "p29_layer3",
     f"""WITH {UNSW_SQL}, {BOT_SQL}

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +16,8 @@ from pyspark.sql import Window as W
 
 from ..operators import harmonise
 
-#: Largest file whose bytes are hashed.
-MOST_HASHED = 2_000_000_000
+#: Bytes of a file that a task holds while it hashes it.
+HASHED_AT_ONCE = 8 << 20
 
 #: Code page 1252 has characters where Latin-1 has control codes.
 CONTROLS = "".join(chr(c) for c in range(0x80, 0xA0))
@@ -96,18 +101,45 @@ def read_unsw(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def read_botiot(spark: SparkSession, path: str) -> DataFrame:
+    """A NetFlow dataset in Parquet with ``y``, flags out of the mask and microseconds."""
+    return harmonise.clean_botiot(spark.read.parquet(path))
+
+
+def hash_files(files: DataFrame, name: str = "sha256") -> DataFrame:
+    """``files`` (with ``path``) and the SHA-256 of each file's bytes, of any length: a task streams its files through the hash, a block at a time.
+
+    The file systems are those that Arrow opens by address (local, HDFS, object stores); a null path has a null hash.
+    """
+
+    @F.arrow_udf("string")
+    def digest(paths: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else file_hash(p) for p in paths.to_pylist()], pa.string())
+
+    return files.withColumn(name, digest("path"))
+
+
+def file_hash(path: str) -> str:
+    system, at = fs.FileSystem.from_uri(quote(re.sub("^(file:)?/+", "file:///", path), safe="/:@"))
+    running = hashlib.sha256()
+    with system.open_input_stream(at, buffer_size=0) as stream:
+        while block := stream.read(HASHED_AT_ONCE):
+            running.update(block)
+    return running.hexdigest()
+
+
 def inventory(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """Size, content hash, rows and header of every CSV file; whether it has the required columns; whether its name occurs twice.
 
-    Rows and headers come from the files' blocks; the hash needs a file's bytes in one row, so it is null beyond
-    :data:`MOST_HASHED` bytes.
+    Rows and headers come from the files' blocks; the hash from streams of the files' bytes.
     """
     at = F.regexp_replace("path", "^file:/+", "file:/")
     sizes = spark.read.format("binaryFile").load(path).select(at.alias("path"), "length")
-    hashes = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MOST_HASHED).select(at.alias("path"), F.sha2("content", 256).alias("sha256"))
+    hashes = hash_files(sizes.select("path").repartition("path"))  # one file a row, dealt over tasks
     lines = spark.read.option("encoding", "ISO-8859-1").text(path).filter(F.rtrim(F.col("value")) != "")
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    read = lines.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("path"), "value", place.alias("place")).groupBy("path").agg((F.count("*") - 1).alias("rows"), F.min_by("value", "place").alias("first"))
+    address = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # escaped here, plain in the other reader
+    read = lines.select(F.regexp_replace(address, "^file:/+", "file:/").alias("path"), "value", place.alias("place")).groupBy("path").agg((F.count("*") - 1).alias("rows"), F.min_by("value", "place").alias("first"))
     f = sizes.join(hashes, "path", "left").join(read, "path", "left")
     header = F.transform(F.split(F.coalesce("first", F.lit("")), ","), lambda x: F.trim(x))
     f = f.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "sha256", F.coalesce("rows", F.lit(-1)).cast("int").alias("rows"), header.alias("header"))

@@ -1,5 +1,6 @@
 """Readers, writers and frame decoding on files and frames made here."""
 
+import hashlib
 import struct
 
 from pyspark.sql import functions as F
@@ -145,3 +146,32 @@ def test_raw_datasets(spark, tmp_path):
     (tmp_path / "cic.csv").write_text("Destination Port, Flow Duration,Idle Max,Attack Type\n80,5,1,Normal Traffic\n22,,2,DoS\n")
     c = readers.read_cic(spark, str(tmp_path / "cic.csv"), "`Destination Port` double, ` Flow Duration` double, `Idle Max` double, `Attack Type` string")
     assert sorted(tuple(r) for r in c.select("Destination Port", "Flow Duration", "y").collect()) == [(22.0, 0.0, 1), (80.0, 5.0, 0)] and "Idle Max" not in c.columns
+    flows = spark.createDataFrame([(53, 17, 1.5, 100, 2, 0b010010, 250, 1, "DDoS"), (80, 6, 0.0, None, 1, None, 0, 0, "Benign")], "L4_DST_PORT int, PROTOCOL int, L7_PROTO double, IN_BYTES int, IN_PKTS int, TCP_FLAGS int, FLOW_DURATION_MILLISECONDS int, Label int, Attack string")
+    flows.write.parquet(str(tmp_path / "bot"))
+    b = readers.read_botiot(spark, str(tmp_path / "bot"))
+    assert set(b.columns) == {"L4_DST_PORT", "PROTOCOL", "IN_BYTES", "IN_PKTS", "y", "fin_flag", "syn_flag", "psh_flag", "ack_flag", "flow_dur_us"}
+    got = {r["L4_DST_PORT"]: r for r in b.collect()}
+    assert [got[53][c] for c in ("fin_flag", "syn_flag", "psh_flag", "ack_flag", "flow_dur_us", "y")] == [0, 1, 0, 1, 250000.0, 1]
+    assert [got[80][c] for c in ("fin_flag", "syn_flag", "ack_flag", "IN_BYTES", "y")] == [0, 0, 0, 0, 0]
+    layer = {r["dst_port"]: r for r in readers.harmonise.botiot_layer2(b).collect()}
+    assert layer[53.0]["flow_bytes_s"] == 400.0 and layer[53.0]["ack_flag"] == 1.0 and layer[80.0]["flow_bytes_s"] == 0.0
+
+
+def test_hashes_of_files_of_any_length(spark, tmp_path):
+    large = 2_200_000_000
+    with open(tmp_path / "large file.bin", "wb") as f:
+        f.write(b"begin")
+        f.seek(large - 3)
+        f.write(b"end")  # the rest is a hole, which takes no room on the disk
+    (tmp_path / "empty").write_bytes(b"")
+    want = hashlib.sha256(b"begin")
+    for at in range(5, large - 3, 1 << 26):
+        want.update(bytes(min(1 << 26, large - 3 - at)))
+    want.update(b"end")
+    files = spark.createDataFrame([(f"file:{tmp_path}/large file.bin",), (str(tmp_path / "empty"),), (None,)], "path string")
+    got = {r["path"]: r["sha256"] for r in readers.hash_files(files).collect()}
+    assert got == {f"file:{tmp_path}/large file.bin": want.hexdigest(), str(tmp_path / "empty"): hashlib.sha256(b"").hexdigest(), None: None}
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x y.csv").write_text("id,Label\n1,2\n")
+    row = readers.inventory(spark, str(tmp_path / "c"), ["id"]).first()
+    assert row["sha256"] == hashlib.sha256(b"id,Label\n1,2\n").hexdigest() and row["rows"] == 1 and row["complete"]
