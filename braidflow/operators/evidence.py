@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .quantiles import group_quantiles, group_ranks
+from .quantiles import exact_quantiles, group_quantiles, group_ranks
 from .topk import top_per_group
 from .windows import running_max
 
@@ -22,6 +22,11 @@ TERMINAL = (
 ALERT_EVENT, TERMINAL_DECISION, TERMINAL_ALERT = "nids_alert", "nids_terminal_flow_decision", "nids_terminal_flow_alert"
 
 
+READY_EVENT, SUMMARY_EVENT = "nids_dpdk_live_ready", "nids_dpdk_live_summary"
+#: The fields of a sensor's log that tell of a run; fixed values are the names.
+RUN = "event_type string, decision string, packets_seen bigint, packets_parsed bigint, parser_errors bigint, stop_reason string, evidence struct<known_family: struct<top_candidate: string, confidence: double>>"
+
+
 def _endpoint(side: str) -> Column:
     part = lambda c: F.coalesce(F.col(f"_a.flow.{side}.{c}"), F.lit("None"))
     return F.concat_ws(":", part("ip"), part("port")).alias(side)
@@ -175,3 +180,58 @@ def latency_summary(df: DataFrame, stage: str, v: str) -> DataFrame:
 
 def pick(column: Column, values: list[str]) -> Column:
     return F.count_if(column.isin(*values))
+
+
+def sensor_runs(lines: DataFrame, column: str, log: str, line: str) -> DataFrame:
+    """A row for each log: packets seen and parsed, parser errors, number of alerts, whether it got ready, and why it stopped.
+
+    The log's last summary line counts, with 0 for what it lacks; a log without one has zeros and no reason. Empty lines and
+    lines that are no JSON say nothing. Alerts themselves are :func:`sensor_candidates`, as a log may hold any number.
+    """
+    p = lines.withColumn("_a", F.from_json(column, RUN, {"mode": "PERMISSIVE"}))
+    kind = F.col("_a.event_type")
+    last = F.max_by("_a", F.when(kind == SUMMARY_EVENT, F.col(line)))
+    runs = p.groupBy(log).agg(last.alias("_s"), F.count_if(kind == ALERT_EVENT).alias("alerts"), F.coalesce(F.bool_or(kind == READY_EVENT), F.lit(False)).alias("ready"), F.count_if(kind == SUMMARY_EVENT).alias("_n"))
+    of = lambda c: F.when(F.col("_n") > 0, F.col(f"_s.{c}"))
+    numbers = [F.coalesce(of(c), F.lit(0).cast("long")).alias(c) for c in ("packets_seen", "packets_parsed", "parser_errors")]
+    return runs.select(log, *numbers, "alerts", "ready", of("stop_reason").alias("stop_reason"))
+
+
+def sensor_candidates(lines: DataFrame, column: str, log: str, line: str) -> DataFrame:
+    """The alerts of the logs: ``log, line, top_candidate, confidence, decision``; what an alert lacks is null."""
+    p = lines.withColumn("_a", F.from_json(column, RUN, {"mode": "PERMISSIVE"})).filter(F.col("_a.event_type") == ALERT_EVENT)
+    known = "_a.evidence.known_family"
+    return p.select(log, line, F.col(f"{known}.top_candidate").alias("top_candidate"), F.col(f"{known}.confidence").alias("confidence"), F.col("_a.decision").alias("decision"))
+
+
+def score_metrics(scored: DataFrame, decision: str, passed: str, expected: Column) -> DataFrame:
+    """One row: rows, correct ones, accuracy, rows that passed the gate and their share; shares are null without rows."""
+    n, right, through = F.count("*"), F.count_if(F.col(decision) == expected), F.count_if(F.col(passed))
+    some = F.when(n > 0, n)
+    return scored.agg(n.alias("rows"), right.alias("correct"), (right / some).alias("accuracy"), through.alias("gate_passed"), (through / some).alias("attack_detection_rate"))
+
+
+def score_counts(scored: DataFrame, columns: list[str]) -> DataFrame:
+    """``kind, name, n``: how often each class occurs in each of the columns, in one pass."""
+    each = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("name")) for c in columns])
+    return scored.select(F.inline(each)).groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
+#: The quantiles that a feature's distribution shows.
+DISTRIBUTION = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+
+
+def distributions(df: DataFrame, features: list[str]) -> DataFrame:
+    """``feature, count, min, p25, median, p75, p95, p99, max`` of the values that are there; quantiles are exact and linear."""
+    v = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    q = exact_quantiles(v, [(f, s) for f in features for s in DISTRIBUTION.values()])
+    r = v.agg(*[g(f).alias(f"{n}_{k}") for k, f in enumerate(features) for n, g in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    each = len(DISTRIBUTION)
+    rows = [(f, r[f"n_{k}"], r[f"lo_{k}"], *q[each * k : each * k + each], r[f"hi_{k}"]) for k, f in enumerate(features)]
+    return df.sparkSession.createDataFrame(rows, "feature string, count long, min double, " + ", ".join(f"{n} double" for n in DISTRIBUTION) + ", max double")
+
+
+def resource_summary(samples: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """Mean and maximum of each sampled resource, to one digit; 0 where no sample has it."""
+    stat = lambda g, c: F.coalesce(F.round(g(c), 1), F.lit(0.0))
+    return samples.groupBy(by).agg(*[stat(g, c).alias(f"{c}_{n}") for c in columns for n, g in (("mean", F.avg), ("max", F.max))])

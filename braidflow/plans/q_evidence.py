@@ -207,6 +207,66 @@ def a54(spark, d):
     return p.groupBy((F.col("k") % 6).alias("log")).agg(F.bool_or(F.col("kind") == "signup").alias("ready"), F.count("*").alias("seen"), F.count_if(F.col("wire_length") > 0).alias("parsed"), F.count_if(F.col("kind") == "error").alias("alerts"), F.max_by("wire_length", "idx").alias("last_value"), F.lit(0).alias("z"))
 
 
+def sensor_log(spark, d):
+    """Events as a sensor's lines: signups get ready, purchases sum up, errors alert, views are broken."""
+    e, i = table(spark, d, "events"), F.col("event_id")
+    known = F.struct(F.struct(F.concat(F.lit("family"), F.col("user_id") % 3).alias("top_candidate"), F.round(F.col("value") / 100, 4).alias("confidence")).alias("known_family"))
+    summary = F.to_json(F.struct(F.lit(ev.SUMMARY_EVENT).alias("event_type"), i.alias("packets_seen"), (i - 1).alias("packets_parsed"), F.when(i % 2 == 1, 1).alias("parser_errors"), F.when(i % 3 > 0, "limit").alias("stop_reason")))
+    alert = F.to_json(F.struct(F.lit(ev.ALERT_EVENT).alias("event_type"), F.lit("known_attack").alias("decision"), F.when(i % 5 > 0, known).alias("evidence")))
+    kind = F.col("event_type")
+    text = F.when(kind == "signup", F.lit('{"event_type":"' + ev.READY_EVENT + '"}')).when(kind == "purchase", summary).when(kind == "error", alert).when(kind == "view", "broken {").otherwise(F.lit(""))
+    return e.select((F.col("user_id") % 6).alias("log"), i.alias("line"), text.alias("value"))
+
+
+@query(
+    "a54_sensor_runs",
+    "WITH g AS (SELECT user_id % 6 AS log, max(event_id) FILTER (event_type = 'purchase') AS s, count(*) FILTER (event_type = 'error') AS alerts, bool_or(event_type = 'signup') AS ready FROM events GROUP BY 1) SELECT log, coalesce(s, 0) AS packets_seen, coalesce(s - 1, 0) AS packets_parsed, coalesce(s % 2, 0) AS parser_errors, alerts, ready, CASE WHEN s % 3 > 0 THEN 'limit' END AS stop_reason FROM g",
+)
+def a54_runs(spark, d):
+    return ev.sensor_runs(sensor_log(spark, d), "value", "log", "line")
+
+
+@query(
+    "a54_sensor_candidates",
+    "SELECT user_id % 6 AS log, event_id AS line, CASE WHEN event_id % 5 > 0 THEN 'family' || (user_id % 3) END AS top_candidate, CASE WHEN event_id % 5 > 0 THEN round(value / 100, 4) END AS confidence, 'known_attack' AS decision FROM events WHERE event_type = 'error'",
+)
+def a54_candidates(spark, d):
+    return ev.sensor_candidates(sensor_log(spark, d), "value", "log", "line")
+
+
+SCORED = "sc AS (SELECT value >= 30 AS passed, CASE WHEN value >= 30 THEN event_type ELSE 'view' END AS decision, event_type AS raw_argmax, CASE WHEN user_id % 2 = 0 THEN 'error' ELSE 'purchase' END AS top_attack_candidate, value, user_id FROM events)"
+
+
+def scored_flows(spark, d):
+    passed = F.col("value") >= 30
+    decision, candidate = F.when(passed, F.col("event_type")).otherwise("view"), F.when(F.col("user_id") % 2 == 0, "error").otherwise("purchase")
+    return table(spark, d, "events").select(passed.alias("passed"), decision.alias("decision"), F.col("event_type").alias("raw_argmax"), candidate.alias("top_attack_candidate"), "value", "user_id")
+
+
+@query("a52_score_metrics", f"WITH {SCORED} SELECT count(*) AS rows, count(*) FILTER (decision = 'view') AS correct, round(count(*) FILTER (decision = 'view') / count(*), 6) AS accuracy, count(*) FILTER (passed) AS gate_passed, round(count(*) FILTER (passed) / count(*), 6) AS attack_detection_rate FROM sc")
+def a52_metrics(spark, d):
+    return rounded(ev.score_metrics(scored_flows(spark, d), "decision", "passed", F.lit("view")), 6)
+
+
+@query("a52_score_counts", f"WITH {SCORED} SELECT kind, name, count(*) AS n FROM (SELECT unnest(['decision', 'raw_argmax', 'top_attack_candidate']) AS kind, unnest([decision, raw_argmax, top_attack_candidate]) AS name FROM sc) GROUP BY 1, 2")
+def a52_counts(spark, d):
+    return ev.score_counts(scored_flows(spark, d), ["decision", "raw_argmax", "top_attack_candidate"])
+
+
+@query(
+    "a52_feature_distributions",
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS count, round(min({c})::DOUBLE, 4) AS min, " + ", ".join(f"round(quantile_cont({c}::DOUBLE, {q}), 4) AS {n}" for n, q in ev.DISTRIBUTION.items()) + f", round(max({c})::DOUBLE, 4) AS max FROM events" for c in ("value", "user_id")),
+)
+def a52_distributions(spark, d):
+    return rounded(ev.distributions(scored_flows(spark, d), ["value", "user_id"]), 4)
+
+
+@query("a41_resources", "SELECT event_type, coalesce(round(avg(value), 1), 0) AS cpu_pct_mean, coalesce(round(max(value), 1), 0) AS cpu_pct_max, coalesce(round(avg(user_id) FILTER (event_type <> 'view'), 1), 0.0) AS ram_mb_mean, coalesce(round(max(user_id::DOUBLE) FILTER (event_type <> 'view'), 1), 0.0) AS ram_mb_max FROM events GROUP BY 1")
+def a41_resources(spark, d):
+    e = table(spark, d, "events").select("event_type", F.col("value").alias("cpu_pct"), F.when(F.col("event_type") != "view", F.col("user_id").cast("double")).alias("ram_mb"))
+    return ev.resource_summary(e, ["cpu_pct", "ram_mb"], "event_type")
+
+
 @query(
     "a56_accuracy_table",
     f"WITH {ATTEMPTS}, c AS (SELECT case_id, sum(alerts) AS ok, sum(packets) AS n, CASE WHEN case_id % 3 = 0 THEN 'lossless' WHEN case_id % 3 = 1 THEN 'lossy' ELSE 'no_inference' END AS loss FROM tries GROUP BY case_id) SELECT loss, count(*) AS cases, round(sum(ok) / sum(n), 6) AS micro, round(avg(ok / n), 6) AS macro, round(max(abs(ok / n - 0.2)), 6) AS most_delta FROM c GROUP BY loss",

@@ -98,6 +98,23 @@ def test_segments_on_several_logs(spark):
     assert got == {("a", 5): "expected", ("a", 11): "uncovered", ("a", 20): "unexpected", ("a", 30): "expected", ("b", 5): "uncovered"}
 
 
+def test_sensor_runs_of_single_lines(spark):
+    lines = [
+        ("a", 1, '{"event_type": "nids_dpdk_live_ready"}'), ("a", 2, ""), ("a", 3, "broken {"), ("a", 4, '{"event_type": "nids_alert", "decision": "unknown"}'),
+        ("a", 5, '{"event_type": "nids_dpdk_live_summary", "packets_seen": 9, "packets_parsed": 8, "parser_errors": 1, "stop_reason": "signal"}'),
+        ("a", 6, '{"event_type": "nids_alert", "decision": "known_attack", "evidence": {"known_family": {"top_candidate": "dos", "confidence": 0.5}}}'),
+        ("a", 7, '{"event_type": "nids_dpdk_live_summary", "packets_seen": 12}'), ("b", 1, None), ("b", 2, "[1]"),
+    ]
+    df = spark.createDataFrame(lines, "log string, line int, text string").repartition(3)
+    runs = {r["log"]: tuple(r)[1:] for r in evidence.sensor_runs(df, "text", "log", "line").collect()}
+    assert runs == {"a": (12, 0, 0, 2, True, None), "b": (0, 0, 0, 0, False, None)}
+    assert sorted(tuple(r) for r in evidence.sensor_candidates(df, "text", "log", "line").collect()) == [("a", 4, None, None, "unknown"), ("a", 6, "dos", 0.5, "known_attack")]
+    assert evidence.sensor_runs(df.filter("false"), "text", "log", "line").count() == 0
+    none = spark.createDataFrame([("x", None, True)], "decision string, v double, passed boolean").filter("false")
+    assert tuple(evidence.score_metrics(none, "decision", "passed", evidence.F.lit("x")).first()) == (0, 0, None, 0, None)
+    assert tuple(evidence.distributions(none, ["v"]).first()) == ("v", 0, *[None] * 7)
+
+
 @pytest.mark.parametrize("profile,size", [("A", 54), ("E", 70)])
 def test_profiles(profile, size):
     assert len(features.profile_columns(profile, features.TERMINAL_NAMES)) == size
