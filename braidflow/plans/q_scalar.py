@@ -154,8 +154,10 @@ MAG = "CASE " + " ".join(f"WHEN abs(v) < {b} THEN '{n}'" for b, n in numbers.MAG
 
 @query("p16_signed_bucket", f"SELECT CASE WHEN v = 0 THEN 'zero' WHEN v < 0 THEN 'negative:' || {MAG} ELSE 'positive:' || {MAG} END AS bucket, count(*) AS n FROM (SELECT (event_id % 41 - 20) * (event_id * event_id * event_id % 9999999967) AS v FROM events) GROUP BY 1")
 def p16(spark, d):
-    i = F.col("event_id")
-    return table(spark, d, "events").select(numbers.signed_bucket((i % 41 - 20) * (i * i * i % 9999999967)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    i, m = F.col("event_id"), 9999999967
+    rest = (i % m).cast("decimal(11, 0)")  # the cube passes 64 bits
+    square = (rest * rest % m).cast("decimal(11, 0)")
+    return table(spark, d, "events").select(numbers.signed_bucket((i % 41 - 20) * (square * rest % m).cast("bigint")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @query(
