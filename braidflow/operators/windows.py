@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numbers import exact_sum
+
 CHUNK = 1_000_000
 BROADCAST_CHUNKS = 100_000
 
@@ -113,14 +115,14 @@ def sliding_count(events: DataFrame, by: list[str], time: str, width: int, name:
 
 
 def timeout_survey(packets: DataFrame, by: list[str], order: list[str], clock: str, timeouts: list[int]) -> DataFrame:
-    """Sessions and their durations for every candidate timeout, in one pass over the packets."""
+    """Sessions and their durations for every candidate timeout, in one pass over the packets; ``total`` is a decimal, as it may pass 64 bits."""
     w = W.partitionBy(*by).orderBy(*order)
     gap = packets.select(*by, *order, clock, (F.col(clock) - F.lag(clock).over(w)).alias("_gap"))
     each = gap.withColumn("timeout", F.explode(F.array(*[F.lit(t).cast("long") for t in timeouts])))
     seen = W.partitionBy("timeout", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     s = each.withColumn("_s", F.sum(F.when(F.col("_gap").isNull() | (F.col("_gap") >= F.col("timeout")), 1).otherwise(0)).over(seen))
     sessions = s.groupBy("timeout", *by, "_s").agg((F.max(clock) - F.min(clock)).alias("duration"))
-    return sessions.groupBy("timeout").agg(F.count("*").alias("sessions"), F.sum("duration").alias("total"), F.min("duration").alias("shortest"), F.max("duration").alias("longest"))
+    return sessions.groupBy("timeout").agg(F.count("*").alias("sessions"), exact_sum(F.col("duration")).alias("total"), F.min("duration").alias("shortest"), F.max("duration").alias("longest"))
 
 
 def peak_concurrency(flows: DataFrame, start: str, end: str, by: list[str], bucket_ns: int) -> DataFrame:
