@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import finite_or_zero
 from ..functions.records import binary_label
+from ..sources.shared import written
 from .profile import clip_at
-from .topk import stratified
+from .topk import first_share
 from .windows import hinted, running_sum
 
 
@@ -150,8 +151,9 @@ def layer2_training(cic: DataFrame, unsw: DataFrame, botiot: DataFrame, key: str
     Rows are the first of their class in hash order of ``key``, a column of ``cic`` that names a row; quantiles are exact
     ones of the whole mixture.
     """
-    some = stratified(cic, "y", key, share).filter("chosen")
-    return clip_at(layer2(some, unsw, botiot), LAYER2, top)
+    some = first_share(cic, "y", key, share)
+    chosen = written(cic_layer2(some), "layer2-chosen")  # every pass of the quantiles reads it
+    return clip_at(chosen.unionByName(unsw_layer2(unsw)).unionByName(botiot_layer2(botiot)), LAYER2, top)
 
 
 def unsw_layer3(df: DataFrame) -> DataFrame:

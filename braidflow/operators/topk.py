@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .windows import hinted
+
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """First ``k`` rows of each group; Spark keeps only ``k`` rows of a group in a task before the shuffle."""
@@ -62,3 +65,21 @@ def stratified(df: DataFrame, stratum: str, key: str, share: float) -> DataFrame
     j = h.join(sizes, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
     place = F.col("_before") + F.row_number().over(W.partitionBy(stratum, "_b").orderBy("_h", key))
     return j.withColumn("chosen", place <= F.floor(F.col("_total") * share)).select(*df.columns, "chosen")
+
+
+def first_share(df: DataFrame, stratum: str, key: str, share: float) -> DataFrame:
+    """The rows that :func:`stratified` marks, without moving all others.
+
+    Counts by a stratum's hash ranges name the range in which each share ends. Rows of earlier ranges are taken where they
+    lie; only rows of those single ranges are ordered.
+    """
+    h = df.withColumn("_h", F.sha2(F.col(key).cast("string"), 256)).withColumn("_b", F.substring("_h", 1, 4))
+    sizes = h.groupBy(F.col(stratum).alias("_s"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    w = W.partitionBy("_s").orderBy("_c")
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_most": F.floor(F.sum("_n").over(W.partitionBy("_s")) * share)})
+    ends = written(sizes.filter((F.col("_before") < F.col("_most")) & (F.col("_before") + F.col("_n") >= F.col("_most"))), "share-ends")  # a row for each stratum
+    j = h.join(hinted(ends), F.col(stratum).eqNullSafe(F.col("_s")))
+    whole = j.filter(F.col("_b") < F.col("_c")).select(*df.columns)
+    place = F.col("_before") + F.row_number().over(W.partitionBy(stratum, "_b").orderBy("_h", key))
+    last = j.filter(F.col("_b") == F.col("_c")).withColumn("_p", place).filter(F.col("_p") <= F.col("_most"))
+    return whole.unionByName(last.select(*df.columns))

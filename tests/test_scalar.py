@@ -72,3 +72,20 @@ def test_layers_of_single_records(spark):
     unsw = spark.createDataFrame([(2, 0.5, "udp", "-", "CON", 10, 1), (1, 0.25, "tcp", "http", "FIN", 20, 0), (3, 1.0, "udp", "-", "FIN", 30, 1)], "id int, dur double, proto string, service string, state string, spkts int, label int")
     c = sorted(tuple(r) for r in harmonise.unsw_layer2(harmonise.clean_unsw(unsw, "id")).select("flow_dur_us", "fwd_pkts", "protocol_enc", "y", "src").collect())
     assert c == [(250000.0, 20.0, 0.0, 0, 1), (500000.0, 10.0, 1.0, 1, 1), (1000000.0, 30.0, 1.0, 1, 1)]
+
+
+def test_first_share_is_what_stratified_marks_and_is_written_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from braidflow.operators import topk
+
+    df = spark.range(5000).select(F.col("id").alias("row"), F.when(F.col("id") % 50 > 0, F.col("id") % 3).alias("y"))
+    for share in (0.0, 0.2, 0.999, 1.0):
+        want = sorted(r["row"] for r in topk.stratified(df, "y", "row", share).filter("chosen").collect())
+        assert sorted(r["row"] for r in topk.first_share(df, "y", "row", share).collect()) == want
+    labels = []
+    monkeypatch.setattr(harmonise, "written", lambda rows, label: labels.append(label) or rows)
+    cic = spark.createDataFrame([(k, float(k), k % 2) for k in range(100)], "row long, `Destination Port` double, y int")
+    none = cic.limit(0)
+    assert harmonise.layer2_training(cic, none, none, "row").count() == 20
+    assert labels == ["layer2-chosen"]
