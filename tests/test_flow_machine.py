@@ -102,6 +102,25 @@ def test_random_traces(spark):
     assert rows.filter("row = 'packet'").count() == len(packets)
 
 
+def test_ends_only_and_read_once(spark):
+    """The ends alone are those among all rows, and the tracker runs once for a table of resolved ends."""
+    rng = random.Random(4)
+    packets = [("c", rng.choice("kl"), i, i * 3 * S, rng.choice("ab"), True, rng.choice([SYN, FIN | ACK, RST, ACK, ACK]), 1) for i in range(300)]
+    df = windows.running_watermark(spark.createDataFrame(packets, PACKET), ["capture_id"], "packet_index")
+    policy, runs = FlowPolicy(60 * S, 180 * S), spark.sparkContext.accumulator(0)
+    ends = track(df, policy, ends_only=True)
+    want = track(df, policy).filter("row = 'closed'")
+    assert sorted(map(str, ends.collect())) == sorted(map(str, want.collect()))
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    closes = ends.mapInArrow(counted, ends.schema).select("capture_id", "flow_key", "generation", "reason", "creation_ns", "last_event_ns", "packets")
+    assert resolve_passive(closes, df, policy, 10 * S).count() == want.count() == runs.value
+
+
 TCP = [
     (1000000000, "forward", 60, 0, 54, 64, 1000, SYN), (1001000000, "reverse", 74, 0, 54, 63, 2000, SYN | ACK), (1000500000, "forward", 100, 40, 60, 62, 1500, ACK), (1002000000, "forward", 120, 60, 60, 61, 2500, ACK | 8),
     (1003500000, "reverse", 80, 20, 54, 60, 3000, ACK), (1001500000, "forward", 140, 80, 60, 59, 3500, ACK | 8), (1005000000, "reverse", 90, 30, 60, 58, 4000, ACK), (1004500000, "reverse", 110, 50, 60, 57, 4500, ACK),
