@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rate, safe_divide
-from .windows import active_idle, causal_contexts
+from ..sources.shared import written
+from .windows import active_idle_means, causal_contexts, watermark_at_start
 
 #: The features in their order.
 NAMES = tuple(
@@ -92,24 +94,33 @@ def flow_vector(packets: DataFrame, by: list[str], extra: dict[str, Column] | No
     return g.select(*by, *NAMES, *(extra or {}))
 
 
-def terminal_vector(packets: DataFrame, by: list[str], capture: list[str], order: str, gap_ns: int = IDLE_GAP_NS, block_ns: int = CONTEXT_BLOCK_NS) -> DataFrame:
+def terminal_vector(packets: DataFrame, by: list[str], capture: list[str], order: str, gap_ns: int = IDLE_GAP_NS, block_ns: int = CONTEXT_BLOCK_NS, contiguous: bool = False) -> DataFrame:
     """``by`` and the 70 features of closed flows.
 
     ``packets`` has what :func:`flow_vector` needs, ``order`` (the packet's place in its capture), ``watermark_ns`` (the
     capture's clock), ``protocol`` (6 or 17), ``source_ip, source_port, destination_ip, destination_port``; ``capture``
     names the columns of ``by`` that tell captures apart. Active and idle times follow the flow's own clock; a flow's
-    contexts count the flows that began up to it in its block of the capture's clock.
+    contexts count the flows that began up to it in its block of the capture's clock. If the packets of every flow follow
+    each other in the capture (``contiguous``), the flows give the clock, and packets need no ``watermark_ns``. Packets are
+    grouped once; flows are written, and their contexts found on a few of the columns.
     """
+    clock = "timestamp_ns" if contiguous else "watermark_ns"
     fw, rv = F.col("direction") == "forward", F.col("direction") == "reverse"
     has = lambda bit: F.coalesce(F.col("tcp_flags").bitwiseAND(bit) != 0, F.lit(False))
-    first = {c: F.min_by(c, "ordinal") for c in ("protocol", "source_ip", "source_port", "destination_ip", "destination_port", "watermark_ns", order)}
+    first = {c: F.min_by(c, "ordinal") for c in ("protocol", "source_ip", "source_port", "destination_ip", "destination_port", clock, order)}
     extra = {f"_{n}": c for n, c in first.items()} | {
         "forward_ttl_mean": F.avg(F.when(fw, F.col("ttl"))), "reverse_ttl_mean": F.coalesce(F.avg(F.when(rv, F.col("ttl"))), F.lit(0.0)),
         "_fin_forward": F.bool_or(fw & has(FLAG_BITS["fin"])), "_fin_reverse": F.bool_or(rv & has(FLAG_BITS["fin"])),
     }
-    v = flow_vector(packets, by, extra).join(active_idle(packets, by, ["ordinal"], "clock_ns", gap_ns), by)
-    v = v.withColumn("_block", F.floor(F.col("_watermark_ns") / F.lit(block_ns)).cast("long"))
-    v = causal_contexts(v, [*capture, "_block"], f"_{order}", "_source_ip", "_destination_ip", "_destination_port")
+    extra |= active_idle_means("clock_ns", "_gap") | {"_last": F.max("timestamp_ns")}
+    step = F.col("clock_ns") - F.lag("clock_ns").over(W.partitionBy(*by).orderBy("ordinal"))
+    v = written(flow_vector(packets.withColumn("_gap", F.when(step > gap_ns, step)), by, extra), "terminal-flows")
+    at = v.select(*by, f"_{order}", f"_{clock}", "_last", "_source_ip", "_destination_ip", "_destination_port")
+    if contiguous:
+        at = watermark_at_start(at, capture, f"_{order}", f"_{clock}", "_last", name="_watermark_ns")
+    at = at.withColumn("_block", F.floor(F.col("_watermark_ns") / F.lit(block_ns)).cast("long"))
+    at = causal_contexts(at, [*capture, "_block"], f"_{order}", "_source_ip", "_destination_ip", "_destination_port")
+    v = v.join(at.select(*by, "same_endpoint", "same_pair", "distinct_ports"), by)
     tcp = F.col("_protocol") == TCP
     reset = tcp & (F.col("tcp_rst_count") > 0)
     fin = tcp & ~reset & F.col("_fin_forward") & F.col("_fin_reverse")

@@ -44,6 +44,12 @@ def running_max(df: DataFrame, by: list[str], order: str, value: str, name: str,
     return _prefix(df, by, order, F.max(value), F.max, lambda b, agg, w: F.greatest(b, agg.over(w)), chunk, name)
 
 
+def watermark_at_start(flows: DataFrame, by: list[str], order: str, first: str, last: str, chunk: int = CHUNK, name: str = "watermark_ns") -> DataFrame:
+    """The capture's clock at each flow's first packet, from the flows' ``first`` and greatest times, where the packets of a flow follow each other in the capture."""
+    clock = lambda b, agg, w: F.greatest(b, agg.over(w.rowsBetween(W.unboundedPreceding, -1)), F.col(first))
+    return _prefix(flows, by, order, F.max(last), F.max, clock, chunk, name)
+
+
 def creation_numbers(packets: DataFrame, by: list[str], order: str, starts: Column, chunk: int = CHUNK, name: str = "generation") -> DataFrame:
     """Number of the generation starts so far in a capture."""
     n = F.sum(starts.cast("long"))
@@ -95,6 +101,12 @@ def active_idle(packets: DataFrame, by: list[str], order: list[str], clock: str,
     return segments.groupBy(*by).agg((F.avg("_active") / 1000).alias("active_mean_us"), F.coalesce(F.avg("_idle") / 1000, F.lit(0.0)).alias("idle_mean_us"))
 
 
+def active_idle_means(clock: str, gap: str) -> dict[str, Column]:
+    """As :func:`active_idle`, in the aggregation of a flow's packets, where the clock never goes back: ``gap`` is a packet's step if that is over the limit, so what is not a gap is active."""
+    active = F.max(clock) - F.min(clock) - F.coalesce(F.sum(gap), F.lit(0).cast("long"))
+    return {"active_mean_us": active / (F.count(gap) + 1) / 1000, "idle_mean_us": F.coalesce(F.avg(gap) / 1000, F.lit(0.0))}
+
+
 def causal_contexts(flows: DataFrame, block: list[str], order: str, source: str, destination: str, port: str) -> DataFrame:
     """Counts of a block's flows up to the current one: same destination endpoint, same host pair, distinct ports of the pair."""
     upto = lambda *by: W.partitionBy(*block, *by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
